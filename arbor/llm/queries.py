@@ -1,15 +1,30 @@
 """The thin opN_ queries; every one reads its whole table through its operator."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
-from ._common import documents
+from . import bpe, langid, quality, simhash
+from ._common import documents, table
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op6_simhash": op6_simhash}
+QUERIES = {"op1_quality": op1_quality, "op3_langid": op3_langid, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash}
 ORACLE_SQL: dict[str, str] = {}
