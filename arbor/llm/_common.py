@@ -6,6 +6,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Used only where the session names no shared folder (tests on one machine).
 FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints"
@@ -76,3 +77,8 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 2 << 2
             start, size, texts = i + 1, 0, []
     if texts:
         yield start, texts
+
+
+def schema_with(df: DataFrame, kept: list[str], ddl: str) -> StructType:
+    """The kept columns of df, then those of the DDL string."""
+    return StructType([df.schema[c] for c in kept] + StructType.fromDDL(ddl).fields)

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces, text_of
+from ._common import pieces, schema_with, text_of
 
 #: Pre-tokens kept in a worker's memo before it is emptied.
 MEMO = 300_000
@@ -185,7 +185,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 ids = pa.array(codec.encode(texts), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), ids], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, docs.select("doc_id").schema.add("ids", "array<int>"))
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema_with(docs, ["doc_id"], "ids array<int>"))
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -200,7 +200,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 data = [codec.decode(x or []) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, encoded.select("doc_id").schema.add("data", "binary"))
+    return encoded.select("doc_id", "ids").mapInArrow(run, schema_with(encoded, ["doc_id"], "data binary"))
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:

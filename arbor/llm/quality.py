@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold, labelled_sample, pieces, text_of
+from ._common import fold, labelled_sample, pieces, schema_with, text_of
 
 #: Labelled rows fitted on (half of each label at most), hashed columns, latent rank.
 SAMPLE = 3200
@@ -170,5 +170,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))],
                     names=["doc_id", "held_out", "score", "predicted"])
 
-    schema = data.select("doc_id", "held_out").schema.add("score", "double").add("predicted", "int")
-    return data.mapInArrow(run, schema)
+    return data.mapInArrow(run, schema_with(data, ["doc_id", "held_out"], "score double, predicted int"))

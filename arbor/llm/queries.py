@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, simhash
+from . import bpe, langid, quality, simhash, toxicity
 from ._common import documents, table
 
 
@@ -26,5 +26,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_langid": op3_langid, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op1_quality": op1_quality, "op3_langid": op3_langid, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash,
+           "op9_toxicity": op9_toxicity}
 ORACLE_SQL: dict[str, str] = {}
