@@ -15,6 +15,7 @@ import base64
 import hashlib
 import re
 import struct
+import zlib
 from itertools import chain
 
 import pyarrow as pa
@@ -161,7 +162,7 @@ _codecs: dict = {}
 
 
 def _codec(model, pattern: str) -> Codec:
-    key = (model.id, pattern)
+    key = (zlib.crc32(model.value), pattern)
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(model.value, pattern)
