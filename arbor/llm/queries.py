@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, simhash, toxicity
+from . import bpe, langid, quality, secrets, simhash, toxicity
 from ._common import documents, table
 
 
@@ -13,6 +13,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secrets.report(docs, secrets.train(docs))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.identify(docs, langid.fit(docs))
@@ -31,6 +36,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_langid": op3_langid, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash,
+QUERIES = {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_langid": op3_langid, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash,
            "op9_toxicity": op9_toxicity}
 ORACLE_SQL: dict[str, str] = {}
