@@ -41,6 +41,9 @@ STATES = 94
 #: Characters of TOKEN, over which the random chain's prior spreads; prior counts of a row.
 TOKEN_CHARS = 67
 PRIOR = {"random": 8.0, "ordinary": 1.0}
+#: No single transition weighs more, so that a few rare joints (camelCase, slashes) do
+#: not make an identifier look random.
+CLIP = 2.5
 MASK = "[REDACTED]"
 
 
@@ -103,7 +106,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     uniform = {"random": token / TOKEN_CHARS, "ordinary": F.lit(1 / STATES)}
     prob = lambda n, all_: (F.col(n) + PRIOR[n] * uniform[n] + 1e-6) / (F.col(all_) + PRIOR[n] + 1e-6 * STATES)
     rows = (both.join(F.broadcast(total), "a").orderBy("a", "b")
-            .select(F.round(F.log(prob("random", "nr") / prob("ordinary", "no")), 6).alias("r")).collect())
+            .select(F.round(F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.log(prob("random", "nr") / prob("ordinary", "no")))), 6).alias("r")).collect())
     return [r.r for r in rows]
 
 
