@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 20
-DIMS = 8
-CONFIDENCE = 0.98
+DIMS = 6
+CONFIDENCE = 0.7
 SHARD_ROWS = 8192
 QUERY_ROWS = 16384
 LEAF = 32
 #: Vectors verified between two stopping tests.
-STEP = 512
+STEP = 1024
 
 
 def chi_square(x: np.ndarray | float, dims: int = DIMS) -> np.ndarray:

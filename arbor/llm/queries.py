@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, secrets, simhash, toxicity
+from . import ann, bpe, langid, quality, secrets, simhash, suffix, toxicity
 from ._common import documents, table
 
 
@@ -23,6 +24,11 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -31,11 +37,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_langid": op3_langid, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash,
-           "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash,
+           "op7_suffix": op7_suffix, "op9_toxicity": op9_toxicity}
 ORACLE_SQL: dict[str, str] = {}
