@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, quality, secrets, simhash, suffix, toxicity
+from . import ann, bpe, langid, media, packing, quality, secrets, simhash, suffix, toxicity
 from ._common import documents, table
 
 
@@ -41,11 +41,20 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(documents(spark, sf_dir))
 
 
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.report(media.store(documents(spark, sf_dir)))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 QUERIES = {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash,
-           "op7_suffix": op7_suffix, "op9_toxicity": op9_toxicity}
+           "op7_suffix": op7_suffix, "op8_flac": op8_flac,
+           "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
