@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import fold, labelled_sample, pieces, schema_with, text_of
 
 #: Labelled rows of each label, at most; terms kept; least chi-square (p about 1e-5).
-SAMPLE = 4000
+SAMPLE = 2500
 TERMS = 4096
 CHI_SQUARE = 20.0
 #: A term must come after this many different words in toxic examples, which copies of
@@ -71,21 +71,31 @@ class Model:
     def __init__(self, rows: list[tuple[int, str, int]]):
         y = np.array([r[2] for r in rows], np.int64)
         n, pos = len(rows), int(y.sum())
-        words = [_words(t.lower()) for _, t, _ in rows]
-        counts = [Counter(w) for w in words]
-        seen: dict[str, int] = defaultdict(int)
-        contexts: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
-        for w, label in zip(words, y.tolist()):
-            first: dict[str, str] = {}
-            before = ""
-            for word in w:
-                if word not in first:
+        # candidates come from toxic examples; clean ones only count what is a candidate,
+        # and contexts are kept for those alone, so that the fit stays small
+        toxic_df: Counter = Counter()
+        for (_, t, _), label in zip(rows, y.tolist()):
+            if label:
+                toxic_df.update({x for w in set(_words(t.lower())) for x in terms_of(w)})
+        seen = {t: a for t, a in toxic_df.items() if a >= LEAST}
+        del toxic_df
+        clean_df: Counter = Counter()
+        for (_, t, _), label in zip(rows, y.tolist()):
+            if not label:
+                clean_df.update({x for w in set(_words(t.lower())) for x in terms_of(w) if x in seen})
+        seen = {t: a + clean_df[t] for t, a in seen.items() if a * (n - pos) * 2 >= ODDS * clean_df[t] * pos}
+        del clean_df
+        contexts: dict[str, tuple[set, set]] = {}
+        for (_, t, _), label in zip(rows, y.tolist()):
+            met, before = set(), ""
+            for word in _words(t.lower()):
+                if word not in met:
                     for term in terms_of(word):
-                        first.setdefault(term, before)
+                        if term in seen and term not in met:
+                            met.add(term)
+                            contexts.setdefault(term, (set(), set()))[label].add(before)
+                    met.add(word)
                 before = word
-            for term, before in first.items():
-                seen[term] += 1
-                contexts[term][label].add(before)
         scored = []
         for term, (clean, toxic) in contexts.items():
             a, b = len(toxic), len(clean)
@@ -99,7 +109,7 @@ class Model:
         self.vocabulary = {term: k for k, (_, term) in enumerate(scored[:TERMS])}
         self.idf = np.array([np.log((1 + n) / (1 + seen[t])) + 1 for t in self.vocabulary])
         known = _Known(self.vocabulary)
-        vectors = [self.vector(c, known) for c in counts]
+        vectors = [self.vector(Counter(w for w in _words(t.lower()) if known[w]), known) for _, t, _ in rows]
         blank = [i for i, v in enumerate(vectors) if not len(v[0])]
         self.blank = (float(y[blank].sum()) + 0.5 * 0.02) / (len(blank) + 0.5) if n else 0.0
         self.base = pos / n if n else 0.0
@@ -194,3 +204,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
     for c in extra:
         schema = schema.add(data.schema[c])
     return data.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the model does not call toxic, with their own columns."""
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    kept = score(packed, model, ["_row"]).where("predicted = 0")
+    return kept.select("_row.*")
