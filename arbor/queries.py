@@ -1,14 +1,673 @@
-"""Queries of the reference's own operators over the driver's tables, with their SQL."""
+"""Queries of the reference's own operators over the driver's tables, with their SQL.
+
+The tables stand in for the domain's: order lines are cylinders (order = branch,
+quantity = length), parts a heap-shaped skeleton, the first three embedding dimensions a
+point with its label as tree, customers and suppliers values to bin, events leaves with
+an area.  Floats are rounded to 6 decimals on both sides."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import rng, scalars
+from .functions.vec import named, norm, rotate, sub, vec, with_segment_distance2
+from .operators import cylinders, foliage, hierarchy, lookup, spatial
+from .sources import writers
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+PI = repr(math.pi)
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+# --- rows shared by several queries
+
+def _lines(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_orderkey").alias("branch"), F.col("l_linenumber").alias("idx")).agg(
+        F.sum("l_quantity").alias("length"), F.max("l_discount").alias("radius"), F.min("l_tax").alias("tax"))
+
+
+LINES = """lines AS (SELECT l_orderkey AS branch, l_linenumber AS idx, sum(l_quantity) AS length, max(l_discount) AS radius, min(l_tax) AS tax
+  FROM lineitem GROUP BY 1, 2)"""
+
+
+def _points(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.col("label").alias("tree_id"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("xyz")])
+
+
+POINTS = """points AS (SELECT vec_id, label AS tree_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"""
+
+
+def _heap(spark, sf_dir):
+    k = F.col("p_partkey")
+    return _t(spark, sf_dir, "part").select(k.alias("node"), F.when(k > 0, F.floor((k - 1) / 2).cast("long")).alias("parent"),
+                                            F.col("p_size").alias("gen"), F.col("p_retailprice").alias("price"))
+
+
+HEAP = """heap AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 0 THEN (p_partkey - 1) // 2 END AS parent, p_size AS gen, p_retailprice AS price FROM part),
+anc AS (SELECT node, node AS anc, 0 AS dist FROM heap UNION ALL SELECT a.node, h.parent, a.dist + 1 FROM anc a JOIN heap h ON h.node = a.anc WHERE h.parent IS NOT NULL)"""
+
+
+def _lcg(key: str, steps: int) -> str:
+    k = f"(({key})::BIGINT % 2147483647 + 1)"
+    for _ in range(steps):
+        k = f"({k} * 48271 % 2147483647)"
+    return f"({k} / 2147483647.0::DOUBLE)"
+
+
+# --- windows
+
+@query(f"""WITH {LINES} SELECT branch, idx, round(sum(length) OVER (PARTITION BY branch ORDER BY idx ROWS UNBOUNDED PRECEDING) / sum(length) OVER (PARTITION BY branch), 6) AS rel_pos FROM lines""")
+def relative_position(spark, sf_dir):
+    return cylinders.relative_position(_lines(spark, sf_dir), ["branch"], ["idx"]).select("branch", "idx", r6(F.col("rel_pos"), "rel_pos"))
+
+
+@query(f"""WITH {LINES}, p AS (SELECT branch, idx, sum(length) OVER (PARTITION BY branch ORDER BY idx ROWS UNBOUNDED PRECEDING) / sum(length) OVER (PARTITION BY branch) AS rel_pos FROM lines)
+SELECT branch, idx, round(rel_pos - coalesce(lag(rel_pos) OVER (PARTITION BY branch ORDER BY idx), 0), 6) AS rel_step FROM p""")
+def lag_difference(spark, sf_dir):
+    p = cylinders.relative_position(_lines(spark, sf_dir), ["branch"], ["idx"])
+    return cylinders.relative_step(p, ["branch"], ["idx"]).select("branch", "idx", r6(F.col("rel_step"), "rel_step"))
+
+
+@query(f"""WITH {LINES} SELECT branch, idx, round(least(radius, (1 - e) * r0 + e * r1), 6) AS smooth FROM (
+ SELECT branch, idx, radius, 0.5 - 0.5 * cos({PI} * sum(length) OVER (PARTITION BY branch ORDER BY idx ROWS UNBOUNDED PRECEDING) / sum(length) OVER (PARTITION BY branch)) AS e,
+ first_value(radius) OVER (PARTITION BY branch ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS r0,
+ last_value(radius) OVER (PARTITION BY branch ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS r1 FROM lines) t""")
+def eased_radius(spark, sf_dir):
+    return cylinders.eased_radius(_lines(spark, sf_dir), ["branch"], ["idx"]).select("branch", "idx", r6(F.col("smooth"), "smooth"))
+
+
+@query("""SELECT user_id, event_id, round(value, 6) AS value FROM (SELECT *, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM events) t WHERE b < 100""")
+def budget_cut(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    return foliage.within_budget(e, ["user_id"], ["ts", "event_id"], "value", 100.0).select("user_id", "event_id", r6(F.col("value"), "value"))
+
+
+@query("""SELECT user_id, count(*) AS n, round(sum(value), 4) AS area FROM (SELECT *, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM events) t WHERE b < 250 GROUP BY user_id""")
+def reverse_budget_trim(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return foliage.trimmed(e, ["user_id"], ["event_id"], "value", 250.0).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("area"))
+
+
+@query("""SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS cum FROM orders""")
+def running_total(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return lookup.with_running_total(o, "o_totalprice", ["o_orderkey"]).select("o_orderkey", F.round("cum", 2).alias("cum"))
+
+
+@query(f"""WITH c AS (SELECT c_custkey, sum(abs(c_acctbal)) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS cum FROM customer),
+t AS (SELECT max(cum) AS total FROM c), d AS (SELECT s_suppkey, {_lcg("s_suppkey", 2)} AS u FROM supplier)
+SELECT s_suppkey, (SELECT min(c_custkey) FROM c WHERE cum >= u * total) AS c_custkey FROM d, t""")
+def weighted_pick(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select("c_custkey", F.abs("c_acctbal").alias("w"))
+    d = _t(spark, sf_dir, "supplier").select("s_suppkey", rng.lehmer(F.col("s_suppkey"), 2).alias("u"))
+    return lookup.weighted_pick(c, d, "w", ["c_custkey"], "u").select("s_suppkey", "c_custkey")
+
+
+@query(f"""SELECT c_custkey, CASE WHEN u * 6 <= 1 THEN 0 WHEN u * 6 <= 3 THEN 1 ELSE 2 END AS config_id FROM (SELECT c_custkey, {_lcg("c_custkey", 2)} AS u FROM customer) t""")
+def weighted_choice(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", lookup.weighted_choice(rng.lehmer(F.col("c_custkey"), 2), [1, 2, 3]).alias("config_id"))
+
+
+# --- lookups and bins
+
+@query("""WITH m AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer)
+SELECT c_custkey, CASE WHEN v <= 0.1::DOUBLE THEN 1 WHEN v <= 0.2::DOUBLE THEN 2 WHEN v <= 0.3::DOUBLE THEN 3 WHEN v <= 0.4::DOUBLE THEN 4 WHEN v <= 0.5::DOUBLE THEN 5 WHEN v <= 0.6::DOUBLE THEN 6 WHEN v <= 0.7::DOUBLE THEN 7 WHEN v <= 0.8::DOUBLE THEN 8 WHEN v <= 0.9::DOUBLE THEN 9 ELSE 10 END AS bin
+FROM (SELECT c_custkey, (c_acctbal - lo) / (hi - lo) AS v FROM customer, m) t""")
+def right_closed_bins(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    m = c.agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+    v = c.join(F.broadcast(m)).select("c_custkey", ((F.col("c_acctbal") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("v"))
+    return v.select("c_custkey", lookup.right_closed_bin(F.col("v"), [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]).alias("bin"))
+
+
+NODES = [2.0, 10.0, 25.0, 40.0, 48.0]
+
+
+@query("""SELECT p_partkey, CASE WHEN s < 10 THEN 2.0 WHEN s < 25 THEN 10.0 WHEN s < 40 THEN 25.0 WHEN s < 48 THEN 40.0 ELSE 48.0 END::DOUBLE AS floor_node FROM (SELECT p_partkey, p_size AS s FROM part) t""")
+def floor_lookup(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", lookup.floor_node(F.col("p_size"), NODES).alias("floor_node"))
+
+
+@query("""SELECT p_partkey, CASE WHEN s < 2 THEN 2.0 WHEN s < 10 THEN 10.0 WHEN s < 25 THEN 25.0 WHEN s < 40 THEN 40.0 ELSE 48.0 END::DOUBLE AS ceil_node FROM (SELECT p_partkey, p_size AS s FROM part) t""")
+def ceil_lookup(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", lookup.ceiling_node(F.col("p_size"), NODES).alias("ceil_node"))
+
+
+@query("""WITH n AS (SELECT unnest([2.0, 10.0, 25.0, 40.0, 48.0])::DOUBLE AS node) SELECT p_partkey, arg_min(node, abs(node - p_size) * 1000 - node) AS near_node FROM part, n GROUP BY p_partkey""")
+def nearest_lookup(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", lookup.nearest_node(F.col("p_size"), NODES).alias("near_node"))
+
+
+@query("""WITH n AS (SELECT unnest([0.0, 90.0, 180.0, 270.0])::DOUBLE AS node), p AS (SELECT p_partkey, (p_partkey * 7 % 360)::DOUBLE AS v FROM part)
+SELECT p_partkey, arg_min(node, least(abs(node - v), 360 - abs(node - v)) * 10000 - node) AS near_node FROM p, n GROUP BY p_partkey""")
+def nearest_circular(spark, sf_dir):
+    v = (F.col("p_partkey") * 7 % 360).cast("double")
+    return _t(spark, sf_dir, "part").select("p_partkey", lookup.nearest_node(v, [0, 90, 180, 270], 360.0).alias("near_node"))
+
+
+@query("""WITH path AS (SELECT l_suppkey AS k, l_quantity AS pos, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2),
+legs AS (SELECT k, pos AS a, v AS va, lead(pos) OVER (PARTITION BY k ORDER BY pos) AS b, lead(v) OVER (PARTITION BY k ORDER BY pos) AS vb, row_number() OVER (PARTITION BY k ORDER BY pos) AS i, count(*) OVER (PARTITION BY k) AS n FROM path),
+pts AS (SELECT s_suppkey, (s_suppkey % 55)::DOUBLE + 0.5 AS h FROM supplier)
+SELECT s_suppkey, round(va + CASE WHEN b > a THEN (h - a) / (b - a) ELSE 0 END * (coalesce(vb, va) - va), 4) AS v FROM pts JOIN legs ON k = s_suppkey
+WHERE n = 1 OR (i < n AND (a <= h OR i = 1) AND (b > h OR i = n - 1))""")
+def asof_interp(spark, sf_dir):
+    path = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_quantity").alias("at")).agg(F.max("l_extendedprice").alias("v"))
+    pts = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), ((F.col("s_suppkey") % 55).cast("double") + 0.5).alias("at"))
+    return lookup.asof_interpolate(pts, path, "k", "at", ["v"]).select(F.col("k").alias("s_suppkey"), F.round("v", 4).alias("v"))
+
+
+# --- aggregations
+
+@query("""SELECT l_suppkey, round(sum(l_quantity), 4) AS total, round(coalesce(sum(l_quantity) FILTER (l_linenumber = 1), 0), 4) AS stem, round(coalesce(sum(l_quantity) FILTER (l_linenumber > 1), 0), 4) AS branch,
+count(*) AS n, round(max(l_extendedprice) - min(l_extendedprice), 4) AS height FROM lineitem GROUP BY 1""")
+def set_properties(spark, sf_dir):
+    li, stem = _t(spark, sf_dir, "lineitem"), F.col("l_linenumber") == 1
+    q = lambda on: F.round(F.coalesce(F.sum(F.when(on, F.col("l_quantity"))), F.lit(0.0)), 4)
+    return li.groupBy("l_suppkey").agg(q(F.lit(True)).alias("total"), q(stem).alias("stem"), q(~stem).alias("branch"), F.count("*").alias("n"),
+                                       F.round(F.max("l_extendedprice") - F.min("l_extendedprice"), 4).alias("height"))
+
+
+@query(f"""WITH {LINES}, b AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY branch ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS foot FROM lines)
+SELECT branch AS tree_id, round(2 * max_by(radius, idx), 6) AS dbh FROM b WHERE foot < 60 GROUP BY 1""")
+def threshold_last(spark, sf_dir):
+    c = _lines(spark, sf_dir).select(F.col("branch").alias("tree_id"), F.col("idx").alias("cyl_id"), "length", "radius", F.lit(0).alias("order"))
+    return cylinders.breast_diameter(c, 60.0).select("tree_id", r6(F.col("dbh"), "dbh"))
+
+
+def _cyl(spark, sf_dir):
+    """Embeddings as cylinders: start from dims 0-2, axis from dims 3-5, per label a tree."""
+    e, d = _t(spark, sf_dir, "embeddings"), F.col("embedding")
+    a = [d[i].cast("double") for i in (3, 4, 5)]
+    n = F.sqrt(a[0] * a[0] + a[1] * a[1] + a[2] * a[2])
+    return e.select(F.col("label").alias("tree_id"), F.col("vec_id").alias("cyl_id"), *[d[i].cast("double").alias(f"s{c}") for i, c in enumerate("xyz")],
+                    *[(v / n).alias(f"a{c}") for v, c in zip(a, "xyz")], (F.abs(d[6].cast("double")) + 0.01).alias("length"), (F.abs(d[7].cast("double")) / 10 + 0.001).alias("radius"),
+                    F.floor(F.col("vec_id") / 8).cast("long").alias("branch_index"), F.lit(False).alias("added"))
+
+
+CYL = """c0 AS (SELECT label AS tree_id, vec_id AS cyl_id, embedding[1]::DOUBLE AS sx, embedding[2]::DOUBLE AS sy, embedding[3]::DOUBLE AS sz, embedding[4]::DOUBLE AS qx, embedding[5]::DOUBLE AS qy, embedding[6]::DOUBLE AS qz,
+ abs(embedding[7]::DOUBLE) + 0.01::DOUBLE AS length, abs(embedding[8]::DOUBLE) / 10 + 0.001::DOUBLE AS radius, vec_id // 8 AS branch_index FROM embeddings),
+c1 AS (SELECT *, qx / sqrt(qx*qx+qy*qy+qz*qz) AS ax, qy / sqrt(qx*qx+qy*qy+qz*qz) AS ay, qz / sqrt(qx*qx+qy*qy+qz*qz) AS az FROM c0),
+cyl AS (SELECT *, sx + length * ax AS ex, sy + length * ay AS ey, sz + length * az AS ez, sx + length * ax / 2 AS mx, sy + length * ay / 2 AS my, sz + length * az / 2 AS mz FROM c1)"""
+
+
+@query(f"""WITH {CYL} SELECT tree_id, round(sum({PI} * radius * radius * length), 6) AS volume, round(sum(2 * {PI} * radius * length), 6) AS area, round(sum(length), 6) AS length, count(*) AS n, round(max(greatest(sz, ez)) - min(least(sz, ez)), 6) AS height FROM cyl GROUP BY 1""")
+def cylinder_measures(spark, sf_dir):
+    return cylinders.measures(_cyl(spark, sf_dir)).select("tree_id", *[r6(F.col(c), c) for c in ("volume", "area", "length")], "n", r6(F.col("height"), "height"))
+
+
+@query(f"""WITH {CYL} SELECT tree_id, round(min(least(sx, ex) - radius), 6) AS x0, round(max(greatest(sx, ex) + radius), 6) AS x1, round(min(least(sy, ey) - radius), 6) AS y0, round(max(greatest(sy, ey) + radius), 6) AS y1, round(min(least(sz, ez) - radius), 6) AS z0, round(max(greatest(sz, ez) + radius), 6) AS z1 FROM cyl GROUP BY 1""")
+def bounds(spark, sf_dir):
+    return cylinders.bounds(_cyl(spark, sf_dir)).select("tree_id", *[r6(F.col(c), c) for c in ("x0", "x1", "y0", "y1", "z0", "z1")])
+
+
+@query(f"""WITH {CYL} SELECT cyl_id, round((mz - lo) / (hi - lo), 6) AS rel_height FROM (SELECT *, min(least(sz, ez)) OVER (PARTITION BY tree_id) AS lo, max(greatest(sz, ez)) OVER (PARTITION BY tree_id) AS hi FROM cyl) t""")
+def relative_height(spark, sf_dir):
+    return cylinders.relative_height(_cyl(spark, sf_dir)).select("cyl_id", r6(F.col("rel_height"), "rel_height"))
+
+
+@query(f"""WITH {CYL}, d AS (SELECT cyl_id, mx - sum(mx * length) OVER (PARTITION BY tree_id) / sum(length) OVER (PARTITION BY tree_id) AS dx, my - sum(my * length) OVER (PARTITION BY tree_id) / sum(length) OVER (PARTITION BY tree_id) AS dy FROM cyl)
+SELECT cyl_id, round(CASE WHEN sqrt(dx*dx+dy*dy) <= 1e-6::DOUBLE THEN 0 WHEN dx > 0 THEN 2 * {PI} - acos(dy / sqrt(dx*dx+dy*dy)) ELSE acos(dy / sqrt(dx*dx+dy*dy)) END, 6) AS compass FROM d""")
+def compass_direction(spark, sf_dir):
+    return cylinders.compass_of_midpoints(_cyl(spark, sf_dir)).select("cyl_id", r6(F.col("compass"), "compass"))
+
+
+@query(f"""WITH {CYL} SELECT cyl_id, round(acos(az), 6) AS inc, round(CASE WHEN abs(az) > 0.999::DOUBLE THEN 0 WHEN ax > 0 THEN 2 * {PI} - acos(ay / sqrt(ax*ax+ay*ay)) ELSE acos(ay / sqrt(ax*ax+ay*ay)) END, 6) AS azimuth FROM cyl""")
+def inclination_azimuth(spark, sf_dir):
+    a = F.col
+    return _cyl(spark, sf_dir).select("cyl_id", r6(scalars.inclination(a("az")), "inc"), r6(scalars.axis_azimuth(a("ax"), a("ay"), a("az")), "azimuth"))
+
+
+@query(f"""WITH {CYL}, s AS (SELECT cyl_id, tree_id, sx, ax, length, greatest(1, ceil(length / 0.05::DOUBLE))::INT AS parts FROM cyl)
+SELECT cyl_id, part, round(sx + ax * length / parts * part, 6) AS sx, round(length / parts, 6) AS length FROM (SELECT *, unnest(range(parts))::INT AS part FROM s) t""")
+def split_cylinders(spark, sf_dir):
+    return cylinders.split_long(_cyl(spark, sf_dir), F.lit(0.05)).select("cyl_id", "part", r6(F.col("sx"), "sx"), r6(F.col("length"), "length"))
+
+
+@query(f"""WITH {CYL}, r AS (SELECT *, row_number() OVER (PARTITION BY tree_id, branch_index ORDER BY cyl_id) AS rank FROM cyl)
+SELECT tree_id, branch_index, round(1000 * sum({PI} * radius * radius * length), 6) AS volume, round(sum(length), 6) AS length, round(avg(mz), 6) AS height FROM r GROUP BY 1, 2""")
+def branch_rollup(spark, sf_dir):
+    c = _cyl(spark, sf_dir).withColumn("order", F.lit(0)).withColumn("parent_id", F.lit(None).cast("long"))
+    return cylinders.branch_table(c).select("tree_id", "branch_index", *[r6(F.col(x), x) for x in ("volume", "length", "height")])
+
+
+@query(f"""WITH {CYL} SELECT tree_id, cyl_id, round(sx * cos(0.5::DOUBLE) - sy * sin(0.5::DOUBLE), 6) AS sx, round(sx * sin(0.5::DOUBLE) + sy * cos(0.5::DOUBLE), 6) AS sy, round(sz, 6) AS sz FROM cyl""")
+def rotate_about_z(spark, sf_dir):
+    return cylinders.turned(_cyl(spark, sf_dir), math.degrees(0.5), (0, 0, 1)).select("tree_id", "cyl_id", *[r6(F.col(c), c) for c in ("sx", "sy", "sz")])
+
+
+@query("""SELECT doc_id, CASE quality WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 10 THEN 2 ELSE quality END AS code FROM labels""")
+def code_map(spark, sf_dir):
+    return _t(spark, sf_dir, "labels").select("doc_id", scalars.semantic_code(F.col("quality")).alias("code"))
+
+
+@query("""SELECT count(*) AS n, count(DISTINCT user_id) AS instances, count(DISTINCT event_type) AS classes, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events""")
+def scan_summary(spark, sf_dir):
+    return _t(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("instances"), F.countDistinct("event_type").alias("classes"),
+                                           r6(F.min("value"), "lo"), r6(F.max("value"), "hi"))
+
+
+# masses of the height, distance and direction bins: beta(8, 3), Weibull(2, 1.5), von Mises
+import numpy as _np  # noqa: E402
+
+MASSES = ([round(v, 9) for v in foliage.bin_masses(lambda x: x ** 7 * (1 - x) ** 2)],
+          [round(v, 9) for v in foliage.bin_masses(lambda x: (x / 2) ** 0.5 * _np.exp(-(x / 2) ** 1.5))],
+          [round(v, 9) for v in foliage.bin_masses(lambda x: _np.exp(0.1 * (_np.cos(x - 5 * math.pi / 4) - 1)), 0, 2 * math.pi)])
+TURN = [2 * math.pi * i / 10 for i in range(11)]
+
+
+def _bin_sql(v: str, edges: list[float]) -> str:
+    return "CASE " + " ".join(f"WHEN {v} <= {e!r}::DOUBLE THEN {k + 1}" for k, e in enumerate(edges[1:-1])) + f" ELSE {len(edges) - 1} END"
+
+
+def _mass_sql(k: str, m: list[float]) -> str:
+    return f"[{', '.join(f'{x!r}::DOUBLE' for x in m)}][{k}]"
+
+
+TENTHS = [i / 10 for i in range(11)]
+
+
+@query(f"""WITH {CYL}, w AS (SELECT *, (mz - min(least(sz, ez)) OVER (PARTITION BY tree_id)) / (max(greatest(sz, ez)) OVER (PARTITION BY tree_id) - min(least(sz, ez)) OVER (PARTITION BY tree_id)) AS h,
+ sum(length) OVER (PARTITION BY tree_id, branch_index ORDER BY cyl_id ROWS UNBOUNDED PRECEDING) / sum(length) OVER (PARTITION BY tree_id, branch_index) AS d,
+ mx - sum(mx * length) OVER (PARTITION BY tree_id) / sum(length) OVER (PARTITION BY tree_id) AS dx, my - sum(my * length) OVER (PARTITION BY tree_id) / sum(length) OVER (PARTITION BY tree_id) AS dy FROM cyl),
+b AS (SELECT *, {_bin_sql('h', TENTHS)} AS bh, {_bin_sql('d', TENTHS)} AS bd, {_bin_sql(f'(CASE WHEN sqrt(dx*dx+dy*dy) <= 1e-6::DOUBLE THEN 0 WHEN dx > 0 THEN 2 * {PI} - acos(dy / sqrt(dx*dx+dy*dy)) ELSE acos(dy / sqrt(dx*dx+dy*dy)) END)', TURN)} AS bc FROM w),
+s AS (SELECT *, {_mass_sql('bh', MASSES[0])} * {_mass_sql('bd', MASSES[1])} * {_mass_sql('bc', MASSES[2])} * length / sum(length) OVER (PARTITION BY tree_id, bh, bd, bc) AS raw FROM b)
+SELECT cyl_id, round(raw / sum(raw) OVER (PARTITION BY tree_id) * 20, 6) AS area FROM s""")
+def proportional_allocation(spark, sf_dir):
+    c = cylinders.compass_of_midpoints(cylinders.relative_height(_cyl(spark, sf_dir)))
+    c = cylinders.relative_position(c, ["tree_id", "branch_index"], ["cyl_id"])
+    return foliage.allocate(c, F.col("rel_height"), F.col("rel_pos"), F.col("compass"), MASSES, 20.0).select("cyl_id", r6(F.col("area"), "area"))
+
+
+# --- trees
+
+@query(f"""WITH RECURSIVE {HEAP} SELECT anc AS node, count(*) AS size FROM anc GROUP BY 1""")
+def subtree_size(spark, sf_dir):
+    return hierarchy.subtree_size(_heap(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {HEAP}, s AS (SELECT anc AS node, count(*) AS size FROM anc GROUP BY 1)
+SELECT node, round(CASE WHEN parent IS NULL THEN 1 ELSE size::DOUBLE / sum(size) OVER (PARTITION BY parent) END, 6) AS share FROM s JOIN heap USING (node)""")
+def group_share(spark, sf_dir):
+    h = _heap(spark, sf_dir)
+    return hierarchy.sibling_share(hierarchy.subtree_size(h).join(h.select("node", "parent"), "node")).select("node", r6(F.col("share"), "share"))
+
+
+@query(f"""WITH RECURSIVE {HEAP}, s AS (SELECT anc AS node, count(*) AS size FROM anc GROUP BY 1),
+w AS (SELECT node, CASE WHEN parent IS NULL THEN 1.0::DOUBLE ELSE size::DOUBLE / sum(size) OVER (PARTITION BY parent) END AS share FROM s JOIN heap USING (node))
+SELECT a.node, round(0.5::DOUBLE * exp(sum(ln(w.share)) / 2), 6) AS radius FROM anc a JOIN w ON w.node = a.anc GROUP BY 1""")
+def da_vinci_radii(spark, sf_dir):
+    return hierarchy.pipe_radii(_heap(spark, sf_dir), 0.5).select("node", r6(F.col("radius"), "radius"))
+
+
+@query(f"""WITH RECURSIVE {HEAP}, s AS (SELECT anc AS node, count(*) AS size FROM anc GROUP BY 1), bent AS (SELECT DISTINCT a.node FROM anc a WHERE a.anc > 0 AND a.anc % 2 = 0),
+top AS (SELECT node FROM s WHERE node NOT IN (SELECT node FROM bent) ORDER BY size, node LIMIT 1)
+SELECT anc AS node, max(dist) OVER () - dist AS height FROM anc WHERE node = (SELECT node FROM top)""")
+def trunk_path(spark, sf_dir):
+    return hierarchy.trunk_path(_heap(spark, sf_dir))
+
+
+def _branched(spark, sf_dir):
+    """The heap with branches: a first child goes on its parent's branch."""
+    h = _heap(spark, sf_dir)
+    n = F.col("node") + 1
+    # undoing first-child steps (node -> 2 node + 1) divides node + 1 by 2 as often as it goes
+    odd = F.floor(n / F.pow(F.lit(2), F.length(F.regexp_extract(F.conv(n.cast("string"), 10, 2), "(0*)$", 1)))).cast("long")
+    return h.withColumn("branch", odd - 1).withColumn("sz", F.col("price"))
+
+
+BRANCHED = """br AS (SELECT node, parent, price AS sz, ((node + 1) // (CAST(pow(2, length(regexp_extract(bin(node + 1), '(0*)$', 1))) AS BIGINT))) - 1 AS branch FROM heap)"""
+ORDERED = f"""{BRANCHED}, ord AS (SELECT a.node, sum(CASE WHEN p.branch <> b.branch THEN 1 ELSE 0 END)::BIGINT AS "order", sum(CASE WHEN b.branch = o.branch THEN 1 ELSE 0 END)::BIGINT AS index_in_branch
+ FROM anc a JOIN br b ON b.node = a.anc LEFT JOIN br p ON p.node = b.parent JOIN br o ON o.node = a.node GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {HEAP}, {ORDERED} SELECT node, "order", index_in_branch FROM ord""")
+def branch_order(spark, sf_dir):
+    return hierarchy.branch_order(_branched(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {HEAP}, {BRANCHED} SELECT p.node, min(c.node) AS extension FROM br p LEFT JOIN br c ON c.parent = p.node AND c.branch = p.branch GROUP BY 1""")
+def extension_lookup(spark, sf_dir):
+    return hierarchy.extension(_branched(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {HEAP}, {ORDERED}, base AS (SELECT o.node, o."order" AS ord, sz FROM ord o JOIN br USING (node)), lv AS (SELECT least(max(ord), 4) AS level FROM base),
+seed AS (SELECT node FROM base, lv WHERE ord >= level), up AS (SELECT DISTINCT a.anc AS node FROM anc a JOIN seed s ON s.node = a.node JOIN base b ON b.node = a.anc WHERE b.ord > 0),
+f AS (SELECT node FROM up UNION SELECT node FROM seed), dn AS (SELECT DISTINCT a.node FROM anc a JOIN f ON f.node = a.anc),
+low AS (SELECT min(sz) AS z FROM base JOIN f USING (node) WHERE ord = 1)
+SELECT node FROM dn UNION SELECT node FROM base, low WHERE ord > 0 AND sz >= z""")
+def crown_closure(spark, sf_dir):
+    b = _branched(spark, sf_dir)
+    o = hierarchy.branch_order(b).select("node", "order")
+    return hierarchy.crown(b.join(o, "node"))
+
+
+@query(f"""WITH RECURSIVE {HEAP} SELECT parent AS node, count(*) AS n, min(node) AS first_child, max(node) AS last_child FROM heap WHERE parent IS NOT NULL GROUP BY 1""")
+def children_index(spark, sf_dir):
+    c = hierarchy.children(_heap(spark, sf_dir))
+    return c.select("node", F.size("children").cast("long").alias("n"), F.get("children", F.lit(0)).alias("first_child"), F.element_at("children", -1).alias("last_child"))
+
+
+@query(f"""WITH RECURSIVE {HEAP} SELECT a.anc AS node, max(h.gen) AS last_gen FROM anc a JOIN heap h ON h.node = a.node GROUP BY 1""")
+def ancestor_touch(spark, sf_dir):
+    return hierarchy.touched(_heap(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {HEAP}, k AS (SELECT node, parent, row_number() OVER (ORDER BY node) - 1 AS new_node FROM heap WHERE gen >= 10)
+SELECT k.node, k.new_node, p.new_node AS new_parent FROM k LEFT JOIN k p ON p.node = k.parent""")
+def prune_reindex(spark, sf_dir):
+    return hierarchy.prune(_heap(spark, sf_dir), 10).select("node", "new_node", "new_parent")
+
+
+@query("""SELECT c.p_partkey AS node, round((c.p_retailprice + p.p_retailprice) / 2, 6) AS moved FROM part c JOIN part p ON p.p_partkey = (c.p_partkey - 1) // 2 WHERE c.p_partkey > 0""")
+def parent_lookup(spark, sf_dir):
+    h = _heap(spark, sf_dir)
+    p = h.select(F.col("node").alias("parent"), F.col("price").alias("up"))
+    return h.join(p, "parent").select("node", r6((F.col("price") + F.col("up")) / 2, "moved"))
+
+
+# --- spatial joins
+
+@query(f"""WITH {POINTS} SELECT a.vec_id AS a, b.vec_id AS b, round((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z), 6) AS d2 FROM points a JOIN points b ON a.tree_id <> b.tree_id
+WHERE (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.0025::DOUBLE""")
+def voxel_radius_join(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return spatial.radius_pairs(p, p, 0.05).where("tree_id <> b_tree_id").select(F.col("vec_id").alias("a"), F.col("b_vec_id").alias("b"), r6(F.col("d2"), "d2"))
+
+
+@query(f"""WITH {POINTS}, n AS (SELECT * FROM points WHERE vec_id % 5 = 0 AND tree_id % 2 = 0), d AS (SELECT p.vec_id AS ep_id, n.vec_id AS node_id, (p.x-n.x)*(p.x-n.x)+(p.y-n.y)*(p.y-n.y)+(p.z-n.z)*(p.z-n.z) AS d2 FROM points p JOIN n ON true),
+m AS (SELECT ep_id, arg_min(node_id, (d2, node_id)) AS node_id, min(d2) AS d2 FROM d WHERE d2 < 0.04::DOUBLE GROUP BY 1)
+SELECT p.vec_id AS ep_id, coalesce(m.node_id, -2) AS node_id, round(sqrt(m.d2), 6) AS dist FROM points p LEFT JOIN m ON m.ep_id = p.vec_id""")
+def nearest_open(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    n = p.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "node_id")
+    e = p.select(F.col("vec_id").alias("ep_id"), "x", "y", "z")
+    return spatial.nearest(e, n, 0.2, "ep_id", "node_id", F.col("tree_id") % 2 == 0).select("ep_id", "node_id", r6(F.col("dist"), "dist"))
+
+
+@query(f"""WITH {POINTS}, c AS (SELECT vec_id, floor(x / 0.1::DOUBLE) AS cx, floor(y / 0.1::DOUBLE) AS cy, floor(z / 0.1::DOUBLE) AS cz FROM points)
+SELECT a.vec_id AS obj_id, count(*) AS n FROM c a JOIN c b ON abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AND abs(a.cz - b.cz) <= 1 AND a.vec_id <> b.vec_id GROUP BY 1""")
+def voxel_neighbours(spark, sf_dir):
+    p = _points(spark, sf_dir).withColumnRenamed("vec_id", "obj_id")
+    return spatial.neighbours(p, 0.1, itself=False).groupBy("obj_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {POINTS} SELECT floor(x / 0.15::DOUBLE)::BIGINT AS cx, floor(y / 0.15::DOUBLE)::BIGINT AS cy, floor(z / 0.15::DOUBLE)::BIGINT AS cz, count(*) AS n FROM points GROUP BY 1, 2, 3 HAVING count(*) >= 5""")
+def voxel_threshold(spark, sf_dir):
+    return spatial.occupied(_points(spark, sf_dir), 0.15, 5)
+
+
+@query(f"""WITH {POINTS}, b AS (SELECT *, x - 0.03::DOUBLE AS x0, x + 0.03::DOUBLE AS x1, y - 0.03::DOUBLE AS y0, y + 0.03::DOUBLE AS y1, z - 0.03::DOUBLE AS z0, z + 0.03::DOUBLE AS z1 FROM points)
+SELECT a.vec_id AS veg, b.vec_id AS tree FROM b a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND a.z0 <= b.z1 AND b.z0 <= a.z1 WHERE a.vec_id % 3 = 0 AND b.vec_id % 3 = 1""")
+def box_overlap(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    for n in "xyz":
+        p = p.withColumn(f"{n}0", F.col(n) - 0.03).withColumn(f"{n}1", F.col(n) + 0.03)
+    return spatial.box_overlaps(p.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "veg"), p.where("vec_id % 3 = 1").withColumnRenamed("vec_id", "tree"), 0.1, "veg", "tree")
+
+
+@query(f"""WITH {CYL}, e AS (SELECT * FROM cyl WHERE length <= 0.2::DOUBLE), m AS (SELECT a.cyl_id, a.tree_id AS ta, b.tree_id AS tb, a.sx - b.sx AS wx, a.sy - b.sy AS wy, a.sz - b.sz AS wz,
+ a.ax * a.length AS ux, a.ay * a.length AS uy, a.az * a.length AS uz, b.ax * b.length AS vx, b.ay * b.length AS vy, b.az * b.length AS vz FROM e a JOIN e b ON a.tree_id <> b.tree_id),
+k AS (SELECT *, ux*ux+uy*uy+uz*uz AS a, ux*vx+uy*vy+uz*vz AS b, vx*vx+vy*vy+vz*vz AS c, ux*wx+uy*wy+uz*wz AS d, vx*wx+vy*wy+vz*wz AS e FROM m),
+s0 AS (SELECT *, CASE WHEN a*c-b*b > 1e-12::DOUBLE THEN least(1, greatest(0, (b*e-c*d)/(a*c-b*b))) ELSE 0 END AS s FROM k),
+t0 AS (SELECT *, CASE WHEN c > 1e-12::DOUBLE THEN least(1, greatest(0, (b*s+e)/c)) ELSE 0 END AS t FROM s0),
+s1 AS (SELECT *, CASE WHEN a > 1e-12::DOUBLE THEN least(1, greatest(0, (b*t-d)/a)) ELSE 0 END AS s2 FROM t0)
+SELECT DISTINCT cyl_id AS edge_id FROM s1 WHERE pow(wx+s2*ux-t*vx,2)+pow(wy+s2*uy-t*vy,2)+pow(wz+s2*uz-t*vz,2) < 0.0004::DOUBLE""")
+def edge_conflicts(spark, sf_dir):
+    c = cylinders.with_ends(_cyl(spark, sf_dir)).where("length <= 0.2")
+    e = c.select(F.col("cyl_id").alias("edge_id"), "tree_id", *[F.col(f"s{n}").alias(f"p0{n}") for n in "xyz"], *[F.col(f"e{n}").alias(f"p1{n}") for n in "xyz"])
+    return spatial.edge_conflicts(e, e, 0.02, 0.2)
+
+
+def _terrain(spark):
+    rows = [(i * 20 + j * 2 + h, *(v for k in t for v in (-1 + (i + k[0]) * 0.2, -1 + (j + k[1]) * 0.2, ((i + k[0]) * 3 + (j + k[1]) * 5) % 7 / 10.0)))
+            for i in range(10) for j in range(10) for h, t in enumerate((((0, 0), (1, 0), (1, 1)), ((0, 0), (1, 1), (0, 1))))]
+    return spark.createDataFrame(rows, "tri_id long, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
+
+
+@query(f"""WITH {POINTS}, c AS (SELECT vec_id, x, y, floor((x + 1) / 0.2::DOUBLE) AS i, floor((y + 1) / 0.2::DOUBLE) AS j FROM points WHERE abs(x) < 1 AND abs(y) < 1), f AS (SELECT *, (x + 1) / 0.2::DOUBLE - i AS u, (y + 1) / 0.2::DOUBLE - j AS v FROM c),
+h AS (SELECT *, (i*3+j*5) % 7 / 10.0 AS h00, ((i+1)*3+j*5) % 7 / 10.0 AS h10, (i*3+(j+1)*5) % 7 / 10.0 AS h01, ((i+1)*3+(j+1)*5) % 7 / 10.0 AS h11 FROM f)
+SELECT vec_id, round(CASE WHEN u >= v THEN h00 + u * (h10 - h00) + v * (h11 - h10) ELSE h00 + v * (h01 - h00) + u * (h11 - h01) END, 5) AS z FROM h""")
+def terrain_height(spark, sf_dir):
+    p = _points(spark, sf_dir).select("vec_id", "x", "y").where("abs(x) < 1 and abs(y) < 1")
+    return spatial.terrain_height(p, _terrain(spark), "vec_id", 0.2).select("vec_id", F.round("z", 5).alias("z"))
+
+
+@query(f"""WITH {POINTS} SELECT vec_id FROM points WHERE abs(x) < 0.1::DOUBLE AND abs(y) < 0.1::DOUBLE AND abs(z) < 0.1::DOUBLE""")
+def inside_mesh(spark, sf_dir):
+    c = [(-0.1 if i & 1 else 0.1, -0.1 if i & 2 else 0.1, -0.1 if i & 4 else 0.1) for i in range(8)]
+    quads = [(0, 1, 3, 2), (4, 5, 7, 6), (0, 1, 5, 4), (2, 3, 7, 6), (0, 2, 6, 4), (1, 3, 7, 5)]
+    rows = [(k * 2 + h, *c[a], *c[b], *c[d]) for k, q in enumerate(quads) for h, (a, b, d) in enumerate(((q[0], q[1], q[2]), (q[0], q[2], q[3])))]
+    box = spark.createDataFrame(rows, "tri_id long, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
+    return spatial.inside_mesh(_points(spark, sf_dir), box, "vec_id", 0.05)
+
+
+# --- scalar formulas
+
+@query(f"""SELECT p_partkey, round(0.2 * pow(2 * r, 2.2) * sqrt(h) * 100, 6) AS leaf_area, round(r * pow(h / 30, 0.75), 6) AS radius FROM (SELECT p_partkey, p_size / 100.0::DOUBLE AS r, p_retailprice / 100 AS h FROM part) t""")
+def allometry(spark, sf_dir):
+    r, h = F.col("p_size") / F.lit(100.0), F.col("p_retailprice") / 100
+    return _t(spark, sf_dir, "part").select("p_partkey", r6(scalars.leaf_area(r, h), "leaf_area"), r6(scalars.scaled_radius(r, h, F.lit(30.0)), "radius"))
+
+
+@query("""SELECT p_partkey, round(greatest(0, 0.8::DOUBLE * (1 - p_size / 20.0::DOUBLE)), 6) AS control, CASE WHEN 1 - 0.9::DOUBLE * greatest(0, 0.8::DOUBLE * (1 - p_size / 20.0::DOUBLE)) < 1 THEN (p_partkey % 100) / 100.0::DOUBLE > pow(1 - 0.9::DOUBLE * greatest(0, 0.8::DOUBLE * (1 - p_size / 20.0::DOUBLE)), 2) ELSE false END AS stopped FROM part""")
+def apical_control(spark, sf_dir):
+    c = scalars.apical_control(F.lit(0.8), F.lit(20.0), F.col("p_size"))
+    return _t(spark, sf_dir, "part").select("p_partkey", r6(c, "control"), scalars.suppressed(c, F.lit(0.9), F.lit(2.0), (F.col("p_partkey") % 100) / F.lit(100.0)).alias("stopped"))
+
+
+@query(f"""SELECT c_custkey, round(greatest(1e-8::DOUBLE, 3 + 0.4::DOUBLE * (u - 0.5)), 6) AS width, greatest(1, round(900 + 50 * (u - 0.5)))::DOUBLE AS endpoints, round(greatest(a, b) / 2 + 0.2::DOUBLE * least(a, b), 6) AS spacing FROM (SELECT c_custkey, {_lcg("c_custkey", 2)} AS u, 1 + c_nationkey / 5.0::DOUBLE AS a, 2 + c_nationkey / 10.0::DOUBLE AS b FROM customer) t""")
+def sample_config(spark, sf_dir):
+    u = rng.lehmer(F.col("c_custkey"), 2)
+    return _t(spark, sf_dir, "customer").select(
+        "c_custkey", r6(scalars.config_value("crown_width", F.lit(3.0), F.lit(0.4), u - 0.5), "width"), scalars.config_value("numberOfEndpoints", F.lit(900.0), F.lit(50.0), u - 0.5).alias("endpoints"),
+        r6(scalars.pair_spacing(1 + F.col("c_nationkey") / F.lit(5.0), 2 + F.col("c_nationkey") / F.lit(10.0)), "spacing"))
+
+
+@query(f"""WITH u AS (SELECT c_custkey, {_lcg("c_custkey", 1)} AS u, {_lcg("c_custkey", 2)} AS v, {_lcg("c_custkey", 3)} AS w FROM customer)
+SELECT c_custkey, round(3 * pow(w, 1/1.5::DOUBLE) * cos(2*{PI}*u) * cos({PI}*(v-0.5)), 6) AS ex, round(8 * pow(w, 1/1.5::DOUBLE) * (pow((sin({PI}*(v-0.5)) + 1) / 2, 1/1.2::DOUBLE) * 2 - 1) + 8, 6) AS ez,
+round(3 * pow(v, 1/1.5::DOUBLE) * cos(2*{PI}*u), 6) AS cx, round(8 * pow(w, 1/1.2::DOUBLE), 6) AS cz, round(3 * pow(w, 1/1.5::DOUBLE) * sin(pow(v, 1/1.2::DOUBLE) * {PI} / 2), 6) AS hz FROM u""")
+def crown_points(spark, sf_dir):
+    k = F.col("c_custkey")
+    u, v, w = (rng.lehmer(k, i) for i in (1, 2, 3))
+    e = scalars.ellipsoid_point(u, v, w, 3.0, 8.0, 1.5, 1.2)
+    c = scalars.cylinder_point(u, v, w, 3.0, 8.0, 1.5, 1.2)
+    h = scalars.hemisphere_point(u, v, w, 3.0, 1.5, 1.2)
+    return _t(spark, sf_dir, "customer").select("c_custkey", r6(e[0], "ex"), r6(e[2], "ez"), r6(c[0], "cx"), r6(c[2], "cz"), r6(h[2], "hz"))
+
+
+@query(f"""SELECT c_custkey, round(x + 3 * (1 + u) * cos(2*{PI}*v), 6) AS x, round(1 + 3 * (1 + u) * sin(2*{PI}*v), 6) AS y FROM (SELECT c_custkey, c_nationkey::DOUBLE AS x, {_lcg("c_custkey", 1)} AS u, {_lcg("c_custkey", 2)} AS v FROM customer) t""")
+def annulus_candidates(spark, sf_dir):
+    k = F.col("c_custkey")
+    x, y = scalars.annulus(F.col("c_nationkey").cast("double"), F.lit(1.0), F.lit(3.0), rng.lehmer(k, 1), rng.lehmer(k, 2))
+    return _t(spark, sf_dir, "customer").select("c_custkey", r6(x, "x"), r6(y, "y"))
+
+
+@query(f"""WITH a AS (SELECT c_custkey, {_lcg("c_custkey", 1)} * {PI} AS inc, {_lcg("c_custkey", 2)} * 2 * {PI} AS az FROM customer), n AS (SELECT c_custkey, sin(inc) * cos(az + {PI}/2) AS nx, sin(inc) * sin(az + {PI}/2) AS ny, cos(inc) AS nz FROM a)
+SELECT c_custkey, round(CASE WHEN nz < 0 THEN -nx ELSE nx END, 6) AS nx, round(CASE WHEN nz < 0 THEN -ny ELSE ny END, 6) AS ny, round(abs(nz), 6) AS nz FROM n""")
+def leaf_normals(spark, sf_dir):
+    k = F.col("c_custkey")
+    n = scalars.upward(scalars.leaf_normal(rng.lehmer(k, 1) * math.pi, rng.lehmer(k, 2) * 2 * math.pi))
+    return _t(spark, sf_dir, "customer").select("c_custkey", *[r6(c, f"n{a}") for c, a in zip(n, "xyz")])
+
+
+@query(f"""WITH {CYL} SELECT cyl_id, k, round(sx + CASE k WHEN 1 THEN -0.04 WHEN 3 THEN 0.04 ELSE 0 END::DOUBLE * length * -ay / sqrt(ax*ax+ay*ay) + CASE k WHEN 1 THEN 0.02 WHEN 2 THEN 0.1 WHEN 3 THEN 0.02 ELSE 0 END::DOUBLE * length * ax / sqrt(ax*ax+ay*ay), 6) AS vx FROM cyl, (SELECT unnest(range(4))::INT AS k) t""")
+def leaf_vertices(spark, sf_dir):
+    c = _cyl(spark, sf_dir)
+    flat = F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2)
+    d, up, size = (F.col("ax") / flat, F.col("ay") / flat, F.lit(0.0)), vec(0, 0, 1), (F.col("length"),) * 3
+    shape = [(0.0, 0.0, 0.0), (-0.04, 0.02, 0.0), (0.0, 0.1, 0.0), (0.04, 0.02, 0.0)]
+    at = [scalars.leaf_vertex(p, size, d, up, vec("sx", "sy", "sz"))[0] for p in shape]
+    return c.select("cyl_id", F.posexplode(F.array(*at)).alias("k", "v")).select("cyl_id", "k", r6(F.col("v"), "vx"))
+
+
+@query(f"""WITH {CYL} SELECT cyl_id, round(length * az, 6) AS rise, round(sqrt(pow(length*ax,2)+pow(length*ay,2)+pow(length*az,2)), 6) AS len FROM cyl""")
+def segment_parts(spark, sf_dir):
+    c = cylinders.with_ends(_cyl(spark, sf_dir))
+    d = sub(vec("ex", "ey", "ez"), vec("sx", "sy", "sz"))
+    return c.select("cyl_id", r6(d[2], "rise"), r6(norm(d), "len"))
+
+
+@query("""SELECT s_suppkey, round(CASE WHEN s < 0 THEN 1 + s*s WHEN s > 1 THEN 1 + (s-1)*(s-1) ELSE 1 END, 6) AS d2 FROM (SELECT s_suppkey, s_acctbal / 5000 AS s FROM supplier) t""")
+def segment_distance(spark, sf_dir):
+    s = F.col("s_acctbal") / 5000
+    d = with_segment_distance2(_t(spark, sf_dir, "supplier"), vec(0, 0, 0), vec(1, 0, 0), (s, F.lit(1.0), F.lit(0.0)), (s, F.lit(1.0), F.lit(2.0)))
+    return d.select("s_suppkey", r6(F.col("d2"), "d2"))
+
+
+@query(f"""WITH {CYL} SELECT cyl_id, corner, round(radius, 6) AS off FROM cyl, (SELECT unnest(range(5))::INT AS corner) t""")
+def tessellation(spark, sf_dir):
+    c = _cyl(spark, sf_dir)
+    t = cylinders.tessellate(c, 5).where("ring = 0").join(c.select("cyl_id", "sx", "sy", "sz"), "cyl_id")
+    return t.select("cyl_id", "corner", r6(norm(sub(vec("x", "y", "z"), vec("sx", "sy", "sz"))), "off"))
+
+
+@query("""SELECT p_partkey, round(0.5 * (k % 2) + 0.25 * (k // 2 % 2) + 0.125 * (k // 4 % 2) + 0.0625 * (k // 8 % 2) + 0.03125 * (k // 16 % 2) + 0.015625 * (k // 32 % 2), 6)::DOUBLE AS h FROM (SELECT p_partkey, p_partkey % 64 AS k FROM part) t""")
+def halton(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", r6(rng.halton(F.col("p_partkey") % 64, 2), "h"))
+
+
+@query("""SELECT s_suppkey, round(255 * (s_acctbal - lo) / (hi - lo))::INT AS colour FROM supplier, (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier) m""")
+def colour_index(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier")
+    m = s.agg(F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"))
+    return s.join(F.broadcast(m)).select("s_suppkey", scalars.colour_index(F.col("s_acctbal"), F.col("lo"), F.col("hi")).alias("colour"))
+
+
+@query("""SELECT p_partkey, round(pow(x, 7) * pow(1 - x, 2), 9) AS beta, round(pow(x / 2, 0.5::DOUBLE) * exp(-pow(x / 2, 1.5::DOUBLE)), 9) AS weibull, round(exp(0.1::DOUBLE * (cos(x - 1) - 1)), 9) AS vonmises, round(1 + cos(2 * x), 9) AS dewit, round(greatest(0, 2 * x * x - x), 9) AS poly FROM (SELECT p_partkey, p_size / 51.0::DOUBLE AS x FROM part) t""")
+def densities(spark, sf_dir):
+    x = F.col("p_size") / F.lit(51.0)
+    r9 = lambda c, n: F.round(c, 9).alias(n)
+    return _t(spark, sf_dir, "part").select("p_partkey", r9(scalars.beta_density(x, 8, 3), "beta"), r9(scalars.weibull_density(x, (2, 1.5)), "weibull"), r9(scalars.von_mises_density(x, 1.0, 0.1), "vonmises"),
+                                            r9(scalars.de_wit_density(x, 1, 2), "dewit"), r9(scalars.polynomial_density(x, [2, -1, 0]), "poly"))
+
+
+@query("""SELECT n_nationkey, concat_ws(' ', 'v', n_nationkey::VARCHAR, printf('%.6f', n_regionkey + 0.5), n_regionkey::VARCHAR) AS line FROM nation""")
+def number_format(spark, sf_dir):
+    n = [writers.number(c) for c in (F.col("n_nationkey").cast("double"), F.col("n_regionkey") + F.lit(0.5), F.col("n_regionkey").cast("double"))]
+    return _t(spark, sf_dir, "nation").select("n_nationkey", F.concat_ws(" ", F.lit("v"), *n).alias("line"))
+
+
+@query("""SELECT n * 2 + f AS row, concat_ws(' ', 'f', (n*4+1)::VARCHAR, (n*4+2+f)::VARCHAR, (n*4+3+f)::VARCHAR) AS line FROM (SELECT n_nationkey AS n FROM nation) t, (SELECT unnest(range(2)) AS f) k""")
+def obj_faces(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("leaf_no"), *[F.lit(float(v)).alias(k) for k, v in
+                                           {"sx": 0, "sy": 0, "sz": 0, "dx": 1, "dy": 0, "dz": 0, "nx": 0, "ny": 0, "nz": 1, "size": 1}.items()])
+    rows = writers.leaf_obj(n, [(0, 0, 0), (-.04, .02, 0), (0, .1, 0), (.04, .02, 0)], [(0, 1, 2), (0, 2, 3)])
+    return rows.where("part = 1").select("row", "line")
+
+
+@query("""SELECT p_partkey, 'size=' || p_size AS tags, p_size > 25 AS big FROM part""")
+def property_map(spark, sf_dir):
+    m = F.map_concat(F.create_map(F.lit("size"), F.col("p_size").cast("string")), F.create_map(F.lit("gone"), F.lit("x")))
+    kept = F.map_filter(m, lambda k, v: k != "gone")
+    return _t(spark, sf_dir, "part").select("p_partkey", F.concat_ws("=", F.get(F.map_keys(kept), F.lit(0)), F.element_at(kept, "size")).alias("tags"), (F.col("p_size") > 25).alias("big"))
+
+
+@query("""SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier""")
+def set_difference(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).distinct().join(_t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), "k", "left_anti")
+
+
+@query("""SELECT c_nationkey AS k, 'c' AS src FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier""")
+def union_append(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.lit("c").alias("src")).unionByName(
+        _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.lit("s").alias("src")))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)""")
+def membership(spark, sf_dir):
+    rich = _t(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
+    return _t(spark, sf_dir, "orders").join(rich, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query("""SELECT o_orderpriority AS class, count(*) AS n FROM orders WHERE starts_with(o_orderpriority, '1') OR starts_with(o_orderpriority, '2') GROUP BY 1""")
+def prefix_counts(spark, sf_dir):
+    p = F.col("o_orderpriority")
+    return _t(spark, sf_dir, "orders").where(p.startswith("1") | p.startswith("2")).groupBy(p.alias("class")).agg(F.count("*").alias("n"))
+
+
+# --- operators with keyed randomness or order: rows and invariants only
+
+def _configs():
+    return [{"crown_width": (3.0, 0.4)}, {"crown_width": (5.0, 0.0)}]
+
+
+@query()
+def poisson_mis(spark, sf_dir):
+    from .operators import placement
+
+    flat = spark.createDataFrame([(0, 0., 0., 0., 25., 0., 0., 25., 25., 2.5), (1, 0., 0., 0., 25., 25., 2.5, 0., 25., 2.5)],
+                                 "tri_id long, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
+    return placement.place(spark, flat, _configs(), [2.0, 1.0], tries=4)
+
+
+@query()
+def grow_trees(spark, sf_dir):
+    from .operators import growth
+
+    e = _points(spark, sf_dir).where("tree_id < 4")
+    roots = e.groupBy("tree_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("z", F.lit(-0.5))
+    ends = e.select("tree_id", F.col("vec_id").alias("ep_id"), "x", "y", "z")
+    return growth.grow(roots, ends, 4, step=0.1, influence=1.0, kill=0.1, least=0.02)
+
+
+@query()
+def accept_leaves(spark, sf_dir):
+    c = _cyl(spark, sf_dir).where("tree_id < 4").withColumn("area", F.lit(0.01))
+    leaves = foliage.leaf_sizes(c, "normal", (0.3, 0.01), 0.004)
+    leaves = foliage.leaf_angles(leaves, "dewit", "uniform", p_inc=(1, 2))
+    n = scalars.upward(scalars.leaf_normal(F.col("inc"), F.col("az")))
+    d = rotate((F.cos("az"), F.sin("az"), F.lit(0.0)), n, F.lit(0.0))
+    rows = leaves.select("tree_id", F.xxhash64("cyl_id", "leaf_no").alias("leaf_id"), "sx", "sy", "sz", *named(d, "d"), *named(n, "n"), "size", "leaf_area")
+    return foliage.accept(rows, [(0, 0, 0), (-.04, .02, 0), (0, .1, 0), (.04, .02, 0)], [(0, 1, 2), (0, 2, 3)], 0.02)
+
+
+@query()
+def leaf_library(spark, sf_dir):
+    from .operators import library
+
+    grid = library.node_grid(spark, {"length": [.1, .2], "area": [.2, .5], "size_lo": [.2, .25], "size_hi": [.3, .35]}, 1)
+    return library.populate(grid, "area", ("size_lo", "size_hi"), 0.004, oversample=1).groupBy("node_id").agg(F.count("*").alias("n"), F.sum("leaf_area").alias("area"))
+
+
+@query()
+def canopy_positions(spark, sf_dir):
+    from .operators import canopy
+
+    p = canopy.normalised(_points(spark, sf_dir), 0.2)
+    return canopy.positions(canopy.outline(canopy.crown_voxels(p, 0.15, 2), 0.15), 200, 0.15)
+
+
+@query()
+def merge_cylinders(spark, sf_dir):
+    return cylinders.merge_short(_cyl(spark, sf_dir), 0.2)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaf-area shares of order lines (replaced as operators arrive)."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("length"))
+    """The deterministic core of foliage generation over order lines as cylinders: place
+    along the branch, right-closed bin, share of a leaf-area budget, running cut."""
+    c = cylinders.relative_position(_lines(spark, sf_dir), ["branch"], ["idx"]).withColumn("bin", lookup.right_closed_bin(F.col("rel_pos"), TENTHS))
+    w = Window.partitionBy("branch")
+    raw = F.element_at(F.array(*[F.lit(m) for m in MASSES[1]]), F.col("bin")) * F.col("length") / F.sum("length").over(Window.partitionBy("branch", "bin"))
+    shares = c.withColumn("raw", raw).withColumn("area", F.col("raw") / F.sum("raw").over(w) * 20)
+    return foliage.within_budget(shares, ["branch"], ["idx"], "area", 15.0).select("branch", "idx", "bin", r6(F.col("area"), "area"))
