@@ -2,8 +2,11 @@
 
 Terms are lower-case words and their prefixes of PREFIXES characters (so inflected forms
 meet).  Terms are chosen by a chi-square test of presence against the label, on the
-training sample, where a term counts once for each different word before it.  Labelled examples lie in an inverted index that is cut into blocks of
-BLOCK examples; for each term the index keeps the greatest weight in every block.  A
+training sample, where a term counts once for each different word before it.  All other
+words of a text together are one more component, of weight BACKGROUND times the root of
+their number, so that one chance hit in a long text does not lie near a text full of
+hits.  Labelled examples lie in an inverted index that is cut into blocks of BLOCK
+examples; for each term the index keeps the greatest weight in every block.  A
 query adds these block maxima to an upper bound per block, visits blocks in falling
 order of the bound, and stops when no bound can beat the k-th cosine found: the k
 nearest examples are exact.  Votes are weighted by similarity; a Laplace-smoothed prior
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,8 @@ CHI_SQUARE = 20.0
 #: one text do not supply, and be so many times as frequent there as in clean ones.
 LEAST, ODDS = 4, 4
 PREFIXES = (4, 5, 6, 7, 8)
-BLOCK = 32
+BLOCK = 256
+BACKGROUND = 0.6
 NEIGHBOURS = 15
 FOLDS, HELD = 5, 0
 #: Pseudo-similarity of the prior in a vote.
@@ -50,18 +55,18 @@ def terms_of(word: str) -> list[str]:
 
 
 class _Known(dict):
-    """word -> ids of its chosen terms, memoised."""
+    """White-space token -> ids of the chosen terms of its words, memoised."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, token: str) -> tuple[int, ...]:
         v = self.vocabulary
-        ids = tuple(v[t] for t in terms_of(word) if t in v)
+        ids = tuple(v[t] for w in _words(token) for t in terms_of(w) if t in v)
         if len(self) >= MEMO:
             self.clear()
-        self[word] = ids
+        self[token] = ids
         return ids
 
 
@@ -109,12 +114,13 @@ class Model:
         self.vocabulary = {term: k for k, (_, term) in enumerate(scored[:TERMS])}
         self.idf = np.array([np.log((1 + n) / (1 + seen[t])) + 1 for t in self.vocabulary])
         known = _Known(self.vocabulary)
-        vectors = [self.vector(Counter(w for w in _words(t.lower()) if known[w]), known) for _, t, _ in rows]
+        vectors = [self.vector(t, known) for _, t, _ in rows]
         blank = [i for i, v in enumerate(vectors) if not len(v[0])]
         self.blank = (float(y[blank].sum()) + 0.5 * 0.02) / (len(blank) + 0.5) if n else 0.0
         self.base = pos / n if n else 0.0
         # examples of like terms lie together, so that block maxima are tight
-        order = sorted((i for i, v in enumerate(vectors) if len(v[0])), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))
+        order = sorted((i for i, v in enumerate(vectors) if len(v[0])),
+                       key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1][:-1])]), float(vectors[i][1][-1]), i))
         self.example = np.array([rows[i][0] for i in order], np.int64)
         self.y = y[order] if n else y
         self.blocks = -(-len(order) // BLOCK)
@@ -124,20 +130,21 @@ class Model:
                 post[int(k)].append((e, float(w)))
         self.postings = {k: (np.array([e for e, _ in p]), np.array([w for _, w in p])) for k, p in post.items()}
         self.cuts = {k: np.searchsorted(e, np.arange(self.blocks + 1) * BLOCK) for k, (e, _) in self.postings.items()}
-        self.peaks = np.zeros((len(self.vocabulary), self.blocks), np.float64)
+        self.peaks = np.zeros((len(self.vocabulary) + 1, self.blocks), np.float64)
         for k, (e, w) in self.postings.items():
             np.maximum.at(self.peaks[k], e // BLOCK, w)
 
-    def vector(self, counts: Counter, known: _Known) -> tuple[np.ndarray, np.ndarray]:
-        tf: dict[int, int] = {}
-        for word, n in counts.items():
-            for k in known[word]:
-                tf[k] = tf.get(k, 0) + n
+    def vector(self, text: str, known: _Known) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and unit weights of the terms, the background last; none without terms."""
+        tokens = text.lower().split()
+        hits = [ids for ids in map(known.__getitem__, tokens) if ids]
+        if not hits:
+            return np.zeros(0, np.int64), np.zeros(0)
+        tf = Counter(chain.from_iterable(hits))
         ids = np.array(sorted(tf), np.int64)
-        if not len(ids):
-            return ids, np.zeros(0)
         w = (1 + np.log([tf[k] for k in ids.tolist()])) * self.idf[ids]
-        return ids, w / np.sqrt((w * w).sum())
+        w = np.append(w, BACKGROUND * np.sqrt(len(tokens) - len(hits)))
+        return np.append(ids, len(self.vocabulary)), w / np.sqrt((w * w).sum())
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """(cosine, example) of the k examples of greatest positive cosine, ties to the
@@ -159,10 +166,10 @@ class Model:
 
     def score(self, text: str, known: _Known) -> tuple[float, list[int]]:
         """Score in 0..1 and the ids of the examples that carry it."""
-        words = [w for w in _words(text.lower()) if known[w]]
-        if not words or not self.blocks:
+        ids, weights = self.vector(text, known) if self.blocks else ((), ())
+        if not len(ids):
             return (self.blank if self.vocabulary else self.base), []
-        near = self.nearest(*self.vector(Counter(words), known))
+        near = self.nearest(ids, weights)
         if not near:
             return self.blank, []
         sim = np.array([s for s, _ in near])
