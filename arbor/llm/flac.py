@@ -391,6 +391,14 @@ def _headers(data: np.ndarray, begin: np.ndarray, end: np.ndarray, infos: list[d
         if n == (due.get(o, 0) if v else seen.get(o, 0)):
             keep.append(i)
             due[o], seen[o] = due.get(o, 0) + b, seen.get(o, 0) + 1
+        elif len(keep) > 1 and owner[keep[-2]] == o and n == number[keep[-1]] and v == vary[keep[-1]]:
+            # two headers of one number: bytes of the frame before may look like the first
+            # of them, so the checksum of that frame decides where it ends
+            prior = int(cand[keep[-2]])
+            crc = int(crcs(pad, np.array([prior]), np.array([int(cand[i]) - prior - 2]), CRC16)[0])
+            if crc == int(pad[cand[i] - 2] << 8 | pad[cand[i] - 1]):
+                due[o] += b - int(block[keep[-1]])
+                keep[-1] = i
     keep = np.array(keep, np.int64)
     return cand[keep], head[keep], block[keep], owner[keep]
 
