@@ -75,7 +75,8 @@ def test_segment_distance(spark):
 def test_lookups(spark):
     n = [.2, .5, .8]
     v = lambda c: spark.range(1).select(c).first()[0]
-    assert v(lookup.nearest_node(F.lit(.35), n)) == .5 and v(lookup.floor_node(F.lit(.6), n)) == .5
+    # a tie must be exact in doubles: .35 - .2 is less than .5 - .35 there, .375 lies midway
+    assert v(lookup.nearest_node(F.lit(.375), [.25, .5, .75])) == .5 and v(lookup.nearest_node(F.lit(.35), n)) == .2 and v(lookup.floor_node(F.lit(.6), n)) == .5
     assert v(lookup.ceiling_node(F.lit(.6), n)) == .8 and v(lookup.ceiling_node(F.lit(.9), n)) == .8 and v(lookup.floor_node(F.lit(.1), n)) == .2
     assert v(lookup.nearest_node(F.lit(350.), [0, 90, 180, 270], 360.)) == 0
     assert v(lookup.right_closed_bin(F.lit(.1), [0, .1, .2])) == 1 and v(lookup.right_closed_bin(F.lit(9.), [0, .1, .2])) == 2
@@ -144,7 +145,7 @@ def test_library(spark):
     nodes = {"length": [.1, .2], "area": [.2, .5, .8]}
     g = library.node_grid(spark, nodes, 3)
     assert g.count() == 18 and g.select("node_id").distinct().count() == 18
-    cyl = spark.createDataFrame([(1, 1, .14, .35), (1, 2, .9, .9)], "tree_id long, cyl_id long, length double, area double")
+    cyl = spark.createDataFrame([(1, 1, .14, .36), (1, 2, .9, .9)], "tree_id long, cyl_id long, length double, area double")
     hit = library.fetch(library.lookup(cyl, nodes, {"length": "floor", "area": "nearest"}, {"length": F.col("length"), "area": F.col("area")}), g, list(nodes))
     assert sorted((r.lib_length, r.lib_area) for r in hit.collect()) == [(.1, .5), (.2, .8)]
 
