@@ -45,23 +45,36 @@ PRIOR = {"random": 8.0, "ordinary": 1.0}
 #: not make an identifier look random.
 CLIP = 2.5
 MASK = "[REDACTED]"
+RUN = 128
+_MATCHES = "array<struct<start:int,end:int,value:string>>"
 
 
 def matches(text: Column, pattern: str, group: int | None = None) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches; value
-    is the group (or the whole match)."""
+    is the group (or the whole match).  Positions are summed in runs of RUN matches, then
+    over the runs, so that a text of many matches does not copy an ever longer array."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = hits if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
-    rows = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), hits.alias("hit"), values.alias("value"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    step = lambda acc, r: F.struct(
-        (acc["pos"] + r["gap"] + F.length(r["hit"])).alias("pos"),
-        F.concat(acc["out"], F.array(F.struct((acc["pos"] + r["gap"]).alias("start"),
-                                              (acc["pos"] + r["gap"] + F.length(r["hit"])).alias("end"), r["value"].alias("value")))).alias("out"))
-    found = F.aggregate(F.filter(rows, lambda r: r["hit"].isNotNull()),
-                        F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    rows = F.filter(F.arrays_zip(F.transform(gaps, F.length).alias("gap"), hits.alias("hit"), values.alias("value")), lambda r: r["hit"].isNotNull())
+    none = F.array().cast(_MATCHES)
+
+    def place(acc, r):
+        start = acc["pos"] + r["gap"]
+        end = start + F.length(r["hit"])
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), r["value"].alias("value")))).alias("out"))
+
+    def join(acc, run):
+        moved = F.transform(run["out"], lambda m: F.struct((acc["pos"] + m["start"]).alias("start"), (acc["pos"] + m["end"]).alias("end"), m["value"].alias("value")))
+        return F.struct((acc["pos"] + run["pos"]).alias("pos"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def placed(all_rows):
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_rows) - 1) / RUN).cast("int")), lambda i: F.aggregate(
+            F.slice(all_rows, i * RUN + 1, RUN), F.struct(F.lit(0).alias("pos"), none.alias("out")), place))
+        return F.aggregate(runs, F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{_MATCHES}>").alias("out")), join, lambda acc: F.flatten(acc["out"]))
+
+    # the one-element array binds the rows, which are then computed once
+    return F.when(text.rlike(pattern), F.get(F.transform(F.array(rows), placed), F.lit(0))).otherwise(none)
 
 
 def _spans(found: Column, kind: int) -> Column:

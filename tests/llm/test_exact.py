@@ -368,3 +368,10 @@ def test_flac_false_header_inside_a_frame():
     assert stream.count(head.astype(np.uint8).tobytes()) >= 1
     samples, frames = flac.decode([stream])[0]
     assert (samples[:, 0] + 128).astype(np.uint8).tobytes() == payload and len(frames) == 2
+
+
+def test_secrets_many_matches(spark):
+    """Positions stay right over many runs of matches, in one long text."""
+    text = " é ".join(f"{i:032x}" for i in range(20_000))
+    got = secrets.report(spark.createDataFrame([(1, text)], "doc_id long, text string"), [0.0] * secrets.STATES ** 2).first()
+    assert (got.n_hex, got.base_sha256) == (20_000, secrets_digest(secrets_brute(text)))
