@@ -30,12 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Frees a query's shuffle files when it ends, instead of at some later collection.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and no
-    lost executor makes an expensive stage run twice."""
+    """Write df to the shared folder and read it back: lineage ends there, no lost
+    executor makes an expensive stage run twice, and the shuffle files go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

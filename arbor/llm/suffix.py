@@ -4,17 +4,21 @@ A byte goes if it lies in a LENGTH-byte string that also starts anywhere else in
 table.  Equal strings must meet without gathering the corpus, so every window of LENGTH
 bytes is dealt by content: its anchor is the k-gram of least hash inside it (winnowing).
 Windows that follow each other with one anchor form a snippet; snippets of an anchor
-that occurs once cannot repeat and are left out.  The others are dealt by their anchor
-to shards of at most about SHARD positions.  Each shard sorts its suffixes
-(Larsson-Sadakane: ranks of h symbols are refined to 2h, only where still tied), gets
-common prefixes by Kasai's algorithm (run over many stretches at once), and marks the
-starts whose neighbour shares LENGTH bytes.  A snippet seen several times enters its
-shard twice, however many copies there are.
-
-An anchor with more snippets than a shard holds (a passage in a third of all documents,
+that occurs once cannot repeat and are left out.  Equal snippets become one entry with a
+multiplicity, and all windows of an entry seen twice are repeated; the entries of an
+anchor, where it has several, are held against each other in shards of about SHARD
+positions.  Each shard sorts its suffixes (Larsson-Sadakane: ranks of h symbols are
+refined to 2h, only where still tied), gets common prefixes by Kasai's algorithm (run
+over many stretches at once), and marks the starts whose neighbour shares LENGTH bytes.
+
+An anchor with more entries than a shard holds (a passage in a third of all documents,
 between different neighbours) is dealt over several shards; they are merged by binary
 search in the sorted digests of their distinct windows, range-partitioned by digest.
 
+Rows are named by two 64-bit hashes, of the text and of the id with the text, so that
+copies of one text never meet in one task; only texts that carry a wanted snippet's
+first occurrence are read again for its bytes.
+
 Null and empty texts have no bytes; texts below LENGTH bytes keep all of theirs.  Equal
 texts of LENGTH bytes or more repeat each other and lose everything.  Rows repeat as in
 the input.  Extra columns are ignored, in dedup() they pass through.
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from ._common import schema_with, staged, text_of
 
 LENGTH = 200
-GRAM = 32
+GRAM = 64
 #: Positions of a shard; texts longer than STRETCH are cut into overlapping stretches.
 SHARD = 1 << 19
 STRETCH = 1 << 22
@@ -93,32 +97,34 @@ def snippets(raw: bytes, length: int = LENGTH, gram: int = GRAM):
         at += STRETCH
 
 
-def text_key(raw: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(raw)
+def _anchors(batches):
+    """The anchors of each text, one row each."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            got = [a for raw in b.column(0).slice(at, 256).to_pylist() for a, _, _ in snippets(raw)]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], names=["anchor"])
 
 
 def _occurrences(batches):
+    """k1, k2, anchor, sid, start, n of every snippet; the anchor and the sid, a hash of
+    the snippet's bytes, make 128 bits together."""
+    digest = xxhash.xxh3_64_intdigest
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
-            cols = [[] for _ in range(6)]
-            for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                key, found = text_key(raw), {}
+            count, anchors, sids, starts, sizes = [], [], [], [], []
+            for raw in part.column(2).to_pylist():
+                before = len(anchors)
                 for anchor, start, n in snippets(raw):
-                    sid = xxhash.xxh3_128_digest(raw[start:start + n + LENGTH - 1])
-                    found.setdefault((anchor, sid, n), []).append(start)
-                for (anchor, sid, n), starts in found.items():
-                    for c, v in zip(cols, (doc, key, anchor, sid, n, starts)):
-                        c.append(v)
+                    anchors.append(anchor)
+                    sids.append(digest(raw[start:start + n + LENGTH - 1]))
+                    starts.append(start)
+                    sizes.append(n)
+                count.append(len(anchors) - before)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32())))],
-                names=["doc", "tkey", "anchor", "sid", "n", "starts"])
-
-
-def _keyed(batches):
-    for b in batches:
-        raw = b.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([text_key(r) for r in raw], pa.binary())], names=[*b.schema.names, "tkey"])
+                [pa.array(np.repeat(part.column(k).to_numpy(), count)) for k in (0, 1)]
+                + [pa.array(anchors, pa.int64()), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())],
+                names=["k1", "k2", "anchor", "sid", "start", "n"])
 
 
 def _cut(batches):
@@ -126,14 +132,15 @@ def _cut(batches):
     for b in batches:
         for at in range(0, b.num_rows, 128):
             part = b.slice(at, 128)
-            cols = [[] for _ in range(4)]
+            cols = [[] for _ in range(6)]
             for raw, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 for w in wanted:
                     data = raw[w["start"]:w["start"] + w["n"] + LENGTH - 1]
-                    for c, v in zip(cols, (w["anchor"], w["sid"], w["copies"], data)):
+                    for c, v in zip(cols, (w["grp"], w["anchor"], w["sid"], w["crowded"], w["many"], data)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.binary()))], names=["anchor", "sid", "copies", "data"])
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()))],
+                names=["grp", "anchor", "sid", "crowded", "many", "data"])
 
 
 def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -240,46 +247,30 @@ def runs_of(flags: np.ndarray) -> list[dict]:
 
 
 def _shards(batches):
-    """Rows sorted by grp; shards close at the end of a group."""
+    """Rows sorted by grp; shards close at the end of a group.  Runs are told for entries
+    seen once (many is false); crowded anchors also give digests for the merge."""
     rows, size, last, seen = [], 0, None, set()
 
     def solve():
-        texts, index = [], []
-        for k, (_, _, _, copies, data) in enumerate(rows):
-            texts += [data] * copies
-            index += [k] * copies
-        out = [[] for _ in range(5)]
-        hot = [[] for _ in range(4)]
-        done = set()
-        for k, flags in zip(index, repeated_starts(texts)):
-            if k in done:
-                continue
-            done.add(k)
-            anchor, sid, crowded, _, data = rows[k]
-            if flags.any():
-                out[0].append(anchor)
-                out[1].append(sid)
-                out[2].append(runs_of(flags))
+        base = {f.name: [] for f in _FOUND}
+
+        def tell(**row):
+            for k, c in base.items():
+                c.append(row.get(k))
+
+        for (anchor, sid, crowded, many, data), flags in zip(rows, repeated_starts([r[-1] for r in rows])):
+            if flags.any() and not many:
+                tell(anchor=anchor, sid=sid, runs=runs_of(flags))
             if crowded:
-                for i in np.flatnonzero(~flags).tolist():
-                    d = xxhash.xxh3_128_intdigest(data[i:i + LENGTH])
-                    for c, v in zip(hot, ((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), k, i)):
-                        c.append(v)
-                # one stands for all equal windows that this shard has found repeated
-                for d, i in {xxhash.xxh3_128_intdigest(data[i:i + LENGTH]): i for i in np.flatnonzero(flags).tolist()}.items():
-                    for c, v in zip(hot, ((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), k, i)):
-                        c.append(v)
-        base = {"anchor": out[0], "sid": out[1], "runs": out[2], "hi": [None] * len(out[0]), "lo": [None] * len(out[0]), "start": [None] * len(out[0])}
-        base["anchor"] += [rows[k][0] for k in hot[2]]
-        base["sid"] += [rows[k][1] for k in hot[2]]
-        base["runs"] += [None] * len(hot[2])
-        base["hi"] += hot[0]
-        base["lo"] += hot[1]
-        base["start"] += hot[3]
+                digests = [xxhash.xxh3_128_intdigest(data[i:i + LENGTH]) for i in range(len(flags))]
+                # one stands for all equal windows that are known to be repeated
+                known = flags | many
+                for i in [*np.flatnonzero(~known).tolist(), *{digests[i]: i for i in np.flatnonzero(known).tolist()}.values()]:
+                    tell(anchor=anchor, sid=sid, hi=(digests[i] >> 64) - (1 << 63), lo=(digests[i] & (1 << 64) - 1) - (1 << 63), start=i)
         return pa.RecordBatch.from_arrays([pa.array(base[f.name], f.type) for f in _FOUND], schema=_FOUND)
 
     for b in batches:
-        for grp, anchor, sid, crowded, copies, data in zip(*(b.column(i).to_pylist() for i in range(6))):
+        for grp, anchor, sid, crowded, many, data in zip(*(b.column(i).to_pylist() for i in range(6))):
             if grp != last:
                 if size >= SHARD:
                     yield solve()
@@ -288,15 +279,15 @@ def _shards(batches):
             if (anchor, sid) in seen:
                 continue
             seen.add((anchor, sid))
-            rows.append((anchor, sid, crowded, copies, data))
-            size += copies * len(data)
+            rows.append((anchor, sid, crowded, many, data))
+            size += len(data)
     if rows:
         yield solve()
 
 
-_FOUND = pa.schema([("anchor", pa.int64()), ("sid", pa.binary()), ("runs", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))),
+_FOUND = pa.schema([("anchor", pa.int64()), ("sid", pa.int64()), ("runs", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))),
                     ("hi", pa.int64()), ("lo", pa.int64()), ("start", pa.int32())])
-_FOUND_DDL = "anchor long, sid binary, runs array<struct<lo:int,hi:int>>, hi long, lo long, start int"
+_FOUND_DDL = "anchor long, sid long, runs array<struct<lo:int,hi:int>>, hi long, lo long, start int"
 
 
 def _merge(batches):
@@ -329,31 +320,33 @@ def _merge(batches):
         yield solve(held)
 
 
+def _names(prefix: str = "") -> list:
+    """The names of a row, k1 and k2: hashes of its text, and of its id with the text."""
+    return [F.xxhash64(text_of()).alias(prefix + "k1"), F.xxhash64(F.lit(LENGTH), F.col("doc_id").cast("long"), text_of()).alias(prefix + "k2")]
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """tkey, found: array<struct<starts, runs>>, for every text with repeated windows:
+    """k1, k2, found: array<struct<start, runs>>, for every row with repeated windows:
     a window starts at each start + i, lo <= i < hi for a run."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    data = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("doc"), F.encode(text_of(), "UTF-8").alias("raw"))
-    occ = staged(data.where(F.length("raw") >= LENGTH).mapInArrow(
-        _occurrences, "doc long, tkey binary, anchor long, sid binary, n int, starts array<int>"), "snippets")
-    twice = occ.groupBy("anchor").agg(F.sum(F.size("starts")).alias("all")).where(F.col("all") > 1).select("anchor")
-    some = staged(occ.join(twice, "anchor", "left_semi"), "repeated-anchors")
-    rep = F.struct("doc", "tkey", F.element_at("starts", 1).alias("start"), "n")
-    distinct = staged(some.groupBy("anchor", "sid").agg(F.sum(F.size("starts")).alias("all"), F.min(rep).alias("r"))
-                      .select("anchor", "sid", F.least("all", F.lit(2)).cast("int").alias("copies"), "r.*"), "distinct-snippets")
-    wanted = distinct.groupBy("doc", "tkey").agg(F.collect_list(F.struct("anchor", "sid", "copies", "start", "n")).alias("wanted"))
-    keyed = data.mapInArrow(_keyed, "doc long, raw binary, tkey binary")
-    cut = keyed.join(wanted, ["doc", "tkey"]).select("raw", "wanted").mapInArrow(_cut, "anchor long, sid binary, copies int, data binary")
-    crowd = (distinct.groupBy("anchor").agg(F.sum(F.col("copies") * (F.col("n") + LENGTH - 1)).alias("size"))
-             .where(F.col("size") > SHARD).select("anchor", F.ceil(F.col("size") / SHARD).alias("m")))
-    dealt = (cut.join(crowd, "anchor", "left")
-             .select(F.xxhash64("anchor", F.when(F.col("m") > 1, F.pmod(F.xxhash64("sid"), F.col("m"))).otherwise(F.lit(0))).alias("grp"),
-                     "anchor", "sid", F.col("m").isNotNull().alias("crowded"), "copies", "data"))
-    found = staged(dealt.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_shards, _FOUND_DDL), "repeated-windows")
+    data = docs.select(*_names(), F.encode(text_of(), "UTF-8").alias("raw")).where(F.length("raw") >= LENGTH)
+    twice = staged(data.select("raw").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("all"))
+                   .where(F.col("all") > 1).select("anchor"), "repeated-anchors")
+    some = staged(data.mapInArrow(_occurrences, "k1 long, k2 long, anchor long, sid long, start int, n int").join(twice, "anchor", "left_semi"), "snippets")
+    entries = staged(some.groupBy("anchor", "sid").agg((F.count("*") > 1).alias("many"), F.min(F.struct("k1", "k2", "start", "n")).alias("r"))
+                     .select("anchor", "sid", "many", "r.*"), "entries")
+    several = (entries.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.col("n") + LENGTH - 1).alias("size")).where(F.col("k") > 1)
+               .select("anchor", F.ceil(F.col("size") / SHARD).alias("m")))
+    grp = F.xxhash64("anchor", F.when(F.col("m") > 1, F.pmod(F.xxhash64("sid"), F.col("m"))).otherwise(F.lit(0)))
+    wanted = (entries.join(several, "anchor").groupBy("k1", "k2")
+              .agg(F.collect_list(F.struct(grp.alias("grp"), "anchor", "sid", (F.col("m") > 1).alias("crowded"), "many", "start", "n")).alias("wanted")))
+    cut = data.join(wanted, ["k1", "k2"]).select("raw", "wanted").mapInArrow(_cut, "grp long, anchor long, sid long, crowded boolean, many boolean, data binary")
+    found = staged(cut.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_shards, _FOUND_DDL), "repeated-windows")
     merged = (found.where("hi is not null").repartitionByRange(parts, "hi").sortWithinPartitions("hi", "lo")
-              .mapInArrow(_merge, "anchor long, sid binary, runs array<struct<lo:int,hi:int>>"))
-    runs = found.where("runs is not null").select("anchor", "sid", "runs").unionByName(merged)
-    return some.join(runs, ["anchor", "sid"]).groupBy("tkey").agg(F.collect_set(F.struct("starts", "runs")).alias("found"))
+              .mapInArrow(_merge, "anchor long, sid long, runs array<struct<lo:int,hi:int>>"))
+    whole = entries.where("many").select("anchor", "sid", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
+    runs = whole.unionByName(found.where("runs is not null").select("anchor", "sid", "runs")).unionByName(merged)
+    return staged(some.join(runs, ["anchor", "sid"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "runs")).alias("found")), "repeats")
 
 
 def removed_spans(size: int, found: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -362,25 +355,19 @@ def removed_spans(size: int, found: list[dict] | None, length: int = LENGTH) ->
         return []
     edge = np.zeros(size + 1, np.int64)
     for f in found:
-        s = np.asarray(f["starts"])
         for r in f["runs"]:
-            np.add.at(edge, s + r["lo"], 1)
-            np.add.at(edge, s + r["hi"] - 1 + length, -1)
+            edge[f["start"] + r["lo"]] += 1
+            edge[f["start"] + r["hi"] - 1 + length] -= 1
     cover = np.cumsum(edge) > 0
     cut = np.flatnonzero(np.diff(np.concatenate([[0], cover.view(np.int8)])))
     return list(zip(cut[::2].tolist(), cut[1::2].tolist()))
 
 
 def _with_found(docs: DataFrame, keep: list[str]) -> DataFrame:
-    data = docs.select(*keep, F.encode(text_of(), "UTF-8").alias("_raw"))
-    keyed = data.mapInArrow(_key_last, schema_with(data, [*keep, "_raw"], "_tkey binary"))
-    return keyed.join(repeats(docs).select(F.col("tkey").alias("_tkey"), F.col("found").alias("_found")), "_tkey", "left").select(*keep, "_raw", "_found")
-
-
-def _key_last(batches):
-    for b in batches:
-        raw = b.column(b.num_columns - 1).to_pylist()
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([text_key(r) for r in raw], pa.binary())], names=[*b.schema.names, "_tkey"])
+    """The columns of keep, then _raw and _found."""
+    data = docs.select(*keep, F.encode(text_of(), "UTF-8").alias("_raw"), *_names("_"))
+    found = repeats(docs.select("doc_id", "text")).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "found": "_found"})
+    return data.join(found, ["_k1", "_k2"], "left").select(*keep, "_raw", "_found")
 
 
 def report(docs: DataFrame) -> DataFrame:
