@@ -1,9 +1,10 @@
 """Quality scores by nearest-neighbour voting over latent-semantic vectors.
 
 Features of a text are counted into WIDTH hashed columns: lower-case words, word shapes
-(letters and digits folded, runs collapsed), the character-type tail of each word, and
-words repeated directly after themselves.  Logarithmic counts are weighted by inverse
-document frequency and normalised; a truncated singular value decomposition of the
+(letters and digits folded, runs collapsed) and the character-type tail of each word.
+Logarithmic counts are weighted by inverse document frequency and normalised; one more
+column is the root of the share of words that repeat the word before, times REPEATS.  A
+truncated singular value decomposition of the
 training sample gives RANK latent directions.  The labelled latent vectors are
 broadcast (SAMPLE * RANK floats); each batch of documents is multiplied with blocks of
 them, and the NEIGHBOURS most similar vote with weights of their similarity.
@@ -32,6 +33,7 @@ WIDTH = 4096
 RANK = 64
 NEIGHBOURS = 24
 FOLDS, HELD = 3, 1
+REPEATS = 1.5
 #: Weight of a neighbour: max(0, cosine) to this power.
 POWER = 4
 MEMO = 400_000
@@ -39,7 +41,7 @@ BLOCK = 1024
 
 
 def _column(kind: str, value: str) -> int:
-    return zlib.crc32(f"{kind}{value}".encode("utf-8", "surrogatepass")) % WIDTH
+    return zlib.crc32(f"{kind}{value}".encode("utf-8", "surrogatepass")) % (WIDTH - 1)
 
 
 class _Kinds(dict):
@@ -76,14 +78,14 @@ class Words(dict):
 
 
 class Counter:
-    """Dense hashed counts of batches of texts; word columns are memoised."""
+    """Dense hashed counts of batches of texts, the share of repeats last; word columns
+    are memoised."""
 
     def __init__(self):
         self.words = Words()
 
     def counts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), WIDTH), np.float32)
-        repeat = _column("r", "")
         for i, t in enumerate(texts):
             words = t.split()
             for at in range(0, len(words), MEMO // 2):
@@ -92,7 +94,8 @@ class Counter:
                     self.words.clear()
                 w = np.fromiter(map(self.words.__getitem__, some), np.int64, len(some))
                 out[i] += np.bincount(self.words.columns[w].ravel(), minlength=WIDTH)
-                out[i, repeat] += np.count_nonzero(w[1:] == w[:-1])
+                out[i, -1] += np.count_nonzero(w[1:] == w[:-1])
+            out[i, -1] /= max(1, len(words))
         return out
 
 
@@ -118,8 +121,10 @@ class Model:
 
     def scaled(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return x / np.maximum(norm, 1e-12)
+        x[:, -1] = 0
+        x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+        x[:, -1] = REPEATS * np.sqrt(counts[:, -1])
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
     def latent(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.basis
