@@ -106,11 +106,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     """Log-likelihood ratios of every transition, random over ordinary, row by row."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     some = docs.select("doc_id", text_of().alias("_scan_text")).join(F.broadcast(ids), "doc_id")
-    pair = lambda i: F.struct((F.ascii(F.substring("run", i, 1)) - 33).alias("a"), (F.ascii(F.substring("run", i + 1, 1)) - 33).alias("b"))
+    pair = lambda i: F.struct(F.get("codes", i).alias("a"), F.get("codes", i + 1).alias("b"))
     counts = []
     for random in (True, False):
         runs = _runs(some, random).where(F.length("run") > 1).groupBy("run").count()
-        pairs = runs.select("count", F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - 1), pair)).alias("p"))
+        coded = runs.select("count", _codes(F.col("run")).alias("codes"))
+        pairs = coded.select("count", F.explode(F.transform(F.sequence(F.lit(0), F.size("codes") - 2), pair)).alias("p"))
         counts.append(pairs.groupBy("p.a", "p.b").agg(F.sum("count").alias("random" if random else "ordinary")))
     grid = docs.sparkSession.range(STATES * STATES).select((F.col("id") / STATES).cast("int").alias("a"), (F.col("id") % STATES).cast("int").alias("b"))
     both = grid.join(F.broadcast(counts[0]), ["a", "b"], "left").join(F.broadcast(counts[1]), ["a", "b"], "left").fillna(0)
@@ -123,17 +124,36 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     return [r.r for r in rows]
 
 
+def _codes(s: Column) -> Column:
+    """The states of a string's characters, in time linear in its length."""
+    return F.transform(F.split(s, ""), lambda c: F.ascii(c) - 33)
+
+
+def _below(ascending: Column, x: Column, also_equal: bool) -> Column:
+    """How many values of the array are less than x (or equal), by bisection."""
+    def step(acc, _):
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        v = F.get(ascending, mid)
+        up = v <= x if also_equal else v < x
+        return F.when(acc["lo"] >= acc["hi"], acc).when(up, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ascending) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(ascending).alias("hi")), step, lambda acc: acc["lo"])
+
+
 def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """docs with base (spans of the base kinds) and spans (all), both
     array<struct<start, kind, end>> in order of start and kind."""
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-    code = lambda s, i: F.ascii(F.substring(s, i, 1)) - 33
-    llr = lambda s: F.aggregate(
-        F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0),
-        lambda acc, i: acc + F.get(table, code(s, i) * STATES + code(s, i + 1)))
+    # the one-element array binds the codes, which are then computed once
+    llr = lambda s: F.get(F.transform(F.array(_codes(s)), lambda c: F.aggregate(
+        F.sequence(F.lit(0), F.size(c) - 2), F.lit(0.0),
+        lambda acc, i: acc + F.get(table, F.get(c, i) * STATES + F.get(c, i + 1)))), F.lit(0))
     d = base_spans(docs).withColumn("_scan_runs", matches(F.col("_scan_text"), TOKEN))
-    d = d.withColumn("_scan_runs", F.filter("_scan_runs", lambda r: ~F.exists(
-        "_scan_base", lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"]))))
+    d = d.withColumn("_scan_starts", F.transform("_scan_base", lambda s: s["start"])).withColumn("_scan_ends", F.array_sort(F.transform("_scan_base", lambda s: s["end"])))
+    # base spans that begin before a run's end, less those that end before it begins
+    touched = lambda r: _below(F.col("_scan_starts"), r["end"], False) > _below(F.col("_scan_ends"), r["start"], True)
+    d = d.withColumn("_scan_runs", F.when(F.size("_scan_base") == 0, F.col("_scan_runs")).otherwise(F.filter("_scan_runs", lambda r: ~touched(r))))
     d = d.withColumn("_scan_runs", F.transform("_scan_runs", lambda r: F.struct(
         r["start"].alias("start"), r["end"].alias("end"), llr(r["value"]).alias("llr"))))
     odd = F.filter("_scan_runs", lambda r: (r["llr"] >= LEAST_TOTAL) & (r["llr"] >= LEAST_MEAN * (r["end"] - r["start"])))
