@@ -13,7 +13,7 @@ over many stretches at once), and marks the starts whose neighbour shares LENGTH
 
 An anchor with more entries than a shard holds (a passage in a third of all documents,
 between different neighbours) is dealt over several shards; they are merged by binary
-search in the sorted digests of their distinct windows, range-partitioned by digest.
+search in the sorted digests of their distinct windows, which travel in blocks by bucket.
 
 Rows are named by two 64-bit hashes, of the text and of the id with the text, so that
 copies of one text never meet in one task; only texts that carry a wanted snippet's
@@ -246,77 +246,88 @@ def runs_of(flags: np.ndarray) -> list[dict]:
     return [{"lo": int(a), "hi": int(b)} for a, b in zip(edge[::2], edge[1::2])]
 
 
-def _shards(batches):
-    """Rows sorted by grp; shards close at the end of a group.  Runs are told for entries
-    seen once (many is false); crowded anchors also give digests for the merge."""
-    rows, size, last, seen = [], 0, None, set()
+#: A window of a crowded anchor: its digest, its entry and where in it it starts.
+_WINDOW = np.dtype([("hi", ">u8"), ("lo", ">u8"), ("anchor", "<i8"), ("sid", "<i8"), ("start", "<i4")])
+_FOUND = pa.schema([("anchor", pa.int64()), ("sid", pa.int64()), ("runs", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))),
+                    ("bucket", pa.int32()), ("block", pa.binary())])
+_FOUND_DDL = "anchor long, sid long, runs array<struct<lo:int,hi:int>>, bucket int, block binary"
+
 
-    def solve():
-        base = {f.name: [] for f in _FOUND}
+def _shards(bits: int):
+    """Solves shards.  Rows come sorted by grp; shards close at the end of a group.  Runs
+    are told for entries seen once (many is false).  A shard of crowded anchors also
+    gives its distinct windows in the order of their digests, cut into 2^bits buckets."""
+    def solve(rows):
+        out = {f.name: [] for f in _FOUND}
 
         def tell(**row):
-            for k, c in base.items():
+            for k, c in out.items():
                 c.append(row.get(k))
 
+        windows = []
         for (anchor, sid, crowded, many, data), flags in zip(rows, repeated_starts([r[-1] for r in rows])):
             if flags.any() and not many:
                 tell(anchor=anchor, sid=sid, runs=runs_of(flags))
             if crowded:
-                digests = [xxhash.xxh3_128_intdigest(data[i:i + LENGTH]) for i in range(len(flags))]
-                # one stands for all equal windows that are known to be repeated
-                known = flags | many
-                for i in [*np.flatnonzero(~known).tolist(), *{digests[i]: i for i in np.flatnonzero(known).tolist()}.values()]:
-                    tell(anchor=anchor, sid=sid, hi=(digests[i] >> 64) - (1 << 63), lo=(digests[i] & (1 << 64) - 1) - (1 << 63), start=i)
-        return pa.RecordBatch.from_arrays([pa.array(base[f.name], f.type) for f in _FOUND], schema=_FOUND)
-
-    for b in batches:
-        for grp, anchor, sid, crowded, many, data in zip(*(b.column(i).to_pylist() for i in range(6))):
-            if grp != last:
-                if size >= SHARD:
-                    yield solve()
-                    rows, size = [], 0
-                last, seen = grp, set()
-            if (anchor, sid) in seen:
-                continue
-            seen.add((anchor, sid))
-            rows.append((anchor, sid, crowded, many, data))
-            size += len(data)
-    if rows:
-        yield solve()
+                w = np.empty(len(flags), _WINDOW)
+                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i:i + LENGTH]) for i in range(len(flags))), ">u8")
+                w["hi"], w["lo"], w["anchor"], w["sid"], w["start"] = digests[::2], digests[1::2], anchor, sid, np.arange(len(flags))
+                windows.append(w)
+        if windows:
+            w = np.concatenate(windows)
+            w = w[np.lexsort((w["lo"], w["hi"]))]
+            # equal windows of this shard are known to be repeated: one stands for them
+            w = w[np.concatenate([[True], (w["hi"][1:] != w["hi"][:-1]) | (w["lo"][1:] != w["lo"][:-1])])]
+            bucket = (w["hi"] >> np.uint64(64 - bits)).astype(np.int64)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(w)]])
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                tell(bucket=int(bucket[lo]), block=w[lo:hi].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _FOUND], schema=_FOUND)
 
-
-_FOUND = pa.schema([("anchor", pa.int64()), ("sid", pa.int64()), ("runs", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))),
-                    ("hi", pa.int64()), ("lo", pa.int64()), ("start", pa.int32())])
-_FOUND_DDL = "anchor long, sid long, runs array<struct<lo:int,hi:int>>, hi long, lo long, start int"
+    def run(batches):
+        rows, size, last, seen = [], 0, None, set()
+        for b in batches:
+            for grp, anchor, sid, crowded, many, data in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if grp != last:
+                    if size >= SHARD:
+                        yield solve(rows)
+                        rows, size = [], 0
+                    last, seen = grp, set()
+                if (anchor, sid) in seen:
+                    continue
+                seen.add((anchor, sid))
+                rows.append((anchor, sid, crowded, many, data))
+                size += len(data)
+        if rows:
+            yield solve(rows)
+
+    return run
 
 
 def _merge(batches):
-    """Sorted digests of several shards: those found more than once, by binary search."""
-    held = None
-    key = np.dtype([("hi", np.int64), ("lo", np.int64)])
-
-    def solve(t: pa.Table):
-        k = np.empty(t.num_rows, key)
-        k["hi"], k["lo"] = t.column("hi").to_numpy(), t.column("lo").to_numpy()
-        code = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
-        twice = np.searchsorted(code, code, "right") - np.searchsorted(code, code, "left") > 1
-        t = t.filter(pa.array(twice))
-        start = t.column("start").to_pylist()
+    """Blocks of several shards, sorted by bucket: the windows found more than once, by
+    binary search."""
+    def solve(blocks: list[bytes]):
+        w = np.frombuffer(b"".join(blocks), _WINDOW)
+        w = w[np.lexsort((w["lo"], w["hi"]))]
+        code = np.cumsum(np.concatenate([[0], (w["hi"][1:] != w["hi"][:-1]) | (w["lo"][1:] != w["lo"][:-1])]))
+        w = w[np.searchsorted(code, code, "right") - np.searchsorted(code, code, "left") > 1]
+        runs: dict[tuple[int, int], list[dict]] = {}
+        for anchor, sid, start in zip(w["anchor"].tolist(), w["sid"].tolist(), w["start"].tolist()):
+            runs.setdefault((anchor, sid), []).append({"lo": start, "hi": start + 1})
         return pa.RecordBatch.from_arrays(
-            [t.column("anchor").combine_chunks(), t.column("sid").combine_chunks(),
-             pa.array([[{"lo": i, "hi": i + 1}] for i in start], _FOUND.field("runs").type)], names=["anchor", "sid", "runs"])
+            [pa.array([k[0] for k in runs], pa.int64()), pa.array([k[1] for k in runs], pa.int64()), pa.array(list(runs.values()), _FOUND.field("runs").type)],
+            names=["anchor", "sid", "runs"])
 
+    held, last = [], None
     for b in batches:
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t])
-        if not held.num_rows:
-            continue
-        hi = held.column("hi").to_numpy()
-        end = int(np.searchsorted(hi, hi[-1]))
-        if end:
-            yield solve(held.slice(0, end))
-            held = held.slice(end)
-    if held is not None and held.num_rows:
+        for bucket, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if bucket != last and held:
+                yield solve(held)
+                held = []
+            last = bucket
+            held.append(block)
+    if held:
         yield solve(held)
 
 
@@ -341,8 +352,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = (entries.join(several, "anchor").groupBy("k1", "k2")
               .agg(F.collect_list(F.struct(grp.alias("grp"), "anchor", "sid", (F.col("m") > 1).alias("crowded"), "many", "start", "n")).alias("wanted")))
     cut = data.join(wanted, ["k1", "k2"]).select("raw", "wanted").mapInArrow(_cut, "grp long, anchor long, sid long, crowded boolean, many boolean, data binary")
-    found = staged(cut.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_shards, _FOUND_DDL), "repeated-windows")
-    merged = (found.where("hi is not null").repartitionByRange(parts, "hi").sortWithinPartitions("hi", "lo")
+    found = staged(cut.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_shards(max(1, parts.bit_length() + 2)), _FOUND_DDL), "repeated-windows")
+    merged = (found.where("block is not null").select("bucket", "block").repartition(parts, "bucket").sortWithinPartitions("bucket")
               .mapInArrow(_merge, "anchor long, sid long, runs array<struct<lo:int,hi:int>>"))
     whole = entries.where("many").select("anchor", "sid", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
     runs = whole.unionByName(found.where("runs is not null").select("anchor", "sid", "runs")).unionByName(merged)
