@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 
 K = 20
 DIMS = 6
-CONFIDENCE = 0.7
-SHARD_ROWS = 8192
+CONFIDENCE = 0.6
+SHARD_ROWS = 32768
 QUERY_ROWS = 16384
-LEAF = 32
+LEAF = 64
 #: Vectors verified between two stopping tests.
 STEP = 1024
+#: Bound of the error of a float32 product of vectors of norm 1 or less.
+COARSE = 1e-5
 
 
 def chi_square(x: np.ndarray | float, dims: int = DIMS) -> np.ndarray:
@@ -85,6 +87,7 @@ class Shard:
         lift = np.sqrt(np.maximum(top * top - (x * x).sum(axis=1), 0))
         self.tree = Tree(x @ p[:-1] + lift[:, None] * p[-1])
         self.ids, self.x = ids[self.tree.order], x[self.tree.order]
+        self.coarse = (self.x / top).astype(np.float32)
         self.top, self.p = top, p
         self.seen = 0
 
@@ -96,6 +99,8 @@ class Shard:
         upto = np.cumsum(tree.size[leaves])
         fixed = self.top ** 2 + float(q @ q)
         ids, score = np.zeros(0, np.int64), np.zeros(0)
+        norm = float(np.sqrt(q @ q))
+        coarse = (q / norm).astype(np.float32)
         at = 0
         while at < len(leaves):
             if len(ids) >= k:
@@ -105,13 +110,13 @@ class Shard:
                     break
             end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP)) + 1
             some = leaves[at:end]
-            rows = np.concatenate([np.arange(tree.start[j], tree.start[j + 1]) for j in some.tolist()])
+            size = tree.size[some]
+            rows = np.repeat(tree.start[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
             self.seen += len(rows)
-            got = self.x[rows] @ q
-            keep = self.ids[rows] != own
+            # single precision rules out what cannot be among the k best
             if len(ids) >= k:
-                keep &= got >= score[k - 1] - 1e-9 * (1 + abs(score[k - 1]))
-            rows = rows[keep]
+                rows = rows[self.coarse[rows] @ coarse >= score[k - 1] / (self.top * norm) - COARSE]
+            rows = rows[self.ids[rows] != own]
             # summed in one fixed order, so that equal vectors get equal scores
             exact = (self.x[rows] * q).sum(axis=1)
             ids, score = np.concatenate([ids, self.ids[rows]]), np.concatenate([score, exact])
