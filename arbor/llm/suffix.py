@@ -337,8 +337,8 @@ def _names(prefix: str = "") -> list:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """k1, k2, found: array<struct<start, runs>>, for every row with repeated windows:
-    a window starts at each start + i, lo <= i < hi for a run."""
+    """k1, k2, found: array<int>, for every row with repeated windows: begin, end, begin,
+    end, ... of covered stretches of bytes, which may overlap, in no order."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     data = docs.select(*_names(), F.encode(text_of(), "UTF-8").alias("raw")).where(F.length("raw") >= LENGTH)
     twice = staged(data.select("raw").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("all"))
@@ -357,21 +357,19 @@ def repeats(docs: DataFrame) -> DataFrame:
               .mapInArrow(_merge, "anchor long, sid long, runs array<struct<lo:int,hi:int>>"))
     whole = entries.where("many").select("anchor", "sid", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
     runs = whole.unionByName(found.where("runs is not null").select("anchor", "sid", "runs")).unionByName(merged)
-    return staged(some.join(runs, ["anchor", "sid"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "runs")).alias("found")), "repeats")
+    covered = F.flatten(F.transform("runs", lambda r: F.array(F.col("start") + r["lo"], F.col("start") + r["hi"] + (LENGTH - 1))))
+    return staged(some.join(runs, ["anchor", "sid"]).groupBy("k1", "k2").agg(F.flatten(F.collect_list(covered)).alias("found")), "repeats")
 
 
-def removed_spans(size: int, found: list[dict] | None, length: int = LENGTH) -> list[tuple[int, int]]:
+def removed_spans(found: pa.ListScalar) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes."""
-    if not found:
+    if found.values is None or not len(found.values):
         return []
-    edge = np.zeros(size + 1, np.int64)
-    for f in found:
-        for r in f["runs"]:
-            edge[f["start"] + r["lo"]] += 1
-            edge[f["start"] + r["hi"] - 1 + length] -= 1
-    cover = np.cumsum(edge) > 0
-    cut = np.flatnonzero(np.diff(np.concatenate([[0], cover.view(np.int8)])))
-    return list(zip(cut[::2].tolist(), cut[1::2].tolist()))
+    pairs = found.values.to_numpy(zero_copy_only=False).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0])]
+    reach = np.maximum.accumulate(pairs[:, 1])
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] > reach[:-1]]))
+    return list(zip(pairs[first, 0].tolist(), reach[np.append(first[1:], len(pairs)) - 1].tolist()))
 
 
 def _with_found(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -388,7 +386,7 @@ def report(docs: DataFrame) -> DataFrame:
             cols = [[] for _ in range(4)]
             for raw, found in zip(b.column(1), b.column(2)):
                 raw = raw.as_py()
-                spans = removed_spans(len(raw), found.as_py())
+                spans = removed_spans(found)
                 kept, at = [], 0
                 for lo, hi in spans:
                     kept.append(raw[at:lo])
@@ -414,7 +412,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             for raw, found in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1)):
                 raw = raw.as_py()
                 kept, at = [], 0
-                for lo, hi in removed_spans(len(raw), found.as_py()):
+                for lo, hi in removed_spans(found):
                     while lo < hi and raw[lo] & 0xC0 == 0x80:  # a character begun before
                         lo += 1
                     while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:  # or not ended
