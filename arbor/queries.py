@@ -625,10 +625,10 @@ def poisson_mis(spark, sf_dir):
 def grow_trees(spark, sf_dir):
     from .operators import growth
 
-    e = _points(spark, sf_dir).where("tree_id < 4")
+    e = _points(spark, sf_dir)
     roots = e.groupBy("tree_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("z", F.lit(-0.5))
     ends = e.select("tree_id", F.col("vec_id").alias("ep_id"), "x", "y", "z")
-    return growth.grow(roots, ends, 4, step=0.1, influence=1.0, kill=0.1, least=0.02)
+    return growth.grow(roots, ends, 40, step=0.1, influence=1.0, kill=0.1, least=0.02)
 
 
 @query()
