@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..functions.vec import cols, cross, rotate
+from ..plans.stage import cut
 from .lookup import right_closed_bin
+from .spatial import radius_pairs
 
 BINS = 10
 
@@ -136,62 +139,146 @@ def trimmed(rows: DataFrame, keys: list[str], order: list[str], area: str, targe
     return rows.withColumn("_b", before).where(F.col("_b") < target).drop("_b")
 
 
+def _turned(v: np.ndarray, axis: np.ndarray, degrees: float) -> np.ndarray:
+    """Rows of v turned about the unit rows of axis."""
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    return v * c + np.cross(axis, v) * s + axis * (axis * v).sum(-1, keepdims=True) * (1 - c)
+
+
+#: The frames a candidate tries, in order: about the normal, the direction and the side.
+TURNS = [(None, 0.0), ("n", 45.0), ("n", -45.0), ("d", 30.0), ("d", -30.0), ("s", 30.0), ("s", -30.0)]
+
+
+def _frame(d: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and normals (rows) in frame k."""
+    about, degrees = TURNS[k]
+    if about is None:
+        return d, n
+    axis = {"n": n, "d": d, "s": np.cross(n, d)}[about]
+    return _turned(d, axis, degrees), _turned(n, axis, degrees)
+
+
 def _triangles(shape: list[tuple], tris: list[tuple], start, size, direction, normal) -> np.ndarray:
+    """Row, triangle, corner, axis of the leaves given as rows."""
     side = np.cross(normal, direction)
-    v = np.array(shape, float) * size
-    p = v[:, :1] * side + v[:, 1:2] * direction + v[:, 2:] * normal + start
-    return p[np.array(tris)]
+    v = np.array(shape, float)[None] * np.asarray(size, float)[:, None, None]
+    p = v[..., :1] * side[:, None] + v[..., 1:2] * direction[:, None] + v[..., 2:] * normal[:, None] + start[:, None]
+    return p[:, np.array(tris)]
 
 
-def _edges_hit(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether an edge of a triangle of a passes strictly through a triangle of b."""
-    p, q = a.reshape(-1, 3), np.roll(a, -1, axis=1).reshape(-1, 3)
-    d = (q - p)[:, None]
-    e1, e2 = (b[:, 1] - b[:, 0])[None], (b[:, 2] - b[:, 0])[None]
-    h = np.cross(d, np.broadcast_to(e2, (len(d), len(b), 3)))
+def _edges_hit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per row, whether an edge of a triangle of a passes strictly through one of b."""
+    p = a.reshape(len(a), -1, 1, 3)
+    d = np.roll(a, -1, axis=2).reshape(len(a), -1, 1, 3) - p
+    o = b[:, None, :, 0]
+    e1, e2 = b[:, None, :, 1] - o, b[:, None, :, 2] - o
+    h = np.cross(d, e2)
     det = (e1 * h).sum(-1)
-    w = p[:, None] - b[None, :, 0]
+    w = p - o
     with np.errstate(all="ignore"):
         u = (w * h).sum(-1) / det
-        k = np.cross(w, np.broadcast_to(e1, w.shape))
+        k = np.cross(w, e1)
         v, t = (d * k).sum(-1) / det, (e2 * k).sum(-1) / det
-        return bool(((np.abs(det) > 1e-15) & (u > 0) & (v > 0) & (u + v < 1) & (t > 0) & (t < 1)).any())
+        return ((np.abs(det) > 1e-15) & (u > 0) & (v > 0) & (u + v < 1) & (t > 0) & (t < 1)).any(axis=(1, 2))
+
+
+GEOMETRY = ("sx", "sy", "sz", "dx", "dy", "dz", "nx", "ny", "nz", "size")
 
 
-def accept(leaves: DataFrame, shape: list[tuple], tris: list[tuple], target: float, edge: float = 0.25) -> DataFrame:
+def _blocked(pairs: DataFrame, shape: list[tuple], tris: list[tuple], rows: int = 4096) -> DataFrame:
+    """tree_id, leaf_id, hits (bit k: frame k meets this rival) of candidates (GEOMETRY)
+    beside one accepted rival each (GEOMETRY prefixed b_, its frame b_frame)."""
+    def parts(pdf, prefix):
+        return [np.array(pdf[[f"{prefix}{v}{c}" for c in "xyz"]], float) for v in "sdn"] + [pdf[f"{prefix}size"].to_numpy(float)]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                pdf = batch.iloc[at:at + rows]
+                (s, d, n, size), (bs, bd, bn, bsize) = parts(pdf, ""), parts(pdf, "b_")
+                frame = pdf["b_frame"].to_numpy()
+                for k in range(len(TURNS)):
+                    of = frame == k
+                    if of.any():
+                        bd[of], bn[of] = _frame(bd[of], bn[of], k)
+                rival = _triangles(shape, tris, bs, bsize, bd, bn)
+                hits = np.zeros(len(pdf), np.int32)
+                for k in range(len(TURNS)):
+                    own = _triangles(shape, tris, s, size, *_frame(d, n, k))
+                    hits |= (_edges_hit(own, rival) | _edges_hit(rival, own)).astype(np.int32) << k
+                yield pd.DataFrame({"tree_id": pdf["tree_id"], "leaf_id": pdf["leaf_id"], "hits": hits})
+
+    ids = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("tree_id", "leaf_id"))
+    return pairs.mapInPandas(run, f"{ids}, hits int")
+
+
+def _settled(p: DataFrame, shape: list[tuple], tris: list[tuple], rounds: int) -> DataFrame:
+    """tree_id, leaf_id, frame of the candidates p (with _order) that a sequential pass in
+    that order would accept.  Each round decides all whose earlier rivals are decided."""
+    key = ["tree_id", "leaf_id"]
+    reach = max(math.sqrt(sum(c * c for c in v)) for v in shape)
+    widest = p.agg(F.max("size")).first()[0]
+    if widest is None:
+        return p.select(*key, F.lit(0).alias("frame"))
+    at = p.select(*key, "_order", "size", *[F.col(f"s{c}").alias(c) for c in "xyz"])
+    apart = reach * (F.col("size") + F.col("b_size")) * (1 + 1e-9)
+    earlier = (F.col("b__order") < F.col("_order")) | (F.col("b__order") == F.col("_order")) & (F.col("b_leaf_id") < F.col("leaf_id"))
+    pairs = cut(radius_pairs(at, at, max(2 * reach * float(widest), 1e-9) * (1 + 1e-9))
+                .where((F.col("tree_id") == F.col("b_tree_id")) & (F.col("d2") <= apart * apart) & earlier).select(*key, F.col("b_leaf_id").alias("rival")))
+    rival = ["tree_id", F.col("leaf_id").alias("rival")]
+    open_, won = p.select(*key), None
+    for _ in range(rounds):
+        waits = pairs.join(open_.select(*rival), ["tree_id", "rival"], "left_semi").select(*key).distinct()
+        ready = cut(open_.join(waits, key, "left_anti"))
+        if won is None:
+            now = ready.select(*key, F.lit(0).alias("frame"))
+        else:
+            taken = p.join(won, key).select("tree_id", F.col("leaf_id").alias("rival"), F.col("frame").alias("b_frame"), *[F.col(c).alias(f"b_{c}") for c in GEOMETRY])
+            beside = p.select(*key, *GEOMETRY).join(ready, key).join(pairs, key).join(taken, ["tree_id", "rival"])
+            hits = _blocked(beside, shape, tris).groupBy(*key).agg(F.bit_or("hits").alias("hits"))
+            first = F.when(F.col("hits").isNull(), 0)
+            for k in range(len(TURNS)):
+                first = first.when(F.col("hits").bitwiseAND(F.lit(1 << k)) == 0, k)
+            now = ready.join(hits, key, "left").select(*key, first.alias("frame")).where("frame is not null")
+        won = cut(now if won is None else won.unionByName(now))
+        open_ = cut(open_.join(ready, key, "left_anti"))
+        if open_.isEmpty():
+            return won
+    raise ValueError("leaves did not settle")
+
+
+def accept(leaves: DataFrame, shape: list[tuple], tris: list[tuple], target: float, rounds: int = 10000) -> DataFrame:
     """Greedy acceptance per tree, in the order of a keyed shuffle: a candidate takes the
     first of its own and six turned frames (45 degrees about the normal, 30 about the
     direction and the side, both ways) that meets no accepted leaf, until the target
     area is reached.  leaves: tree_id, leaf_id, sx.., dx.., nx.., size, leaf_area.
-    Order matters within a tree, so a tree is one group; trees are bounded."""
-    shuffled = leaves.withColumn("_order", F.xxhash64("tree_id", "leaf_id", F.lit(9)))
-    turns = [(None, 0.0), ("n", 45.0), ("n", -45.0), ("d", 30.0), ("d", -30.0), ("s", 30.0), ("s", -30.0)]
-
-    def turned(v, axis, angle):
-        c, s = math.cos(angle), math.sin(angle)
-        return v * c + np.cross(axis, v) * s + axis * (axis @ v) * (1 - c)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid: dict[tuple, list[int]] = {}
-        kept, rows, spent = [], [], 0.0
-        for r in pdf.sort_values(["_order", "leaf_id"]).drop(columns="_order").to_dict("records"):
-            if spent >= target:
-                break
-            start, d, n = (np.array([r[f"{k}{c}"] for c in "xyz"]) for k in "sdn")
-            for about, deg in turns:
-                axis = {None: n, "n": n, "d": d, "s": np.cross(n, d)}[about]
-                d2, n2 = (turned(v, axis, math.radians(deg)) for v in (d, n))
-                t = _triangles(shape, tris, start, r["size"], d2, n2)
-                low, high = np.floor(t.min(axis=(0, 1)) / edge).astype(int), np.floor(t.max(axis=(0, 1)) / edge).astype(int)
-                cells = [(x, y, z) for x in range(low[0], high[0] + 1) for y in range(low[1], high[1] + 1) for z in range(low[2], high[2] + 1)]
-                near = {i for c in cells for i in grid.get(c, ())}
-                if not any(_edges_hit(t, kept[i]) or _edges_hit(kept[i], t) for i in near):
-                    for c in cells:
-                        grid.setdefault(c, []).append(len(kept))
-                    kept.append(t)
-                    rows.append(r | {f"d{c}": v for c, v in zip("xyz", d2)} | {f"n{c}": v for c, v in zip("xyz", n2)})
-                    spent += r["leaf_area"]
-                    break
-        return pd.DataFrame(rows, columns=[c for c in pdf.columns if c != "_order"])
-
-    return shuffled.groupBy("tree_id").applyInPandas(run, leaves.schema)
+
+    The order is that of a hash, so a candidate's fate depends only on lesser hashes: a
+    tree's candidates below a bound are settled first, and the bound is doubled for trees
+    whose accepted leaves do not reach the target yet.  The budget then cuts by window."""
+    shuffled = cut(leaves.withColumn("_order", F.xxhash64("tree_id", "leaf_id", F.lit(9))))
+    place = (F.col("_order").cast("double") + float(1 << 63)) / float(1 << 64)
+    area = shuffled.groupBy("tree_id").agg(F.sum("leaf_area").alias("_all"))
+    todo = cut(area.select("tree_id", F.when(F.col("_all") > 4 * target, 4 * target / F.col("_all")).otherwise(1.0).alias("_part")))
+    done = None
+    while not todo.isEmpty():
+        p = cut(shuffled.join(todo, "tree_id").where((F.col("_part") >= 1) | (place < F.col("_part"))).drop("_part"))
+        won = cut(p.join(_settled(p, shape, tris, rounds), ["tree_id", "leaf_id"]))
+        reached = won.groupBy("tree_id").agg(F.sum("leaf_area").alias("_got"))
+        state = cut(todo.join(reached, "tree_id", "left").withColumn("_ends", (F.col("_part") >= 1) | (F.coalesce("_got", F.lit(0.0)) >= target)))
+        part = won.join(state.where("_ends").select("tree_id"), "tree_id", "left_semi")
+        done = part if done is None else done.unionByName(part)
+        todo = cut(state.where("not _ends").select("tree_id", (F.col("_part") * 2).alias("_part")))
+    if done is None:
+        return leaves.limit(0)
+    kept = within_budget(done, ["tree_id"], ["_order", "leaf_id"], "leaf_area", target)
+    d, n = cols("d"), cols("n")
+    about = {"n": n, "d": d, "s": cross(n, d)}
+    for v, p in (("d", d), ("n", n)):
+        for i, c in enumerate("xyz"):
+            out = p[i]
+            for k, (axis, degrees) in enumerate(TURNS):
+                if axis is not None:
+                    out = F.when(F.col("frame") == k, rotate(p, about[axis], F.lit(math.radians(degrees)))[i]).otherwise(out)
+            kept = kept.withColumn(f"_{v}{c}", out)
+    return kept.select(*[F.col(f"_{c}" if c in GEOMETRY[3:9] else c).cast(leaves.schema[c].dataType).alias(c) for c in leaves.columns])

@@ -633,7 +633,7 @@ def grow_trees(spark, sf_dir):
 
 @query()
 def accept_leaves(spark, sf_dir):
-    c = _cyl(spark, sf_dir).where("tree_id < 4").withColumn("area", F.lit(0.01))
+    c = _cyl(spark, sf_dir).withColumn("area", F.lit(0.01))
     leaves = foliage.leaf_sizes(c, "normal", (0.3, 0.01), 0.004)
     leaves = foliage.leaf_angles(leaves, "dewit", "uniform", p_inc=(1, 2))
     n = scalars.upward(scalars.leaf_normal(F.col("inc"), F.col("az")))

@@ -1,7 +1,7 @@
 """Text forms of meshes, cylinders and scans, as rows that any text sink can write.
 
 Rows carry a number that orders them; vertex numbers follow from counts per leaf or
-cylinder, so no global sort is needed before the single ordered part of a file."""
+cylinder, so ranges of rows can be written apart."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -68,6 +68,6 @@ def las_records(scan: DataFrame, scale: float = 0.001) -> DataFrame:
 
 
 def write_lines(rows: DataFrame, path: str, order: list[str]) -> None:
-    """One ordered text file: the format demands it, so this is the only sink that runs
-    in one task, over finished lines."""
-    rows.orderBy(*order).select("line").coalesce(1).write.text(path)
+    """Ordered text as part files by ranges of the order: the parts in the order of their
+    names are the file."""
+    rows.orderBy(*order).select("line").write.text(path)
