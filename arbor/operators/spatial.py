@@ -83,9 +83,12 @@ def edge_conflicts(new: DataFrame, old: DataFrame, least: float, longest: float)
     reach = least + longest
 
     def mid(df):
-        return df.select("*", *[((F.col(f"p0{n}") + F.col(f"p1{n}")) / 2).alias(n) for n in "xyz"])
+        half = F.sqrt(sum((F.col(f"p1{n}") - F.col(f"p0{n}")) ** 2 for n in "xyz")) / 2
+        return df.select("*", *[((F.col(f"p0{n}") + F.col(f"p1{n}")) / 2).alias(n) for n in "xyz"], half.alias("_half"))
 
-    near = radius_pairs(mid(new), mid(old), reach).where(F.col("tree_id") != F.col("b_tree_id"))
+    # midpoints of near edges are no farther apart than least and both half lengths
+    touch = F.sqrt("d2") <= least + F.col("_half") + F.col("b__half") + 1e-9
+    near = radius_pairs(mid(new), mid(old), reach).where((F.col("tree_id") != F.col("b_tree_id")) & touch)
     far = with_segment_distance2(near, cols("p0"), cols("p1"), cols("b_p0"), cols("b_p1"), "far2")
     # filtered after the aggregation: a filter on the sum of so many steps would be pushed
     # below them and written out in full

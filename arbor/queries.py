@@ -439,6 +439,35 @@ def edge_conflicts(spark, sf_dir):
     return spatial.edge_conflicts(e, e, 0.02, 0.2)
 
 
+# --- the same joins over all rows: their SQL would join all pairs, so tests hold them
+# --- against brute force
+
+@query()
+def nearest_open_whole(spark, sf_dir):
+    """Every open row may be the nearest node."""
+    p = _points(spark, sf_dir)
+    e = p.select(F.col("vec_id").alias("ep_id"), "x", "y", "z")
+    return spatial.nearest(e, p.withColumnRenamed("vec_id", "node_id"), 0.2, "ep_id", "node_id", F.col("tree_id") % 2 == 0).select("ep_id", "node_id", r6(F.col("dist"), "dist"))
+
+
+@query()
+def box_overlap_whole(spark, sf_dir):
+    """Every pair of boxes, once."""
+    p = _points(spark, sf_dir)
+    for n in "xyz":
+        p = p.withColumn(f"{n}0", F.col(n) - 0.03).withColumn(f"{n}1", F.col(n) + 0.03)
+    return spatial.box_overlaps(p.withColumnRenamed("vec_id", "veg"), p.withColumnRenamed("vec_id", "tree"), 0.1, "veg", "tree").where("veg < tree")
+
+
+@query()
+def edge_conflicts_whole(spark, sf_dir):
+    """Cylinders of every length; the longest sets the cells."""
+    c = cylinders.with_ends(_cyl(spark, sf_dir))
+    longest = c.agg(F.max("length")).first()[0] or 0.0
+    e = c.select(F.col("cyl_id").alias("edge_id"), "tree_id", *[F.col(f"s{n}").alias(f"p0{n}") for n in "xyz"], *[F.col(f"e{n}").alias(f"p1{n}") for n in "xyz"])
+    return spatial.edge_conflicts(e, e, 0.02, longest * (1 + 1e-9))
+
+
 def _terrain(spark):
     rows = [(i * 20 + j * 2 + h, *(v for k in t for v in (-1 + (i + k[0]) * 0.2, -1 + (j + k[1]) * 0.2, ((i + k[0]) * 3 + (j + k[1]) * 5) % 7 / 10.0)))
             for i in range(10) for j in range(10) for h, t in enumerate((((0, 0), (1, 0), (1, 1)), ((0, 0), (1, 1), (0, 1))))]

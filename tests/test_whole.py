@@ -105,3 +105,47 @@ def test_lines_are_written_in_ordered_parts(spark, tmp_path):
     parts = sorted((tmp_path / "lines").glob("part-*"))
     assert len(parts) > 1
     assert [int(x) for p in parts for x in p.read_text().split()] == list(range(200_000))
+
+
+def vectors(spark):
+    rows = sorted((r.vec_id, r.label, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect())
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.float32).astype(float)
+
+
+def test_nearest_open_offers_every_open_row(spark):
+    ids, label, v = vectors(spark)
+    got = {r.ep_id: (r.node_id, r.dist) for r in queries.nearest_open_whole(spark, SF).collect()}
+    for i, p in zip(ids, v):
+        d = np.where(label % 2 == 0, np.sqrt(((v[:, :3] - p[:3]) ** 2).sum(1)), np.inf)
+        k = int(d.argmin())
+        assert got[i] == ((ids[k], round(d[k], 6)) if d[k] < .2 else (-2, None))
+
+
+def test_box_overlap_joins_every_pair(spark):
+    ids, _, v = vectors(spark)
+    low, high = v[:, :3] - .03, v[:, :3] + .03
+    meet = ((low[:, None] <= high[None]) & (low[None] <= high[:, None])).all(-1)
+    want = sorted((ids[i], ids[j]) for i, j in zip(*np.nonzero(meet)) if ids[i] < ids[j])
+    assert want and sorted(map(tuple, queries.box_overlap_whole(spark, SF).collect())) == want
+
+
+def test_edge_conflicts_take_every_length(spark):
+    ids, label, v = vectors(spark)
+    u = v[:, 3:6] / np.linalg.norm(v[:, 3:6], axis=1)[:, None] * (np.abs(v[:, 6]) + .01)[:, None]
+    a, b = v[:, :3], v[:, :3] + u
+    near = lambda p, q, d: np.linalg.norm(p - q - np.clip(((p - q) * d).sum(-1) / (d * d).sum(-1), 0, 1)[..., None] * d, axis=-1)
+    # the least distance is at an end of either segment, or inside both
+    ends = [near(p[:, None], a[None], np.broadcast_to(u[None], (len(u), *u.shape))) for p in (a, b)]
+    far = np.minimum(*ends)
+    far = np.minimum(far, far.T)
+    w, uu, uv = a[:, None] - a[None], (u * u).sum(1), u @ u.T
+    den = uu[:, None] * uu[None] - uv ** 2
+    uw, vw = (u[:, None] * w).sum(-1), (u[None] * w).sum(-1)
+    with np.errstate(all="ignore"):
+        s, t = (uv * vw - uu[None] * uw) / den, (uu[:, None] * vw - uv * uw) / den
+    inside = (den > 1e-12) & (s >= 0) & (s <= 1) & (t >= 0) & (t <= 1)
+    gap = np.linalg.norm(w + np.nan_to_num(s)[..., None] * u[:, None] - np.nan_to_num(t)[..., None] * u[None], axis=-1)
+    far = np.where(inside, np.minimum(far, gap), far)
+    want = sorted(ids[((far < .02) & (label[:, None] != label[None])).any(1)])
+    got = sorted(r.edge_id for r in queries.edge_conflicts_whole(spark, SF).collect())
+    assert got == want and set(r.edge_id for r in queries.edge_conflicts(spark, SF).collect()) < set(got)
