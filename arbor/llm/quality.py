@@ -59,7 +59,7 @@ _collapse = re.compile(r"(.)\1+", re.S).sub
 
 
 def word_columns(word: str) -> tuple[int, int, int]:
-    kinds = word[:64].translate(_KINDS)
+    kinds = word.translate(_KINDS)
     return _column("w", word.lower()), _column("s", _collapse(r"\1", kinds)), _column("t", kinds[-3:].lower())
 
 
