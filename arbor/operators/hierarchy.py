@@ -1,131 +1,167 @@
-"""Parent/child trees: closures by pointer doubling and what follows from them.
+"""Parent/child trees by pointer doubling.
 
-A tree table has a node and a nullable parent column, and a tree key where it holds
-several trees.  A closure takes about log2(depth) joins; path products, orders and
-subtree sums are then plain aggregations, so no operator walks level by level."""
+A tree table has a node and a nullable parent column and, where it holds several trees,
+tree keys (tree=["tree_id"]): node ids are then unique within a tree only, and every
+result carries the keys.  Each round doubles the reach of every node's jump pointer and
+of what was gathered on the way, so that a tree of depth d takes about log2(d) rounds of
+one row per node: neither (node, ancestor) pairs nor levels are ever written out.
+
+A parent that is not in the table counts as none.  Repeated (tree, node) rows are not
+allowed.  A cycle raises ValueError.  Empty tables give empty results."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.stage import cut
-
-
-def closure(tree: DataFrame, node: str = "node", parent: str = "parent", most: int = 40) -> DataFrame:
-    """node, anc, dist: every node with itself and all its ancestors.  Trees deeper than
-    2^most, or with a cycle, raise ValueError."""
-    up = cut(tree.where(F.col(parent).isNotNull()).select(F.col(node).alias("a"), F.col(parent).alias("b")))
-    out = tree.select(F.col(node).alias("node"), F.col(node).alias("anc"), F.lit(0).alias("dist"))
-    for k in range(most):
-        if up.isEmpty():
-            return out
-        more = out.join(up, out.anc == up.a).select("node", F.col("b").alias("anc"), (F.col("dist") + (1 << k)).alias("dist"))
-        out = cut(out.unionByName(more))
-        second = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        up = cut(up.join(second, "b").select("a", F.col("c").alias("b")))
+from ..plans.stage import cut, dealt, drop
+
+
+def gather(tree: DataFrame, up: dict[str, tuple] | None = None, down: dict[str, tuple] | None = None, node: str = "node", parent: str = "parent",
+           keys: Sequence[str] = ()) -> DataFrame:
+    """keys, node and one column per name.  up: name -> (start, join), folded over the
+    path from the node to its root, where join(a, b) puts the fold a of the lower part
+    before b of the upper part.  down: name -> (start, aggregate, join), over the node
+    and all below it; aggregate folds the values of many nodes, join two of them."""
+    keys, up, down = list(keys), up or {}, down or {}
+    starts = {n: v[0] for n, v in (up | down).items()}
+    rows = tree.select(*keys, F.col(node).alias("_n"), F.col(parent).alias("_p"), *[v.alias(n) for n, v in starts.items()])
+    here = tree.select(*keys, F.col(node).alias("_p"), F.col(node).alias("_j"))
+    state = cut(rows.join(here, [*keys, "_p"], "left").select(*keys, "_n", "_j", *starts))
+    rounds = max(1, state.count()).bit_length() + 1
+    for _ in range(rounds):
+        live = state.where("_j is not null")
+        if live.isEmpty():
+            return state.select(*keys, F.col("_n").alias(node), *starts)
+        above = state.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_n").alias("_a"), F.col("_j").alias("_aj"), *[F.col(n).alias(f"_u_{n}") for n in up])
+        on = F.col("_j") == F.col("_a")
+        for i, k in enumerate(keys):
+            on = on & (F.col(k) == F.col(f"_k{i}"))
+        moved = live.join(above, on).select(*keys, "_n", F.col("_aj").alias("_j"), *[v[1](F.col(n), F.col(f"_u_{n}")).alias(n) for n, v in up.items()], *down)
+        both = state.where("_j is null").unionByName(moved)
+        if down:
+            got = live.groupBy(*keys, F.col("_j").alias("_n")).agg(*[v[1](F.col(n)).alias(f"_d_{n}") for n, v in down.items()])
+            both = both.join(got, [*keys, "_n"], "left").select(
+                *keys, "_n", "_j", *up, *[F.when(F.col(f"_d_{n}").isNull(), F.col(n)).otherwise(v[2](F.col(n), F.col(f"_d_{n}"))).alias(n) for n, v in down.items()])
+        before, state = state, cut(both)
+        drop(before)
     raise ValueError("the parent pointers do not end")
 
 
-def subtree_size(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+def _or(a: Column, b: Column) -> Column:
+    return a | b
+
+
+def _flag(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def subtree_size(tree: DataFrame, node: str = "node", parent: str = "parent", keys: Sequence[str] = ()) -> DataFrame:
     """node, size: the node and all below it."""
-    return closure(tree, node, parent).groupBy(F.col("anc").alias("node")).agg(F.count("*").alias("size"))
+    return gather(tree, down={"size": (F.lit(1).cast("long"), F.sum, lambda a, b: a + b)}, node=node, parent=parent, keys=keys)
 
 
-def sibling_share(sized: DataFrame, parent: str = "parent", value: str = "size") -> DataFrame:
+def sibling_share(sized: DataFrame, parent: str = "parent", value: str = "size", keys: Sequence[str] = ()) -> DataFrame:
     """Adds share: value over its sum among the children of one parent (1 for roots)."""
-    total = F.sum(value).over(Window.partitionBy(parent))
-    return sized.withColumn("share", F.when(F.col(parent).isNull(), F.lit(1.0)).otherwise(F.col(value) / total))
+    names = [*keys, parent]
+    total = sized.where(F.col(parent).isNotNull()).groupBy(*names).agg(F.sum(value).alias("_total"))
+    return sized.join(total, names, "left").withColumn("share", F.when(F.col(parent).isNull(), F.lit(1.0)).otherwise(F.col(value) / F.col("_total"))).select(*sized.columns, "share")
 
 
-def pipe_radii(tree: DataFrame, root_radius: float, exponent: float = 2.0, node: str = "node", parent: str = "parent") -> DataFrame:
+def pipe_radii(tree: DataFrame, root_radius: float, exponent: float = 2.0, node: str = "node", parent: str = "parent", keys: Sequence[str] = ()) -> DataFrame:
     """node, radius by the pipe model: r_child = (w r_parent^x)^(1/x) with w the child's
     share of subtree size; in closed form r0 (product of w along the path)^(1/x)."""
-    anc = cut(closure(tree, node, parent))
-    size = anc.groupBy(F.col("anc").alias("node")).agg(F.count("*").alias("size"))
-    shared = sibling_share(tree.select(F.col(node).alias("node"), F.col(parent).alias("parent")).join(size, "node"))
-    logs = shared.select(F.col("node").alias("anc"), F.log("share").alias("w"))
-    return anc.join(logs, "anc").groupBy("node").agg((F.exp(F.sum("w") / exponent) * root_radius).alias("radius"))
+    sized = subtree_size(tree, node, parent, keys)
+    shared = sibling_share(tree.select(*keys, node, parent).join(sized, [*keys, node]), parent, keys=keys)
+    logs = gather(shared, up={"w": (F.log("share"), lambda a, b: a + b)}, node=node, parent=parent, keys=keys)
+    return logs.select(*keys, node, (F.exp(F.col("w") / exponent) * root_radius).alias("radius"))
 
 
-def children(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+def children(tree: DataFrame, node: str = "node", parent: str = "parent", keys: Sequence[str] = ()) -> DataFrame:
     """node, children (ascending); nodes without children are absent."""
-    return (tree.where(F.col(parent).isNotNull()).groupBy(F.col(parent).alias("node"))
+    return (tree.where(F.col(parent).isNotNull()).groupBy(*keys, F.col(parent).alias("node"))
             .agg(F.sort_array(F.collect_list(node)).alias("children")))
 
 
-def roles(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
-    """node, parent, rank among siblings, is_shoot (the last of several children)."""
-    w = Window.partitionBy(parent).orderBy(node)
-    n = F.count("*").over(Window.partitionBy(parent))
-    return tree.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.row_number().over(w).alias("rank"), n.alias("n")).select(
-        "node", "parent", "rank", (F.col("parent").isNotNull() & (F.col("rank") > 1) & (F.col("rank") == F.col("n"))).alias("is_shoot"))
+def roles(tree: DataFrame, node: str = "node", parent: str = "parent", keys: Sequence[str] = ()) -> DataFrame:
+    """node, parent, is_shoot (the last of several children)."""
+    kids = tree.where(F.col(parent).isNotNull()).groupBy(*keys, parent).agg(F.max(node).alias("_last"), F.count("*").alias("_kids"))
+    return (tree.select(*keys, node, parent).join(kids, [*keys, parent], "left")
+            .select(*keys, node, parent, _flag((F.col("_kids") > 1) & (F.col(node) == F.col("_last"))).alias("is_shoot")))
 
 
-def trunk_path(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
-    """node, height: the ancestors of the trunk top, bottom up.  The top is the node of
-    least subtree (then least id) among those reached from the root without a shoot."""
-    anc = cut(closure(tree, node, parent))
-    role = roles(tree, node, parent)
-    size = anc.groupBy(F.col("anc").alias("node")).agg(F.count("*").alias("size"))
-    bent = anc.join(role.where("is_shoot").select(F.col("node").alias("anc")), "anc", "left_semi").select("node").distinct()
-    top = size.join(bent, "node", "left_anti").agg(F.min_by("node", F.struct("size", "node")).alias("node"))
-    path = anc.join(F.broadcast(top), "node")
-    deepest = path.agg(F.max("dist").alias("d"))
-    return path.join(F.broadcast(deepest)).select(F.col("anc").alias("node"), (F.col("d") - F.col("dist")).alias("height"))
+def trunk_path(tree: DataFrame, node: str = "node", parent: str = "parent", keys: Sequence[str] = ()) -> DataFrame:
+    """node, height: the ancestors of each tree's trunk top, bottom up.  The top is the
+    node of least subtree (then least id) among those reached from a root without a shoot."""
+    seen = cut(gather(roles(tree, node, parent, keys), up={"bent": (F.col("is_shoot"), _or), "height": (F.lit(1), lambda a, b: a + b)},
+                      down={"size": (F.lit(1).cast("long"), F.sum, lambda a, b: a + b)}, node=node, parent=parent, keys=keys))
+    top = seen.where("not bent").groupBy(*keys).agg(F.min_by(node, F.struct("size", node)).alias("_top"))
+    marked = tree.select(*keys, node, parent).join(top, list(keys)) if keys else tree.select(node, parent).join(F.broadcast(top))
+    path = gather(marked, down={"under": (F.col(node) == F.col("_top"), F.bool_or, _or)}, node=node, parent=parent, keys=keys)
+    return path.where("under").join(seen, [*keys, node]).select(*keys, node, (F.col("height") - 1).alias("height"))
 
 
-def branch_order(cyl: DataFrame, node: str = "node", parent: str = "parent", branch: str = "branch") -> DataFrame:
-    """node, order (branch changes on the way from the root), index_in_branch."""
-    p = cyl.select(F.col(node).alias("_p"), F.col(branch).alias("_b"))
-    changed = (cyl.join(p, cyl[parent] == F.col("_p"), "left")
-               .select(F.col(node).alias("anc"), F.col(branch).alias("anc_branch"), F.when(F.col("_b") != F.col(branch), 1).otherwise(0).alias("turn")))
-    own = cyl.select(F.col(node).alias("node"), F.col(branch).alias("own"))
-    return (closure(cyl, node, parent).join(changed, "anc").join(own, "node").groupBy("node")
-            .agg(F.sum("turn").alias("order"), F.sum(F.when(F.col("anc_branch") == F.col("own"), 1).otherwise(0)).alias("index_in_branch")))
+def branch_order(cyl: DataFrame, node: str = "node", parent: str = "parent", branch: str = "branch", keys: Sequence[str] = ()) -> DataFrame:
+    """node, order (branch changes on the way from the root), index_in_branch (place in
+    the run of this branch that ends at the node)."""
+    p = cyl.select(*keys, F.col(node).alias(parent), F.col(branch).alias("_b"))
+    turns = (cyl.select(*keys, node, parent, branch).join(p, [*keys, parent], "left")
+             .select(*keys, node, parent, F.coalesce(F.col("_b") != F.col(branch), F.lit(False)).alias("_turn")))
+    run = F.struct(F.lit(1).cast("long").alias("n"), F.col("_turn").alias("turn"))
+    longer = lambda a, b: F.when(a["turn"], a).otherwise(F.struct((a["n"] + b["n"]).alias("n"), b["turn"].alias("turn")))
+    got = gather(turns, up={"order": (F.col("_turn").cast("long"), lambda a, b: a + b), "_run": (run, longer)}, node=node, parent=parent, keys=keys)
+    return got.select(*keys, node, "order", F.col("_run.n").alias("index_in_branch"))
 
 
-def extension(cyl: DataFrame, node: str = "node", parent: str = "parent", branch: str = "branch") -> DataFrame:
+def extension(cyl: DataFrame, node: str = "node", parent: str = "parent", branch: str = "branch", keys: Sequence[str] = ()) -> DataFrame:
     """node, extension: the first child of the same branch, null if none."""
-    kids = cyl.where(F.col(parent).isNotNull()).groupBy(F.col(parent).alias("node"), F.col(branch).alias("_b")).agg(F.min(node).alias("extension"))
-    return (cyl.select(F.col(node).alias("node"), F.col(branch).alias("_b")).join(kids, ["node", "_b"], "left").select("node", "extension"))
-
-
-def crown(cyl: DataFrame, node: str = "node", parent: str = "parent", order: str = "order", z: str = "sz") -> DataFrame:
-    """node: the crown.  Seeds are all nodes above order 3, or else of the highest order
-    there is up to 3; then their ancestors off the stem, all descendants of those, and
-    all others off the stem that start no lower than the lowest first-order seed."""
-    anc = cut(closure(cyl, node, parent))
-    base = cyl.select(F.col(node).alias("node"), F.col(order).alias("ord"), F.col(z).alias("z"))
-    level = F.least(F.max("ord"), F.lit(4))
-    least = base.agg(level.alias("level"))
-    seed = base.join(F.broadcast(least)).where("ord >= level").select("node")
-    off = base.where("ord > 0").select("node")
-    above = anc.join(seed, "node", "left_semi").select(F.col("anc").alias("node")).distinct().join(off, "node", "left_semi")
-    first = above.unionByName(seed).distinct()
-    below = anc.join(first.select(F.col("node").alias("anc")), "anc", "left_semi").select("node").distinct()
-    lowest = base.join(first, "node", "left_semi").where("ord = 1").agg(F.min("z").alias("low"))
-    high = base.join(F.broadcast(lowest)).where("ord > 0 and z >= low").select("node")
-    return below.unionByName(high).distinct()
-
-
-def touched(tree: DataFrame, node: str = "node", parent: str = "parent", gen: str = "gen") -> DataFrame:
+    names = [*keys, "node", "_b"]
+    kids = cyl.where(F.col(parent).isNotNull()).groupBy(*keys, F.col(parent).alias("node"), F.col(branch).alias("_b")).agg(F.min(node).alias("extension"))
+    return cyl.select(*keys, F.col(node).alias("node"), F.col(branch).alias("_b")).join(kids, names, "left").select(*keys, "node", "extension")
+
+
+def crown(cyl: DataFrame, node: str = "node", parent: str = "parent", order: str = "order", z: str = "sz", keys: Sequence[str] = ()) -> DataFrame:
+    """node: each tree's crown.  Seeds are all nodes above order 3, or else of the highest
+    order there is up to 3; then their ancestors off the stem, all descendants of those,
+    and all others off the stem that start no lower than the lowest first-order seed."""
+    base = cyl.select(*keys, node, parent, F.col(order).alias("_ord"), F.col(z).alias("_z"))
+    level = base.groupBy(*keys).agg(F.least(F.max("_ord"), F.lit(4)).alias("_level"))
+    with_ = (lambda d, one: d.join(one, list(keys), "left")) if keys else (lambda d, one: d.join(F.broadcast(one)))
+    base = with_(base, level).withColumn("_seed", _flag(F.col("_ord") >= F.col("_level")))
+    up = gather(base, down={"_over": (F.col("_seed"), F.bool_or, _or)}, node=node, parent=parent, keys=keys)
+    first = base.join(up, [*keys, node]).withColumn("_first", _flag(F.col("_seed") | F.col("_over") & (F.col("_ord") > 0)))
+    first = cut(first.select(*keys, node, parent, "_ord", "_z", "_first"))
+    down = gather(first, up={"_in": (F.col("_first"), _or)}, node=node, parent=parent, keys=keys)
+    low = first.where("_first and _ord = 1").groupBy(*keys).agg(F.min("_z").alias("_low"))
+    all_ = with_(first.join(down, [*keys, node]), low)
+    return all_.where(_flag(F.col("_in") | (F.col("_ord") > 0) & (F.col("_z") >= F.col("_low")))).select(*keys, F.col(node).alias("node"))
+
+
+def touched(tree: DataFrame, node: str = "node", parent: str = "parent", gen: str = "gen", keys: Sequence[str] = ()) -> DataFrame:
     """node, last_gen: latest generation of the node's subtree."""
-    g = tree.select(F.col(node).alias("node"), F.col(gen).alias("g"))
-    return closure(tree, node, parent).join(g, "node").groupBy(F.col("anc").alias("node")).agg(F.max("g").alias("last_gen"))
+    return gather(tree, down={"last_gen": (F.col(gen), F.max, lambda a, b: F.greatest(a, b))}, node=node, parent=parent, keys=keys)
+
+
+def numbered(rows: DataFrame, order: list[str], keys: Sequence[str] = (), out: str = "number") -> DataFrame:
+    """Adds a dense number from 0 over the order, within keys where given.  Rows are dealt
+    by ranges; counts per range give each range's first number, so that no task sorts a
+    whole tree or table."""
+    keys = list(keys)
+    d = dealt(rows, [*keys, *order])
+    sizes = d.groupBy("_part", *keys).count()
+    upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", *keys, F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)) - 1
+    return d.withColumn("_i", place).join(before, ["_part", *keys]).select(*rows.columns, (F.col("_i") + F.col("_before")).alias(out))
 
 
-def prune(tree: DataFrame, least: int, node: str = "node", parent: str = "parent", gen: str = "gen") -> DataFrame:
-    """Nodes of generation >= least, densely renumbered from 0 in order of the old id
-    (new_node, new_parent); a dropped parent leaves a null."""
-    kept = tree.where(F.col(gen) >= least)
-    n = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = kept.repartitionByRange(n, node).withColumn("_part", F.spark_partition_id())
-    sizes = dealt.groupBy("_part").count()
-    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = cut(dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(node)) - 1)
-                   .join(F.broadcast(before), "_part").withColumn("new_node", F.col("_i") + F.col("_before")).drop("_part", "_i", "_before"))
-    ids = numbered.select(F.col(node).alias("_old"), F.col("new_node").alias("new_parent"))
-    return numbered.join(ids, F.col(parent) == F.col("_old"), "left").drop("_old")
+def prune(tree: DataFrame, least: int, node: str = "node", parent: str = "parent", gen: str = "gen", keys: Sequence[str] = ()) -> DataFrame:
+    """Nodes of generation >= least, densely renumbered from 0 in each tree in order of the
+    old id (new_node, new_parent); a dropped parent leaves a null."""
+    kept = cut(numbered(tree.where(F.col(gen) >= least), [node], keys, "new_node"))
+    ids = kept.select(*keys, F.col(node).alias(parent), F.col("new_node").alias("new_parent"))
+    return kept.join(ids, [*keys, parent], "left").select(*tree.columns, "new_node", "new_parent")
 
 
 def skeleton_to_cylinders(nodes: DataFrame) -> DataFrame:
@@ -135,8 +171,8 @@ def skeleton_to_cylinders(nodes: DataFrame) -> DataFrame:
     p = nodes.select("tree_id", F.col("node_id").alias("parent_id"), *[F.col(c).alias(f"s{c}") for c in "xyz"], F.col("parent_id").alias("_up"))
     e = nodes.join(p, ["tree_id", "parent_id"])
     length = F.sqrt(sum((F.col(c) - F.col(f"s{c}")) ** 2 for c in "xyz"))
-    first = F.row_number().over(Window.partitionBy("tree_id", "parent_id").orderBy("node_id")) == 1
-    return e.withColumn("length", length).select(
+    kids = nodes.where("parent_id is not null").groupBy("tree_id", "parent_id").agg(F.min("node_id").alias("_first"))
+    return e.join(kids, ["tree_id", "parent_id"]).withColumn("length", length).select(
         "tree_id", F.col("node_id").alias("cyl_id"), "sx", "sy", "sz",
         *[F.when(F.col("length") > 0, (F.col(c) - F.col(f"s{c}")) / F.col("length")).alias(f"a{c}") for c in "xyz"],
-        "length", "radius", F.when(F.col("_up").isNotNull(), F.col("parent_id")).alias("parent_cyl"), first.alias("continues"))
+        "length", "radius", F.when(F.col("_up").isNotNull(), F.col("parent_id")).alias("parent_cyl"), (F.col("node_id") == F.col("_first")).alias("continues"))

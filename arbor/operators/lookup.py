@@ -3,6 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..plans.stage import cut, dealt
 
 
 def _nodes(nodes: list[float]) -> Column:
@@ -75,36 +78,42 @@ def weighted_choice(u: Column, weights: list[float]) -> Column:
 
 def weighted_pick(rows: DataFrame, draws: DataFrame, weight: str, order: list[str], u: str) -> DataFrame:
     """For each draw the first row, in order, whose cumulative weight reaches u times
-    the total.  Cumulative weights come from range partitions and their sums, so no task
-    sorts the whole table; draws are then placed by one union sort."""
-    return _cumulative_pick(with_running_total(rows, weight, order), draws, u)
-
-
-def with_running_total(rows: DataFrame, weight: str, order: list[str], out: str = "cum", parts: int | None = None) -> DataFrame:
-    """Adds the running sum of weight over a total order of all rows.
-
-    Rows are range-partitioned; each partition's sum (one row a partition) gives the
-    offset of the next, so the global window runs within partitions."""
-    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    sums = dealt.groupBy("_part").agg(F.sum(weight).alias("_sum"))
+    the total.  Cumulative weights come from ranges of rows and their sums; the greatest
+    cumulative weight of each range (one number a range) tells every draw its range, and
+    a sort within the range places it, so that no task sorts the whole table.  No rows:
+    no picks."""
+    d = with_running_total(rows, weight, order, "_cum", keep_part=True)
+    tops = [r[0] for r in d.groupBy("_part").agg(F.max("_cum").alias("t")).orderBy("_part").select("t").collect()]
+    if not tops:
+        return draws.sparkSession.createDataFrame([], StructType(draws.schema.fields + rows.schema.fields))
+    parts = [r[0] for r in d.select("_part").distinct().orderBy("_part").collect()]
+    lists = F.lit(tops), F.lit(parts)
+    at = F.col(u) * F.lit(float(tops[-1]))
+    kinds = {"_pick": d.select(F.struct(*rows.columns).alias("s")).schema[0].dataType, "_draw": draws.select(F.struct(*draws.columns).alias("s")).schema[0].dataType}
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    have = d.select("_part", F.col("_cum").alias("_at"), F.lit(1).alias("_kind"), F.struct(*order).alias("_order"), F.struct(*rows.columns).alias("_pick"), none("_draw"))
+    want = draws.withColumn("_at", at).withColumn("_k", F.least(F.size(F.filter(lists[0], lambda t: t < F.col("_at"))), F.lit(len(tops) - 1)))
+    want = want.select(F.get(lists[1], F.col("_k")).alias("_part"), "_at", F.lit(0).alias("_kind"), F.lit(None).cast(have.schema["_order"].dataType).alias("_order"),
+                       none("_pick"), F.struct(*draws.columns).alias("_draw"))
+    w = Window.partitionBy("_part").orderBy("_at", "_kind", "_order").rowsBetween(0, Window.unboundedFollowing)
+    found = have.unionByName(want).withColumn("_pick", F.first("_pick", True).over(w)).where("_kind = 0")
+    return found.select("_draw.*", "_pick.*")
+
+
+def with_running_total(rows: DataFrame, weight: str, order: list[str], out: str = "cum", parts: int | None = None, keep_part: bool = False) -> DataFrame:
+    """Adds the running sum of weight over a total order of all rows; a null weight adds
+    nothing.
+
+    Rows are dealt by ranges and written once; each range's sum (one row a range) gives
+    the offset of the next, so the global window runs within ranges.  keep_part leaves
+    the range's number in _part."""
+    d = dealt(rows, order, parts)
+    sums = d.groupBy("_part").agg(F.coalesce(F.sum(weight), F.lit(0)).cast("double").alias("_sum"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offset = sums.select("_part", F.coalesce(F.sum("_sum").over(w), F.lit(0.0)).alias("_before"))
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (dealt.withColumn(out, F.sum(weight).over(inside)).join(F.broadcast(offset), "_part")
-            .withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before"))
-
-
-def _cumulative_pick(cumulated: DataFrame, draws: DataFrame, u: str) -> DataFrame:
-    total = cumulated.agg(F.max("cum")).first()[0] or 0.0
-    names = cumulated.columns
-    rows = cumulated.select(F.struct(*names).alias("_pick"), F.lit(None).cast(draws.select(F.struct(*draws.columns)).schema[0].dataType).alias("_draw"), F.col("cum").alias("_at"), F.lit(1).alias("_kind"))
-    want = draws.select(F.lit(None).cast(rows.schema["_pick"].dataType).alias("_pick"), F.struct(*draws.columns).alias("_draw"), (F.col(u) * total).alias("_at"), F.lit(0).alias("_kind"))
-    n = int(cumulated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = rows.unionByName(want).repartitionByRange(n, "_at").withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_pick", F.first("_pick", True).over(w)).where("_kind = 0")
-    firsts = both.where("_kind = 1").groupBy("_part").agg(F.min_by("_pick", "_at").alias("_first"))
-    spare = both.select("_part").distinct().join(firsts, "_part", "left")
-    later = spare.withColumn("_later", F.first("_first", True).over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing))).select("_part", "_later")
-    return found.join(F.broadcast(later), "_part", "left").select("_draw.*", F.coalesce("_pick", "_later").alias("pick")).select(*draws.columns, "pick.*")
+    total = F.coalesce(F.sum(weight).over(inside), F.lit(0)) + F.col("_before")
+    both = d.join(F.broadcast(offset), "_part").withColumn(out, total)
+    if keep_part:
+        return cut(both.select(*rows.columns, "_part", out))
+    return both.select(*rows.columns, out)

@@ -175,6 +175,54 @@ def test_sources(spark, tmp_path):
 
 
 def test_empty_tables(spark):
-    t = spark.createDataFrame([], "node long, parent long")
-    assert hierarchy.subtree_size(t).count() == 0
-    assert hierarchy.children(t).count() == 0
+    t = spark.createDataFrame([], "node long, parent long, gen int, branch long, sz double, order int")
+    for got in (hierarchy.subtree_size(t), hierarchy.children(t), hierarchy.pipe_radii(t, 1.0), hierarchy.trunk_path(t), hierarchy.branch_order(t), hierarchy.extension(t),
+                hierarchy.crown(t), hierarchy.touched(t), hierarchy.prune(t, 1)):
+        assert got.count() == 0
+
+
+def test_trees_do_not_mix(spark, tree):
+    """Two trees with the same cylinder ids give what each gives alone."""
+    c = tree.select("cyl_id", "parent_id", "branch_index", "order", "sz", (F.col("cyl_id") % 4).alias("gen"))
+    two = c.withColumn("tree_id", F.lit(1)).unionByName(c.where("cyl_id <= 5").withColumn("tree_id", F.lit(2)))
+    names = {"node": "cyl_id", "parent": "parent_id"}
+    for f in (hierarchy.subtree_size, lambda d, **k: hierarchy.pipe_radii(d, .5, **k), hierarchy.trunk_path, lambda d, **k: hierarchy.branch_order(d, branch="branch_index", **k),
+              lambda d, **k: hierarchy.extension(d, branch="branch_index", **k), hierarchy.crown, hierarchy.touched, hierarchy.children, hierarchy.roles,
+              lambda d, **k: hierarchy.prune(d, 1, **k)):
+        both = [r.asDict() for r in f(two, keys=["tree_id"], **names).collect()]
+        for k in (1, 2):
+            alone = [r.asDict() for r in f(two.where(F.col("tree_id") == k).drop("tree_id"), **names).collect()]
+            mine = [{a: b for a, b in r.items() if a != "tree_id"} for r in both if r["tree_id"] == k]
+            assert sorted(map(repr, mine)) == sorted(repr({a: r[a] for a in mine[0]}) for r in alone) and mine
+
+
+def test_deep_chains_and_cycles(spark):
+    c = spark.range(20000).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    assert hierarchy.subtree_size(c).where("size <> 20000 - node").count() == 0
+    with pytest.raises(ValueError):
+        hierarchy.subtree_size(spark.createDataFrame([(1, 2), (2, 1), (3, None)], "node long, parent long"))
+
+
+@pytest.mark.parametrize("parts", [4, 8, 32])
+def test_ranges_are_dealt_once(spark, parts):
+    """Wide rows and several partition counts: running totals, picks and numbers."""
+    o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = sorted((r.o_orderkey, r.o_totalprice, r.cum) for r in lookup.with_running_total(o, "o_totalprice", ["o_orderkey"]).collect())
+        total = 0.0
+        for _, w, cum in got:
+            total += w
+            assert cum == pytest.approx(total)
+        keys, upto = [g[0] for g in got], [g[2] for g in got]
+        draws = spark.range(500).select("id", ((F.col("id") + 0.5) / 500).alias("u"))
+        picks = lookup.weighted_pick(o, draws, "o_totalprice", ["o_orderkey"], "u").select("id", "u", "o_orderkey").collect()
+        assert len(picks) == 500
+        for r in picks:
+            i = keys.index(r.o_orderkey)
+            assert upto[i] >= r.u * total - 1e-3 and (i == 0 or upto[i - 1] < r.u * total + 1e-3)
+        n = hierarchy.numbered(o, ["o_orderkey"]).select("o_orderkey", "number").collect()
+        assert sorted((r.o_orderkey, r.number) for r in n) == [(k, i) for i, k in enumerate(keys)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

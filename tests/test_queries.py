@@ -37,3 +37,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    """With both folders and the pipeline gone, and with the folders alone gone, the rest
+    imports and lists its queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    for gone in ([], ["corpus_pipeline.py"]):
+        copy = tmp_path / f"copy{len(gone)}"
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *gone))
+        code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'pipeline' not in q and not any(n.startswith('op1') for n in q); import bench"
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)

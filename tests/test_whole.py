@@ -149,11 +149,3 @@ def test_edge_conflicts_take_every_length(spark):
     want = sorted(ids[((far < .02) & (label[:, None] != label[None])).any(1)])
     got = sorted(r.edge_id for r in queries.edge_conflicts_whole(spark, SF).collect())
     assert got == want and set(r.edge_id for r in queries.edge_conflicts(spark, SF).collect()) < set(got)
-
-
-def test_shape_and_tail_of_long_words():
-    from arbor.llm.quality import word_columns
-
-    long = "ab" * 40
-    assert word_columns(long + "c1!")[2] == word_columns("c1!")[2] != word_columns(long)[2]
-    assert word_columns(long + "-9")[1] == word_columns("a-9")[1]
