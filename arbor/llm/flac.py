@@ -1,12 +1,15 @@
 """FLAC media columns: a lossless encoder and a decoder, vectorised over frames.
 
-Payloads are stored as 8-bit mono streams: STREAMINFO with the MD5 of the samples, a
-SEEKTABLE, and frames of BLOCK samples, each a constant, verbatim, fixed-predictor or
-linear-predictor subframe with Rice-coded residuals, closed by CRC-8 and CRC-16.  The
-decoder reads any mono or stereo stream of 4 to 24 bits with Rice or Rice2 partitions;
-it finds the frames by their headers, verifies both checksums of every frame and the
-MD5, and decodes all frames of a batch side by side: step i decodes the i-th residual of
-every frame.  A checksum that does not hold raises ValueError.
+Payloads are stored as 8-bit mono streams: STREAMINFO with the MD5 of the samples, an
+APPLICATION block with the size of every frame, a SEEKTABLE, and frames of BLOCK samples,
+each a constant, verbatim, fixed-predictor or linear-predictor subframe with Rice-coded
+residuals, closed by CRC-8 and CRC-16.  The decoder reads any mono or stereo stream of 4
+to 24 bits with Rice or Rice2 partitions; frames of a stream with sizes lie where these
+say, those of another stream are walked from header to header, where the CRC-16 of the
+frame before decides between headers of one number (samples may look like headers).  It
+verifies both checksums of every frame and the MD5, and decodes all frames of a batch
+side by side: step i decodes the i-th residual of every frame.  A checksum that does not
+hold raises ValueError.
 
 Null and empty payloads are stored as one block of 64 zero bytes by the query; the
 encoder itself takes any length from 1 sample on.  Equal payloads give equal streams.
@@ -24,6 +27,8 @@ LPC_ORDER = 4
 LPC_BITS = 12
 #: Frames between two seek points.
 SEEK = 64
+#: Name of the APPLICATION block that holds the sizes of the frames, two bytes each.
+SIZES = b"fsiz"
 #: Samples encoded, and frames decoded, at once.
 CHUNK = 1 << 19
 FRAMES = 8192
@@ -218,7 +223,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         info += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + md5
         start = np.cumsum(size) - size
         points = b"".join(struct.pack(">QQH", i * BLOCK, int(start[i]), int(length[i])) for i in range(0, len(size), SEEK))
-        streams.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(points).to_bytes(3, "big") + points + b"".join(g[0] for g in got))
+        sizes = SIZES + size.astype(">u2").tobytes()
+        streams.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x02" + len(sizes).to_bytes(3, "big") + sizes + b"\x83" + len(points).to_bytes(3, "big") + points + b"".join(g[0] for g in got))
     return streams
 
 
@@ -226,17 +232,23 @@ def _metadata(stream: bytes) -> tuple[dict, int]:
     """STREAMINFO fields, and where the frames begin."""
     if stream[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
-    at, info, last = 4, None, False
+    at, info, last, sizes = 4, None, False, None
     while not last:
+        if at + 4 > len(stream):
+            raise ValueError("the stream ends within its metadata")
         last, kind, n = stream[at] >> 7, stream[at] & 0x7F, int.from_bytes(stream[at + 1:at + 4], "big")
         if kind == 0:
             b = stream[at + 4:at + 4 + n]
             v = int.from_bytes(b[10:18], "big")
             info = {"block": int.from_bytes(b[2:4], "big"), "channels": (v >> 41 & 7) + 1, "bits": (v >> 36 & 31) + 1, "samples": v & (1 << 36) - 1, "md5": b[18:34]}
+        elif kind == 2 and stream[at + 4:at + 8] == SIZES and n % 2 == 0:
+            sizes = np.frombuffer(stream[at + 8:at + 4 + n], ">u2").astype(np.int64)
         at += 4 + n
     if info is None:
         raise ValueError("no STREAMINFO")
-    return info, at
+    if sizes is not None and (int(sizes.sum()) != len(stream) - at or (sizes < 8).any()):
+        raise ValueError("the frames' sizes do not fit the stream")
+    return info | {"sizes": sizes}, at
 
 
 class _Bits:
@@ -367,6 +379,11 @@ def _subframes(bits: _Bits, who: np.ndarray, block: np.ndarray, depth: np.ndarra
 def _headers(data: np.ndarray, begin: np.ndarray, end: np.ndarray, infos: list[dict]):
     """Start, header size, block size, number and stream of every frame."""
     cand = np.flatnonzero((data[:-1] == 0xFF) & (data[1:] & 0xFE == 0xF8)) if len(data) > 1 else np.zeros(0, np.int64)
+    sized = np.array([i["sizes"] is not None for i in infos])
+    if sized.any():
+        told = [b + np.cumsum(i["sizes"]) - i["sizes"] for b, i in zip(begin.tolist(), infos) if i["sizes"] is not None]
+        owner = np.searchsorted(begin, cand, "right") - 1
+        cand = np.union1d(cand[(owner < 0) | ~sized[np.maximum(owner, 0)]], np.concatenate(told)).astype(np.int64)
     owner = np.searchsorted(begin, cand, "right") - 1
     ok = (owner >= 0) & (cand + 6 <= end[np.maximum(owner, 0)])
     cand, owner = cand[ok], owner[ok]
@@ -383,26 +400,50 @@ def _headers(data: np.ndarray, begin: np.ndarray, end: np.ndarray, infos: list[d
     block = np.select([code == 1, code <= 5, code == 6, code == 7], [192, 576 << np.maximum(code - 2, 0), pad[after] + 1, (pad[after] << 8 | pad[after + 1]) + 1], 256 << np.maximum(code - 8, 0))
     head = 4 + size + np.where(code == 6, 1, np.where(code == 7, 2, 0)) + np.select([rate == 12, (rate == 13) | (rate == 14)], [1, 2], 0) + 1
     ok = (cand + head <= end[owner]) & (crcs(pad, cand, head - 1, CRC8) == pad[cand + head - 1])
-    # numbers count frames, or samples where blocks vary
     cand, owner, number, block, head = (v[ok] for v in (cand, owner, number, block, head))
-    vary = (data[cand + 1] & 1).astype(bool)
-    keep, due, seen = [], {}, {}
-    for i, (o, n, v, b) in enumerate(zip(owner.tolist(), number.tolist(), vary.tolist(), block.tolist())):
-        if n == (due.get(o, 0) if v else seen.get(o, 0)):
-            keep.append(i)
-            due[o], seen[o] = due.get(o, 0) + b, seen.get(o, 0) + 1
-        elif len(keep) > 1 and owner[keep[-2]] == o and n == number[keep[-1]] and v == vary[keep[-1]]:
-            # two headers of one number: bytes of the frame before may look like the first
-            # of them, so the checksum of that frame decides where it ends
-            prior = int(cand[keep[-2]])
-            crc = int(crcs(pad, np.array([prior]), np.array([int(cand[i]) - prior - 2]), CRC16)[0])
-            if crc == int(pad[cand[i] - 2] << 8 | pad[cand[i] - 1]):
-                due[o] += b - int(block[keep[-1]])
-                keep[-1] = i
-    keep = np.array(keep, np.int64)
+    # numbers count frames, or samples where blocks vary
+    step = np.where(data[cand + 1] & 1, block, 1)
+    keep = [np.flatnonzero(sized[owner])]
+    edge = np.searchsorted(owner, np.arange(len(infos) + 1))
+    for o in np.flatnonzero(~sized).tolist():
+        a, b = int(edge[o]), int(edge[o + 1])
+        keep.append(a + _walk(pad, cand[a:b], number[a:b], step[a:b], int(begin[o]), int(end[o])))
+    keep = np.sort(np.concatenate(keep))
     return cand[keep], head[keep], block[keep], owner[keep]
 
 
+def _walk(pad: np.ndarray, cand: np.ndarray, number: np.ndarray, step: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Which of a stream's possible headers are its frames: a path from the first byte to
+    the end on which numbers follow each other and every frame's CRC-16 holds.  Paths are
+    tried depth first; one possible follower, the usual case, needs no checksum here."""
+    follow: dict[int, list[int]] = {}
+    for i, n in enumerate(number.tolist()):
+        follow.setdefault(n, []).append(i)
+
+    def whole(i: int, stop: int) -> bool:
+        start = int(cand[i])
+        return stop - start > 2 and int(crcs(pad, np.array([start]), np.array([stop - start - 2]), CRC16)[0]) == int(pad[stop - 2] << 8 | pad[stop - 1])
+
+    def after(i: int):
+        later = [j for j in follow.get(int(number[i] + step[i]), ()) if cand[j] > cand[i]]
+        return iter(later if len(later) < 2 else [j for j in later if whole(i, int(cand[j]))])
+
+    if not len(cand) or cand[0] != begin or number[0] != 0:
+        return np.zeros(0, np.int64)
+    path, ways = [0], [after(0)]
+    while path:
+        j = next(ways[-1], None)
+        if j is not None:
+            path.append(j)
+            ways.append(after(j))
+        elif whole(path[-1], end):
+            return np.array(path, np.int64)
+        else:
+            path.pop()
+            ways.pop()
+    return np.zeros(0, np.int64)
+
+
 def _samples(data, at, head, stop, block, mode, depth, channels) -> list[np.ndarray]:
     """Samples (block x channels) of each frame."""
     base = int(at[0])

@@ -1,98 +1,68 @@
 """Language identification with string kernels.
 
 Kernel: blended-spectrum presence, |S(x) & S(y)| / sqrt(|S(x)| |S(y)|), where S is the
-set of character 1-, 2- and 3-grams.  Characters are folded to 64 classes: non-letters,
-the most frequent lower-case letters of the sample, and three classes for the other
-letters; grams over classes are exact, without hashing.  A few landmark texts give the
-Nystroem features K(x, landmarks) K(landmarks, landmarks)^(-1/2); one-versus-rest kernel
-ridge regression is fitted on them.  Scoring is a product of presence matrices with the
-landmarks' and of the result with the coefficients, batch by batch.
-
-The model is fitted on a bounded sample of labelled rows (SAMPLE), spread evenly over
-the languages; scoring covers every whole text.  A null text, or one without a letter,
-is 'und' with score 0.  Ties go to the alphabetically first language.  Without labelled
-rows every text is 'und'.  Repeated rows are scored alike; extra columns are ignored.
+set of 1-, 2- and 3-grams of the lower-case text.  Letters of every script stand for
+themselves; all other characters are one blank.  A gram is one number of three 21-bit
+code points, so that no two grams are confused.  Landmark texts, at least one of each
+language, give the Nystroem features K(x, landmarks) K(landmarks, landmarks)^(-1/2);
+one-versus-rest kernel ridge regression is fitted on them.  Scoring is a product of
+presence matrices with the landmarks' and of the result with the coefficients, batch by
+batch.
+
+The model is fitted on a bounded sample of labelled rows, SAMPLE over all languages but
+EACH at least of every language, and SAMPLE_BYTES of text; scoring covers every whole
+text.  A null text, or one without a letter, is 'und' with score 0.  Ties go to the
+alphabetically first language.  Without labelled rows every text is 'und'.  Repeated rows
+are scored alike; extra columns are ignored.
 """
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import fold, pieces, text_of
+from ._common import chosen_texts, fold, pieces, text_of
 
-#: Training rows over all languages, landmarks among them, ridge weight.
+#: Training rows over all languages, rows of each at least, landmarks, ridge weight.
 SAMPLE = 1600
+EACH = 4
 LANDMARKS = 128
 RIDGE = 1e-3
 FOLDS, HELD = 4, 2
-CLASSES = 64
-NAMED = 60
-TABLE = 0x3000
-GRAMS = CLASSES + CLASSES ** 2 + CLASSES ** 3
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def alphabet(texts: list[str]) -> np.ndarray:
-    """Class of each code point below TABLE: 0 non-letter, then letters by frequency."""
-    letters = np.array([chr(c).isalpha() for c in range(TABLE)])
-    count = np.zeros(TABLE, np.int64)
-    for t in texts:
-        c = _codes(t)
-        count += np.bincount(c[c < TABLE], minlength=TABLE)
-    count[~letters] = 0
-    best = [c for c in np.lexsort((np.arange(TABLE), -count))[:NAMED] if count[c]]
-    table = np.where(letters, 1 + NAMED + np.arange(TABLE) % 3, 0).astype(np.int32)
-    table[best] = 1 + np.arange(len(best))
-    return table
-
-
-def classes_of(text: str, table: np.ndarray) -> np.ndarray:
-    c = _codes(text)
-    if len(c) and c.max() >= TABLE:
-        far = np.array([chr(x).isalpha() for x in c[c >= TABLE].tolist()])
-        out = np.zeros(len(c), np.int32)
-        out[c < TABLE] = table[c[c < TABLE]]
-        out[c >= TABLE] = np.where(far, 1 + NAMED + c[c >= TABLE] % 3, 0)
-        return out
-    return table[c]
-
-
-def presence(text: str, table: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Which grams occur (GRAMS flags), and whether the text has a letter."""
-    c = classes_of(text, table)
-    seen = np.zeros(GRAMS, bool)
-    seen[c] = True
-    letter = bool(seen[1:CLASSES].any())
-    two = c[:-1] * CLASSES + c[1:]
-    seen[CLASSES + two] = True
-    seen[CLASSES + CLASSES ** 2 + two[:-1] * CLASSES + c[2:]] = True
-    return seen, letter
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Every code point that is a letter as itself, the others as 0."""
+    return np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint64)
+
+
+def grams(text: str) -> tuple[np.ndarray, bool]:
+    """The set of grams as ascending numbers, and whether the text has a letter."""
+    c = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    # code points plus one, so that shorter grams differ from longer ones
+    one = c + np.uint64(1)
+    two = one[:-1] << np.uint64(21) | one[1:]
+    three = two[:-1] << np.uint64(21) | one[2:]
+    return np.unique(np.concatenate([one, two, three])), bool(c.any())
 
 
 class Model:
-    """Alphabet, landmark matrix, coefficients and language names."""
+    """Grams of the landmarks, their presence, coefficients and language names."""
 
     def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.names = sorted(set(langs))
-        self.table = alphabet(texts)
-        rows = [np.flatnonzero(presence(t, self.table)[0]) for t in texts]
-        by = {n: [i for i, x in enumerate(langs) if x == n and len(rows[i])] for n in self.names}
-        picked = [by[n][k] for k in range(max(map(len, by.values()), default=0)) for n in self.names if k < len(by[n])][:landmarks]
-        self.grams = np.unique(np.concatenate([rows[i] for i in picked])) if picked else np.zeros(0, np.int64)
-        at = np.full(GRAMS, -1)
-        at[self.grams] = np.arange(len(self.grams))
+        rows = [grams(t)[0] for t in texts]
+        by = {n: [i for i, x in enumerate(langs) if x == n] for n in self.names}
+        picked = [by[n][k] for k in range(max(map(len, by.values()), default=0)) for n in self.names if k < len(by[n])][:max(landmarks, len(self.names))]
+        self.grams = np.unique(np.concatenate([rows[i] for i in picked])) if picked else np.zeros(0, np.uint64)
         self.marks = np.zeros((len(self.grams), len(picked)), np.float32)
         for j, i in enumerate(picked):
-            self.marks[at[rows[i]], j] = 1 / np.sqrt(len(rows[i]))
-        k = np.empty((len(texts), len(picked)))
-        for i, r in enumerate(rows):
-            hit = at[r]
-            k[i] = self.marks[hit[hit >= 0]].sum(axis=0) / np.sqrt(max(1, len(r)))
+            self.marks[np.searchsorted(self.grams, rows[i]), j] = 1 / np.sqrt(len(rows[i]))
+        k = np.array([self.marks[self.known(r)].sum(axis=0, dtype=np.float64) / np.sqrt(len(r)) for r in rows])
         kmm = k[picked]
         w, v = np.linalg.eigh((kmm + kmm.T) / 2)
         root = v @ np.diag(1 / np.sqrt(np.maximum(w, 1e-6))) @ v.T
@@ -102,15 +72,24 @@ class Model:
         self.coef = (root @ beta[:-1]).astype(np.float32)
         self.bias = beta[-1].astype(np.float32)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def known(self, row: np.ndarray) -> np.ndarray:
+        """Places of a text's grams among those of the landmarks."""
+        at = np.minimum(np.searchsorted(self.grams, row), len(self.grams) - 1)
+        return at[self.grams[at] == row]
+
+    def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """One margin per text and language, and which texts have a letter."""
         p = np.zeros((len(texts), len(self.grams)), np.float32)
         size, letter = np.ones(len(texts), np.float32), np.zeros(len(texts), bool)
         for i, t in enumerate(texts):
             if t:
-                seen, letter[i] = presence(t, self.table)
-                p[i] = seen[self.grams]
-                size[i] = np.count_nonzero(seen)
-        margin = (p @ self.marks) / np.sqrt(size)[:, None] @ self.coef + self.bias
+                row, letter[i] = grams(t)
+                p[i, self.known(row)] = 1
+                size[i] = len(row)
+        return (p @ self.marks) / np.sqrt(size)[:, None] @ self.coef + self.bias, letter
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        margin, letter = self.margins(texts)
         best = margin.argmax(axis=1)
         e = np.exp(4 * (margin - margin.max(axis=1, keepdims=True)))
         score = 1 / e.sum(axis=1)
@@ -119,20 +98,25 @@ class Model:
 
 
 def fit(docs: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most sample rows: as many of each language, in the order of a hash of
-    the id.  Ids are chosen first, so that texts of other rows are never sorted."""
+    """Fit on as many rows of each language, in the order of a hash of the id.
+
+    Ids are chosen first, so that texts of other rows are never sorted: of each language
+    those whose hash is below a bound that some more than the wanted number meet, and of
+    these the first, so that no task ranks a whole language."""
     rows = docs.where((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
                       & F.col("text").rlike(r"\p{L}"))
-    h = F.xxhash64("doc_id")
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample // 4).collect()]
-    if not langs:
+    ids = rows.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id"))
+    counts = ids.groupBy("lang").count().collect()
+    if not counts:
         return None
+    each = max(EACH, sample // len(counts))
+    bound = docs.sparkSession.createDataFrame([(r.lang, min(1.0, (2 * each + 64) / r["count"])) for r in counts], "lang string, part double")
+    place = (F.col("h").cast("double") + float(1 << 63)) / float(1 << 64)
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = (rows.select("doc_id", "lang", h.alias("h")).where(F.col("lang").isin(langs))
-           .withColumn("r", F.row_number().over(w)).where(F.col("r") <= max(4, sample // len(langs))).select("doc_id", "lang", "r"))
-    got = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("r", "lang", "text").collect()
-    got = sorted({(r.r, r.lang, r.text) for r in got})
-    return Model([t for _, _, t in got], [x for _, x, _ in got])
+    few = ids.join(F.broadcast(bound), "lang").where(place <= F.col("part")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= each)
+    got = chosen_texts(rows, few.select("doc_id", "lang", F.col("lang").alias("y"), "r"), ["doc_id", "lang"])
+    got = sorted({(r.r, r.y, r.text) for r in got})
+    return Model([t for _, _, t in got], [x for _, x, _ in got]) if got else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -148,8 +132,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for b in batches:
             for at, texts in pieces(b, most_bytes=1 << 19):
                 names, scores = [], []
-                for k in range(0, len(texts), 256):
-                    n, s = m.predict(texts[k:k + 256])
+                # a batch's presence matrix stays below about 64 MB
+                step = max(1, min(256, (16 << 20) // max(1, len(m.grams))))
+                for k in range(0, len(texts), step):
+                    n, s = m.predict(texts[k:k + step])
                     names += n
                     scores += s
                 part = b.slice(at, len(texts))

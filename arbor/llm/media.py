@@ -1,10 +1,12 @@
 """FLAC media columns: texts as payloads, stored losslessly, read back, cut into blocks.
 
-store() pads each text's bytes to a positive multiple of UNIT and encodes them; read()
-decodes media, checks every checksum and returns the samples; pcm_blocks() gives one row
-per block with its sample offset, so that a reader can seek.  Null and empty texts are
-UNIT zero bytes.  Long texts are coded in bounded chunks.  Rows repeat as in the input;
-other columns are ignored.  Media whose checksums fail stop the job with ValueError.
+encoded() pads each text's bytes to a positive multiple of UNIT and encodes them; store()
+writes the streams to the shared folder and reads them back; blocks of PCM are decoded
+from the stored streams with every checksum verified, each with its sample offset, so
+that a reader can seek (pcm_blocks() gives them as rows, report() sums them up again for
+each document).  Null and empty texts are UNIT zero bytes.  Long texts are coded in
+bounded chunks.  Rows repeat as in the input; other columns are ignored.  Media whose
+checksums fail stop the job with ValueError; null media have no blocks.
 """
 from __future__ import annotations
 
@@ -17,13 +19,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flac
-from ._common import pieces, schema_with, text_of
+from ._common import pieces, schema_with, staged, text_of
 
 UNIT = 64
 BATCH = 1 << 20
 
 
 def store(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media: the streams of encoded(), written and read back."""
+    return staged(encoded(docs), "media")
+
+
+def encoded(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: every text as a FLAC stream."""
     def run(batches):
         for b in batches:
@@ -51,9 +58,16 @@ def _groups(column, most: int = BATCH):
 
 
 def features(samples: np.ndarray) -> str:
-    """Peak, zero crossings, sum of absolute samples and of absolute differences."""
-    s = samples[:, 0]
-    return f"{int(np.abs(s).max(initial=0))}:{int(np.count_nonzero(np.diff(np.signbit(s))))}:{int(np.abs(s).sum())}:{int(np.abs(np.diff(s)).sum())}"
+    """Peak, zero crossings, sum of absolute samples and of absolute differences of mono
+    samples."""
+    return f"{int(np.abs(samples).max(initial=0))}:{int(np.count_nonzero(np.diff(np.signbit(samples))))}:{int(np.abs(samples).sum())}:{int(np.abs(np.diff(samples)).sum())}"
+
+
+def _blocks(streams: list[bytes]):
+    """For each stream (sample_offset, byte_offset, n_samples, pcm) of its blocks, pcm as
+    signed little-endian 32-bit samples, channels interleaved."""
+    for samples, frames in flac.decode(streams):
+        yield [(first, byte, n, samples[first:first + n].astype("<i4").tobytes()) for first, byte, n in frames.tolist()]
 
 
 def report(media: DataFrame) -> DataFrame:
@@ -64,8 +78,11 @@ def report(media: DataFrame) -> DataFrame:
         for b in batches:
             for at, held in _groups(b.column(2)):
                 cols = [[] for _ in range(6)]
-                for m, (samples, _) in zip(held, flac.decode(held)):
-                    payload = (samples[:, 0] + 128).astype(np.uint8).tobytes()
+                for m, blocks in zip(held, _blocks(held)):
+                    samples = np.zeros(sum(n for _, _, n, _ in blocks), np.int64)
+                    for first, _, n, pcm in blocks:
+                        samples[first:first + n] = np.frombuffer(pcm, "<i4")
+                    payload = (samples + 128).astype(np.uint8).tobytes()
                     for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), features(samples))):
                         c.append(v)
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -83,9 +100,9 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
         for b in batches:
             for at, held in _groups(b.column(1)):
                 cols = [[] for _ in range(5)]
-                for doc, (samples, frames) in zip(b.column(0).slice(at, len(held)).to_pylist(), flac.decode(held)):
-                    for first, byte, n in frames.tolist():
-                        for c, v in zip(cols, (doc, first, byte, n, samples[first:first + n].astype("<i4").tobytes())):
+                for doc, blocks in zip(b.column(0).slice(at, len(held)).to_pylist(), _blocks(held)):
+                    for block in blocks:
+                        for c, v in zip(cols, (doc, *block)):
                             c.append(v)
                 kinds = (b.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "sample_offset", "byte_offset", "n_samples", "pcm"])

@@ -9,9 +9,10 @@ training sample gives RANK latent directions.  The labelled latent vectors are
 broadcast (SAMPLE * RANK floats); each batch of documents is multiplied with blocks of
 them, and the NEIGHBOURS most similar vote with weights of their similarity.
 
-Training uses at most SAMPLE labelled rows outside the held-out fold; the idf belongs to
+Training uses at most SAMPLE labelled rows (and SAMPLE_BYTES of their text) outside the
+held-out fold; the idf belongs to
 that model.  Null and empty texts have no features and get the training base rate.
-Ties between neighbours are cut arbitrarily but deterministically (by training order).
+Equally similar neighbours are taken in training order (texts in ascending order).
 Without labelled rows the score is 0.5.  Rows repeat as in the input; extra columns are
 ignored.
 """
@@ -142,11 +143,9 @@ class Model:
         for at in range(0, len(self.known), BLOCK):
             sim = np.concatenate([best, z @ self.known[at:at + BLOCK].T], axis=1)
             idx = np.concatenate([who, np.broadcast_to(np.arange(at, min(at + BLOCK, len(self.known))), (len(z), sim.shape[1] - best.shape[1]))], axis=1)
-            if sim.shape[1] > k:
-                top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-                best, who = np.take_along_axis(sim, top, 1), np.take_along_axis(idx, top, 1)
-            else:
-                best, who = sim, idx
+            # a stable sort: of equals the earlier example, which stands further left
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            best, who = np.take_along_axis(sim, top, 1), np.take_along_axis(idx, top, 1)
         w = np.maximum(best, 0).astype(np.float64) ** POWER * self.weight[who]
         total = w.sum(axis=1)
         good = (w * self.y[who]).sum(axis=1)
@@ -155,7 +154,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE) -> Model:
-    rows = labelled_sample(docs, labels, "quality", folds, held, sample // 2)
+    rows, _ = labelled_sample(docs, labels, "quality", folds, held, sample // 2)
     rows = sorted({(t, y) for _, t, y in rows})
     return Model([t for t, _ in rows], [y for _, y in rows])
 

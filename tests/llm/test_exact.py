@@ -356,18 +356,43 @@ def test_packing_edges(edge, nothing):
     assert packing.pack(nothing).count() == 0
 
 
-def test_flac_false_header_inside_a_frame():
-    """Bytes in a frame that form a whole header of the next number, checksum included."""
-    head = np.array([0xFF, 0xF8, 8 << 4, 2, 1, 0], np.int64)
-    head[5] = flac.crcs(head, np.array([0]), np.array([5]), flac.CRC8)[0]
+def without_sizes(stream):
+    """The stream without the block of frame sizes, as another encoder would write it."""
+    out, at, last = bytearray(b"fLaC"), 4, False
+    while not last:
+        last, kind, n = stream[at] >> 7, stream[at] & 0x7F, int.from_bytes(stream[at + 1:at + 4], "big")
+        out += stream[at:at + 4 + n] if kind != 2 else b""
+        at += 4 + n
+    return bytes(out + stream[at:])
+
+
+@pytest.mark.parametrize("numbers", [[1], [1, 2], [1, 2, 3], [2], [1, 1, 2, 2], [0, 1]])
+def test_flac_false_headers_inside_frames(numbers):
+    """Bytes in verbatim frames that form whole headers of later numbers, checksums
+    included, in this coder's streams and in those without sizes."""
     rng = random.Random(6)
-    noise = bytes(rng.randrange(256) for _ in range(400))
-    # noise is stored verbatim, one sample a byte
-    payload = noise[:100] + bytes(int(v) + 128 & 255 for v in head) + noise[100:]
+    noise = bytes(rng.randrange(256) for _ in range(2000))
+    payload = noise[:100]
+    for n in numbers:
+        head = np.array([0xFF, 0xF8, 8 << 4, 2, n, 0], np.int64)
+        head[5] = flac.crcs(head, np.array([0]), np.array([5]), flac.CRC8)[0]
+        payload += bytes(int(v) + 128 & 255 for v in head) + noise[100:120]
+    payload += noise[200:900]
     stream = flac.encode([payload])[0]
-    assert stream.count(head.astype(np.uint8).tobytes()) >= 1
-    samples, frames = flac.decode([stream])[0]
-    assert (samples[:, 0] + 128).astype(np.uint8).tobytes() == payload and len(frames) == 2
+    for s in (stream, without_sizes(stream)):
+        samples, frames = flac.decode([s, flac.encode([noise])[0]])[0]
+        assert (samples[:, 0] + 128).astype(np.uint8).tobytes() == payload and len(frames) == -(-len(payload) // 256)
+
+
+def test_flac_valid_text_with_false_headers(spark):
+    """The same as UTF-8 text, through the whole operator."""
+    rng = random.Random(3)
+    body = "".join(chr(rng.choice((rng.randrange(33, 127), rng.randrange(0x4E00, 0x9FA5)))) for _ in range(400))
+    false = "".join("\x7fx\x00\x02" + chr(n) + chr(c) for n in (1, 2, 3) for c in range(128))
+    docs = spark.createDataFrame([(1, body[:40] + false + body)], "doc_id long, text string")
+    r = media.report(media.store(docs)).first()
+    raw = docs.first().text.encode()
+    assert r.payload_sha256 == hashlib.sha256(raw + bytes(-len(raw) % 64)).hexdigest()
 
 
 def test_secrets_many_matches(spark):
