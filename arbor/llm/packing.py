@@ -11,8 +11,9 @@ Documents are dealt by a hash of the id to shards of about SHARD_ROWS, so a sour
 cluster that holds a third of all rows is spread evenly; bins do not cross shards, which
 costs at most one part-filled set of bins a shard.  A null source conflicts with
 nothing.  Equal texts form a cluster unless a cluster column is named.  Null and empty
-texts are packed as pieces of length 0.  Rows of null id are dealt by their place in the
-table.  Repeated rows are packed each, in different bins, since they conflict.
+texts are packed as pieces of length 0.  The packed columns are written once with a row
+number, which deals and orders rows of null or repeated ids, so that a lost task packs
+them as before.  Repeated rows are packed each, in different bins, since they conflict.
 """
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import staged, text_of
 
 #: Bytes of a bin, documents of a shard.
 CAPACITY = 8192
@@ -65,13 +66,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None,
     n = F.octet_length(text_of()).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source") if "source" in docs.columns else F.lit(None).cast("string").alias("source"),
                        n.alias("n"), (F.xxhash64(text_of()) if cluster is None else F.xxhash64(cluster)).alias("cluster"))
-    count = docs.count()
-    shards = max(1, -(-count // shard_rows))
-    place = F.coalesce(F.col("doc_id"), F.monotonically_increasing_id())
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(place), F.lit(shards)).cast("int"))
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    shards = max(1, -(-rows.count() // shard_rows))
+    again = rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("again"))
+    place = F.when(F.col("doc_id").isNull() | F.col("again").isNotNull(), F.xxhash64("row", F.lit(1))).otherwise(F.xxhash64("doc_id"))
+    dealt = rows.join(again, "doc_id", "left").withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).drop("again")
 
     def run(key, pdf):
-        pdf = pdf.sort_values(["n", "doc_id", "cluster"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["n", "doc_id", "cluster", "source", "row"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         source, cl = pd.factorize(pdf.source)[0], pd.factorize(pdf.cluster)[0]
         size = pdf.n.to_numpy()
         full = size // capacity

@@ -174,18 +174,43 @@ def report(docs: DataFrame, ratios: list[float]) -> DataFrame:
                         F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """text with MASK for each span (overlapping spans count as one, adjacent ones do
+    not).  Pieces are cut in runs of RUN from a part of the text, so that a long text of
+    many spans is not read from its beginning for each."""
+    ordered = F.struct(text.alias("t"), F.array_sort(F.transform(spans, lambda s: s["start"])).alias("s"), F.array_sort(F.transform(spans, lambda s: s["end"])).alias("e"))
+
+    def cover(v):
+        # where nothing is open: as many spans have begun before as have ended
+        begin = F.array_distinct(F.filter(v["s"], lambda x: _below(v["s"], x, False) == _below(v["e"], x, True)))
+        end = F.array_distinct(F.filter(v["e"], lambda x: _below(v["e"], x, True) == _below(v["s"], x, False)))
+        return F.struct(v["t"].alias("t"), F.length(v["t"]).alias("n"), begin.alias("s"), end.alias("e"))
+
+    def joined(v):
+        last = F.size(v["s"])
+        begin = lambda i: F.when(i == 0, 0).otherwise(F.get(v["e"], i - 1))
+        end = lambda i: F.when(i == last, v["n"]).otherwise(F.get(v["s"], i))
+
+        def run(c):
+            low, high = c * RUN, F.least(last, c * RUN + RUN - 1)
+            return _bound(v["t"].substr(begin(low) + 1, end(high) - begin(low)), lambda part: F.transform(
+                F.sequence(low, high), lambda i: part.substr(begin(i) - begin(low) + 1, end(i) - begin(i))))
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.floor(last / RUN).cast("int")), run)), MASK)
+
+    return _bound(_bound(ordered, cover), joined)
+
+
 def redact(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """docs with every span replaced by MASK (overlapping spans by one); n_chars, where
     present, follows the text.  Rows and other columns stay as they are."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    cut = F.aggregate(
-        "_spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] >= acc["pos"], F.struct(
-            s["end"].alias("pos"), F.concat(acc["out"], t.substr(acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(MASK)).alias("out")))
-        .otherwise(F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], t.substr(acc["pos"] + 1, F.length(t))))
     clean = (scan(docs.withColumnsRenamed({"base": "_scan_b", "spans": "_scan_s"}), ratios).withColumnRenamed("spans", "_spans")
-             .withColumn("text", F.when(F.size("_spans") > 0, cut).otherwise(F.col("text")))
+             .withColumn("text", F.when(F.size("_spans") > 0, masked(text_of(), F.col("_spans"))).otherwise(F.col("text")))
              .withColumnsRenamed({"base": "_scan_drop"}).withColumnsRenamed({"_scan_b": "base", "_scan_s": "spans"}))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -2,22 +2,25 @@
 
 A fingerprint of 64 bits is mapped to 32 counts, the set bits of each 2-bit segment.
 The Manhattan distance of two count vectors never exceeds the Hamming distance of the
-fingerprints.  The counts are cut into BLOCKS = 6 runs of segments; a distance of 4 or
-less leaves at least two runs untouched, so two near fingerprints share one of the 15
-grid cells (pair of runs, their counts).  Within a cell the Manhattan bound filters,
-and the exact Hamming distance decides.
+fingerprints.  The counts are cut into B runs of segments; a distance of D or less leaves
+at least B - D runs untouched, so two near fingerprints share one of the grid cells
+(B - D runs, their counts).  B grows with the number of fingerprints, so that the
+expected pairs of strangers in a fingerprint's cells stay below STRANGERS.  Within a cell
+the Manhattan bound filters, and the exact Hamming distance decides.
 
 Cells emit a spanning forest of their links, never all pairs; cells above
 ``cell_rows`` are cut into chunks, and every pair of chunks is a task of its own.
-Components come from distributed minimum-label propagation with pointer jumping.
+Components come from distributed minimum-label propagation over fingerprints, so every
+row links, with an id or without.
 
 Nulls and empty texts have fingerprint 0.  Rows of equal text share one fingerprint.
-Extra columns of the input are ignored.  Rows with a null doc_id get a null component
-unless another document of the group has an id.
+Extra columns of the input are ignored.  The component_id is the least id of the
+component, null where no row of it has an id.
 """
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged, text_of
+from ..plans.stage import drop
+from ._common import schema_with, staged, text_of
 
 SHINGLE = 4
 SEED = 42
 MAX_DISTANCE = 4
-BLOCKS = 6
+#: Pairs of strangers a fingerprint may meet in all its cells, as expected.
+STRANGERS = 64
 CELL_ROWS = 4096
 
 
@@ -60,17 +65,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _fingerprint_batches(batches):
-    for b in batches:
-        col = b.column(1)
-        fp = pa.array([_signed(fingerprint(col[i].as_py())) for i in range(len(col))], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), fp], names=["doc_id", "fp"])
+def fingerprints(docs: DataFrame, keys: list[str] = (), shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, the columns of keys, fp (the fingerprint as a signed long): one row per
+    input row."""
+    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text_of().alias("text"))
 
+    def run(batches):
+        for b in batches:
+            col = b.column(b.num_columns - 1)
+            fp = pa.array([_signed(fingerprint(col[i].as_py(), shingle)) for i in range(len(col))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], fp], names=["doc_id", *keys, "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), one row per input row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long")
+    return data.mapInArrow(run, schema_with(data, ["doc_id", *keys], "fp long"))
 
 
 def counts_of(fp: np.ndarray) -> np.ndarray:
@@ -79,32 +85,41 @@ def counts_of(fp: np.ndarray) -> np.ndarray:
     return bits.reshape(len(fp), 32, 2).sum(axis=2, dtype=np.uint8)
 
 
-def _bounds() -> list[int]:
-    return [round(i * 32 / BLOCKS) for i in range(BLOCKS + 1)]
+def runs_for(fingerprints: int, distance: int = MAX_DISTANCE) -> int:
+    """How many runs to cut the counts into: the fewest that keep strangers apart.  A
+    count has 1.5 bits of entropy."""
+    for b in range(distance + 2, 33):
+        cells, bits = comb(b, distance), 48 * (b - distance) / b
+        if fingerprints * cells <= STRANGERS * 2 ** bits or cells > 4096:
+            return b
+    return 32
 
 
-def _cell_rows(batches):
-    cut = _bounds()
-    keep = BLOCKS - MAX_DISTANCE
-    for b in batches:
-        fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        if not len(fp):
-            continue
-        c = counts_of(fp.view(np.uint64)).astype(np.int64)
-        code = [c[:, cut[i]:cut[i + 1]] @ (3 ** np.arange(cut[i + 1] - cut[i], dtype=np.int64)) for i in range(BLOCKS)]
-        cells = []
-        for k, runs in enumerate(combinations(range(BLOCKS), keep)):
-            cell = np.full(len(fp), k, np.int64)
-            for i in runs:
-                cell = cell * 3 ** (cut[i + 1] - cut[i]) + code[i]
-            cells.append(cell)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(cells)), pa.array(np.tile(fp, len(cells))),
-             pa.concat_arrays([b.column(1)] * len(cells))], names=["cell", "fp", "node"])
+def _cell_rows(distance: int, runs: int):
+    """The cells of each fingerprint, one row each."""
+    cut = [round(i * 32 / runs) for i in range(runs + 1)]
 
+    def run(batches):
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(fp):
+                continue
+            c = counts_of(fp.view(np.uint64)).astype(np.int64)
+            code = [c[:, cut[i]:cut[i + 1]] @ (3 ** np.arange(cut[i + 1] - cut[i], dtype=np.int64)) for i in range(runs)]
+            cells = []
+            for k, kept in enumerate(combinations(range(runs), runs - distance)):
+                cell = np.full(len(fp), k, np.int64)
+                for i in kept:
+                    cell = cell * 3 ** (cut[i + 1] - cut[i]) + code[i]
+                cells.append(cell)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.tile(fp, len(cells)))], names=["cell", "fp"])
 
-def links_in_groups(group: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int = MAX_DISTANCE):
-    """Spanning forest of the links within equal runs of the sorted array group.
+    return run
+
+
+def links_in_groups(group: np.ndarray, fp: np.ndarray, distance: int = MAX_DISTANCE):
+    """Spanning forest of the links within equal runs of the sorted array group: pairs of
+    fingerprints.
 
     Row i is held against row i + lag for lag 1, 2, ... as long as some group reaches
     that far, so memory stays linear whatever the size of a group."""
@@ -146,50 +161,56 @@ def links_in_groups(group: np.ndarray, fp: np.ndarray, node: np.ndarray, distanc
                 if np.array_equal(up, label):
                     break
                 label = up
-    return node[out_a], node[out_b]
+    return fp[out_a], fp[out_b]
 
 
-def _cell_links(batches):
+def _cell_links(distance: int):
     """Rows come sorted by group; a group may go on in the next batch."""
-    held = None
-    for b in batches:
-        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-        if not len(held[0]):
-            continue
-        end = int(np.searchsorted(held[0], held[0][-1]))
-        done, held = [x[:end] for x in held], [x[end:] for x in held]
-        if end:
-            u, v = links_in_groups(*done)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-    if held is not None and len(held[0]):
-        u, v = links_in_groups(*held)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-
-def near_links(distinct: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """u, v: node pairs that connect what lies within MAX_DISTANCE; distinct has
-    (fp, node), each fp once."""
-    cells = distinct.select("fp", "node").mapInArrow(_cell_rows, "cell long, fp long, node long")
+    def links(group, fp):
+        u, v = links_in_groups(group, fp, distance)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(2)]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            if not len(held[0]):
+                continue
+            end = int(np.searchsorted(held[0], held[0][-1]))
+            done, held = [x[:end] for x in held], [x[end:] for x in held]
+            if end:
+                yield links(*done)
+        if held is not None and len(held[0]):
+            yield links(*held)
+
+    return run
+
+
+def near_links(distinct: DataFrame, cell_rows: int = CELL_ROWS, distance: int = MAX_DISTANCE) -> DataFrame:
+    """u, v: pairs of fingerprints that connect what lies within the distance; distinct
+    has fp, each once."""
+    runs = runs_for(distinct.count(), distance)
+    cells = distinct.select("fp").mapInArrow(_cell_rows(distance, runs), "cell long, fp long")
     crowded = (cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows)
                .select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("chunks")))
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     tasks = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("chunks") - 1),
                     lambda j: F.least(chunk, j) * F.col("chunks") + F.greatest(chunk, j)))
-    grouped = (cells.join(crowded, "cell", "left")
-               .select("cell", "fp", "node", F.explode(tasks).alias("task"))
-               .select(F.xxhash64("cell", "task").alias("grp"), "fp", "node"))
+    grouped = (cells.join(crowded, "cell", "left").select("cell", "fp", F.explode(tasks).alias("task"))
+               .select(F.xxhash64("cell", "task").alias("grp"), "fp"))
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (grouped.repartition(parts, "grp").sortWithinPartitions("grp")
-            .mapInArrow(_cell_links, "u long, v long"))
+            .mapInArrow(_cell_links(distance), "u long, v long"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component: the least node reachable, for every node of an edge.
 
     Large-star / small-star: every round moves edges to the smallest neighbour; two
-    equal rounds end it.  Each round is written to the shared folder."""
+    equal rounds end it.  Each round is written to the shared folder.  More rounds than
+    given (they grow with the logarithm of the edges) raise ValueError."""
     edges = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                    .where("u <> v").distinct(), "edges")
     seen = None
@@ -201,25 +222,44 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        edges = staged(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        before, edges = edges, staged(small, "edges")
+        drop(before)
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == seen:
+            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        seen = now
+    raise ValueError("components are not finished")
+
+
+def groups_of(fps: DataFrame, cell_rows: int = CELL_ROWS, distance: int = MAX_DISTANCE) -> DataFrame:
+    """fp, component (the least fingerprint reachable), each fingerprint once."""
+    distinct = staged(fps.select("fp").distinct(), "distinct")
+    comp = components(near_links(distinct, cell_rows, distance))
+    return distinct.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id; a row per document."""
     fps = staged(fingerprints(docs), "fingerprints")
-    distinct = staged(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    comp = components(near_links(distinct, cell_rows))
-    groups = distinct.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(groups, "fp", "left").select(
+    groups = staged(groups_of(fps, cell_rows), "groups")
+    ids = fps.groupBy("fp").agg(F.min("doc_id").alias("id")).join(groups, "fp").groupBy("component").agg(F.min("id").alias("component_id"))
+    named = groups.join(ids, "component").select("fp", "component_id")
+    return fps.join(named, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component (rows of null id stay)."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").select(*docs.columns))
+def keep_one(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """One row of docs for each component: that of the least doc_id (rows of null id come
+    last), among rows of one id that of the least hash; repeated rows leave one."""
+    plain = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    keys = [F.xxhash64("doc_id", text_of()).alias("_k1"), F.xxhash64(F.lit(7), *plain).alias("_k2")]
+    named = docs.select("*", *keys)
+    fps = staged(fingerprints(named, ["_k1", "_k2"]), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
+    rows = fps.groupBy("fp", "doc_id", "_k1", "_k2").count()
+    first = rows.groupBy("fp").agg(F.min(F.struct(place.alias("p"), "count")).alias("f"))
+    kept = staged(first.join(groups_of(fps, cell_rows), "fp").groupBy("component").agg(F.min("f").alias("f"))
+                  .select("f.p._k1", "f.p._k2", (F.col("f.count") > 1).alias("_many")), "kept")
+    one = named.join(kept.where("not _many").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi")
+    many = named.join(kept.where("_many").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    return one.unionByName(many).select(*docs.columns)

@@ -5,11 +5,11 @@ table.  Equal strings must meet without gathering the corpus, so every window of
 bytes is dealt by content: its anchor is the k-gram of least hash inside it (winnowing).
 Windows that follow each other with one anchor form a snippet; snippets of an anchor
 that occurs once cannot repeat and are left out.  Equal snippets become one entry with a
-multiplicity, and all windows of an entry seen twice are repeated; the entries of an
-anchor, where it has several, are held against each other in shards of about SHARD
-positions.  Each shard sorts its suffixes (Larsson-Sadakane: ranks of h symbols are
+multiplicity, and all entries of an anchor are held against each other in shards of about
+SHARD positions.  Each shard sorts its suffixes (Larsson-Sadakane: ranks of h symbols are
 refined to 2h, only where still tied), gets common prefixes by Kasai's algorithm (run
-over many stretches at once), and marks the starts whose neighbour shares LENGTH bytes.
+over many stretches at once), and marks the starts whose neighbour shares LENGTH bytes; a
+suffix of an entry with copies has its copy's as a neighbour, with all of it in common.
 
 An anchor with more entries than a shard holds (a passage in a third of all documents,
 between different neighbours) is dealt over several shards; they are merged by binary
@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stage import drop
 from ._common import schema_with, staged, text_of
 
 LENGTH = 200
@@ -128,13 +129,18 @@ def _occurrences(batches):
 
 
 def _cut(batches):
-    """Bytes of the wanted snippets of each text."""
+    """Bytes of the wanted snippets of each text; rows of one name are cut once."""
+    seen = set()
     for b in batches:
         for at in range(0, b.num_rows, 128):
             part = b.slice(at, 128)
             cols = [[] for _ in range(6)]
-            for raw, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                for w in wanted:
+            for k1, k2, raw, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3)):
+                if (k1, k2) in seen:
+                    continue
+                seen.add((k1, k2))
+                raw = raw.as_py()
+                for w in wanted.as_py():
                     data = raw[w["start"]:w["start"] + w["n"] + LENGTH - 1]
                     for c, v in zip(cols, (w["grp"], w["anchor"], w["sid"], w["crowded"], w["many"], data)):
                         c.append(v)
@@ -227,11 +233,15 @@ def kasai(sa: np.ndarray, buf: np.ndarray, rem: np.ndarray, lane: int = 512) ->
     return lcp
 
 
-def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text, whether the length bytes from each start also start elsewhere."""
+def repeated_starts(texts: list[bytes], length: int = LENGTH, copies: list[bool] | None = None) -> list[np.ndarray]:
+    """For each text, whether the length bytes from each start also start elsewhere; a
+    text with copies stands for itself and them."""
     sa, buf, rem, owner = suffix_array(texts)
     lcp = kasai(sa, buf, rem)
     hit = np.zeros(len(buf), bool)
+    if copies is not None:
+        # in the array of all texts each suffix of such a text lies beside its copy's
+        hit = np.array(copies, bool)[owner] & (rem >= length)
     long = lcp >= length
     hit[long] = True
     before = np.full(len(buf), -1)
@@ -255,7 +265,7 @@ _FOUND_DDL = "anchor long, sid long, runs array<struct<lo:int,hi:int>>, bucket i
 
 def _shards(bits: int):
     """Solves shards.  Rows come sorted by grp; shards close at the end of a group.  Runs
-    are told for entries seen once (many is false).  A shard of crowded anchors also
+    are told for every entry with repeated windows.  A shard of crowded anchors also
     gives its distinct windows in the order of their digests, cut into 2^bits buckets."""
     def solve(rows):
         out = {f.name: [] for f in _FOUND}
@@ -265,8 +275,8 @@ def _shards(bits: int):
                 c.append(row.get(k))
 
         windows = []
-        for (anchor, sid, crowded, many, data), flags in zip(rows, repeated_starts([r[-1] for r in rows])):
-            if flags.any() and not many:
+        for (anchor, sid, crowded, many, data), flags in zip(rows, repeated_starts([r[-1] for r in rows], copies=[r[-2] for r in rows])):
+            if flags.any():
                 tell(anchor=anchor, sid=sid, runs=runs_of(flags))
             if crowded:
                 w = np.empty(len(flags), _WINDOW)
@@ -346,19 +356,22 @@ def repeats(docs: DataFrame) -> DataFrame:
     some = staged(data.mapInArrow(_occurrences, "k1 long, k2 long, anchor long, sid long, start int, n int").join(twice, "anchor", "left_semi"), "snippets")
     entries = staged(some.groupBy("anchor", "sid").agg((F.count("*") > 1).alias("many"), F.min(F.struct("k1", "k2", "start", "n")).alias("r"))
                      .select("anchor", "sid", "many", "r.*"), "entries")
-    several = (entries.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.col("n") + LENGTH - 1).alias("size")).where(F.col("k") > 1)
-               .select("anchor", F.ceil(F.col("size") / SHARD).alias("m")))
-    grp = F.xxhash64("anchor", F.when(F.col("m") > 1, F.pmod(F.xxhash64("sid"), F.col("m"))).otherwise(F.lit(0)))
-    wanted = (entries.join(several, "anchor").groupBy("k1", "k2")
-              .agg(F.collect_list(F.struct(grp.alias("grp"), "anchor", "sid", (F.col("m") > 1).alias("crowded"), "many", "start", "n")).alias("wanted")))
-    cut = data.join(wanted, ["k1", "k2"]).select("raw", "wanted").mapInArrow(_cut, "grp long, anchor long, sid long, crowded boolean, many boolean, data binary")
+    # written first, so that the join below has plain sides, whose heavy keys are split
+    crowded = staged(entries.groupBy("anchor").agg(F.sum(F.col("n") + LENGTH - 1).alias("size")).where(F.col("size") > SHARD)
+                     .select("anchor", F.ceil(F.col("size") / SHARD).alias("m")), "crowded-anchors")
+    grp = F.xxhash64("anchor", F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("sid"), F.col("m"))).otherwise(F.lit(0)))
+    wanted = (entries.join(crowded, "anchor", "left").groupBy("k1", "k2")
+              .agg(F.collect_list(F.struct(grp.alias("grp"), "anchor", "sid", F.col("m").isNotNull().alias("crowded"), "many", "start", "n")).alias("wanted")))
+    cut = data.join(wanted, ["k1", "k2"]).select("k1", "k2", "raw", "wanted").mapInArrow(_cut, "grp long, anchor long, sid long, crowded boolean, many boolean, data binary")
     found = staged(cut.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_shards(max(1, parts.bit_length() + 2)), _FOUND_DDL), "repeated-windows")
     merged = (found.where("block is not null").select("bucket", "block").repartition(parts, "bucket").sortWithinPartitions("bucket")
               .mapInArrow(_merge, "anchor long, sid long, runs array<struct<lo:int,hi:int>>"))
-    whole = entries.where("many").select("anchor", "sid", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
-    runs = whole.unionByName(found.where("runs is not null").select("anchor", "sid", "runs")).unionByName(merged)
+    runs = staged(found.where("runs is not null").select("anchor", "sid", "runs").unionByName(merged), "runs")
     covered = F.flatten(F.transform("runs", lambda r: F.array(F.col("start") + r["lo"], F.col("start") + r["hi"] + (LENGTH - 1))))
-    return staged(some.join(runs, ["anchor", "sid"]).groupBy("k1", "k2").agg(F.flatten(F.collect_list(covered)).alias("found")), "repeats")
+    # a set: rows of one name have the same stretches
+    out = staged(some.join(runs, ["anchor", "sid"]).groupBy("k1", "k2").agg(F.flatten(F.collect_set(covered)).alias("found")), "repeats")
+    drop(twice, some, entries, crowded, found, runs)
+    return out
 
 
 def removed_spans(found: pa.ListScalar) -> list[tuple[int, int]]:

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from arbor.llm import bpe, flac, media, packing, secrets, simhash, suffix
 
@@ -75,6 +76,25 @@ def test_secrets_random_tokens_and_redaction(docs, spark):
     assert red[0] == f"use {secrets.MASK} here" and red[3] == f"use {plain[0]} here"
 
 
+def test_redaction_of_overlapping_and_many_spans(spark):
+    """Overlapping spans by one mask, adjacent ones by one each; over many runs of spans."""
+    def brute(text, spans):
+        out, pos = [], 0
+        for a, b in sorted(spans):
+            if a >= pos:
+                out += [text[pos:a], secrets.MASK]
+            pos = max(pos, b)
+        return "".join(out) + text[pos:]
+
+    rng = random.Random(8)
+    cases = [("abcdefghij", [(0, 4), (2, 6), (6, 8)]), ("é🙂xyz", [(1, 2)]), ("abc", [(0, 3)]), ("abc", []), ("abcdef", [(1, 5), (1, 3), (2, 4)])]
+    text = "".join(rng.choice("abcé🙂 ") for _ in range(6000))
+    cases.append((text, [(a, a + rng.randint(1, 9)) for a in rng.sample(range(5980), 900)]))
+    df = spark.createDataFrame([(i, t, sp) for i, (t, sp) in enumerate(cases)], "id int, text string, spans array<struct<start:int,end:int>>")
+    got = {r.id: r.m for r in df.select("id", secrets.masked(F.col("text"), F.col("spans")).alias("m")).collect()}
+    assert got == {i: brute(t, sp) for i, (t, sp) in enumerate(cases)}
+
+
 def test_redaction_edges(edge, nothing):
     ratios = secrets.train(edge)
     out = secrets.redact(edge, ratios)
@@ -123,9 +143,48 @@ def test_simhash(docs):
 def test_simhash_edges(edge, nothing):
     check_simhash(edge)
     assert simhash.near_duplicates(nothing).count() == 0
-    kept = simhash.keep_one(edge)
-    assert kept.columns == edge.columns
-    assert kept.where("doc_id is null").count() == 2
+    check_keep_one(edge)
+    check_keep_one(nothing)
+
+
+def check_keep_one(df):
+    """One row of each component, that of the least id where it has one."""
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    brute = simhash_brute(rows_of(df))
+    groups = {c for _, _, c in brute}
+    assert sorted(d for d, _ in got if d is not None) == sorted(c for c in groups if c is not None)
+    assert len({f"{simhash.fingerprint(t):016x}" for _, t in got}) == len(got)
+
+
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    """1 - null - 2, neighbours at 4 bits: all three are one component; rows without any
+    id have none."""
+    fps = [(1, 0), (None, 0b1111), (2, 0b11111111), (None, -1), (None, -1)]
+    df = spark.createDataFrame([(d, "x") for d, _ in fps], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: spark.createDataFrame(fps, "doc_id long, fp long"))
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect())
+    assert got == Counter([(1, 1), (None, 1), (2, 1), (None, None), (None, None)])
+
+
+def test_simhash_keeps_one_of_repeated_rows(spark):
+    rng = random.Random(4)
+    a, b = (" ".join(f"{rng.randrange(10 ** 6)}" for _ in range(50)) for _ in range(2))
+    rows = [(3, a, "s")] * 3 + [(3, a, "t"), (None, a, "s"), (None, b, None), (None, b, None)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(3, a), (0, b)])
+
+
+def test_simhash_unfinished_components_raise(spark):
+    chain = spark.range(64).selectExpr("id as u", "id + 1 as v")
+    assert {r.component for r in simhash.components(chain).collect()} == {0}
+    with pytest.raises(ValueError):
+        simhash.components(chain, rounds=1)
+
+
+def test_simhash_runs_grow_with_the_table():
+    assert [simhash.runs_for(n) for n in (10, 10 ** 5, 10 ** 6, 10 ** 7, 10 ** 8)] == [6, 6, 7, 8, 10]
 
 
 def test_simhash_chains_in_crowded_cells(spark):
@@ -139,7 +198,7 @@ def test_simhash_chains_in_crowded_cells(spark):
             for k in rng.sample(range(64), rng.randint(1, 5)):
                 b ^= 1 << k
     fps = sorted(fps)
-    df = spark.createDataFrame([(simhash._signed(f), i) for i, f in enumerate(fps)], "fp long, node long")
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
     a = np.array(fps, np.uint64)
     root = list(range(len(fps)))
 
@@ -153,8 +212,10 @@ def test_simhash_chains_in_crowded_cells(spark):
             x, y = find(i), find(j)
             root[max(x, y)] = min(x, y)
     for cell_rows in (4096, 3):
-        got = {r.node: r.component for r in simhash.components(simhash.near_links(df, cell_rows)).collect()}
-        assert {i: got.get(i, i) for i in range(len(fps))} == {i: find(i) for i in range(len(fps))}
+        got = {r.node & (1 << 64) - 1: r.component for r in simhash.components(simhash.near_links(df, cell_rows)).collect()}
+        mine = [got.get(f, simhash._signed(f)) for f in fps]
+        first = {}
+        assert [first.setdefault(c, i) for i, c in enumerate(mine)] == [find(i) for i in range(len(fps))]
 
 
 # --- suffix arrays
