@@ -6,10 +6,10 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vec import Vec, arccos, cross, dot, rotate, scale, sub, unit
+from .vec import Vec, arccos, cross
 
 # Names of configuration keys by how a drawn value is limited.
-INTEGER_KEYS = ("numberOfEndpoints",)
+INTEGER_KEYS = ("numberOfEndpoints", "maxIterations")
 POSITIVE_KEYS = ("interNodeLength", "influenceRange", "trunk_radius", "stem_height", "stem_diameter", "crown_width", "crown_height", "surface_bias", "top_bias")
 # Semantic classes of a scan and what they become.
 SEMANTIC_CODES = {1: 0, 2: 1, 10: 2}
@@ -89,19 +89,6 @@ def upward(n: Vec) -> Vec:
     return tuple(F.when(n[2] < 0, -c).otherwise(c) for c in n)
 
 
-def petiole_frame(axis: Vec, length: Column, radius: Column, along: Column, turn: Column, petiole: Column, normal: Vec) -> dict[str, Vec]:
-    """Start, leaf direction and end of a petiole on a cylinder: it leaves the surface
-    at the share along of the length, turned by turn from the upmost radial direction
-    (the northmost if the axis is within 1e-3 of vertical)."""
-    upright = F.abs(axis[2]) > math.cos(1e-3)
-    pole = tuple(F.when(upright, F.lit(a)).otherwise(F.lit(b)) for a, b in zip((0.0, 1.0, 0.0), (0.0, 0.0, 1.0)))
-    radial = rotate(unit(sub(pole, scale(axis, dot(pole, axis)))), axis, turn)
-    start = tuple(along * length * axis[i] + radius * radial[i] for i in range(3))
-    side = unit(cross(radial, normal))
-    direction = unit(cross(normal, side))
-    return {"start": start, "dir": direction, "end": tuple(start[i] + petiole * direction[i] for i in range(3))}
-
-
 def leaf_vertex(base: tuple[float, float, float], size: Vec, direction: Vec, normal: Vec, origin: Vec) -> Vec:
     """Where a vertex of the base shape lies: x along normal x dir, y along dir, z along normal."""
     side = cross(normal, direction)

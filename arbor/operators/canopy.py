@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions.scalars import compass
+from .lookup import asof_interpolate
 from .spatial import occupied
 
 SECTORS = 16
@@ -47,3 +48,13 @@ def positions(hull: DataFrame, n: int, slice_: float, seed: int = 8) -> DataFram
     draw = lambda k: rng.uniform(seed, k, "slice", "sector", "_i")
     a, r = (F.col("sector") + draw(0)) * (2 * math.pi / SECTORS), F.col("reach") * F.sqrt(draw(1))
     return d.select(F.xxhash64("slice", "sector", "_i").alias("leaf_id"), (-r * F.sin(a)).alias("x"), (r * F.cos(a)).alias("y"), ((F.col("slice") + draw(2)) * slice_).alias("z"))
+
+
+def compass_to_stem(points: DataFrame, stem: DataFrame, tree: str = "tree_id") -> DataFrame:
+    """points (tree, x, y, z) with compass: the direction from the stem's centre at the
+    point's height, interpolated along stem (tree, z, sx, sy); trees without a stem are
+    left out."""
+    named = points.columns
+    with_key = points.withColumn("_xyz", F.struct(*named))
+    got = asof_interpolate(with_key.select(tree, "z", "_xyz"), stem.select(tree, "z", "sx", "sy"), tree, "z", ["sx", "sy"])
+    return got.select("_xyz.*", compass(F.col("_xyz.x") - F.col("sx"), F.col("_xyz.y") - F.col("sy")).alias("compass"))

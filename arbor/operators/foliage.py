@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..functions.vec import cols, cross, rotate
+from ..functions.scalars import leaf_normal, upward
+from ..functions.vec import cols, cross, dot, named, rotate, scale, sub, unit
 from ..plans.stage import cut
+from .cylinders import compass_of_midpoints, relative_height, relative_position
 from .lookup import right_closed_bin
 from .spatial import radius_pairs
 
@@ -282,3 +284,74 @@ def accept(leaves: DataFrame, shape: list[tuple], tris: list[tuple], target: flo
                     out = F.when(F.col("frame") == k, rotate(p, about[axis], F.lit(math.radians(degrees)))[i]).otherwise(out)
             kept = kept.withColumn(f"_{v}{c}", out)
     return kept.select(*[F.col(f"_{c}" if c in GEOMETRY[3:9] else c).cast(leaves.schema[c].dataType).alias(c) for c in leaves.columns])
+
+
+def sizes_to_total(draws: DataFrame, keys: list[str], order: list[str], total: str, base_area: float, size: Column, constant: float | None = None) -> DataFrame:
+    """Leaves to a total area: of a constant size as many as its area goes into the total,
+    rounded; else drawn until their areas reach it.  draws has the keys, the order (from
+    0), the total and whatever size needs; size and leaf_area are added."""
+    if constant is not None:
+        n = F.round(F.col(total) / (base_area * constant ** 2))
+        return draws.where(F.col(order[-1]) < n).withColumn("size", F.lit(float(constant))).withColumn("leaf_area", F.lit(base_area * constant ** 2))
+    sized = draws.withColumn("size", size).withColumn("leaf_area", base_area * F.col("size") ** 2)
+    return within_budget(sized, keys, order, "leaf_area", total)
+
+
+def phyllotaxis(cyl: DataFrame, spacing: float, rotation: float, per_node: int = 1, separation: float = math.pi) -> DataFrame:
+    """cyl with place (0 base, 1 tip), turn and leaf_no: nodes from the tip down at a fixed
+    spacing, each turned on by rotation, with per_node leaves separation apart; the last
+    node is the one before the base is passed."""
+    nodes = F.floor(F.col("length") / spacing + 1e-12).cast("int")
+    d = cyl.withColumn("_node", F.explode(F.sequence(F.lit(0), nodes))).withColumn("_leaf", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))))
+    place = F.greatest(F.lit(0.0), 1 - F.col("_node") * spacing / F.col("length"))
+    turn = (F.col("_node") * rotation + F.col("_leaf") * separation) % (2 * math.pi)
+    return d.withColumn("place", place).withColumn("turn", turn).withColumn("leaf_no", F.col("_node") * per_node + F.col("_leaf")).drop("_node", "_leaf")
+
+
+def leaf_bounds(leaves: DataFrame, tree: str = "tree_id") -> DataFrame:
+    """tree and the least and greatest leaf start, widened by the greatest size."""
+    most = F.max("size")
+    return leaves.groupBy(tree).agg(*[c for n in "xyz" for c in ((F.min(f"s{n}") - most).alias(f"{n}0"), (F.max(f"s{n}") + most).alias(f"{n}1"))])
+
+
+def with_petiole(rows: DataFrame, along: Column, turn: Column, petiole: Column) -> DataFrame:
+    """rows (a*, n*, s*, length, radius) with d*, the leaf's direction, and e*, the end of
+    its petiole: it leaves the cylinder's surface at the share along of the length, turned
+    by turn from the upmost radial direction (the northmost if the axis is within 1e-3 of
+    vertical), and runs across the side that the radial direction and the normal span.
+    Each step is a set of columns, so that no expression is repeated in the next."""
+    axis, normal = cols("a"), cols("n")
+    d = rows.withColumns({"_along": along, "_turn": turn, "_long": petiole})
+    upright = F.abs(axis[2]) > math.cos(1e-3)
+    pole = tuple(F.when(upright, F.lit(p)).otherwise(F.lit(q)) for p, q in zip((0.0, 1.0, 0.0), (0.0, 0.0, 1.0)))
+    step = lambda d, name, v: d.withColumns({f"{name}{k}": c for k, c in zip("xyz", v)})
+    d = d.withColumn("_dot", dot(pole, axis))
+    d = step(d, "_q", sub(pole, scale(axis, F.col("_dot"))))
+    d = step(d, "_u", unit(cols("_q")))
+    d = step(d, "_r", rotate(cols("_u"), axis, F.col("_turn")))
+    d = step(d, "_c", cross(cols("_r"), normal))
+    d = step(d, "_s", unit(cols("_c")))
+    d = step(d, "_f", cross(normal, cols("_s")))
+    d = step(d, "d", unit(cols("_f")))
+    end = [F.col(f"s{k}") + F.col("_along") * F.col("length") * F.col(f"a{k}") + F.col("radius") * F.col(f"_r{k}") + F.col("_long") * F.col(f"d{k}") for k in "xyz"]
+    d = step(d, "e", end)
+    return d.select(*rows.columns, *[f"{p}{k}" for p in "de" for k in "xyz"])
+
+
+def direct(cyl: DataFrame, masses: tuple[list[float], list[float], list[float]], total: float, base_area: float, sizes: tuple[str, tuple[float, float]],
+           angles: tuple[str, str, tuple, tuple], petiole: tuple[float, float] = (0.0, 0.0), seed: int = 1) -> DataFrame:
+    """Leaves on cylinders, from densities to a leaf table: relative height, distance and
+    direction, area by allocate(), sizes by leaf_sizes(), angles by leaf_angles(), the
+    petiole frame at a keyed place, and the budget by window (no collisions; accept()
+    takes the rows for those).  leaf_id, tree_id, cyl_id, s*, d*, n*, size, leaf_area."""
+    c = compass_of_midpoints(relative_height(cyl))
+    c = relative_position(c, ["tree_id", "branch_index"], ["cyl_id"])
+    c = allocate(c, F.col("rel_height"), F.col("rel_pos"), F.col("compass"), masses, total)
+    leaves = leaf_angles(leaf_sizes(c, *sizes, base_area, seed), angles[0], angles[1], seed + 1, angles[2], angles[3])
+    draw = lambda k: rng.uniform(seed + 2, k, "tree_id", "cyl_id", "leaf_no")
+    normal = upward(leaf_normal(F.col("inc"), F.col("az")))
+    leaves = leaves.select("*", *named(normal, "n"))
+    d = with_petiole(leaves, draw(0), draw(1) * (2 * math.pi), petiole[0] + (petiole[1] - petiole[0]) * draw(2))
+    rows = d.select("tree_id", "cyl_id", "leaf_no", F.xxhash64("tree_id", "cyl_id", "leaf_no").alias("leaf_id"), *[F.col(f"e{k}").alias(f"s{k}") for k in "xyz"],
+                    "dx", "dy", "dz", "nx", "ny", "nz", "size", "leaf_area")
+    return within_budget(rows, ["tree_id"], ["leaf_id"], "leaf_area", total)

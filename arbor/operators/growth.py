@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..functions.scalars import apical_control, suppressed
 from ..functions.vec import cols, with_segment_distance2
 from ..plans.stage import cut
-from .spatial import clear_edges, edge_conflicts, radius_pairs
+from .spatial import clear_edges, edge_conflicts, inside_mesh, radius_pairs, segment_hits
 
 DEAD, FAR = -1, -2
 
@@ -25,11 +26,28 @@ def assign(endpoints: DataFrame, nodes: DataFrame, influence: float) -> DataFram
     kids = nodes.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_child"))
     open_ = nodes.join(kids, ["tree_id", "node_id"], "left").where(F.coalesce("n_child", F.lit(0)) <= 1).select("tree_id", "node_id", "x", "y", "z")
     e = endpoints.select("tree_id", "ep_id", "x", "y", "z")
-    near = (radius_pairs(e, open_, influence).where((F.col("tree_id") == F.col("b_tree_id")) & (F.col("d2") < influence * influence))
+    near = (radius_pairs(e, open_, influence, also=("tree_id",)).where(F.col("d2") < influence * influence)
             .groupBy("tree_id", "ep_id").agg(F.min(F.struct("d2", F.col("b_node_id").alias("n"))).alias("m")))
     return e.join(near, ["tree_id", "ep_id"], "left").select("tree_id", "ep_id", "x", "y", "z", F.coalesce("m.n", F.lit(FAR)).alias("node_id"), F.sqrt("m.d2").alias("dist"))
 
 
+def updated(assigned: DataFrame, new_nodes: DataFrame, influence: float, kill: float) -> DataFrame:
+    """assigned (tree_id, ep_id, x, y, z, node_id, dist) after new nodes of the same trees:
+    one takes an endpoint over where it is strictly nearer than the stored distance (of
+    several the nearest, ties to the least id); nearer than or at kill the endpoint is
+    DEAD, at influence or beyond FAR.  Only the new nodes are joined."""
+    n = new_nodes.select("tree_id", "node_id", "x", "y", "z")
+    open_ = assigned.where(F.col("node_id") != DEAD)
+    near = (radius_pairs(open_.select("tree_id", "ep_id", "x", "y", "z"), n, influence, also=("tree_id",))
+            .groupBy("tree_id", "ep_id").agg(F.min(F.struct(F.sqrt("d2").alias("d"), F.col("b_node_id").alias("n"))).alias("m")))
+    better = F.col("m.d").isNotNull() & (F.col("dist").isNull() | (F.col("m.d") < F.col("dist"))) & (F.col("node_id") != DEAD)
+    d = F.when(better, F.col("m.d")).otherwise(F.col("dist"))
+    node = (F.when(F.col("node_id") == DEAD, DEAD).when(d.isNull() | (d >= influence), FAR).when(d <= kill, DEAD)
+            .when(better, F.col("m.n")).otherwise(F.col("node_id")))
+    return (assigned.join(near, ["tree_id", "ep_id"], "left")
+            .select("tree_id", "ep_id", "x", "y", "z", node.alias("node_id"), F.when(d < influence, d).alias("dist")))
+
+
 def proposals(endpoints: DataFrame, nodes: DataFrame, step: float, tropism: float = 0.0) -> DataFrame:
     """tree_id, parent_id, px, py, pz, x, y, z: one new node per active node, a step
     along the sum of the unit directions to its endpoints; a zero sum grows nothing."""
@@ -78,22 +96,49 @@ def edges(nodes: DataFrame) -> DataFrame:
     return nodes.join(p, ["tree_id", "parent_id"]).select(F.xxhash64("tree_id", "node_id").alias("edge_id"), "tree_id", "p0x", "p0y", "p0z", *[F.col(c).alias(f"p1{c}") for c in "xyz"])
 
 
+def unhindered(e: DataFrame, terrain: DataFrame | None, excluded: DataFrame | None, edge: float) -> DataFrame:
+    """Proposed edges (edge_id, p0*, p1*) that meet no triangle of the terrain and do not
+    end in the closed mesh of an exclusion group."""
+    if terrain is not None:
+        e = e.join(segment_hits(e, terrain, edge), "edge_id", "left_anti")
+    if excluded is not None:
+        ends = e.select("edge_id", *[F.col(f"p1{c}").alias(c) for c in "xyz"])
+        e = e.join(inside_mesh(ends, excluded, "edge_id", edge), "edge_id", "left_anti")
+    return e
+
+
+def unsuppressed(new: DataFrame, nodes: DataFrame, generation: int, control: tuple[float, float, float, float], seed: int) -> DataFrame:
+    """Proposals that apical control lets grow: control holds its strength, the generation
+    at which it ends, factor and falloff; it keeps shoots (a second child) from growing."""
+    c0, t0, factor, falloff = control
+    kids = nodes.where("parent_id is not null").select("tree_id", F.col("parent_id")).distinct()
+    c = apical_control(F.lit(float(c0)), F.lit(float(t0)), F.lit(float(generation)))
+    u = rng.uniform(seed + 1, generation, "tree_id", "parent_id")
+    shoots = new.join(kids, ["tree_id", "parent_id"], "left_semi").where(~suppressed(c, F.lit(float(factor)), F.lit(float(falloff)), u))
+    return new.join(kids, ["tree_id", "parent_id"], "left_anti").unionByName(shoots)
+
+
 def grow(roots: DataFrame, endpoints: DataFrame, generations: int, step: float, influence: float, kill: float, least: float = 0.8,
-         tropism: float = 0.0, seed: int = 5) -> DataFrame:
+         tropism: float = 0.0, seed: int = 5, terrain: DataFrame | None = None, excluded: DataFrame | None = None,
+         control: tuple[float, float, float, float] | None = None) -> DataFrame:
     """nodes after so many generations.  roots: tree_id, x, y, z; endpoints: tree_id,
-    ep_id, x, y, z.  An endpoint dies when a node comes as near as kill."""
+    ep_id, x, y, z.  An endpoint dies when a node comes as near as kill.  terrain and
+    excluded are triangles that edges may not meet and closed meshes that nodes may not
+    lie in; control is unsuppressed()'s."""
     nodes = cut(roots.select("tree_id", F.lit(0).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), "x", "y", "z", F.lit(0).alias("gen")))
     alive = cut(endpoints.select("tree_id", "ep_id", "x", "y", "z"))
     longest = step + abs(tropism)
     for g in range(1, generations + 1):
         alive = cut(assign(alive, nodes, influence).where(F.col("dist").isNull() | (F.col("dist") > kill)))
         new = proposals(alive, nodes, step, tropism)
+        if control is not None:
+            new = unsuppressed(new, nodes, g, control, seed)
         w = Window.partitionBy("tree_id").orderBy("parent_id")
         top = nodes.groupBy("tree_id").agg(F.max("node_id").alias("top"))
         numbered = cut(new.withColumn("r", F.row_number().over(w)).join(top, "tree_id").withColumn("node_id", F.col("top") + F.col("r")))
         e = numbered.select(F.xxhash64("tree_id", "node_id").alias("edge_id"), "tree_id", *[F.col(f"p{c}").alias(f"p0{c}") for c in "xyz"],
                             *[F.col(c).alias(f"p1{c}") for c in "xyz"], "node_id", "parent_id")
-        ok = settle(clear_edges(e, edges(nodes), least, longest), least, longest, seed, g)
+        ok = settle(clear_edges(unhindered(e, terrain, excluded, max(step, 1e-6) * 2), edges(nodes), least, longest), least, longest, seed, g)
         grown = ok.select("tree_id", "node_id", "parent_id", *[F.col(f"p1{c}").alias(c) for c in "xyz"], F.lit(g).alias("gen"))
         if grown.isEmpty():
             break

@@ -176,3 +176,19 @@ def skeleton_to_cylinders(nodes: DataFrame) -> DataFrame:
         "tree_id", F.col("node_id").alias("cyl_id"), "sx", "sy", "sz",
         *[F.when(F.col("length") > 0, (F.col(c) - F.col(f"s{c}")) / F.col("length")).alias(f"a{c}") for c in "xyz"],
         "length", "radius", F.when(F.col("_up").isNotNull(), F.col("parent_id")).alias("parent_cyl"), (F.col("node_id") == F.col("_first")).alias("continues"))
+
+
+def trunk_height(trunk: DataFrame, z: str = "z", keys: Sequence[str] = ()) -> DataFrame:
+    """keys, height: greatest less least z over the trunk's nodes."""
+    return trunk.groupBy(*keys).agg((F.max(z) - F.min(z)).alias("height"))
+
+
+def most_of_children(tree: DataFrame, value: str, node: str = "node", parent: str = "parent", keys: Sequence[str] = ()) -> DataFrame:
+    """node, most: the greatest value among a node's children; nodes without are absent."""
+    return tree.where(F.col(parent).isNotNull()).groupBy(*keys, F.col(parent).alias(node)).agg(F.max(value).alias("most"))
+
+
+def beside_parent(tree: DataFrame, value: str, node: str = "node", parent: str = "parent", keys: Sequence[str] = ()) -> DataFrame:
+    """tree with parent_value, the parent's value; roots and orphans are left out."""
+    up = tree.select(*keys, F.col(node).alias(parent), F.col(value).alias("parent_value"))
+    return tree.join(up, [*keys, parent])

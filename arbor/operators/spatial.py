@@ -23,15 +23,16 @@ def _around(names: tuple[str, ...]) -> Column:
     return F.array(*[F.struct(*[(F.col(f"c{n}") + i).alias(f"c{n}") for n, i in zip(names, o)]) for o in out])
 
 
-def radius_pairs(a: DataFrame, b: DataFrame, radius: float, names: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """Columns of a with those of b (prefixed b_) and d2, where d2 <= radius^2.  b is
-    dealt to the cells around it, a stays in its own."""
+def radius_pairs(a: DataFrame, b: DataFrame, radius: float, names: tuple[str, ...] = ("x", "y", "z"), also: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of a with those of b (prefixed b_) and d2, where d2 <= radius^2 and the
+    columns of also are equal.  b is dealt to the cells around it, a stays in its own."""
     left = with_cell(a, radius, names)
     right = with_cell(b, radius, names).withColumn("_c", F.explode(_around(names)))
-    right = right.select(*[F.col(f"_c.c{n}").alias(f"c{n}") for n in names], *[F.col(c).alias(f"b_{c}") for c in b.columns])
+    right = right.select(*[F.col(f"_c.c{n}").alias(f"c{n}") for n in names], *[F.col(k).alias(f"_k_{k}") for k in also], *[F.col(c).alias(f"b_{c}") for c in b.columns])
+    left = left.select("*", *[F.col(k).alias(f"_k_{k}") for k in also])
+    keys = [*[f"c{n}" for n in names], *[f"_k_{k}" for k in also]]
     d2 = sum((F.col(n) - F.col(f"b_{n}")) ** 2 for n in names)
-    return (left.join(right, [f"c{n}" for n in names]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-            .drop(*[f"c{n}" for n in names]))
+    return left.join(right, keys).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop(*keys)
 
 
 def nearest(points: DataFrame, nodes: DataFrame, influence: float, point: str, node: str, open_: Column | None = None) -> DataFrame:
@@ -74,29 +75,38 @@ def box_overlaps(a: DataFrame, b: DataFrame, edge: float, ida: str, idb: str) ->
     return j.select(F.col("aid").alias(ida), F.col("bid").alias(idb))
 
 
-def edge_conflicts(new: DataFrame, old: DataFrame, least: float, longest: float) -> DataFrame:
+def _pieces(edges: DataFrame, piece: float) -> DataFrame:
+    """edges cut into equal parts of length piece at most: their mid points x, y, z and
+    half lengths _half beside the columns of the edge."""
+    length = F.sqrt(sum((F.col(f"p1{n}") - F.col(f"p0{n}")) ** 2 for n in "xyz"))
+    d = edges.withColumn("_n", F.greatest(F.lit(1), F.ceil(length / piece)).cast("int")).withColumn("_half", length / F.col("_n") / 2)
+    d = d.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    at = (F.col("_i") + 0.5) / F.col("_n")
+    return d.select(*edges.columns, "_half", *[(F.col(f"p0{n}") + at * (F.col(f"p1{n}") - F.col(f"p0{n}"))).alias(n) for n in "xyz"])
+
+
+def edge_conflicts(new: DataFrame, old: DataFrame, least: float, piece: float | None = None) -> DataFrame:
     """Edges of new (edge_id, tree_id, p0*, p1*) nearer than least to an edge of another
-    tree in old; longest bounds the length of every edge.  Cells are least + longest
-    wide, so that midpoints of near edges lie in touching cells."""
+    tree in old.  Edges are cut into pieces no longer than piece (the mean length of old
+    if not given), so that one long edge does not widen the cells; near pieces have mid
+    points in touching cells, and the distance of their whole edges decides."""
     if least <= 0:
         return new.limit(0).select("edge_id")
-    reach = least + longest
-
-    def mid(df):
-        half = F.sqrt(sum((F.col(f"p1{n}") - F.col(f"p0{n}")) ** 2 for n in "xyz")) / 2
-        return df.select("*", *[((F.col(f"p0{n}") + F.col(f"p1{n}")) / 2).alias(n) for n in "xyz"], half.alias("_half"))
-
-    # midpoints of near edges are no farther apart than least and both half lengths
+    if piece is None:
+        length = F.sqrt(sum((F.col(f"p1{n}") - F.col(f"p0{n}")) ** 2 for n in "xyz"))
+        piece = old.agg(F.avg(length)).first()[0] or 0.0
+    piece = max(float(piece), least)
+    # mid points of near pieces are no farther apart than least and both half lengths
     touch = F.sqrt("d2") <= least + F.col("_half") + F.col("b__half") + 1e-9
-    near = radius_pairs(mid(new), mid(old), reach).where((F.col("tree_id") != F.col("b_tree_id")) & touch)
+    near = radius_pairs(_pieces(new, piece), _pieces(old, piece), (least + piece) * (1 + 1e-9)).where((F.col("tree_id") != F.col("b_tree_id")) & touch)
     far = with_segment_distance2(near, cols("p0"), cols("p1"), cols("b_p0"), cols("b_p1"), "far2")
     # filtered after the aggregation: a filter on the sum of so many steps would be pushed
     # below them and written out in full
     return far.groupBy("edge_id").agg(F.min("far2").alias("far2")).where(F.col("far2") < least * least).select("edge_id")
 
 
-def clear_edges(new: DataFrame, old: DataFrame, least: float, longest: float) -> DataFrame:
-    return new.join(edge_conflicts(new, old, least, longest), "edge_id", "left_anti")
+def clear_edges(new: DataFrame, old: DataFrame, least: float, piece: float | None = None) -> DataFrame:
+    return new.join(edge_conflicts(new, old, least, piece), "edge_id", "left_anti")
 
 
 def _renamed(tri: DataFrame) -> DataFrame:

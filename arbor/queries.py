@@ -395,14 +395,17 @@ def voxel_radius_join(spark, sf_dir):
     return spatial.radius_pairs(p, p, 0.05).where("tree_id <> b_tree_id").select(F.col("vec_id").alias("a"), F.col("b_vec_id").alias("b"), r6(F.col("d2"), "d2"))
 
 
-@query(f"""WITH {POINTS}, n AS (SELECT * FROM points WHERE vec_id % 5 = 0 AND tree_id % 2 = 0), d AS (SELECT p.vec_id AS ep_id, n.vec_id AS node_id, (p.x-n.x)*(p.x-n.x)+(p.y-n.y)*(p.y-n.y)+(p.z-n.z)*(p.z-n.z) AS d2 FROM points p JOIN n ON true),
+NEAREST = f"""WITH {POINTS}, n AS (SELECT * FROM points WHERE tree_id % 2 = 0), d AS (SELECT p.vec_id AS ep_id, n.vec_id AS node_id, (p.x-n.x)*(p.x-n.x)+(p.y-n.y)*(p.y-n.y)+(p.z-n.z)*(p.z-n.z) AS d2 FROM points p JOIN n ON true),
 m AS (SELECT ep_id, arg_min(node_id, (d2, node_id)) AS node_id, min(d2) AS d2 FROM d WHERE d2 < 0.04::DOUBLE GROUP BY 1)
-SELECT p.vec_id AS ep_id, coalesce(m.node_id, -2) AS node_id, round(sqrt(m.d2), 6) AS dist FROM points p LEFT JOIN m ON m.ep_id = p.vec_id""")
+SELECT p.vec_id AS ep_id, coalesce(m.node_id, -2) AS node_id, round(sqrt(m.d2), 6) AS dist FROM points p LEFT JOIN m ON m.ep_id = p.vec_id"""
+
+
+@query(NEAREST)
 def nearest_open(spark, sf_dir):
+    """Every row with an even label is an open node."""
     p = _points(spark, sf_dir)
-    n = p.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "node_id")
     e = p.select(F.col("vec_id").alias("ep_id"), "x", "y", "z")
-    return spatial.nearest(e, n, 0.2, "ep_id", "node_id", F.col("tree_id") % 2 == 0).select("ep_id", "node_id", r6(F.col("dist"), "dist"))
+    return spatial.nearest(e, p.withColumnRenamed("vec_id", "node_id"), 0.2, "ep_id", "node_id", F.col("tree_id") % 2 == 0).select("ep_id", "node_id", r6(F.col("dist"), "dist"))
 
 
 @query(f"""WITH {POINTS}, c AS (SELECT vec_id, floor(x / 0.1::DOUBLE) AS cx, floor(y / 0.1::DOUBLE) AS cy, floor(z / 0.1::DOUBLE) AS cz FROM points)
@@ -418,39 +421,39 @@ def voxel_threshold(spark, sf_dir):
 
 
 @query(f"""WITH {POINTS}, b AS (SELECT *, x - 0.03::DOUBLE AS x0, x + 0.03::DOUBLE AS x1, y - 0.03::DOUBLE AS y0, y + 0.03::DOUBLE AS y1, z - 0.03::DOUBLE AS z0, z + 0.03::DOUBLE AS z1 FROM points)
-SELECT a.vec_id AS veg, b.vec_id AS tree FROM b a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND a.z0 <= b.z1 AND b.z0 <= a.z1 WHERE a.vec_id % 3 = 0 AND b.vec_id % 3 = 1""")
+SELECT a.vec_id AS veg, b.vec_id AS tree FROM b a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND a.z0 <= b.z1 AND b.z0 <= a.z1 WHERE a.tree_id % 2 = 0 AND b.tree_id % 2 = 1""")
 def box_overlap(spark, sf_dir):
+    """Rows of even labels are vegetation, all others trees."""
     p = _points(spark, sf_dir)
     for n in "xyz":
         p = p.withColumn(f"{n}0", F.col(n) - 0.03).withColumn(f"{n}1", F.col(n) + 0.03)
-    return spatial.box_overlaps(p.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "veg"), p.where("vec_id % 3 = 1").withColumnRenamed("vec_id", "tree"), 0.1, "veg", "tree")
+    return spatial.box_overlaps(p.where("tree_id % 2 = 0").withColumnRenamed("vec_id", "veg"), p.where("tree_id % 2 <> 0").withColumnRenamed("vec_id", "tree"), 0.1, "veg", "tree")
 
 
-@query(f"""WITH {CYL}, e AS (SELECT * FROM cyl WHERE length <= 0.2::DOUBLE), m AS (SELECT a.cyl_id, a.tree_id AS ta, b.tree_id AS tb, a.sx - b.sx AS wx, a.sy - b.sy AS wy, a.sz - b.sz AS wz,
+EDGES = f"""WITH {CYL}, e AS (SELECT * FROM cyl), m AS (SELECT a.cyl_id, a.tree_id AS ta, b.tree_id AS tb, a.sx - b.sx AS wx, a.sy - b.sy AS wy, a.sz - b.sz AS wz,
  a.ax * a.length AS ux, a.ay * a.length AS uy, a.az * a.length AS uz, b.ax * b.length AS vx, b.ay * b.length AS vy, b.az * b.length AS vz FROM e a JOIN e b ON a.tree_id <> b.tree_id),
 k AS (SELECT *, ux*ux+uy*uy+uz*uz AS a, ux*vx+uy*vy+uz*vz AS b, vx*vx+vy*vy+vz*vz AS c, ux*wx+uy*wy+uz*wz AS d, vx*wx+vy*wy+vz*wz AS e FROM m),
 s0 AS (SELECT *, CASE WHEN a*c-b*b > 1e-12::DOUBLE THEN least(1, greatest(0, (b*e-c*d)/(a*c-b*b))) ELSE 0 END AS s FROM k),
 t0 AS (SELECT *, CASE WHEN c > 1e-12::DOUBLE THEN least(1, greatest(0, (b*s+e)/c)) ELSE 0 END AS t FROM s0),
 s1 AS (SELECT *, CASE WHEN a > 1e-12::DOUBLE THEN least(1, greatest(0, (b*t-d)/a)) ELSE 0 END AS s2 FROM t0)
-SELECT DISTINCT cyl_id AS edge_id FROM s1 WHERE pow(wx+s2*ux-t*vx,2)+pow(wy+s2*uy-t*vy,2)+pow(wz+s2*uz-t*vz,2) < 0.0004::DOUBLE""")
+SELECT DISTINCT cyl_id AS edge_id FROM s1 WHERE pow(wx+s2*ux-t*vx,2)+pow(wy+s2*uy-t*vy,2)+pow(wz+s2*uz-t*vz,2) < 0.0004::DOUBLE"""
+
+
+@query(EDGES)
 def edge_conflicts(spark, sf_dir):
-    c = cylinders.with_ends(_cyl(spark, sf_dir)).where("length <= 0.2")
+    """Cylinders of every length."""
+    c = cylinders.with_ends(_cyl(spark, sf_dir))
     e = c.select(F.col("cyl_id").alias("edge_id"), "tree_id", *[F.col(f"s{n}").alias(f"p0{n}") for n in "xyz"], *[F.col(f"e{n}").alias(f"p1{n}") for n in "xyz"])
-    return spatial.edge_conflicts(e, e, 0.02, 0.2)
-
+    return spatial.edge_conflicts(e, e, 0.02)
 
-# --- the same joins over all rows: their SQL would join all pairs, so tests hold them
-# --- against brute force
 
-@query()
+@query(NEAREST)
 def nearest_open_whole(spark, sf_dir):
-    """Every open row may be the nearest node."""
-    p = _points(spark, sf_dir)
-    e = p.select(F.col("vec_id").alias("ep_id"), "x", "y", "z")
-    return spatial.nearest(e, p.withColumnRenamed("vec_id", "node_id"), 0.2, "ep_id", "node_id", F.col("tree_id") % 2 == 0).select("ep_id", "node_id", r6(F.col("dist"), "dist"))
+    return nearest_open(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH {POINTS}, b AS (SELECT *, x - 0.03::DOUBLE AS x0, x + 0.03::DOUBLE AS x1, y - 0.03::DOUBLE AS y0, y + 0.03::DOUBLE AS y1, z - 0.03::DOUBLE AS z0, z + 0.03::DOUBLE AS z1 FROM points)
+SELECT a.vec_id AS veg, b.vec_id AS tree FROM b a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND a.z0 <= b.z1 AND b.z0 <= a.z1 WHERE a.vec_id < b.vec_id""")
 def box_overlap_whole(spark, sf_dir):
     """Every pair of boxes, once."""
     p = _points(spark, sf_dir)
@@ -459,13 +462,9 @@ def box_overlap_whole(spark, sf_dir):
     return spatial.box_overlaps(p.withColumnRenamed("vec_id", "veg"), p.withColumnRenamed("vec_id", "tree"), 0.1, "veg", "tree").where("veg < tree")
 
 
-@query()
+@query(EDGES)
 def edge_conflicts_whole(spark, sf_dir):
-    """Cylinders of every length; the longest sets the cells."""
-    c = cylinders.with_ends(_cyl(spark, sf_dir))
-    longest = c.agg(F.max("length")).first()[0] or 0.0
-    e = c.select(F.col("cyl_id").alias("edge_id"), "tree_id", *[F.col(f"s{n}").alias(f"p0{n}") for n in "xyz"], *[F.col(f"e{n}").alias(f"p1{n}") for n in "xyz"])
-    return spatial.edge_conflicts(e, e, 0.02, longest * (1 + 1e-9))
+    return edge_conflicts(spark, sf_dir)
 
 
 def _terrain(spark):
@@ -700,3 +699,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.element_at(F.array(*[F.lit(m) for m in MASSES[1]]), F.col("bin")) * F.col("length") / F.sum("length").over(Window.partitionBy("branch", "bin"))
     shares = c.withColumn("raw", raw).withColumn("area", F.col("raw") / F.sum("raw").over(w) * 20)
     return foliage.within_budget(shares, ["branch"], ["idx"], "area", 15.0).select("branch", "idx", "bin", r6(F.col("area"), "area"))
+
+
+from . import queries_geometry  # noqa: E402, F401

@@ -69,3 +69,31 @@ def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     f = lines.where(F.get("p", F.lit(0)) == "f").select(
         "file", "line", F.transform(F.slice("p", 2, 64), lambda s: F.split(s, "/")[0].cast("int")).alias("corners"))
     return v, f
+
+
+#: Columns of the older cell table, numbered from 1.
+LEGACY = {"radius": 1, "length": 2, "sx": 3, "sy": 4, "sz": 5, "ax": 6, "ay": 7, "az": 8, "parent_id": 9, "branch_index": 11, "added": 14}
+
+
+def cylinder_table(df: DataFrame) -> DataFrame:
+    """The cylinder schema from any of four forms: nested (qsm.cylinder or cylinder),
+    legacy rows (values: array of 14 numbers), columns of vectors (start, axis as arrays),
+    or the flat schema itself; parent 0 means none.  Missing fields raise ValueError."""
+    if "qsm" in df.columns:
+        df = df.select(*[c for c in df.columns if c != "qsm"], "qsm.*")
+    if "cylinder" in df.columns:
+        df = df.select(*[c for c in df.columns if c != "cylinder"], "cylinder.*")
+    if "values" in df.columns:
+        df = df.select("tree_id", "cyl_id", *[F.get("values", F.lit(k - 1)).alias(c) for c, k in LEGACY.items()])
+    for name, short in (("start", "s"), ("axis", "a")):
+        if name in df.columns:
+            df = df.select(*[c for c in df.columns if c != name], *[F.get(name, F.lit(i)).alias(f"{short}{c}") for i, c in enumerate("xyz")])
+    want = StructType.fromDDL(CYLINDER)
+    if missing := [f.name for f in want if f.name not in df.columns]:
+        raise ValueError(f"missing fields: {missing}")
+    return df.select(*[F.when(F.col(f.name) != 0, F.col(f.name)).cast(f.dataType).alias(f.name) if f.name == "parent_id" else F.col(f.name).cast(f.dataType) for f in want])
+
+
+def single_cylinder(spark: SparkSession, length: float = 0.5, radius: float = 0.025) -> DataFrame:
+    """One upright cylinder, to preview leaves on."""
+    return spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, float(length), float(radius), None, 1, False)], CYLINDER)

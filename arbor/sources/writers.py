@@ -4,6 +4,9 @@ Rows carry a number that orders them; vertex numbers follow from counts per leaf
 cylinder, so ranges of rows can be written apart."""
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass, fields
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +74,68 @@ def write_lines(rows: DataFrame, path: str, order: list[str]) -> None:
     """Ordered text as part files by ranges of the order: the parts in the order of their
     names are the file."""
     rows.orderBy(*order).select("line").write.text(path)
+
+
+@dataclass
+class ExportOptions:
+    """How meshes and cylinders are written; of() takes any mapping."""
+    precision: int = 5
+    facecount: int = 5
+    closed: bool = False
+    quads: bool = True
+    comments: bool = True
+    header: bool = True
+    origin: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    extra: tuple[str, ...] = ()
+    filter: Column | None = None
+    color: str | None = None
+
+    @classmethod
+    def of(cls, given: dict) -> ExportOptions:
+        """Unknown names are left out, with a warning."""
+        known = {f.name for f in fields(cls)}
+        for name in sorted(set(given) - known):
+            warnings.warn(f"unknown export option {name}", stacklevel=2)
+        return cls(**{k: v for k, v in given.items() if k in known})
+
+
+def extended_obj(leaves: DataFrame, shape: list[tuple], tris: list[tuple], digits: int = 5, extra: list[str] = ()) -> DataFrame:
+    """part, row, line: the base shape once, then an L row for each leaf (leaf_no, pet*,
+    s*, d*, n*, size and extra columns)."""
+    base = [(0, k, " ".join(["v", *(f"{c:g}" for c in p)])) for k, p in enumerate(shape)] + [(1, k, " ".join(["f", *(str(i + 1) for i in t)])) for k, t in enumerate(tris)]
+    head = leaves.sparkSession.createDataFrame(base, "part int, row long, line string")
+    values = [F.col(f"{p}{c}") for p in ("pet", "s", "d", "n") for c in "xyz"] + [F.col("size")] * 3 + [F.col(c).cast("double") for c in extra]
+    return head.unionByName(leaves.select(F.lit(2).alias("part"), F.col("leaf_no").cast("long").alias("row"), F.concat_ws(" ", F.lit("L"), *[general(v, digits) for v in values]).alias("line")))
+
+
+#: Fields of a cylinder row of the text form, in order.
+CYLINDER_FIELDS = ["radius", "length", "sx", "sy", "sz", "ax", "ay", "az", "parent", "extension", "branch_index", "order", "index_in_branch", "added"]
+BRANCH_FIELDS = ["order", "parent_branch", "volume", "length", "angle", "height"]
+
+
+def model_text(cyl: DataFrame, branches: DataFrame, trees: DataFrame, scalars: list[str]) -> DataFrame:
+    """tree_id, part, row, line: cylinder rows, branch rows, then one row for each of the
+    tree's scalars; a missing value is 0."""
+    line = lambda names: F.concat_ws(" ", *[number(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in names])
+    a = cyl.select("tree_id", F.lit(0).alias("part"), F.col("cyl_id").cast("long").alias("row"), line(CYLINDER_FIELDS).alias("line"))
+    b = branches.select("tree_id", F.lit(1).alias("part"), F.col("branch_index").cast("long").alias("row"), line(BRANCH_FIELDS).alias("line"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("row"), F.concat_ws(" ", F.lit(c), number(F.col(c).cast("double"))).alias("line")) for k, c in enumerate(scalars)]))
+    c = trees.select("tree_id", F.lit(2).alias("part"), each.alias("l")).select("tree_id", "part", "l.*")
+    return a.unionByName(b).unionByName(c)
+
+
+def nested(cyl: DataFrame) -> DataFrame:
+    """tree_id and qsm.cylinder: the cylinder columns as a nested struct, for Parquet."""
+    rest = [c for c in cyl.columns if c != "tree_id"]
+    return cyl.select("tree_id", F.struct(F.struct(*rest).alias("cylinder")).alias("qsm"))
+
+
+def narrowed(v: Column, kind: str) -> Column:
+    """v as uint8 or uint16 (rounded half away from zero, limited to the type's range; not
+    a number is 0), float32 or logical."""
+    if kind == "float32":
+        return v.cast("float")
+    if kind == "logical":
+        return v != 0
+    top = {"uint8": 255, "uint16": 65535}[kind]
+    return F.when(v.isNotNull(), F.when(F.isnan(v.cast("double")), 0).otherwise(F.least(F.lit(top), F.greatest(F.lit(0), F.round(v))))).cast("int")
