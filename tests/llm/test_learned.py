@@ -62,24 +62,19 @@ def test_scores_do_not_see_labels_or_other_columns(spark):
     assert (a == b).all()
 
 
-def test_nearest_examples_are_exact(spark):
-    """Block-max search gives what all cosines give."""
+def test_nearest_examples_are_exact(spark, monkeypatch):
+    """Block-max search gives what all cosines give, whatever the blocks."""
     docs, labels = read(spark, "documents"), read(spark, "labels")
-    toxicity_block, toxicity.BLOCK = toxicity.BLOCK, 4
-    try:
+    texts = [r.text or "" for r in docs.limit(200).collect()]
+    want = None
+    for block in (4, 64, 4096):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
         m = toxicity.fit(docs, labels)
-        known = toxicity._Known(m.vocabulary)
-        dense = np.zeros((len(m.y), len(m.vocabulary) + 1))
-        for k, (e, w) in m.postings.items():
-            dense[e, k] = w
-        for r in docs.limit(300).collect():
-            ids, w = m.vector(r.text, known)
-            if len(ids):
-                cos = dense[:, ids] @ w
-                want = sorted(cos[cos > 0], reverse=True)[:toxicity.NEIGHBOURS]
-                assert np.allclose([s for s, _ in m.nearest(ids, w)], want)
-    finally:
-        toxicity.BLOCK = toxicity_block
+        got = [m.nearest(*m.vector(t)) for t in texts]
+        if want is None:
+            want = got
+        for (a, i), (b, j) in zip(got, want):
+            assert np.allclose(a, b, atol=1e-12) and (i == j).all()
 
 
 def test_edges(edge, nothing, labels):
@@ -133,6 +128,9 @@ def test_search_edges(spark):
     got = ann.search(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [
         (0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (0, 4, 8, -3.0), (20, 1, 8, 1.0), (20, 2, 0, 0.0), (20, 3, 1, 0.0), (20, 4, 2, 0.0)]
+    one = spark.createDataFrame([(20, [3.0]), (20, [9.0]), (4, [2.0]), (5, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    got = ann.search(one, one.where("vec_id = 20")).collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(20, 1, 4, 6.0)]
     assert ann.search(df.where("false"), df.where("false")).count() == 0
     assert ann.search(df, df.where("false")).count() == 0
 
