@@ -189,7 +189,7 @@ def test_stages(spark, docs, labels):
     assert rows(stages["toxicity"](spark, docs, SF)) == sorted((r.doc_id, r.text) for r in docs.collect() if model.score(r.text or "")[0] < 0.5)
 
     pairs = [(r.doc_id, r.text or "") for r in docs.collect()]
-    groups = simhash_groups([t for _, t in pairs])
+    groups = similar_groups([t for _, t in pairs])
     least = {}
     for (d, t), g in zip(pairs, groups):
         least[g] = min(least.get(g, (d, t)), (d, t))
@@ -226,16 +226,43 @@ def test_stages(spark, docs, labels):
     assert rows(stages["secrets"](spark, docs, SF)) == sorted(masked)
 
 
-def simhash_groups(texts):
-    fps = np.array([simhash.fingerprint(t) for t in texts], np.uint64)
-    root = list(range(len(fps)))
+def similar_groups(texts):
+    """Groups by links of a Jaccard similarity of 0.8 or more over five-word shingles."""
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in range(len(fps)):
-        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4).tolist():
-            root[find(i)] = find(j)
-    return [find(i) for i in range(len(fps))]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar_texts_are_found(spark):
+    """Copies with a word changed in forty, twenty or twelve; crowded cells and groups."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    texts = []
+    for k in range(120):
+        base = [word() for _ in range(rng.randint(30, 400))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 3)):
+            every = rng.choice((40, 25, 12))
+            texts.append(" ".join(word() if rng.random() < 1 / every else w for w in base))
+    want = similar_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "name long, text string")
+    for sizes in ({}, {"cell_rows": 5, "group_rows": 2}):
+        comp = {r.name: r.component for r in simhash.similar_groups(df, **sizes).collect()}
+        got = [comp.get(i, i) for i in range(len(texts))]
+        linked = lambda g: {(i, j) for i in range(len(g)) for j in range(i) if g[i] == g[j]}
+        assert linked(got) <= linked(want) and len(linked(got)) >= 0.95 * len(linked(want)) > 20
