@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept;
 all but the last return the columns of documents.  run() writes every stage's result to
 the shared folder and reads it back for the next.  No stage can be put in SQL as a
-whole, so ORACLE_SQL is None; tests hold each stage against brute force.
+whole, so ORACLE_SQL is None; tests/llm/test_brute.py holds every stage against a plain
+recomputation.
 """
 from __future__ import annotations
 
@@ -20,7 +21,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of least id."""
+    """One document of each group of texts linked by a Jaccard similarity of 0.8 or more
+    over five-word shingles: the one of least id."""
     return simhash.keep_one(docs)
 
 
