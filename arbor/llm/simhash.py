@@ -8,7 +8,7 @@ at least B - D runs untouched, so two near fingerprints share one of the grid ce
 expected pairs of strangers in a fingerprint's cells stay below STRANGERS.  Within a cell
 the Manhattan bound filters, and the exact Hamming distance decides.
 
-Cells emit a spanning forest of their links, never all pairs; cells above
+Cells emit what their links connect, one pair a row and never all pairs; cells above
 ``cell_rows`` are cut into chunks, and every pair of chunks is a task of its own.
 Components come from distributed minimum-label propagation over fingerprints, so every
 row links, with an id or without.
@@ -126,8 +126,8 @@ def _cell_rows(distance: int, runs: int):
 
 
 def links_in_groups(group: np.ndarray, fp: np.ndarray, distance: int = MAX_DISTANCE):
-    """Spanning forest of the links within equal runs of the sorted array group: pairs of
-    fingerprints.
+    """What the links within equal runs of the sorted array group connect: fingerprints,
+    each with the first of its run that it is connected to.
 
     Row i is held against row i + lag for lag 1, 2, ... as long as some group reaches
     that far, so memory stays linear whatever the size of a group."""
@@ -137,7 +137,6 @@ def links_in_groups(group: np.ndarray, fp: np.ndarray, distance: int = MAX_DISTA
     counts = counts_of(fp.view(np.uint64)).astype(np.int8)
     bits = fp.view(np.uint64)
     left = np.arange(n - 1)
-    out_a, out_b = [], []
     lag = 0
 
     def root(i):
@@ -160,8 +159,6 @@ def links_in_groups(group: np.ndarray, fp: np.ndarray, distance: int = MAX_DISTA
             a, b = root(p), root(p + lag)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                out_a.append(p)
-                out_b.append(p + lag)
         if len(i):
             label = parent.copy()
             while True:
@@ -169,7 +166,8 @@ def links_in_groups(group: np.ndarray, fp: np.ndarray, distance: int = MAX_DISTA
                 if np.array_equal(up, label):
                     break
                 label = up
-    return fp[out_a], fp[out_b]
+    joined = np.flatnonzero(label != np.arange(n))
+    return fp[joined], fp[label[joined]]
 
 
 def _cell_links(distance: int):
@@ -209,7 +207,7 @@ def near_links(distinct: DataFrame, cell_rows: int = CELL_ROWS, distance: int =
     grouped = (cells.join(crowded, "cell", "left").select("cell", "fp", F.explode(tasks).alias("task"))
                .select(F.xxhash64("cell", "task").alias("grp"), "fp"))
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (grouped.repartition(parts, "grp").sortWithinPartitions("grp")
+    return (grouped.repartition(parts, "grp").sortWithinPartitions("grp", "fp")
             .mapInArrow(_cell_links(distance), "u long, v long"))
 
 
@@ -315,18 +313,20 @@ def _sampled_cells(tables: int, counts: int):
 
 
 def forest(group: np.ndarray, compare) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest, as rows, of the links within equal runs of the sorted array group;
-    compare(i, j) tells which of the pairs of rows are links.  Rows are held against those
-    so many places on, as long as a group reaches that far and they are not yet joined."""
+    """What the links within equal runs of the sorted array group connect: each row with
+    the first row it is connected to, itself left out.  compare(i, j) tells which of the
+    pairs of rows are links.  Rows are held against those so many places on, as long as a
+    group reaches that far and they are not yet joined."""
     n = len(group)
-    label, left, out = np.arange(n), np.arange(n), [[], []]
+    label, left = np.arange(n), np.arange(n)
     lag = 0
     while True:
         lag += 1
         left = left[left + lag < n]
         left = left[group[left] == group[left + lag]]
         if not len(left):
-            return np.array(out[0], np.int64), np.array(out[1], np.int64)
+            joined = np.flatnonzero(label != np.arange(n))
+            return joined, label[joined]
         i = left[label[left] != label[left + lag]]
         for p in i[compare(i, i + lag)].tolist():
             a, b = int(label[p]), int(label[p + lag])
@@ -334,13 +334,12 @@ def forest(group: np.ndarray, compare) -> tuple[np.ndarray, np.ndarray]:
                 lo, hi = np.searchsorted(group, group[p]), np.searchsorted(group, group[p], "right")
                 part = label[lo:hi]
                 part[part == max(a, b)] = min(a, b)
-                out[0].append(p)
-                out[1].append(p + lag)
 
 
 def _grouped(rows: DataFrame, key: str, most: int) -> DataFrame:
     """rows with grp for key: keys of more rows than most are cut into chunks by name, and
-    every pair of chunks is a group of its own.  Dealt and sorted by grp."""
+    every pair of chunks is a group of its own.  Dealt by grp and sorted by grp and name,
+    so that many groups of the same rows name the same first one."""
     crowded = (rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most)
                .select(key, F.ceil(F.col("n") / most).cast("int").alias("chunks")))
     chunk = F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")
@@ -349,7 +348,7 @@ def _grouped(rows: DataFrame, key: str, most: int) -> DataFrame:
     rest = [c for c in rows.columns if c != key]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.join(crowded, key, "left").select(key, *rest, F.explode(tasks).alias("task")).select(F.xxhash64(key, "task").alias("grp"), *rest)
-            .repartition(parts, "grp").sortWithinPartitions("grp"))
+            .repartition(parts, "grp").sortWithinPartitions("grp", "name"))
 
 
 def _links(solve):
