@@ -238,10 +238,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise ValueError("components are not finished")
 
 
+def stars(links: DataFrame) -> DataFrame:
+    """u, v with the same components: each u with its least partner, and its partners with
+    that one.  A u has a partner in each of its cells at most, so its set is small; many
+    u of one group name the same few partners, so most pairs become one."""
+    least = links.groupBy("u").agg(F.collect_set("v").alias("vs")).select("u", "vs", F.array_min("vs").alias("v"))
+    return least.select(F.explode(F.array_union(F.array("u"), "vs")).alias("u"), "v").where("u <> v").distinct()
+
+
 def groups_of(fps: DataFrame, cell_rows: int = CELL_ROWS, distance: int = MAX_DISTANCE) -> DataFrame:
     """fp, component (the least fingerprint reachable), each fingerprint once."""
     distinct = staged(fps.select("fp").distinct(), "distinct")
-    comp = components(near_links(distinct, cell_rows, distance))
+    comp = components(stars(near_links(distinct, cell_rows, distance)))
     return distinct.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
@@ -422,11 +430,11 @@ def similar_groups(texts: DataFrame, cell_rows: int = CELL_ROWS, group_rows: int
     t = staged(texts.select("name", "text").mapInArrow(_texts, "name long, fp long, fp2 long, set binary"), "shingles")
     tables, counts = tables_for(t.count())
     cells = t.select("name", "fp", "fp2").mapInArrow(_sampled_cells(tables, counts), "cell long, name long, fp long, fp2 long")
-    near = components(_grouped(cells, "cell", cell_rows).mapInArrow(_links(_near), "u long, v long"))
+    near = components(stars(_grouped(cells, "cell", cell_rows).mapInArrow(_links(_near), "u long, v long")))
     near = staged(near.select(F.col("component").alias("group"), F.col("node").alias("name")), "near")
     near = near.unionByName(near.select("group", F.col("group").alias("name")).distinct())  # the least names
     groups = staged(near.join(t.select("name", "set"), "name").select("group", "name", "set"), "similar")
-    out = components(_grouped(groups, "group", group_rows).mapInArrow(_links(_similar), "u long, v long"))
+    out = components(stars(_grouped(groups, "group", group_rows).mapInArrow(_links(_similar), "u long, v long")))
     return out.withColumnRenamed("node", "name")
 
 
