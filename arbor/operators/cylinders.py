@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,34 +143,40 @@ def split_long(cyl: DataFrame, most: Column) -> DataFrame:
     return out.withColumn("length", step)
 
 
-def merge_short(cyl: DataFrame, least: float) -> DataFrame:
-    """Within a branch, forward: cylinders are joined until they reach the least length;
-    a short rest joins the last.  One branch is one group, bounded by its tree."""
+def merge_short(cyl: DataFrame, least: float, relative: bool = False) -> DataFrame:
+    """Within a branch, forward: cylinders are joined until they reach the least length (a
+    share of the branch's length if relative); a short rest joins the last.  A joined
+    cylinder has the columns of its first one, runs to the end of its last one and has
+    their mean radius.  parent, if cyl has it, names the joined cylinder that the former
+    parent went into.
+
+    Only the choice of what is joined runs by branch in Python, a branch being bounded by
+    its tree; the rest is aggregation."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cyl_id")
-        out, held, total = [], [], 0.0
-        for row in pdf.to_dict("records"):
-            held.append(row)
-            total += row["length"]
-            if total >= least:
-                out.append(held)
-                held, total = [], 0.0
-        if held:
-            if out:
-                out[-1] += held
-            else:
-                out.append(held)
-        rows = []
-        for group in out:
-            a, b = group[0], group[-1]
-            end = [b[f"s{n}"] + b["length"] * b[f"a{n}"] for n in "xyz"]
-            way = [e - a[f"s{n}"] for e, n in zip(end, "xyz")]
-            length = math.sqrt(sum(x * x for x in way))
-            axis = [x / length if length else a[f"a{n}"] for x, n in zip(way, "xyz")]
-            rows.append(a | {"length": length, "radius": sum(g["radius"] for g in group) / len(group)} | {f"a{n}": x for n, x in zip("xyz", axis)})
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    return cyl.groupBy("tree_id", "branch_index").applyInPandas(run, cyl.schema)
+        need = least * pdf["length"].sum() if relative else least
+        firsts, total = [0], 0.0
+        for i, x in enumerate(pdf["length"].tolist()):
+            total += x
+            if total >= need:
+                firsts.append(i + 1)
+                total = 0.0
+        if len(firsts) > 1:  # nothing, or too little, is left after the last
+            firsts.pop()
+        into = np.searchsorted(firsts, np.arange(len(pdf)), "right") - 1
+        return pdf.assign(_into=pdf["cyl_id"].to_numpy()[np.array(firsts)[into]])
+
+    named = cyl.groupBy("tree_id", "branch_index").applyInPandas(run, f"{cyl._jdf.schema().toDDL()}, _into bigint")
+    last = F.max_by(F.struct(*[(F.col(f"s{n}") + F.col("length") * F.col(f"a{n}")).alias(n) for n in "xyz"]), "cyl_id")
+    one = named.groupBy("tree_id", "branch_index", "_into").agg(F.min_by(F.struct(*cyl.columns), "cyl_id").alias("_a"), last.alias("_b"), F.avg("radius").alias("_r"))
+    way = [F.col(f"_b.{n}") - F.col(f"_a.s{n}") for n in "xyz"]
+    one = one.withColumn("_l", F.sqrt(sum(w * w for w in way)))
+    new = {"length": F.col("_l"), "radius": F.col("_r")} | {f"a{n}": F.when(F.col("_l") > 0, w / F.col("_l")).otherwise(F.col(f"_a.a{n}")) for n, w in zip("xyz", way)}
+    out = one.select(*[new.get(c, F.col(f"_a.{c}")).cast(cyl.schema[c].dataType).alias(c) for c in cyl.columns])
+    if "parent" not in cyl.columns:
+        return out
+    went = named.select("tree_id", F.col("cyl_id").alias("parent"), F.col("_into").alias("_to"))
+    return out.join(went, ["tree_id", "parent"], "left").withColumn("parent", F.coalesce("_to", "parent")).select(*cyl.columns)
 
 
 def tessellate(cyl: DataFrame, sides: int = 5) -> DataFrame:

@@ -12,9 +12,9 @@ from ..functions import rng
 from ..functions.scalars import leaf_normal, upward
 from ..functions.vec import cols, cross, dot, named, rotate, scale, sub, unit
 from ..plans.stage import cut
-from .cylinders import compass_of_midpoints, relative_height, relative_position
+from .cylinders import compass_of_midpoints, relative_height, relative_position, split_long
 from .lookup import right_closed_bin
-from .spatial import radius_pairs
+from .spatial import cell, radius_pairs
 
 BINS = 10
 
@@ -214,9 +214,90 @@ def _blocked(pairs: DataFrame, shape: list[tuple], tris: list[tuple], rows: int
     return pairs.mapInPandas(run, f"{ids}, hits int")
 
 
+def _in_cylinder(tris: np.ndarray, start: np.ndarray, axis: np.ndarray, length: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Per row, whether a triangle (row, triangle, corner, axis) comes nearer to the axis
+    than the radius, strictly between the cylinder's end planes."""
+    w = tris - start[:, None, None]
+    z = (w * axis[:, None, None]).sum(-1)
+    flat = w - z[..., None] * axis[:, None, None]
+    top = length[:, None, None]
+    between = (z.max(-1) > 0) & (z.min(-1) < length[:, None])
+
+    def near(a, b):
+        """Least squared distance from the axis to segments a b across it."""
+        d = b - a
+        dd = (d * d).sum(-1)
+        t = np.clip(np.where(dd > 0, -(a * d).sum(-1) / np.where(dd > 0, dd, 1), 0), 0, 1)
+        return ((a + t[..., None] * d) ** 2).sum(-1)
+
+    z1, f1 = np.roll(z, -1, axis=-1), np.roll(flat, -1, axis=-2)
+    rise = z1 - z
+    safe = np.where(rise == 0, 1, rise)
+    at0, at1 = -z / safe, (top - z) / safe
+    level = rise == 0
+    lo = np.where(level, 0, np.clip(np.minimum(at0, at1), 0, 1))
+    hi = np.where(level, 1, np.clip(np.maximum(at0, at1), 0, 1))
+    some = np.where(level, (z >= 0) & (z <= top), (np.maximum(at0, at1) >= 0) & (np.minimum(at0, at1) <= 1))
+    point = lambda t: flat + t[..., None] * (f1 - flat)
+    least = np.where(some, near(point(lo), point(hi)), np.inf).min(-1)
+    for at in (at0, at1):
+        crosses = ~level & (at >= 0) & (at <= 1)
+        p = point(np.clip(at, 0, 1))
+        both = crosses & np.roll(crosses, -1, axis=-1)
+        least = np.minimum(least, np.where(both, near(p, np.roll(p, -1, axis=-2)), np.inf).min(-1))
+    # the axis itself through the triangle's inside
+    e1, e2 = flat[..., 1, :] - flat[..., 0, :], flat[..., 2, :] - flat[..., 0, :]
+    turn = lambda a, b: (np.cross(a, b) * axis[:, None]).sum(-1)
+    area = turn(e1, e2)
+    area_ = np.where(area == 0, 1, area)
+    u, v = turn(-flat[..., 0, :], e2) / area_, turn(e1, -flat[..., 0, :]) / area_
+    height = z[..., 0] + u * (z[..., 1] - z[..., 0]) + v * (z[..., 2] - z[..., 0])
+    through = (area != 0) & (u >= 0) & (v >= 0) & (u + v <= 1) & (height > 0) & (height < length[:, None])
+    return (between & (through | (least < radius[:, None] ** 2))).any(-1)
+
+
+def frames_blocked(leaves: DataFrame, cyl: DataFrame, shape: list[tuple], tris: list[tuple], rows: int = 4096) -> DataFrame:
+    """tree_id, leaf_id, bits of the leaves (GEOMETRY) that meet a cylinder of their tree
+    in some frame: bit k is set where frame k does.  A leaf is looked for in the cell of
+    its start; cylinders are dealt, in parts of an edge's length, to the cells that a leaf
+    near them can start in.  Leaves without a size or a place meet nothing."""
+    key = ["tree_id", "leaf_id"]
+    reach = max(math.sqrt(sum(c * c for c in v)) for v in shape)
+    widest = leaves.agg(F.max("size")).first()[0]
+    ids = ", ".join(f"{c} {leaves.schema[c].dataType.simpleString()}" for c in key)
+    if widest is None:
+        return leaves.sparkSession.createDataFrame([], f"{ids}, bits int")
+    away = max(reach * float(widest), 1e-9) * (1 + 1e-9)
+    names = ["sx", "sy", "sz", "ax", "ay", "az", "length", "radius"]
+    parts = split_long(cyl.select("tree_id", *names, *[F.col(c).cast("double").alias(f"b_{c}") for c in names]), F.lit(2 * away))
+    for n in "xyz":
+        a, b = F.col(f"s{n}"), F.col(f"s{n}") + F.col("length") * F.col(f"a{n}")
+        low, high = F.least(a, b) - F.col("radius") - away, F.greatest(a, b) + F.col("radius") + away
+        parts = parts.withColumn(f"c{n}", F.explode(F.sequence(cell(low, 2 * away), cell(high, 2 * away))))
+    cells = ["cx", "cy", "cz"]
+    parts = parts.select("tree_id", *cells, *[f"b_{c}" for c in names]).distinct()
+    placed = leaves.where("size is not null").select(*key, *GEOMETRY, *[cell(F.col(f"s{n}"), 2 * away).alias(f"c{n}") for n in "xyz"])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                pdf = batch.iloc[at:at + rows]
+                s, d, n, bs, ba = (np.array(pdf[[f"{v}{c}" for c in "xyz"]], float) for v in ("s", "d", "n", "b_s", "b_a"))
+                size, length, radius = (pdf[c].to_numpy(float) for c in ("size", "b_length", "b_radius"))
+                bits = np.zeros(len(pdf), np.int32)
+                for k in range(len(TURNS)):
+                    hit = _in_cylinder(_triangles(shape, tris, s, size, *_frame(d, n, k)), bs, ba, length, radius)
+                    bits |= hit.astype(np.int32) << k
+                yield pd.DataFrame({"tree_id": pdf["tree_id"], "leaf_id": pdf["leaf_id"], "bits": bits})
+
+    met = placed.join(parts, ["tree_id", *cells]).mapInPandas(run, f"{ids}, bits int")
+    return met.groupBy(*key).agg(F.bit_or("bits").alias("bits")).where("bits <> 0")
+
+
 def _settled(p: DataFrame, shape: list[tuple], tris: list[tuple], rounds: int) -> DataFrame:
-    """tree_id, leaf_id, frame of the candidates p (with _order) that a sequential pass in
-    that order would accept.  Each round decides all whose earlier rivals are decided."""
+    """tree_id, leaf_id, frame of the candidates p (with _order, and _bits for the frames
+    that branches block) that a sequential pass in that order would accept.  Each round
+    decides all whose earlier rivals are decided."""
     key = ["tree_id", "leaf_id"]
     reach = max(math.sqrt(sum(c * c for c in v)) for v in shape)
     widest = p.agg(F.max("size")).first()[0]
@@ -228,20 +309,19 @@ def _settled(p: DataFrame, shape: list[tuple], tris: list[tuple], rounds: int) -
     pairs = cut(radius_pairs(at, at, max(2 * reach * float(widest), 1e-9) * (1 + 1e-9))
                 .where((F.col("tree_id") == F.col("b_tree_id")) & (F.col("d2") <= apart * apart) & earlier).select(*key, F.col("b_leaf_id").alias("rival")))
     rival = ["tree_id", F.col("leaf_id").alias("rival")]
-    open_, won = p.select(*key), None
+    free = lambda bits: F.coalesce(*[F.when(bits.bitwiseAND(F.lit(1 << k)) == 0, k) for k in range(len(TURNS))])
+    open_, won = p.select(*key, "_bits"), None
     for _ in range(rounds):
         waits = pairs.join(open_.select(*rival), ["tree_id", "rival"], "left_semi").select(*key).distinct()
         ready = cut(open_.join(waits, key, "left_anti"))
         if won is None:
-            now = ready.select(*key, F.lit(0).alias("frame"))
+            now = ready.select(*key, free(F.col("_bits")).alias("frame")).where("frame is not null")
         else:
             taken = p.join(won, key).select("tree_id", F.col("leaf_id").alias("rival"), F.col("frame").alias("b_frame"), *[F.col(c).alias(f"b_{c}") for c in GEOMETRY])
-            beside = p.select(*key, *GEOMETRY).join(ready, key).join(pairs, key).join(taken, ["tree_id", "rival"])
+            beside = p.select(*key, *GEOMETRY).join(ready.select(*key), key).join(pairs, key).join(taken, ["tree_id", "rival"])
             hits = _blocked(beside, shape, tris).groupBy(*key).agg(F.bit_or("hits").alias("hits"))
-            first = F.when(F.col("hits").isNull(), 0)
-            for k in range(len(TURNS)):
-                first = first.when(F.col("hits").bitwiseAND(F.lit(1 << k)) == 0, k)
-            now = ready.join(hits, key, "left").select(*key, first.alias("frame")).where("frame is not null")
+            blocked = F.coalesce("hits", F.lit(0)).bitwiseOR(F.col("_bits"))
+            now = ready.join(hits, key, "left").select(*key, free(blocked).alias("frame")).where("frame is not null")
         won = cut(now if won is None else won.unionByName(now))
         open_ = cut(open_.join(ready, key, "left_anti"))
         if open_.isEmpty():
@@ -249,11 +329,11 @@ def _settled(p: DataFrame, shape: list[tuple], tris: list[tuple], rounds: int) -
     raise ValueError("leaves did not settle")
 
 
-def accept(leaves: DataFrame, shape: list[tuple], tris: list[tuple], target: float, rounds: int = 10000) -> DataFrame:
+def accept(leaves: DataFrame, shape: list[tuple], tris: list[tuple], target: float, rounds: int = 10000, branches: DataFrame | None = None) -> DataFrame:
     """Greedy acceptance per tree, in the order of a keyed shuffle: a candidate takes the
     first of its own and six turned frames (45 degrees about the normal, 30 about the
-    direction and the side, both ways) that meets no accepted leaf, until the target
-    area is reached.  leaves: tree_id, leaf_id, sx.., dx.., nx.., size, leaf_area.
+    direction and the side, both ways) that meets no accepted leaf and none of the
+    branches (cylinders with a tree_id, if given), until the target area is reached.  leaves: tree_id, leaf_id, sx.., dx.., nx.., size, leaf_area.
 
     The order is that of a hash, so a candidate's fate depends only on lesser hashes: a
     tree's candidates below a bound are settled first, and the bound is doubled for trees
@@ -265,6 +345,11 @@ def accept(leaves: DataFrame, shape: list[tuple], tris: list[tuple], target: flo
     done = None
     while not todo.isEmpty():
         p = cut(shuffled.join(todo, "tree_id").where((F.col("_part") >= 1) | (place < F.col("_part"))).drop("_part"))
+        if branches is None:
+            p = p.withColumn("_bits", F.lit(0))
+        else:
+            blocked = frames_blocked(p, branches, shape, tris).withColumnRenamed("bits", "_bits")
+            p = cut(p.join(blocked, ["tree_id", "leaf_id"], "left").withColumn("_bits", F.coalesce("_bits", F.lit(0))))
         won = cut(p.join(_settled(p, shape, tris, rounds), ["tree_id", "leaf_id"]))
         reached = won.groupBy("tree_id").agg(F.sum("leaf_area").alias("_got"))
         state = cut(todo.join(reached, "tree_id", "left").withColumn("_ends", (F.col("_part") >= 1) | (F.coalesce("_got", F.lit(0.0)) >= target)))

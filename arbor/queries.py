@@ -661,13 +661,10 @@ def grow_trees(spark, sf_dir):
 
 @query()
 def accept_leaves(spark, sf_dir):
-    c = _cyl(spark, sf_dir).withColumn("area", F.lit(0.01))
-    leaves = foliage.leaf_sizes(c, "normal", (0.3, 0.01), 0.004)
-    leaves = foliage.leaf_angles(leaves, "dewit", "uniform", p_inc=(1, 2))
-    n = scalars.upward(scalars.leaf_normal(F.col("inc"), F.col("az")))
-    d = rotate((F.cos("az"), F.sin("az"), F.lit(0.0)), n, F.lit(0.0))
-    rows = leaves.select("tree_id", F.xxhash64("cyl_id", "leaf_no").alias("leaf_id"), "sx", "sy", "sz", *named(d, "d"), *named(n, "n"), "size", "leaf_area")
-    return foliage.accept(rows, [(0, 0, 0), (-.04, .02, 0), (0, .1, 0), (.04, .02, 0)], [(0, 1, 2), (0, 2, 3)], 0.02)
+    """Leaves on petioles, none through a cylinder or another leaf."""
+    c = _cyl(spark, sf_dir)
+    rows = foliage.direct(c, MASSES, 0.5, 0.004, ("uniform", (0.3, 0.5)), ("dewit", "uniform", (1, 2), ()), (0.02, 0.05))
+    return foliage.accept(rows, [(0, 0, 0), (-.04, .02, 0), (0, .1, 0), (.04, .02, 0)], [(0, 1, 2), (0, 2, 3)], 0.02, branches=c)
 
 
 @query()
@@ -686,9 +683,18 @@ def canopy_positions(spark, sf_dir):
     return canopy.positions(canopy.outline(canopy.crown_voxels(p, 0.15, 2), 0.15), 200, 0.15)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CYL}, n AS (SELECT *, row_number() OVER (PARTITION BY tree_id, branch_index ORDER BY cyl_id) AS i FROM cyl),
+walk AS (SELECT tree_id, branch_index, i, cyl_id, cyl_id AS first_id, length AS total FROM n WHERE i = 1
+ UNION ALL SELECT n.tree_id, n.branch_index, n.i, n.cyl_id, CASE WHEN w.total >= 0.3::DOUBLE THEN n.cyl_id ELSE w.first_id END, CASE WHEN w.total >= 0.3::DOUBLE THEN n.length ELSE w.total + n.length END
+ FROM walk w JOIN n ON n.tree_id = w.tree_id AND n.branch_index = w.branch_index AND n.i = w.i + 1),
+g AS (SELECT tree_id, branch_index, first_id, max(total) AS total, lag(first_id) OVER (PARTITION BY tree_id, branch_index ORDER BY first_id) AS before FROM walk GROUP BY 1, 2, 3),
+into_ AS (SELECT w.cyl_id, CASE WHEN g.total < 0.3::DOUBLE AND g.before IS NOT NULL THEN g.before ELSE g.first_id END AS into_id FROM walk w JOIN g ON g.tree_id = w.tree_id AND g.branch_index = w.branch_index AND g.first_id = w.first_id),
+m AS (SELECT into_id, arg_min(sx, cyl_id) AS sx, arg_min(sy, cyl_id) AS sy, arg_min(sz, cyl_id) AS sz, arg_max(ex, cyl_id) AS ex, arg_max(ey, cyl_id) AS ey, arg_max(ez, cyl_id) AS ez, avg(radius) AS radius FROM cyl JOIN into_ USING (cyl_id) GROUP BY 1),
+l AS (SELECT *, sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy)+(ez-sz)*(ez-sz)) AS length FROM m)
+SELECT into_id AS cyl_id, round(sx, 6) AS sx, round(length, 6) AS length, round(radius, 6) AS radius, round((ex-sx)/length, 6) AS ax, round((ey-sy)/length, 6) AS ay, round((ez-sz)/length, 6) AS az FROM l""")
 def merge_cylinders(spark, sf_dir):
-    return cylinders.merge_short(_cyl(spark, sf_dir), 0.2)
+    m = cylinders.merge_short(_cyl(spark, sf_dir), 0.3)
+    return m.select("cyl_id", *[r6(F.col(c), c) for c in ("sx", "length", "radius", "ax", "ay", "az")])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

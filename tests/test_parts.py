@@ -86,3 +86,60 @@ def test_thinning_and_tables(spark):
     assert sampling.thinned(m, F.col("shade"), F.lit(.5)).count() == 5
     t = sampling.poisson_table(2.5)
     assert t[0] == pytest.approx(math.exp(-2.5)) and t[-1] == pytest.approx(1)
+
+
+def test_leaves_that_meet_cylinders(spark):
+    """Every frame of every leaf against dense points of its triangles; near misses, where
+    points decide nothing, are left to neither side."""
+    import numpy as np
+
+    from arbor.operators import foliage
+
+    shape, tris = [(0, 0, 0), (-.4, .2, 0), (0, 1., 0), (.4, .2, 0)], [(0, 1, 2), (0, 2, 3)]
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v)
+    cyl, leaves = [], []
+    for i in range(12):
+        cyl.append((i % 2, i, *rng.uniform(-1, 1, 3), *(unit(rng.normal(size=3)) if i else (0., 0., 1.)), float(rng.uniform(.1, 2)), float(rng.uniform(.02, .4))))
+    for i in range(40):
+        d = unit(rng.normal(size=3)) if i else np.array([1., 0, 0])
+        n = unit(np.cross(d, rng.normal(size=3))) if i else np.array([0, 0, 1.])
+        leaves.append((i % 2, i, *rng.uniform(-1, 1, 3), *d, *n, float(rng.uniform(.1, .8))))
+    names = lambda p: ", ".join(f"{v}{c} double" for v in p for c in "xyz")
+    c = spark.createDataFrame([(r[0], r[1], *map(float, r[2:])) for r in cyl], f"tree_id int, cyl_id int, {names('sa')}, length double, radius double")
+    f = spark.createDataFrame([(r[0], r[1], *map(float, r[2:])) for r in leaves], f"tree_id int, leaf_id int, {names('sdn')}, size double")
+    got = {r.leaf_id: r.bits for r in foliage.frames_blocked(f, c, shape, tris).collect()}
+    grid = [(i / 60, j / 60) for i in range(61) for j in range(61 - i)]
+    u, v = np.array(grid).T
+    sure = 0
+    for t, i, sx, sy, sz, dx, dy, dz, nx, ny, nz, size in leaves:
+        for k in range(len(foliage.TURNS)):
+            d, n = foliage._frame(np.array([[dx, dy, dz]]), np.array([[nx, ny, nz]]), k)
+            tri = foliage._triangles(shape, tris, np.array([[sx, sy, sz]]), np.array([size]), d, n)[0]
+            p = np.concatenate([a + u[:, None] * (b - a) + v[:, None] * (e - a) for a, b, e in tri])
+            hit, near = False, False
+            for tc, _, *g in cyl:
+                if tc == t:
+                    w = p - np.array(g[:3])
+                    z = w @ np.array(g[3:6])
+                    r = np.linalg.norm(w - z[:, None] * np.array(g[3:6]), axis=1)
+                    hit |= bool(((z > 0) & (z < g[6]) & (r < g[7])).any())
+                    near |= bool(((z > -.02) & (z < g[6] + .02) & (r < g[7] + .02)).any())
+            if hit or not near:
+                sure += 1
+                assert bool(got.get(i, 0) >> k & 1) == hit, (i, k)
+    assert sure > 200 and 0 < len(got) < len(leaves)
+    assert foliage.frames_blocked(f.limit(0), c, shape, tris).count() == 0 and foliage.frames_blocked(f, c.limit(0), shape, tris).count() == 0
+
+
+def test_merge_moves_parents_and_takes_shares(spark):
+    from arbor.operators import cylinders
+
+    rows = [(1, i, b, p, 0., 0., z, 0., 0., 1., ln, .1 * i) for i, b, p, z, ln in
+            [(1, 0, None, 0., .1), (2, 0, 1, .1, .1), (3, 0, 2, .2, .1), (4, 0, 3, .3, .1), (5, 0, 4, .4, .05), (6, 1, 2, .2, .3), (7, 2, 5, .45, .01)]]
+    c = spark.createDataFrame(rows, "tree_id int, cyl_id long, branch_index int, parent long, sx double, sy double, sz double, ax double, ay double, az double, length double, radius double")
+    got = {r.cyl_id: (r.parent, round(r.length, 9), round(r.radius, 9)) for r in cylinders.merge_short(c, .2).collect()}
+    assert got == {1: (None, .2, .15), 3: (1, .25, .4), 6: (1, .3, .6), 7: (3, .01, .7)}
+    got = {r.cyl_id: round(r.length, 9) for r in cylinders.merge_short(c, .6, relative=True).collect()}
+    assert got == {1: .45, 6: .3, 7: .01}
+    assert cylinders.merge_short(c.limit(0), .2).count() == 0
