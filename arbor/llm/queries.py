@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, media, packing, quality, secrets, simhash, suffix, toxicity
+from . import ann, bpe, langid, lm, media, packing, quality, secrets, simhash, suffix, toxicity
 from ._common import documents, table
 
 
@@ -55,7 +55,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(documents(spark, sf_dir))
+
+
 QUERIES = {"op1_quality": op1_quality, "op2_secrets": op2_secrets, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_bpe": op5_bpe, "op6_simhash": op6_simhash,
            "op7_suffix": op7_suffix, "op8_flac": op8_flac,
-           "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+           "op9_toxicity": op9_toxicity, "op10_packing": op10_packing, "op13_lm": op13_lm}
 ORACLE_SQL: dict[str, str] = {}
