@@ -163,9 +163,9 @@ def gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataF
     all_of = lambda df: F.broadcast(df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all")))
     spark = source.sparkSession
     rows = (spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(source.select("bucket", F.col("n").alias("s")), "bucket", "left")
-            .join(target.select("bucket", F.col("n").alias("t")), "bucket", "left").crossJoin(all_of(source).withColumnRenamed("all", "S")).crossJoin(all_of(target).withColumnRenamed("all", "T")))
+            .join(target.select("bucket", F.col("n").alias("t")), "bucket", "left").crossJoin(all_of(source).withColumnRenamed("all", "all_s")).crossJoin(all_of(target).withColumnRenamed("all", "all_t")))
     one = lambda c: (F.coalesce(F.col(c), F.lit(0)) + 1).cast("double")
-    return rows.select("bucket", F.floor(F.lit(1000.0) * F.log(one("t") * (F.col("S") + buckets).cast("double") / (one("s") * (F.col("T") + buckets).cast("double")))).alias("gain"))
+    return rows.select("bucket", F.floor(F.lit(1000.0) * F.log(one("t") * (F.col("all_s") + buckets).cast("double") / (one("s") * (F.col("all_t") + buckets).cast("double")))).alias("gain"))
 
 
 def weighed(spill: DataFrame, gain: list[int]) -> DataFrame:
