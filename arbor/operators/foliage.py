@@ -127,6 +127,21 @@ def inverse(u: Column, density, low: float, high: float, nodes: int = 1024) -> C
     return F.get(t, k) + (u * nodes - k) * (F.get(t, k + 1) - F.get(t, k))
 
 
+def inverse_table(densities: list, low: float, high: float, nodes: int = 256):
+    """inverse() for a choice of densities: a function of u and the density's place."""
+    x, tables = np.linspace(low, high, nodes * 8 + 1), []
+    for density in densities:
+        y = np.asarray(density(x), float)
+        c = np.concatenate([[0], np.cumsum((y[1:] + y[:-1]) / 2)])
+        tables.append(np.interp(np.linspace(0, 1, nodes + 1), c / c[-1], x))
+    t = F.split(F.lit(",".join(f"{v:.12g}" for table in tables for v in table)), ",").cast("array<double>")
+
+    def of(u: Column, which: Column) -> Column:
+        k = which * (nodes + 1) + F.least(F.floor(u * nodes), F.lit(nodes - 1)).cast("int")
+        return F.get(t, k) + (u * nodes - F.floor(u * nodes)) * (F.get(t, k + 1) - F.get(t, k))
+    return of
+
+
 def within_budget(rows: DataFrame, keys: list[str], order: list[str], area: str, target: float | str) -> DataFrame:
     """Rows taken while the sum before them is below the target: the last one overshoots."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
-from .operators import hull
-from .queries import _t, query
+from .functions import scalars
+from .operators import hull, library
+from .queries import CYL, MASSES, PI, _cyl, _t, query
 
 EDGE, LEAST, HOLE = 0.5, 3, 10.0
 CLOUD = "cloud AS (SELECT ascii(l_returnflag) AS tree_id, (l_quantity - 25) / 5 AS x, l_extendedprice / 20000 - 2.5::DOUBLE AS y, (l_discount + l_tax) * 50 AS z FROM lineitem)"
@@ -67,3 +68,36 @@ def hull_leaves(spark, sf_dir):
             .unionByName(ends.select("tree_id", F.col("hi").alias("z"), F.col("x").alias("sx"), F.col("y").alias("sy"))))
     voxels = points.select("tree_id", *[F.floor(F.col(c) / 0.25).cast("long").alias(f"c{c}") for c in "xyz"]).groupBy("tree_id", *hull.CELL).count().where("count >= 5").drop("count")
     return hull.leaf_positions(points, solid, stem, EDGE, 20_000, lambda h: h * (1 - h), lambda c: 1 + F.cos(c - math.pi) / 2, lambda d: d, voxels, (0.0, 0.2, 0.5, 0.2, 0.0), 0.25)
+
+
+LIBRARY = {"length": [0.1, 0.2], "radius": [0.01, 0.05], "inclination": [math.pi / 4, 3 * math.pi / 4], "azimuth": [math.pi / 4 + k * math.pi / 2 for k in range(4)], "area": [0.2, 0.5, 0.8],
+           "inc1": [-1.0, 0.0, 1.0], "inc2": [2.0, 3.0, 4.0], "az1": [k * math.pi / 2 for k in range(4)], "az2": [0.01, 0.5], "size1": [0.002, 0.0025], "size2": [0.003, 0.0035]}
+#: Parameters of angles and sizes by relative height, distance along the branch and compass.
+BY_PLACE = {"inc1": "rel_height * 2 - 1", "inc2": "rel_pos * 2 + 2", "az1": "compass", "az2": "rel_height / 2", "size1": "0.0021D", "size2": "rel_pos / 2000 + 0.003D"}
+
+
+@query()
+def library_foliage(spark, sf_dir):
+    """Every cylinder's leaves from the 82,944 nodes of the library, 20 square metres a tree."""
+    return library.from_library(_cyl(spark, sf_dir), LIBRARY, MASSES, 20.0, 0.004, BY_PLACE, (0.02, 0.05), replicates=3)
+
+
+def _near(v: str, nodes: list[float]) -> str:
+    """Place of the nearest node in SQL, ties to the upper one."""
+    return f"(SELECT arg_min(i, (abs(n - ({v})), -n)) FROM (SELECT unnest(range({len(nodes)})) AS i, unnest([{', '.join(map(repr, nodes))}]::DOUBLE[]) AS n))"
+
+
+def _floor(v: str, nodes: list[float]) -> str:
+    return f"greatest(len(list_filter([{', '.join(map(repr, nodes))}]::DOUBLE[], lambda n: n <= {v})) - 1, 0)"
+
+
+@query(f"""WITH {CYL}, p AS (SELECT cyl_id, length, radius, acos(az) AS inc, CASE WHEN ax > 0 THEN 2 * {PI} - acos(ay / sqrt(ax * ax + ay * ay)) ELSE acos(ay / sqrt(ax * ax + ay * ay)) END AS turn, 0.1::DOUBLE * (cyl_id % 10) AS area FROM cyl),
+i AS (SELECT cyl_id, {_floor('length', LIBRARY['length'])} AS i0, {_floor('radius', LIBRARY['radius'])} AS i1, {_near('inc', LIBRARY['inclination'])} AS i2,
+ CASE WHEN turn > {LIBRARY['azimuth'][-1]!r} THEN CASE WHEN turn - {LIBRARY['azimuth'][-1]!r} < 2 * {PI} - turn THEN 3 ELSE 0 END ELSE {_near('turn', LIBRARY['azimuth'])} END AS i3,
+ least({_floor('area', LIBRARY['area'])} + CASE WHEN area < 0.2::DOUBLE THEN 0 ELSE 1 END, 2) AS i4, {_near('inc - 1.5', LIBRARY['inc1'])} AS i5, {_near('area * 5', LIBRARY['inc2'])} AS i6, {_near('turn', LIBRARY['az1'])} AS i7, {_near('area', LIBRARY['az2'])} AS i8 FROM p)
+SELECT cyl_id, i0 + 2 * (i1 + 2 * (i2 + 2 * (i3 + 4 * (i4 + 3 * (i5 + 3 * (i6 + 3 * (i7 + 4 * (i8 + 2 * (1 + 2 * 0))))))))) AS node_id FROM i""")
+def library_nodes(spark, sf_dir):
+    """The library node of every cylinder, by all eleven variables."""
+    c = _cyl(spark, sf_dir).withColumn("area", 0.1 * (F.col("cyl_id") % 10)).withColumn("_inc", F.acos("az")).withColumn("_turn", scalars.axis_azimuth(F.col("ax"), F.col("ay"), F.lit(0.0)))
+    params = {"inc1": F.col("_inc") - 1.5, "inc2": F.col("area") * 5, "az1": F.col("_turn"), "az2": F.col("area"), "size1": F.lit(0.0024), "size2": F.lit(0.0031)}
+    return library.located(c, LIBRARY, params).select("cyl_id", "node_id")
