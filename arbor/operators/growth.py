@@ -1,11 +1,13 @@
 """Space-colonisation growth of many trees in lockstep.
 
-State is three tables: nodes(tree_id, node_id, parent_id, x, y, z, gen), endpoints
-(tree_id, ep_id, x, y, z, node_id, dist) and, implied by nodes, edges.  A generation
-proposes all new nodes from one snapshot, drops those that would come too near an edge
-of another tree, and settles conflicts between proposals in the order of a keyed
-priority, like a sequential pass in that order.  Each generation is written to the
-shared folder."""
+State is two tables: nodes(tree_id, node_id, parent_id, x, y, z, gen and the parent's
+place, so that a node is also its edge) and endpoints(tree_id, ep_id, x, y, z, node_id,
+dist).  A generation proposes all new nodes from one snapshot, drops those that would come
+too near an edge of another tree, and settles conflicts between proposals in the order of
+a keyed priority, like a sequential pass in that order.  Assignments are kept up to date:
+only new nodes are held against the endpoints, and only endpoints of nodes that just got
+their second child are searched again.  New nodes are appended to the shared folder; what
+a generation has used up is deleted there."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
@@ -14,32 +16,53 @@ from pyspark.sql import functions as F
 from ..functions import rng
 from ..functions.scalars import apical_control, suppressed
 from ..functions.vec import cols, with_segment_distance2
-from ..plans.stage import cut
-from .spatial import clear_edges, edge_conflicts, inside_mesh, radius_pairs, segment_hits
+from ..plans.stage import Appended, cut, drop
+from .spatial import clear_edges, edge_conflicts, inside_mesh, nearest_by_rings, radius_pairs, segment_hits
 
 DEAD, FAR = -1, -2
 
 
+def with_room(nodes: DataFrame) -> DataFrame:
+    """tree_id, node_id, x, y, z of nodes with at most one child."""
+    kids = nodes.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_child"))
+    return nodes.join(kids, ["tree_id", "node_id"], "left").where(F.coalesce("n_child", F.lit(0)) <= 1).select("tree_id", "node_id", "x", "y", "z")
+
+
 def assign(endpoints: DataFrame, nodes: DataFrame, influence: float) -> DataFrame:
     """endpoints with node_id (nearest node of the same tree with at most one child,
     FAR if none is nearer than influence) and dist."""
-    kids = nodes.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_child"))
-    open_ = nodes.join(kids, ["tree_id", "node_id"], "left").where(F.coalesce("n_child", F.lit(0)) <= 1).select("tree_id", "node_id", "x", "y", "z")
     e = endpoints.select("tree_id", "ep_id", "x", "y", "z")
-    near = (radius_pairs(e, open_, influence, also=("tree_id",)).where(F.col("d2") < influence * influence)
-            .groupBy("tree_id", "ep_id").agg(F.min(F.struct("d2", F.col("b_node_id").alias("n"))).alias("m")))
-    return e.join(near, ["tree_id", "ep_id"], "left").select("tree_id", "ep_id", "x", "y", "z", F.coalesce("m.n", F.lit(FAR)).alias("node_id"), F.sqrt("m.d2").alias("dist"))
+    near = nearest_by_rings(e, with_room(nodes), influence, ["tree_id", "ep_id"], "node_id", also=("tree_id",))
+    return e.join(near, ["tree_id", "ep_id"], "left").select("tree_id", "ep_id", "x", "y", "z", F.coalesce("node_id", F.lit(FAR)).alias("node_id"), F.sqrt("d2").alias("dist"))
+
+
+def reassigned(assigned: DataFrame, nodes: DataFrame, grown: DataFrame, influence: float, kill: float) -> DataFrame:
+    """assigned after the new nodes of grown, which nodes holds too: updated() by them,
+    then endpoints of nodes that have two children now are searched again."""
+    full = (nodes.join(grown.select("tree_id", "parent_id").distinct(), ["tree_id", "parent_id"], "left_semi")
+            .groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n")).where("n >= 2").select("tree_id", "node_id"))
+    now = cut(updated(assigned, grown, influence, kill).where(F.col("node_id") != DEAD), "assigned")
+    full = cut(full, "full-nodes")
+    again = cut(now.join(full, ["tree_id", "node_id"], "left_semi"), "again")
+    kept = now.join(full, ["tree_id", "node_id"], "left_anti")
+    if again.isEmpty():
+        drop(full, again)
+        return now
+    out = cut(kept.unionByName(assign(again, nodes, influence).where(F.col("dist").isNull() | (F.col("dist") > kill))), "assigned")
+    drop(now, full, again)
+    return out
 
 
 def updated(assigned: DataFrame, new_nodes: DataFrame, influence: float, kill: float) -> DataFrame:
     """assigned (tree_id, ep_id, x, y, z, node_id, dist) after new nodes of the same trees:
     one takes an endpoint over where it is strictly nearer than the stored distance (of
     several the nearest, ties to the least id); nearer than or at kill the endpoint is
-    DEAD, at influence or beyond FAR.  Only the new nodes are joined."""
+    DEAD, at influence or beyond FAR.  Only the new nodes are joined, no farther than the
+    stored distance."""
     n = new_nodes.select("tree_id", "node_id", "x", "y", "z")
     open_ = assigned.where(F.col("node_id") != DEAD)
-    near = (radius_pairs(open_.select("tree_id", "ep_id", "x", "y", "z"), n, influence, also=("tree_id",))
-            .groupBy("tree_id", "ep_id").agg(F.min(F.struct(F.sqrt("d2").alias("d"), F.col("b_node_id").alias("n"))).alias("m")))
+    near = (nearest_by_rings(open_.select("tree_id", "ep_id", "x", "y", "z", "dist"), n, influence, ["tree_id", "ep_id"], "node_id", also=("tree_id",), limit="dist")
+            .select("tree_id", "ep_id", F.struct(F.sqrt("d2").alias("d"), F.col("node_id").alias("n")).alias("m")))
     better = F.col("m.d").isNotNull() & (F.col("dist").isNull() | (F.col("m.d") < F.col("dist"))) & (F.col("node_id") != DEAD)
     d = F.when(better, F.col("m.d")).otherwise(F.col("dist"))
     node = (F.when(F.col("node_id") == DEAD, DEAD).when(d.isNull() | (d >= influence), FAR).when(d <= kill, DEAD)
@@ -70,14 +93,18 @@ def settle(new: DataFrame, least: float, longest: float, seed: int, generation:
     pairs = _conflicting_pairs(p, least, longest)
     rivals = cut(pairs)
     open_, chosen = p.select("edge_id"), None
+    if rivals.isEmpty():
+        return p.drop("key")
     for _ in range(rounds):
         live = rivals.join(open_, "edge_id", "left_semi").join(open_.select(F.col("edge_id").alias("rival")), "rival", "left_semi")
         beaten = live.where("rival_key < key or rival_key = key and rival < edge_id").select("edge_id").distinct()
         won = cut(open_.join(beaten, "edge_id", "left_anti"))
-        chosen = won if chosen is None else cut(chosen.unionByName(won))
+        chosen = won if chosen is None else chosen.unionByName(won)
         gone = live.join(won, "edge_id", "left_semi").select(F.col("rival").alias("edge_id")).distinct()
-        open_ = cut(open_.join(won, "edge_id", "left_anti").join(gone, "edge_id", "left_anti"))
+        before, open_ = open_, cut(open_.join(won, "edge_id", "left_anti").join(gone, "edge_id", "left_anti"))
+        drop(before)
         if open_.isEmpty():
+            drop(rivals, open_)
             return p.drop("key").join(chosen, "edge_id", "left_semi")
     raise ValueError("proposals did not settle")
 
@@ -92,8 +119,10 @@ def _conflicting_pairs(p: DataFrame, least: float, longest: float) -> DataFrame:
 
 def edges(nodes: DataFrame) -> DataFrame:
     """edge_id, tree_id, p0*, p1* of every node with a parent."""
-    p = nodes.select("tree_id", F.col("node_id").alias("parent_id"), *[F.col(c).alias(f"p0{c}") for c in "xyz"])
-    return nodes.join(p, ["tree_id", "parent_id"]).select(F.xxhash64("tree_id", "node_id").alias("edge_id"), "tree_id", "p0x", "p0y", "p0z", *[F.col(c).alias(f"p1{c}") for c in "xyz"])
+    if "px" not in nodes.columns:
+        p = nodes.select("tree_id", F.col("node_id").alias("parent_id"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
+        nodes = nodes.join(p, ["tree_id", "parent_id"])
+    return nodes.where("parent_id is not null").select(F.xxhash64("tree_id", "node_id").alias("edge_id"), "tree_id", *[F.col(f"p{c}").alias(f"p0{c}") for c in "xyz"], *[F.col(c).alias(f"p1{c}") for c in "xyz"])
 
 
 def unhindered(e: DataFrame, terrain: DataFrame | None, excluded: DataFrame | None, edge: float) -> DataFrame:
@@ -125,25 +154,30 @@ def grow(roots: DataFrame, endpoints: DataFrame, generations: int, step: float,
     ep_id, x, y, z.  An endpoint dies when a node comes as near as kill.  terrain and
     excluded are triangles that edges may not meet and closed meshes that nodes may not
     lie in; control is unsuppressed()'s."""
-    nodes = cut(roots.select("tree_id", F.lit(0).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), "x", "y", "z", F.lit(0).alias("gen")))
-    alive = cut(endpoints.select("tree_id", "ep_id", "x", "y", "z"))
-    longest = step + abs(tropism)
+    columns = "tree_id", "node_id", "parent_id", "x", "y", "z", "gen", "px", "py", "pz"
+    none = [F.lit(None).cast("double").alias(f"p{c}") for c in "xyz"]
+    grown = cut(roots.select("tree_id", F.lit(0).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), "x", "y", "z", F.lit(0).alias("gen"), *none))
+    store = Appended(grown, "nodes")
+    nodes, longest = store.read(), step + abs(tropism)
+    alive = cut(assign(endpoints.select("tree_id", "ep_id", "x", "y", "z"), nodes, influence).where(F.col("dist").isNull() | (F.col("dist") > kill)), "assigned")
     for g in range(1, generations + 1):
-        alive = cut(assign(alive, nodes, influence).where(F.col("dist").isNull() | (F.col("dist") > kill)))
         new = proposals(alive, nodes, step, tropism)
         if control is not None:
             new = unsuppressed(new, nodes, g, control, seed)
         w = Window.partitionBy("tree_id").orderBy("parent_id")
         top = nodes.groupBy("tree_id").agg(F.max("node_id").alias("top"))
-        numbered = cut(new.withColumn("r", F.row_number().over(w)).join(top, "tree_id").withColumn("node_id", F.col("top") + F.col("r")))
+        numbered = cut(new.withColumn("r", F.row_number().over(w)).join(top, "tree_id").withColumn("node_id", F.col("top") + F.col("r")), "proposed")
         e = numbered.select(F.xxhash64("tree_id", "node_id").alias("edge_id"), "tree_id", *[F.col(f"p{c}").alias(f"p0{c}") for c in "xyz"],
                             *[F.col(c).alias(f"p1{c}") for c in "xyz"], "node_id", "parent_id")
         ok = settle(clear_edges(unhindered(e, terrain, excluded, max(step, 1e-6) * 2), edges(nodes), least, longest), least, longest, seed, g)
-        grown = ok.select("tree_id", "node_id", "parent_id", *[F.col(f"p1{c}").alias(c) for c in "xyz"], F.lit(g).alias("gen"))
+        before, grown = grown, cut(ok.select("tree_id", "node_id", "parent_id", *[F.col(f"p1{c}").alias(c) for c in "xyz"], F.lit(g).alias("gen"), *[F.col(f"p0{c}").alias(f"p{c}") for c in "xyz"]).select(*columns), "grown")
+        drop(before, numbered)
         if grown.isEmpty():
             break
-        nodes = cut(nodes.unionByName(grown))
-    return nodes
+        nodes = store.add(grown)
+        before, alive = alive, reassigned(alive, nodes, grown, influence, kill)
+        drop(before)
+    return nodes.drop("px", "py", "pz")
 
 
 def too_close(nodes: DataFrame, least: float, longest: float) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vec import cols, cross, dot, sub, vec, with_segment_distance2
+from ..plans.stage import cut
 
 
 def cell(v: Column, edge: float) -> Column:
@@ -45,6 +46,31 @@ def nearest(points: DataFrame, nodes: DataFrame, influence: float, point: str, n
         point, F.coalesce("m.n", F.lit(-2)).alias(node), F.sqrt("m.d2").alias("dist"))
 
 
+def nearest_by_rings(points: DataFrame, nodes: DataFrame, influence: float, point: list[str], node: str, first: float | None = None, also: tuple[str, ...] = (), limit: str | None = None) -> DataFrame:
+    """point columns, node and d2 of points with a node nearer than influence (the nearest,
+    ties to the least id), as nearest() but for ranges that hold whole trees.  Each round
+    searches twice as far on cells of that size, from `first` on (a quarter of influence if
+    not given); points that found a node are done, since all nodes so near were seen, and
+    so are points whose limit, where a column is named, is not beyond the round.  Cells
+    that far points search are thus nearly empty."""
+    reach, left, done = min(influence, first or influence / 4), points, None
+    while True:
+        near = radius_pairs(left, nodes, reach, also=also)
+        if reach >= influence:
+            near = near.where(F.col("d2") < influence * influence)
+        near = near.groupBy(*point).agg(F.min(F.struct("d2", F.col(f"b_{node}").alias("n"))).alias("_m"))
+        seen = left.join(near, point, "left")
+        seen = seen if reach >= influence else cut(seen, "ring")
+        found = seen.where("_m is not null").select(*point, F.col("_m.n").alias(node), "_m.d2")
+        done = found if done is None else done.unionByName(found)
+        left = seen.where("_m is null").drop("_m")
+        if limit is not None:
+            left = left.where(F.col(limit).isNull() | (F.col(limit) > reach))
+        if reach >= influence or left.isEmpty():
+            return done
+        reach = min(influence, reach * 2)
+
+
 def neighbours(objects: DataFrame, edge: float, id_: str = "obj_id", itself: bool = True) -> DataFrame:
     """id, other: pairs whose cells touch (27 cells), each once."""
     left = with_cell(objects, edge)

@@ -48,6 +48,25 @@ def drop(*frames: DataFrame | None) -> None:
             fs.delete(where, True)
 
 
+class Appended:
+    """A table in the shared folder that grows: every add() is one commit, earlier rows are
+    not written again."""
+
+    def __init__(self, first: DataFrame, what: str):
+        self.spark, self.schema = first.sparkSession, first.schema
+        self.path = f"{shared_dir(self.spark)}/{what}-{uuid.uuid4().hex}"
+        fs, where = _file_system(self.spark, self.path)
+        fs.deleteOnExit(where)
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        rows.select(*self.schema.names).write.mode("append").parquet(self.path)
+        return self.read()
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def dealt(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """df in ranges of the order, _part their number, written once: ranges are sampled
     anew whenever a plan runs, so uses of several plans must share one run's rows."""
