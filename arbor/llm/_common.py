@@ -52,7 +52,8 @@ def chosen_texts(docs: DataFrame, chosen: DataFrame, on: list[str], most_bytes:
     first), y and r, a place within y, in a bounded number of rows.  A chosen key gives
     one text, the one of least hash, however often it repeats.  Texts are whole; within
     each y they are taken in the order of r as long as the bytes of that y, an even part
-    of most_bytes, are not spent, passing over texts that no longer fit."""
+    of most_bytes, are not spent, passing over texts that no longer fit; a y of which none
+    fits gives its shortest one."""
     some = docs.select(*on, text_of().alias("text")).join(F.broadcast(chosen), on)
     some = staged(some.groupBy("doc_id", "y", "r").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
                   .withColumn("n", F.octet_length("text")), "sample")
@@ -63,6 +64,8 @@ def chosen_texts(docs: DataFrame, chosen: DataFrame, on: list[str], most_bytes:
         if r.n <= room[r.y]:
             room[r.y] -= r.n
             take.append((r.y, r.r))
+    have = {y for y, _ in take}
+    take += [(y, min((r.n, r.r) for r in rows if r.y == y)[1]) for y in room if y not in have]
     keep = set(take)
     if len(keep) < len(rows):
         some = some.join(F.broadcast(docs.sparkSession.createDataFrame(take, some.select("y", "r").schema)), ["y", "r"]) if take else some.limit(0)

@@ -21,6 +21,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,27 +73,28 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None,
     place = F.when(F.col("doc_id").isNull() | F.col("again").isNotNull(), F.xxhash64("row", F.lit(1))).otherwise(F.xxhash64("doc_id"))
     dealt = rows.join(again, "doc_id", "left").withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).drop("again")
 
-    def run(key, pdf):
-        pdf = pdf.sort_values(["n", "doc_id", "cluster", "source", "row"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
-        source, cl = pd.factorize(pdf.source)[0], pd.factorize(pdf.cluster)[0]
-        size = pdf.n.to_numpy()
+    def run(key, t):
+        # ids stay in Arrow: beside a null, pandas would make them floats
+        t = t.sort_by([("n", "descending"), ("doc_id", "ascending"), ("cluster", "ascending"), ("source", "ascending"), ("row", "ascending")])
+        source, cl = (pd.factorize(t.column(c).to_pandas())[0] for c in ("source", "cluster"))
+        size = t.column("n").to_numpy()
         full = size // capacity
         full -= (full > 0) & (size % capacity == 0)
         last = size - full * capacity
-        order = np.lexsort((np.arange(len(pdf)), -last))
+        order = np.lexsort((np.arange(len(size)), -last))
         bins, offsets = best_fit(last[order].tolist(), source[order].tolist(), cl[order].tolist(), capacity)
-        where, off = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
+        where, off = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
         where[order], off[order] = bins, offsets
         # full pieces take the bins after the packed ones
-        i = np.repeat(np.arange(len(pdf)), full)
+        i = np.repeat(np.arange(len(size)), full)
         piece = np.arange(len(i)) - np.repeat(np.cumsum(full) - full, full)
-        who = np.concatenate([i, np.arange(len(pdf))])
+        who = np.concatenate([i, np.arange(len(size))])
         base = max(bins, default=-1) + 1
         part = np.concatenate([piece, full])
-        return pd.DataFrame({
-            "doc_id": pdf.doc_id.astype("Int64").take(who).reset_index(drop=True), "piece": part.astype(np.int32), "start": part * capacity,
+        return pa.table({
+            "doc_id": t.column("doc_id").take(pa.array(who)), "piece": part.astype(np.int32), "start": part * capacity,
             "length": np.concatenate([np.full(len(i), capacity), last]),
-            "bin_id": (int(key[0]) << 32) + np.concatenate([base + np.arange(len(i)), where]),
+            "bin_id": (key[0].as_py() << 32) + np.concatenate([base + np.arange(len(i)), where]),
             "bin_offset": np.concatenate([np.zeros(len(i), np.int64), off])})
 
-    return dealt.groupBy("shard").applyInPandas(run, SCHEMA)
+    return dealt.groupBy("shard").applyInArrow(run, SCHEMA)

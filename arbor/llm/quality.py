@@ -101,9 +101,11 @@ class Counter:
 
 
 class Model:
-    def __init__(self, texts: list[str], y: list[int], rank: int = RANK):
+    def __init__(self, texts: list[str], y: list[int], rank: int = RANK, counts: dict[int, int] | None = None):
         self.y = np.asarray(y, np.float32)
-        self.base = float(self.y.mean()) if len(y) else 0.5
+        # of all labelled rows: the sample's share would follow the sample's size
+        counts = counts or {0: len(y) - sum(y), 1: sum(y)}
+        self.base = counts.get(1, 0) / sum(counts.values()) if sum(counts.values()) else 0.5
         # each label gets the same total weight, as the sample does not keep their shares
         share = np.array([max(1, (self.y == k).sum()) for k in (0, 1)], np.float32)
         self.weight = 1 / share[self.y.astype(int)] if len(y) else self.y
@@ -154,9 +156,9 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE) -> Model:
-    rows, _ = labelled_sample(docs, labels, "quality", folds, held, sample // 2)
+    rows, counts = labelled_sample(docs, labels, "quality", folds, held, sample // 2)
     rows = sorted({(t, y) for _, t, y in rows})
-    return Model([t for t, _ in rows], [y for _, y in rows])
+    return Model([t for t, _ in rows], [y for _, y in rows], counts=counts)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

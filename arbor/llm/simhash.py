@@ -291,14 +291,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _texts(batches):
-    """name, text -> name, two fingerprints, and the set of shingle hashes as bytes."""
+    """name, text -> name, two fingerprints over the set of shingles, and the set of their
+    hashes as bytes."""
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
             cols = [[], [], []]
             for t in part.column(1):
-                h = shingle_hashes(t.as_py(), WORDS)
-                for c, v in zip(cols, (_signed(majority(h)), _signed(majority(_mixed(h))), np.unique(h).tobytes())):
+                h = np.unique(shingle_hashes(t.as_py(), WORDS))  # links are of sets: repeats must not move the fingerprints
+                for c, v in zip(cols, (_signed(majority(h)), _signed(majority(_mixed(h))), h.tobytes())):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary())))], names=["name", "fp", "fp2", "set"])
 

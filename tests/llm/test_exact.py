@@ -465,3 +465,24 @@ def test_secrets_many_matches(spark):
     text = " é ".join(f"{i:032x}" for i in range(20_000))
     got = secrets.report(spark.createDataFrame([(1, text)], "doc_id long, text string"), [0.0] * secrets.STATES ** 2).first()
     assert (got.n_hex, got.base_sha256) == (20_000, secrets_digest(secrets_brute(text)))
+
+
+def test_packing_keeps_large_ids_beside_a_null(spark):
+    """Ids above 2^53 are not rounded where a shard holds a null id."""
+    ids = [9007199254740993, 9007199254740995, None, 2**62 + 1]
+    df = spark.createDataFrame([(i, f"text {k}", "s") for k, i in enumerate(ids)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in packing.pack(df, shard_rows=100).collect()} == set(ids)
+
+
+@pytest.mark.parametrize("repeats", [3, 5, 10])
+def test_texts_that_differ_in_how_often_a_passage_repeats(spark, repeats):
+    """Links are of shingle sets, so a passage that one of two texts repeats changes little."""
+    rng = random.Random(repeats)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuv") for _ in range(6))
+    rows = []
+    for i in range(20):
+        body, passage = [word() for _ in range(300)], [word() for _ in range(40)]
+        rows += [(2 * i, " ".join(body + passage)), (2 * i + 1, " ".join(body + passage * repeats))]
+    got = {r.name: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, "name long, text string")).collect()}
+    found = sum(got.get(2 * i, 2 * i) == got.get(2 * i + 1, 2 * i + 1) for i in range(20))
+    assert found >= 19

@@ -1,4 +1,5 @@
 """Learned operators on held-out rows, and search against brute force."""
+import random
 import zlib
 
 import numpy as np
@@ -141,3 +142,25 @@ def test_shape_and_tail_of_long_words():
     long = "ab" * 40
     assert word_columns(long + "c1!")[2] == word_columns("c1!")[2] != word_columns(long)[2]
     assert word_columns(long + "-9")[1] == word_columns("a-9")[1]
+
+
+def test_blank_quality_does_not_follow_the_sample(spark):
+    """A blank text gets the share of all labelled rows, however few of them are sampled."""
+    df = spark.createDataFrame([(i, f"word{i % 7} other{i % 5} text") for i in range(200)] + [(1000, ""), (1001, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    small, large = (quality.fit(df, labels, sample=n) for n in (20, 400))
+    assert small.prior == large.prior
+    blank = [r.score for r in quality.score(df, small).where("doc_id >= 1000").collect()]
+    assert blank == [small.prior] * 2
+
+
+def test_a_language_of_long_texts_is_learned(spark, monkeypatch):
+    from arbor.llm import _common
+
+    rng = random.Random(3)
+    text = lambda alphabet, n: " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(n))
+    rows = [(i, text("abcde", 20), "aa") for i in range(40)] + [(100 + i, text("vwxyz", 3000), "zz") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(_common.chosen_texts, "__defaults__", (8000,))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, langid.fit(df)).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 76
