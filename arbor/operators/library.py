@@ -86,7 +86,7 @@ def located(cyl: DataFrame, nodes: dict[str, list[float]], params: dict[str, Col
     direction).  Length
     and radius take the node at or below, the area the one above, the rest the nearest;
     a vertical axis takes the first azimuth."""
-    unit_z = F.col("az") / norm(cols("a"))
+    unit_z = F.try_divide(F.col("az"), norm(cols("a")))
     upright = F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2 + (F.abs("az") - norm(cols("a"))) ** 2) < 1e-6 * norm(cols("a"))
     d = cyl.withColumn("_inc", F.acos(F.greatest(F.least(unit_z, F.lit(1.0)), F.lit(-1.0)))).withColumn("_az", F.when(upright, F.lit(float(nodes["azimuth"][0]))).otherwise(axis_azimuth(F.col("ax"), F.col("ay"), F.lit(0.0))))
     values = {"length": F.col("length"), "radius": F.col("radius"), "inclination": F.col("_inc"), "azimuth": F.col("_az"), "area": F.col("area"), **{n: F.expr(v) if isinstance(v, str) else v for n, v in params.items()}}

@@ -65,6 +65,23 @@ def asof_interpolate(points: DataFrame, path: DataFrame, key: str, at: str, valu
     return found.select("_row.*", *[(F.col(f"_leg.a_{c}") + t * (F.coalesce(F.col(f"_leg.b_{c}"), F.col(f"_leg.a_{c}")) - F.col(f"_leg.a_{c}"))).alias(c) for c in value])
 
 
+def running_totals(rows: DataFrame, totals: dict[str, str], order: list[str]) -> DataFrame:
+    """rows with a running sum out: weight for every pair of totals (whole numbers) over a
+    unique order: dealt by ranges, written once, and each range begins where the sums of
+    those before it end (one row a range)."""
+    d = dealt(rows, order)
+    sums = sorted(d.groupBy("_part").agg(*[F.coalesce(F.sum(w), F.lit(0)).cast("long") for w in totals.values()]).collect())
+    upto, starts = [0] * len(totals), {}
+    for part, *own in sums:
+        starts[part] = list(upto)
+        upto = [a + b for a, b in zip(upto, own)]
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    for k, (out, weight) in enumerate(totals.items()):
+        before = F.create_map(*[F.lit(x) for part, own in starts.items() for x in (part, own[k])])[F.col("_part")] if starts else F.lit(0)
+        d = d.withColumn(out, (F.coalesce(F.sum(weight).over(w), F.lit(0)) + before).cast("long"))
+    return d.drop("_part")
+
+
 def weighted_choice(u: Column, weights: list[float]) -> Column:
     """Index of the first cumulative weight that reaches u times the total."""
     total, upto = float(sum(weights)), []

@@ -1,7 +1,8 @@
 """Readers: tree configurations, OBJ meshes, scan tables, cylinder tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -59,15 +60,39 @@ def read_scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.select(*[F.col(f.name).cast(f.dataType) for f in want], F.input_file_name().alias("file"))
 
 
-def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def numbered_lines(spark: SparkSession, path: str | list[str], as_one: bool = False) -> DataFrame:
+    """file, line (from 0), text of text files that are read in splits: lines are counted
+    within each split, and a split begins where the counts of those before it in its file
+    end (one row a split).  as_one numbers all files through, in the order of their names,
+    as part files of one text."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"))
+
+    def run(batches):
+        at, count = None, 0
+        for b in batches:
+            files, blocks = b.column(0).to_pylist(), b.column(1).to_pylist()
+            line = []
+            for key in zip(files, blocks):
+                at, count = (at, count + 1) if key == at else (key, 0)
+                line.append(count)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(line, pa.int64())], names=["file", "block", "text", "line"])
+
+    lines = raw.mapInArrow(run, "file string, block long, text string, line long")
+    ends = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*([] if as_one else ["file"])).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("file", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    return lines.join(F.broadcast(before), ["file", "block"]).select("file", (F.col("line") + F.col("before")).alias("line"), "text")
+
+
+def read_obj(spark: SparkSession, path: str | list[str], as_one: bool = False) -> tuple[DataFrame, DataFrame]:
     """(vertices: file, line, x, y, z; faces: file, line, corners) of OBJ files; line is
-    the place in the file, which numbers vertices in order.  A file is one record."""
-    lines = (spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-             .withColumn("p", F.split(F.trim("text"), r"\s+")))
+    the place in the file, which numbers vertices in order.  Large files are read in
+    splits; as_one takes part files of one mesh (numbered_lines)."""
+    lines = numbered_lines(spark, path, as_one).withColumn("p", F.split(F.trim("text"), r"\s+"))
     number = lambda i: F.get("p", F.lit(i)).cast("double")
     v = lines.where(F.get("p", F.lit(0)) == "v").select("file", "line", number(1).alias("x"), number(2).alias("y"), number(3).alias("z"))
     f = lines.where(F.get("p", F.lit(0)) == "f").select(
-        "file", "line", F.transform(F.slice("p", 2, 64), lambda s: F.split(s, "/")[0].cast("int")).alias("corners"))
+        "file", "line", F.transform(F.slice("p", F.lit(2), F.size("p")), lambda s: F.split(s, "/")[0].cast("int")).alias("corners"))
     return v, f
 
 

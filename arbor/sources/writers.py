@@ -80,11 +80,12 @@ def write_lines(rows: DataFrame, path: str, order: list[str]) -> None:
 class ExportOptions:
     """How meshes and cylinders are written; of() takes any mapping."""
     precision: int = 5
-    facecount: int = 5
+    facecount: int | tuple[int, int] = 5
     closed: bool = False
     quads: bool = True
     comments: bool = True
     header: bool = True
+    header_lines: tuple[str, ...] = ()
     origin: tuple[float, float, float] = (0.0, 0.0, 0.0)
     extra: tuple[str, ...] = ()
     filter: Column | None = None
