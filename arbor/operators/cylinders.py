@@ -6,8 +6,7 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,50 +132,73 @@ def scaled(cyl: DataFrame, k: float) -> DataFrame:
     return cyl
 
 
-def split_long(cyl: DataFrame, most: Column) -> DataFrame:
-    """Each cylinder as ceil(length / most) equal parts: part (from 0), parts."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col("length") / most)).cast("int")
-    out = cyl.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+def split_long(cyl: DataFrame, most: Column, least: Column | float = 0.0, keep: Column | None = None) -> DataFrame:
+    """Each cylinder as ceil(length / most) equal parts: part (from 0), parts.  It stays
+    whole where the parts would not be longer than least, or where keep holds."""
+    n = F.greatest(F.lit(1), F.ceil(F.col("length") / most)).cast("int")
+    whole = (F.col("length") / n <= least) if keep is None else (F.col("length") / n <= least) | keep
+    out = cyl.withColumn("parts", F.when(whole, 1).otherwise(n)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     step = F.col("length") / F.col("parts")
     for n in "xyz":
         out = out.withColumn(f"s{n}", F.col(f"s{n}") + F.col(f"a{n}") * step * F.col("part"))
     return out.withColumn("length", step)
 
 
-def merge_short(cyl: DataFrame, least: float, relative: bool = False) -> DataFrame:
-    """Within a branch, forward: cylinders are joined until they reach the least length (a
-    share of the branch's length if relative); a short rest joins the last.  A joined
-    cylinder has the columns of its first one, runs to the end of its last one and has
-    their mean radius.  parent, if cyl has it, names the joined cylinder that the former
-    parent went into.
-
-    Only the choice of what is joined runs by branch in Python, a branch being bounded by
-    its tree; the rest is aggregation."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cyl_id")
-        need = least * pdf["length"].sum() if relative else least
-        firsts, total = [0], 0.0
-        for i, x in enumerate(pdf["length"].tolist()):
+def _joined(batches):
+    """Rows tree, branch, cyl_id, length, need, whole branches in order, with first: the
+    id of the cylinder that each is joined to.  One running length is all the state."""
+    branch, first, total, need = None, None, 0.0, 0.0
+    for b in batches:
+        firsts = []
+        for t, k, i, x, least in zip(*(c.to_pylist() for c in b.columns)):
+            if (t, k) != branch or total >= need:
+                branch, first, total = (t, k), i, 0.0
+            need = least
             total += x
-            if total >= need:
-                firsts.append(i + 1)
-                total = 0.0
-        if len(firsts) > 1:  # nothing, or too little, is left after the last
-            firsts.pop()
-        into = np.searchsorted(firsts, np.arange(len(pdf)), "right") - 1
-        return pdf.assign(_into=pdf["cyl_id"].to_numpy()[np.array(firsts)[into]])
-
-    named = cyl.groupBy("tree_id", "branch_index").applyInPandas(run, f"{cyl._jdf.schema().toDDL()}, _into bigint")
-    last = F.max_by(F.struct(*[(F.col(f"s{n}") + F.col("length") * F.col(f"a{n}")).alias(n) for n in "xyz"]), "cyl_id")
-    one = named.groupBy("tree_id", "branch_index", "_into").agg(F.min_by(F.struct(*cyl.columns), "cyl_id").alias("_a"), last.alias("_b"), F.avg("radius").alias("_r"))
+            firsts.append(first)
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(firsts, pa.int64())], names=["tree_id", "branch_index", "cyl_id", "_first"])
+
+
+def merge_short(cyl: DataFrame, least: float, relative: bool = False) -> DataFrame:
+    """Within a branch, forward: a cylinder shorter than the least length (a share of the
+    branch's length if relative) is joined with those after it until together they reach
+    it or the branch ends; a short rest at the end stays by itself.  A joined cylinder has
+    the columns of its first one, the sum of the lengths, the direction from its start to
+    the end of its last one and the mean radius.  last_id is its last one's id, joined how
+    many it holds; parent, if cyl has it, names the joined cylinder that the former parent
+    went into.
+
+    Branches stream through tasks in order; the rest is aggregation."""
+    parts = int(cyl.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    need = cyl.groupBy("tree_id", "branch_index").agg((least * F.sum("length") if relative else F.lit(float(least))).alias("_need"))
+    keys = cyl.select(*[F.col(c).cast("long").alias(c) for c in ("tree_id", "branch_index", "cyl_id")], F.col("length").cast("double").alias("length"))
+    order = ["tree_id", "branch_index", "cyl_id"]
+    firsts = (keys.join(need, ["tree_id", "branch_index"]).select(*order, "length", "_need").repartition(parts, "tree_id", "branch_index").sortWithinPartitions(*order)
+              .mapInArrow(_joined, "tree_id long, branch_index long, cyl_id long, _first long"))
+    named = cyl.join(firsts, order)
+    last = F.max_by(F.struct("cyl_id", *[(F.col(f"s{n}") + F.col("length") * F.col(f"a{n}")).alias(n) for n in "xyz"]), "cyl_id")
+    one = named.groupBy("tree_id", "branch_index", "_first").agg(F.min_by(F.struct(*cyl.columns), "cyl_id").alias("_a"), last.alias("_b"), F.avg("radius").alias("_r"),
+                                                                 F.sum("length").alias("_l"), F.count("*").alias("joined"))
     way = [F.col(f"_b.{n}") - F.col(f"_a.s{n}") for n in "xyz"]
-    one = one.withColumn("_l", F.sqrt(sum(w * w for w in way)))
-    new = {"length": F.col("_l"), "radius": F.col("_r")} | {f"a{n}": F.when(F.col("_l") > 0, w / F.col("_l")).otherwise(F.col(f"_a.a{n}")) for n, w in zip("xyz", way)}
-    out = one.select(*[new.get(c, F.col(f"_a.{c}")).cast(cyl.schema[c].dataType).alias(c) for c in cyl.columns])
+    chord, many = F.sqrt(sum(w * w for w in way)), F.col("joined") > 1
+    new = {"length": F.col("_l"), "radius": F.col("_r")} | {f"a{n}": F.when(many & (chord > 0), F.try_divide(w, chord)).otherwise(F.col(f"_a.a{n}")) for n, w in zip("xyz", way)}
+    out = one.select(*[new.get(c, F.col(f"_a.{c}")).cast(cyl.schema[c].dataType).alias(c) for c in cyl.columns], F.col("_b.cyl_id").alias("last_id"), "joined")
     if "parent" not in cyl.columns:
         return out
-    went = named.select("tree_id", F.col("cyl_id").alias("parent"), F.col("_into").alias("_to"))
-    return out.join(went, ["tree_id", "parent"], "left").withColumn("parent", F.coalesce("_to", "parent")).select(*cyl.columns)
+    went = named.select("tree_id", F.col("cyl_id").alias("parent"), F.col("_first").alias("_to"))
+    return out.join(went, ["tree_id", "parent"], "left").withColumn("parent", F.coalesce("_to", "parent")).select(*cyl.columns, "last_id", "joined")
+
+
+def preprocessed(cyl: DataFrame, least: float, most: float, relative: bool = False) -> DataFrame:
+    """Cylinders of lengths between least and most where that can be had: short ones are
+    joined (merge_short), long ones that were not joined are split where their parts are
+    longer than least.  Both lengths are shares of the branch's length if relative.  cyl_id
+    and part (from 0) name a row, last_id the former cylinder it stands for."""
+    m = merge_short(cyl, least, relative)
+    if not relative:
+        return split_long(m, F.lit(float(most)), float(least), F.col("joined") > 1)
+    whole = cyl.groupBy("tree_id", "branch_index").agg(F.sum("length").alias("_whole"))
+    return split_long(m.join(whole, ["tree_id", "branch_index"]), most * F.col("_whole"), least * F.col("_whole"), F.col("joined") > 1).drop("_whole")
 
 
 def tessellate(cyl: DataFrame, sides: int = 5) -> DataFrame:

@@ -18,7 +18,7 @@ from ..functions import rng
 from ..functions.scalars import axis_azimuth, leaf_normal, upward
 from ..functions.vec import add, cols, cross, dot, named, norm, rotate, scale, sub, unit, vec
 from ..plans.stage import shared_dir
-from .cylinders import compass_of_midpoints, relative_height, relative_position
+from .cylinders import compass_of_midpoints, preprocessed, relative_height, relative_position
 from .foliage import allocate, inverse_table, with_petiole, within_budget
 from .lookup import ceiling_node, floor_node, nearest_node, with_running_total
 
@@ -149,10 +149,11 @@ def placed(cyl: DataFrame, leaves: DataFrame, nodes: dict[str, list[float]]) ->
     """The leaves of every located cylinder in its place: stretched along the node's axis
     by by_length and across it by by_radius (petioles keep their length), turned by
     more_inc about the horizontal axis and by more_az about the vertical, moved to the
-    cylinder; normals point up.  tree_id, cyl_id, leaf_no, area (the cylinder's budget),
-    size, leaf_area, p*, s*, d*, n*."""
+    cylinder; normals point up.  tree_id, cyl_id (and original, if cyl has it), leaf_no,
+    area (the cylinder's budget), size, leaf_area, p*, s*, d*, n*."""
+    more = ["original"] if "original" in cyl.columns else []
     at = decoded(cyl.select("node_id").distinct(), nodes).select("node_id", F.col("v_inclination").alias("_inc"), F.col("v_azimuth").alias("_naz"))
-    c = cyl.select("tree_id", "cyl_id", "area", *[F.col(f"s{k}").alias(f"_c{k}") for k in "xyz"], "node_id", "by_length", "by_radius", "more_inc", "more_az").join(at, "node_id")
+    c = cyl.select("tree_id", "cyl_id", *more, "area", *[F.col(f"s{k}").alias(f"_c{k}") for k in "xyz"], "node_id", "by_length", "by_radius", "more_inc", "more_az").join(at, "node_id")
     d = c.join(leaves, "node_id")
     put = lambda d, name, v: d.withColumns({f"{name}{k}": x for k, x in zip("xyz", v)})
     d = put(d, "_a", _axis(F.col("_inc"), F.col("_naz")))
@@ -169,7 +170,7 @@ def placed(cyl: DataFrame, leaves: DataFrame, nodes: dict[str, list[float]]) ->
     d = put(d, "_n", turn("n"))
     back = F.when(F.col("_nz") < 0, -1.0).otherwise(1.0)
     out = [*named(add(cols("_c"), turn("_p")), "p"), *named(add(cols("_c"), turn("_e")), "s"), *named(turn("d"), "d"), *named(scale(cols("_n"), back), "n")]
-    return d.select("tree_id", "cyl_id", "leaf_no", "area", "size", "leaf_area", *out)
+    return d.select("tree_id", "cyl_id", *more, "leaf_no", "area", "size", "leaf_area", *out)
 
 
 def trimmed_to(leaves: DataFrame, total: float, seed: int = 7) -> DataFrame:
@@ -192,12 +193,16 @@ def from_library(cyl: DataFrame, nodes: dict[str, list[float]], masses: tuple[li
     allocate(), its node, the node's leaves in place, trimmed to budgets and total.
     params are expressions of rel_height, rel_pos and compass.  library: leaves_of() of all
     nodes, as stored; without it the nodes that cylinders need are populated here.
-    Cylinders longer than the last length node should be split before."""
+    Cylinders are joined and split to the span of the length nodes before; original names
+    the cylinder of cyl that a leaf sits on, cyl_id and part the piece."""
     missing = set(VARIABLES) - set(nodes) or set(VARIABLES[5:]) - set(params)
     if missing:
         raise ValueError(f"no nodes or parameters for {sorted(missing)}")
-    c = relative_position(compass_of_midpoints(relative_height(cyl)), ["tree_id", "branch_index"], ["cyl_id"])
+    c = preprocessed(cyl, nodes["length"][0], nodes["length"][-1]).withColumnRenamed("last_id", "original")
+    c = relative_position(compass_of_midpoints(relative_height(c)), ["tree_id", "branch_index"], ["cyl_id", "part"])
     c = allocate(c, F.col("rel_height"), F.col("rel_pos"), F.col("compass"), masses, total)
+    # keys of draws and windows below: a piece is a cylinder of its own
+    c = c.withColumn("cyl_id", F.when(F.col("part") > 0, F.xxhash64("cyl_id", "part")).otherwise(F.col("cyl_id")))
     c = located(c.where(F.col("area") >= LEAST_AREA), nodes, params, replicates, seed + 1)
     leaves = library if library is not None else leaves_of(c.select("node_id").distinct(), nodes, base_area, petiole, seed)
     return trimmed_to(placed(c, leaves, nodes), total, seed + 2)

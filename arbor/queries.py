@@ -687,14 +687,12 @@ def canopy_positions(spark, sf_dir):
 walk AS (SELECT tree_id, branch_index, i, cyl_id, cyl_id AS first_id, length AS total FROM n WHERE i = 1
  UNION ALL SELECT n.tree_id, n.branch_index, n.i, n.cyl_id, CASE WHEN w.total >= 0.2::DOUBLE THEN n.cyl_id ELSE w.first_id END, CASE WHEN w.total >= 0.2::DOUBLE THEN n.length ELSE w.total + n.length END
  FROM walk w JOIN n ON n.tree_id = w.tree_id AND n.branch_index = w.branch_index AND n.i = w.i + 1),
-g AS (SELECT tree_id, branch_index, first_id, max(total) AS total, lag(first_id) OVER (PARTITION BY tree_id, branch_index ORDER BY first_id) AS before FROM walk GROUP BY 1, 2, 3),
-into_ AS (SELECT w.cyl_id, CASE WHEN g.total < 0.2::DOUBLE AND g.before IS NOT NULL THEN g.before ELSE g.first_id END AS into_id FROM walk w JOIN g ON g.tree_id = w.tree_id AND g.branch_index = w.branch_index AND g.first_id = w.first_id),
-m AS (SELECT into_id, arg_min(sx, cyl_id) AS sx, arg_min(sy, cyl_id) AS sy, arg_min(sz, cyl_id) AS sz, arg_max(ex, cyl_id) AS ex, arg_max(ey, cyl_id) AS ey, arg_max(ez, cyl_id) AS ez, avg(radius) AS radius FROM cyl JOIN into_ USING (cyl_id) GROUP BY 1),
-l AS (SELECT *, sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy)+(ez-sz)*(ez-sz)) AS length FROM m)
-SELECT into_id AS cyl_id, round(sx, 6) AS sx, round(sy, 6) AS sy, round(sz, 6) AS sz, round(length, 6) AS length, round(radius, 6) AS radius, round((ex-sx)/length, 6) AS ax, round((ey-sy)/length, 6) AS ay, round((ez-sz)/length, 6) AS az FROM l""")
+m AS (SELECT first_id, arg_min(sx, cyl_id) AS sx, arg_min(sy, cyl_id) AS sy, arg_min(sz, cyl_id) AS sz, arg_max(ex, cyl_id) AS ex, arg_max(ey, cyl_id) AS ey, arg_max(ez, cyl_id) AS ez, avg(radius) AS radius, sum(length) AS length, max(cyl_id) AS last_id FROM cyl JOIN (SELECT cyl_id, first_id FROM walk) USING (cyl_id) GROUP BY 1),
+l AS (SELECT *, sqrt((ex-sx)*(ex-sx)+(ey-sy)*(ey-sy)+(ez-sz)*(ez-sz)) AS chord FROM m)
+SELECT first_id AS cyl_id, last_id, round(sx, 6) AS sx, round(sy, 6) AS sy, round(sz, 6) AS sz, round(length, 6) AS length, round(radius, 6) AS radius, round((ex-sx)/chord, 6) AS ax, round((ey-sy)/chord, 6) AS ay, round((ez-sz)/chord, 6) AS az FROM l""")
 def merge_cylinders(spark, sf_dir):
     m = cylinders.merge_short(_cyl(spark, sf_dir), 0.2)
-    return m.select("cyl_id", *[r6(F.col(c), c) for c in ("sx", "sy", "sz", "length", "radius", "ax", "ay", "az")])
+    return m.select("cyl_id", "last_id", *[r6(F.col(c), c) for c in ("sx", "sy", "sz", "length", "radius", "ax", "ay", "az")])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

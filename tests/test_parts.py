@@ -139,7 +139,49 @@ def test_merge_moves_parents_and_takes_shares(spark):
             [(1, 0, None, 0., .1), (2, 0, 1, .1, .1), (3, 0, 2, .2, .1), (4, 0, 3, .3, .1), (5, 0, 4, .4, .05), (6, 1, 2, .2, .3), (7, 2, 5, .45, .01)]]
     c = spark.createDataFrame(rows, "tree_id int, cyl_id long, branch_index int, parent long, sx double, sy double, sz double, ax double, ay double, az double, length double, radius double")
     got = {r.cyl_id: (r.parent, round(r.length, 9), round(r.radius, 9)) for r in cylinders.merge_short(c, .2).collect()}
-    assert got == {1: (None, .2, .15), 3: (1, .25, .4), 6: (1, .3, .6), 7: (3, .01, .7)}
+    assert got == {1: (None, .2, .15), 3: (1, .2, .35), 5: (3, .05, .5), 6: (1, .3, .6), 7: (5, .01, .7)}  # a short rest stays by itself
     got = {r.cyl_id: round(r.length, 9) for r in cylinders.merge_short(c, .6, relative=True).collect()}
-    assert got == {1: .45, 6: .3, 7: .01}
+    assert got == {1: .3, 4: .15, 6: .3, 7: .01}
     assert cylinders.merge_short(c.limit(0), .2).count() == 0
+
+
+def test_lengths_come_into_their_span(spark):
+    """Against a walk along each branch; ids beyond 2^53 beside null parents stay exact."""
+    import random
+
+    import numpy as np
+
+    from arbor.operators import cylinders
+
+    rng, rows, top = random.Random(4), [], 2**53 + 1
+    for b in range(12):
+        at = np.zeros(3)
+        for k in range(rng.randint(1, 9)):
+            a = np.array([rng.gauss(0, 1) for _ in range(3)])
+            a /= np.linalg.norm(a)
+            n = rng.choice((.03, .08, .15, .22, .5, .9))
+            rows.append((1, top + 2 * len(rows), b, top + 2 * len(rows) - 2 if k else None, *at.tolist(), *a.tolist(), n, rng.random()))
+            at = at + n * a
+    want = []
+    for b in range(12):
+        own, i = [r for r in rows if r[2] == b], 0
+        while i < len(own):
+            j, total = i, own[i][10]
+            while total < .1 and j + 1 < len(own):
+                j += 1
+                total += own[j][10]
+            start, last = np.array(own[i][4:7]), own[j]
+            end = np.array(last[4:7]) + last[10] * np.array(last[7:10])
+            axis = (end - start) / np.linalg.norm(end - start) if j > i else np.array(own[i][7:10])
+            n = int(np.ceil(total / .2)) if j == i and total > .2 else 1
+            n = n if total / n > .1 else 1
+            for p in range(n):
+                want.append((own[i][1], p, last[1], *np.round(start + p * total / n * axis, 9).tolist(), *np.round(axis, 9).tolist(), round(total / n, 9), round(float(np.mean([r[11] for r in own[i:j + 1]])), 9)))
+            i = j + 1
+    c = spark.createDataFrame(rows, "tree_id int, cyl_id long, branch_index int, parent long, sx double, sy double, sz double, ax double, ay double, az double, length double, radius double").repartition(3)
+    got = cylinders.preprocessed(c, .1, .2).collect()
+    cols = ("cyl_id", "part", "last_id", "sx", "sy", "sz", "ax", "ay", "az", "length", "radius")
+    assert sorted(tuple(round(r[x], 9) if isinstance(r[x], float) else r[x] for x in cols) for r in got) == sorted(want)
+    firsts = {r.cyl_id: r.parent for r in got}
+    into = {x[1]: max(w[0] for w in want if w[0] <= x[1]) for x in rows}
+    assert all(firsts[r[1]] == (r[3] and into[r[3]]) for r in rows if r[1] in firsts)
