@@ -348,9 +348,11 @@ def forest(group: np.ndarray, compare) -> tuple[np.ndarray, np.ndarray]:
 def _grouped(rows: DataFrame, key: str, most: int) -> DataFrame:
     """rows with grp for key: keys of more rows than most are cut into chunks by name, and
     every pair of chunks is a group of its own.  Dealt by grp and sorted by grp and name,
-    so that many groups of the same rows name the same first one."""
-    crowded = (rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most)
-               .select(key, F.ceil(F.col("n") / most).cast("int").alias("chunks")))
+    so that many groups of the same rows name the same first one.  The crowded keys are
+    written first: where they are few, Spark sees that by their size and broadcasts them,
+    and the rows are dealt once."""
+    crowded = staged(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most)
+                     .select(key, F.ceil(F.col("n") / most).cast("int").alias("chunks")), "crowded")
     chunk = F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")
     tasks = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(chunk, j) * F.col("chunks") + F.greatest(chunk, j)))
