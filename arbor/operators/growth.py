@@ -10,7 +10,7 @@ their second child are searched again.  New nodes are appended to the shared fol
 a generation has used up is deleted there."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
@@ -28,32 +28,47 @@ def with_room(nodes: DataFrame) -> DataFrame:
     return nodes.join(kids, ["tree_id", "node_id"], "left").where(F.coalesce("n_child", F.lit(0)) <= 1).select("tree_id", "node_id", "x", "y", "z")
 
 
-def assign(endpoints: DataFrame, nodes: DataFrame, influence: float) -> DataFrame:
+def _own(df: DataFrame, params: DataFrame | None, **values: float) -> tuple[DataFrame, dict[str, Column]]:
+    """df and a Column for each value: the tree's own of params (tree_id and the same
+    names), or the value where there are none."""
+    if params is None:
+        return df, {k: F.lit(float(v)) for k, v in values.items()}
+    return df.join(params.select("tree_id", *[F.col(k).alias(f"_{k}") for k in values]), "tree_id"), {k: F.col(f"_{k}") for k in values}
+
+
+def assign(endpoints: DataFrame, nodes: DataFrame, influence: float, params: DataFrame | None = None) -> DataFrame:
     """endpoints with node_id (nearest node of the same tree with at most one child,
-    FAR if none is nearer than influence) and dist."""
+    FAR if none is nearer than influence) and dist.  params: a tree's own influence, no
+    greater than influence."""
     e = endpoints.select("tree_id", "ep_id", "x", "y", "z")
     near = nearest_by_rings(e, with_room(nodes), influence, ["tree_id", "ep_id"], "node_id", also=("tree_id",))
+    if params is not None:
+        near, own = _own(near, params, influence=influence)
+        near = near.where(F.sqrt("d2") < own["influence"])
     return e.join(near, ["tree_id", "ep_id"], "left").select("tree_id", "ep_id", "x", "y", "z", F.coalesce("node_id", F.lit(FAR)).alias("node_id"), F.sqrt("d2").alias("dist"))
 
 
-def reassigned(assigned: DataFrame, nodes: DataFrame, grown: DataFrame, influence: float, kill: float) -> DataFrame:
+def _alive(assigned: DataFrame, kill: float, params: DataFrame | None) -> DataFrame:
+    d, own = _own(assigned, params, kill=kill)
+    return d.where(F.col("dist").isNull() | (F.col("dist") > own["kill"])).select(assigned.columns)
+
+
+def reassigned(assigned: DataFrame, nodes: DataFrame, grown: DataFrame, influence: float, kill: float, params: DataFrame | None = None) -> DataFrame:
     """assigned after the new nodes of grown, which nodes holds too: updated() by them,
     then endpoints of nodes that have two children now are searched again."""
     full = (nodes.join(grown.select("tree_id", "parent_id").distinct(), ["tree_id", "parent_id"], "left_semi")
             .groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n")).where("n >= 2").select("tree_id", "node_id"))
-    now = cut(updated(assigned, grown, influence, kill).where(F.col("node_id") != DEAD), "assigned")
-    full = cut(full, "full-nodes")
-    again = cut(now.join(full, ["tree_id", "node_id"], "left_semi"), "again")
-    kept = now.join(full, ["tree_id", "node_id"], "left_anti")
+    now = updated(assigned, grown, influence, kill, params).where(F.col("node_id") != DEAD)
+    now = cut(now.join(full.withColumn("_full", F.lit(True)), ["tree_id", "node_id"], "left").select(*now.columns, "_full"), "assigned")
+    again, kept = now.where("_full").drop("_full"), now.where("_full is null").drop("_full")
     if again.isEmpty():
-        drop(full, again)
-        return now
-    out = cut(kept.unionByName(assign(again, nodes, influence).where(F.col("dist").isNull() | (F.col("dist") > kill))), "assigned")
-    drop(now, full, again)
+        return now.drop("_full")
+    out = cut(kept.unionByName(_alive(assign(again, nodes, influence, params), kill, params)), "assigned")
+    drop(now)
     return out
 
 
-def updated(assigned: DataFrame, new_nodes: DataFrame, influence: float, kill: float) -> DataFrame:
+def updated(assigned: DataFrame, new_nodes: DataFrame, influence: float, kill: float, params: DataFrame | None = None) -> DataFrame:
     """assigned (tree_id, ep_id, x, y, z, node_id, dist) after new nodes of the same trees:
     one takes an endpoint over where it is strictly nearer than the stored distance (of
     several the nearest, ties to the least id); nearer than or at kill the endpoint is
@@ -65,22 +80,24 @@ def updated(assigned: DataFrame, new_nodes: DataFrame, influence: float, kill: f
             .select("tree_id", "ep_id", F.struct(F.sqrt("d2").alias("d"), F.col("node_id").alias("n")).alias("m")))
     better = F.col("m.d").isNotNull() & (F.col("dist").isNull() | (F.col("m.d") < F.col("dist"))) & (F.col("node_id") != DEAD)
     d = F.when(better, F.col("m.d")).otherwise(F.col("dist"))
-    node = (F.when(F.col("node_id") == DEAD, DEAD).when(d.isNull() | (d >= influence), FAR).when(d <= kill, DEAD)
+    rows, own = _own(assigned, params, influence=influence, kill=kill)
+    node = (F.when(F.col("node_id") == DEAD, DEAD).when(d.isNull() | (d >= own["influence"]), FAR).when(d <= own["kill"], DEAD)
             .when(better, F.col("m.n")).otherwise(F.col("node_id")))
-    return (assigned.join(near, ["tree_id", "ep_id"], "left")
-            .select("tree_id", "ep_id", "x", "y", "z", node.alias("node_id"), F.when(d < influence, d).alias("dist")))
+    return (rows.join(near, ["tree_id", "ep_id"], "left")
+            .select("tree_id", "ep_id", "x", "y", "z", node.alias("node_id"), F.when(d < own["influence"], d).alias("dist")))
 
 
-def proposals(endpoints: DataFrame, nodes: DataFrame, step: float, tropism: float = 0.0) -> DataFrame:
+def proposals(endpoints: DataFrame, nodes: DataFrame, step: float, tropism: float = 0.0, params: DataFrame | None = None) -> DataFrame:
     """tree_id, parent_id, px, py, pz, x, y, z: one new node per active node, a step
     along the sum of the unit directions to its endpoints; a zero sum grows nothing."""
     n = nodes.select("tree_id", "node_id", *[F.col(c).alias(f"p{c}") for c in "xyz"])
     d = endpoints.where("node_id >= 0 and dist > 0").join(n, ["tree_id", "node_id"])
     s = d.groupBy("tree_id", "node_id", "px", "py", "pz").agg(*[F.sum((F.col(c) - F.col(f"p{c}")) / F.col("dist")).alias(f"v{c}") for c in "xyz"])
     length = F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2)
+    s, own = _own(s, params, step=step, tropism=tropism)
     return s.withColumn("_l", length).where(F.col("_l") > 1e-12).select(
         "tree_id", F.col("node_id").alias("parent_id"), "px", "py", "pz",
-        *[(F.col(f"p{c}") + step * F.col(f"v{c}") / F.col("_l") + (tropism if c == "z" else 0.0)).alias(c) for c in "xyz"])
+        *[(F.col(f"p{c}") + own["step"] * F.col(f"v{c}") / F.col("_l") + (own["tropism"] if c == "z" else F.lit(0.0))).alias(c) for c in "xyz"])
 
 
 def settle(new: DataFrame, least: float, longest: float, seed: int, generation: int, rounds: int = 100) -> DataFrame:
@@ -147,21 +164,28 @@ def unsuppressed(new: DataFrame, nodes: DataFrame, generation: int, control: tup
     return new.join(kids, ["tree_id", "parent_id"], "left_anti").unionByName(shoots)
 
 
-def grow(roots: DataFrame, endpoints: DataFrame, generations: int, step: float, influence: float, kill: float, least: float = 0.8,
-         tropism: float = 0.0, seed: int = 5, terrain: DataFrame | None = None, excluded: DataFrame | None = None,
+def grow(roots: DataFrame, endpoints: DataFrame, generations: int, step: float | str, influence: float | str, kill: float | str, least: float = 0.8,
+         tropism: float | str = 0.0, seed: int = 5, terrain: DataFrame | None = None, excluded: DataFrame | None = None,
          control: tuple[float, float, float, float] | None = None) -> DataFrame:
     """nodes after so many generations.  roots: tree_id, x, y, z; endpoints: tree_id,
     ep_id, x, y, z.  An endpoint dies when a node comes as near as kill.  terrain and
     excluded are triangles that edges may not meet and closed meshes that nodes may not
-    lie in; control is unsuppressed()'s."""
+    lie in; control is unsuppressed()'s.  step, influence, kill and tropism are values of
+    all trees or names of columns of roots with each tree's own."""
+    given = {"step": step, "influence": influence, "kill": kill, "tropism": tropism}
+    params = None
+    if any(isinstance(v, str) for v in given.values()):
+        params = cut(roots.select("tree_id", *[(F.col(v) if isinstance(v, str) else F.lit(v)).cast("double").alias(k) for k, v in given.items()]), "parameters")
+        top = params.agg(F.max("step"), F.max("influence"), F.max("kill"), F.max(F.abs("tropism"))).first()
+        step, influence, kill, tropism = (v or 0.0 for v in top)  # the greatest, as bounds
     columns = "tree_id", "node_id", "parent_id", "x", "y", "z", "gen", "px", "py", "pz"
     none = [F.lit(None).cast("double").alias(f"p{c}") for c in "xyz"]
     grown = cut(roots.select("tree_id", F.lit(0).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), "x", "y", "z", F.lit(0).alias("gen"), *none))
     store = Appended(grown, "nodes")
     nodes, longest = store.read(), step + abs(tropism)
-    alive = cut(assign(endpoints.select("tree_id", "ep_id", "x", "y", "z"), nodes, influence).where(F.col("dist").isNull() | (F.col("dist") > kill)), "assigned")
+    alive = cut(_alive(assign(endpoints, nodes, influence, params), kill, params), "assigned")
     for g in range(1, generations + 1):
-        new = proposals(alive, nodes, step, tropism)
+        new = proposals(alive, nodes, step, tropism, params)
         if control is not None:
             new = unsuppressed(new, nodes, g, control, seed)
         w = Window.partitionBy("tree_id").orderBy("parent_id")
@@ -175,7 +199,7 @@ def grow(roots: DataFrame, endpoints: DataFrame, generations: int, step: float,
         if grown.isEmpty():
             break
         nodes = store.add(grown)
-        before, alive = alive, reassigned(alive, nodes, grown, influence, kill)
+        before, alive = alive, reassigned(alive, nodes, grown, influence, kill, params)
         drop(before)
     return nodes.drop("px", "py", "pz")
 

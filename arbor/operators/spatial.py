@@ -146,6 +146,17 @@ def terrain_height(points: DataFrame, tri: DataFrame, point: str, edge: float) -
     return _hits(points, t, edge).groupBy(point).agg(F.max("hit_z").alias("z"))
 
 
+def terrain_normal(points: DataFrame, tri: DataFrame, point: str, edge: float) -> DataFrame:
+    """points (x, y) with nx, ny, nz: the upward unit normal of the highest triangle hit
+    from above (of equals the least tri_id); points off the terrain are absent."""
+    t = _renamed(tri)
+    n = cross(sub(vec("bx", "by", "bz"), vec("ax", "ay", "az")), sub(vec("cx_", "cy_", "cz_"), vec("ax", "ay", "az")))
+    t = t.withColumns({f"_n{k}": c for k, c in zip("xyz", n)}).withColumn("_size", F.sqrt(dot(cols("_n"), cols("_n")))).where("_size > 0")
+    up = F.when(F.col("_nz") < 0, -F.col("_size")).otherwise(F.col("_size"))
+    top = _hits(points.select(point, "x", "y"), t, edge).groupBy(point).agg(F.max_by(F.struct(*[(F.col(f"_n{k}") / up).alias(f"n{k}") for k in "xyz"]), F.struct("hit_z", -F.col("tri_id"))).alias("_n"))
+    return points.join(top, point).select(*points.columns, "_n.*")
+
+
 def _hits(points: DataFrame, t: DataFrame, edge: float) -> DataFrame:
     """Points (x, y) with the triangles above or below them and the height hit_z; borders
     count, vertical triangles do not."""

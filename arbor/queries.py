@@ -705,4 +705,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foliage.within_budget(shares, ["branch"], ["idx"], "area", 15.0).select("branch", "idx", "bin", r6(F.col("area"), "area"))
 
 
-from . import queries_geometry, queries_hull, queries_mesh  # noqa: E402, F401
+from . import queries_forest, queries_geometry, queries_hull, queries_mesh  # noqa: E402, F401
