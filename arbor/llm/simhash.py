@@ -273,13 +273,16 @@ REACH = 31
 SAME, CHANCE = 0.68, 0.375
 #: Probability with which such a pair shares a cell.
 FOUND = 0.96
+#: Strangers in a cell, as expected: more of them make fewer, fuller cells, which trades
+#: shuffled rows for comparisons of 16 bytes each.
+CELL_TEXTS = 2048
 GROUP_ROWS = 512
 
 
 def tables_for(texts: int) -> tuple[int, int]:
     """How many samples of counts make cells, and of how many counts: as many counts as
-    leave STRANGERS of the texts in a cell."""
-    counts = min(24, max(3, int(np.ceil(np.log(max(texts, 1) / STRANGERS) / -np.log(CHANCE)))))
+    leave CELL_TEXTS of the texts in a cell."""
+    counts = min(24, max(3, int(np.ceil(np.log(max(texts, 1) / CELL_TEXTS) / -np.log(CHANCE)))))
     return int(np.ceil(np.log(1 - FOUND) / np.log(1 - SAME ** counts))), counts
 
 
@@ -434,10 +437,11 @@ def similar_groups(texts: DataFrame, cell_rows: int = CELL_ROWS, group_rows: int
     tables, counts = tables_for(t.count())
     cells = t.select("name", "fp", "fp2").mapInArrow(_sampled_cells(tables, counts), "cell long, name long, fp long, fp2 long")
     near = components(stars(_grouped(cells, "cell", cell_rows).mapInArrow(_links(_near), "u long, v long")))
-    near = staged(near.select(F.col("component").alias("group"), F.col("node").alias("name")), "near")
-    near = near.unionByName(near.select("group", F.col("group").alias("name")).distinct())  # the least names
+    near_names = staged(near.select(F.col("component").alias("group"), F.col("node").alias("name")), "near")
+    near = near_names.unionByName(near_names.select("group", F.col("group").alias("name")).distinct())  # the least names
     groups = staged(near.join(t.select("name", "set"), "name").select("group", "name", "set"), "similar")
     out = components(stars(_grouped(groups, "group", group_rows).mapInArrow(_links(_similar), "u long, v long")))
+    drop(t, near_names, groups)  # components() has written what it needs
     return out.withColumnRenamed("node", "name")
 
 
