@@ -36,13 +36,6 @@ def bin_masses(density, low: float = 0.0, high: float = 1.0, bins: int = BINS, p
     return [v / total for v in out]
 
 
-def upper_bound(density, low: float = 0.0, high: float = 1.0, points: int = 10001) -> float:
-    """Greatest finite value of a density on a fine grid."""
-    with np.errstate(all="ignore"):
-        y = np.asarray(density(np.linspace(low, high, points)), float)
-    return float(y[np.isfinite(y)].max())
-
-
 def equal_mass_edges(density, bins: int = BINS, points: int = 10000) -> list[float]:
     x = np.linspace(0, 1, points)
     y = np.asarray(density(x), float)
