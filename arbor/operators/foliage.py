@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..functions.scalars import leaf_normal, upward
-from ..functions.vec import cols, cross, dot, named, rotate, scale, sub, unit
+from ..functions.scalars import axis_azimuth, leaf_normal, upward
+from ..functions.vec import arccos, cols, cross, dot, named, rotate, scale, sub, unit
 from ..plans.stage import cut
 from .cylinders import compass_of_midpoints, relative_height, relative_position, split_long
 from .lookup import right_closed_bin
@@ -407,11 +407,12 @@ def leaf_bounds(leaves: DataFrame, tree: str = "tree_id") -> DataFrame:
     return leaves.groupBy(tree).agg(*[c for n in "xyz" for c in ((F.min(f"s{n}") - most).alias(f"{n}0"), (F.max(f"s{n}") + most).alias(f"{n}1"))])
 
 
-def with_petiole(rows: DataFrame, along: Column, turn: Column, petiole: Column) -> DataFrame:
+def with_petiole(rows: DataFrame, along: Column, turn: Column, petiole: Column, nudge: Column | None = None) -> DataFrame:
     """rows (a*, n*, s*, length, radius) with d*, the leaf's direction, and e*, the end of
     its petiole: it leaves the cylinder's surface at the share along of the length, turned
     by turn from the upmost radial direction (the northmost if the axis is within 1e-3 of
-    vertical), and runs across the side that the radial direction and the normal span.
+    vertical), and runs across the side that the radial direction and the normal span.  Where
+    those two are parallel, the radial direction is turned on by nudge (pi / 12 if not given).
     Each step is a set of columns, so that no expression is repeated in the next."""
     axis, normal = cols("a"), cols("n")
     d = rows.withColumns({"_along": along, "_turn": turn, "_long": petiole})
@@ -422,6 +423,9 @@ def with_petiole(rows: DataFrame, along: Column, turn: Column, petiole: Column)
     d = step(d, "_q", sub(pole, scale(axis, F.col("_dot"))))
     d = step(d, "_u", unit(cols("_q")))
     d = step(d, "_r", rotate(cols("_u"), axis, F.col("_turn")))
+    apart = lambda sign: F.sqrt(sum((F.col(f"_r{k}") - sign * F.col(f"n{k}")) ** 2 for k in "xyz"))
+    d = d.withColumn("_more", F.when((apart(1) <= 1e-3) | (apart(-1) <= 1e-3), F.lit(math.pi / 12) if nudge is None else nudge).otherwise(0.0))
+    d = step(d, "_r", rotate(cols("_r"), axis, F.col("_more")))
     d = step(d, "_c", cross(cols("_r"), normal))
     d = step(d, "_s", unit(cols("_c")))
     d = step(d, "_f", cross(normal, cols("_s")))
@@ -432,19 +436,27 @@ def with_petiole(rows: DataFrame, along: Column, turn: Column, petiole: Column)
 
 
 def direct(cyl: DataFrame, masses: tuple[list[float], list[float], list[float]], total: float, base_area: float, sizes: tuple[str, tuple[float, float]],
-           angles: tuple[str, str, tuple, tuple], petiole: tuple[float, float] = (0.0, 0.0), seed: int = 1) -> DataFrame:
+           angles: tuple[str, str, tuple, tuple], petiole: tuple[float, float] = (0.0, 0.0), seed: int = 1, petiole_density=None) -> DataFrame:
     """Leaves on cylinders, from densities to a leaf table: relative height, distance and
     direction, area by allocate(), sizes by leaf_sizes(), angles by leaf_angles(), the
     petiole frame at a keyed place, and the budget by window (no collisions; accept()
-    takes the rows for those).  leaf_id, tree_id, cyl_id, s*, d*, n*, size, leaf_area."""
+    takes the rows for those).  leaf_id, tree_id, cyl_id, s*, d*, n*, size, leaf_area.
+    petiole_density: a function for sampling.petiole_turns(), in place of a uniform turn."""
     c = compass_of_midpoints(relative_height(cyl))
     c = relative_position(c, ["tree_id", "branch_index"], ["cyl_id"])
     c = allocate(c, F.col("rel_height"), F.col("rel_pos"), F.col("compass"), masses, total)
-    leaves = leaf_angles(leaf_sizes(c, *sizes, base_area, seed), angles[0], angles[1], seed + 1, angles[2], angles[3])
+    # leaf_angles names the leaf's azimuth as cylinders name their axis' z
+    leaves = leaf_angles(leaf_sizes(c, *sizes, base_area, seed).withColumn("_axis_z", F.col("az")), angles[0], angles[1], seed + 1, angles[2], angles[3])
     draw = lambda k: rng.uniform(seed + 2, k, "tree_id", "cyl_id", "leaf_no")
     normal = upward(leaf_normal(F.col("inc"), F.col("az")))
-    leaves = leaves.select("*", *named(normal, "n"))
-    d = with_petiole(leaves, draw(0), draw(1) * (2 * math.pi), petiole[0] + (petiole[1] - petiole[0]) * draw(2))
+    leaves = leaves.select("*", *named(normal, "n")).withColumn("az", F.col("_axis_z")).drop("_axis_z", "inc")
+    turn = draw(1) * (2 * math.pi)
+    if petiole_density is not None:
+        from .sampling import petiole_turns
+
+        shaped = leaves.withColumn("inclination", arccos(F.col("az"))).withColumn("azimuth", axis_azimuth(F.col("ax"), F.col("ay"), F.col("az")))
+        leaves, turn = petiole_turns(shaped, petiole_density, ["tree_id", "cyl_id", "leaf_no"], seed + 3), F.col("turn")
+    d = with_petiole(leaves, draw(0), turn, petiole[0] + (petiole[1] - petiole[0]) * draw(2), math.pi / 6 - draw(3) * (math.pi / 3))
     rows = d.select("tree_id", "cyl_id", "leaf_no", F.xxhash64("tree_id", "cyl_id", "leaf_no").alias("leaf_id"), *[F.col(f"e{k}").alias(f"s{k}") for k in "xyz"],
                     "dx", "dy", "dz", "nx", "ny", "nz", "size", "leaf_area")
     return within_budget(rows, ["tree_id"], ["leaf_id"], "leaf_area", total)

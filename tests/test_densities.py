@@ -57,3 +57,24 @@ def test_petiole_density_is_a_function_of_the_cylinder(spark):
     with pytest.raises(Exception, match="nowhere negative"):
         sampling.petiole_turns(rows, lambda phi, *_: np.cos(phi), ["leaf"]).collect()
     assert sampling.petiole_turns(rows.limit(0), upward, ["leaf"]).collect() == []
+
+
+def test_direct_foliage_takes_a_petiole_density(spark):
+    """Leaves of a level cylinder that all leave it on the upper side."""
+    from arbor.operators import foliage
+
+    cyl = spark.createDataFrame([(1, 1, 0, 0., 0., 1., 1., 0., 0., 2.0, .1)], "tree_id long, cyl_id long, branch_index long, sx double, sy double, sz double, ax double, ay double, az double, length double, radius double")
+    masses = ([.1] * 10, [.1] * 10, [.1] * 10)
+    up = lambda phi, length, radius, inc, az: (np.cos(phi) > .5) * 1.0
+    got = foliage.direct(cyl, masses, 1.0, .004, ("uniform", (.8, 1.2)), ("spherical", "uniform", (), ()), petiole_density=up).collect()
+    assert len(got) > 100 and all(r.sz > 1 + .1 * .5 - 1e-9 for r in got)
+    assert all(r.dx is not None for r in got)
+
+
+def test_petioles_along_the_normal_are_turned_on(spark):
+    from arbor.operators import foliage
+
+    rows = spark.createDataFrame([(1., 0., 0., 0., 0., 1., 0., 0., 0., 1.0, .1), (1., 0., 0., 0., 0., -1., 0., 0., 0., 1.0, .1)], "ax double, ay double, az double, nx double, ny double, nz double, sx double, sy double, sz double, length double, radius double")
+    for r in foliage.with_petiole(rows, F.lit(.5), F.lit(0.), F.lit(.1)).collect():
+        d, n = np.array([r.dx, r.dy, r.dz]), np.array([r.nx, r.ny, r.nz])
+        assert np.linalg.norm(d) == pytest.approx(1) and d @ n == pytest.approx(0, abs=1e-12)
