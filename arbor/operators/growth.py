@@ -68,15 +68,15 @@ def reassigned(assigned: DataFrame, nodes: DataFrame, grown: DataFrame, influenc
     return out
 
 
-def updated(assigned: DataFrame, new_nodes: DataFrame, influence: float, kill: float, params: DataFrame | None = None) -> DataFrame:
+def updated(assigned: DataFrame, new_nodes: DataFrame, influence: float, kill: float, params: DataFrame | None = None, first: float | None = None) -> DataFrame:
     """assigned (tree_id, ep_id, x, y, z, node_id, dist) after new nodes of the same trees:
     one takes an endpoint over where it is strictly nearer than the stored distance (of
     several the nearest, ties to the least id); nearer than or at kill the endpoint is
     DEAD, at influence or beyond FAR.  Only the new nodes are joined, no farther than the
-    stored distance."""
+    stored distance; first is nearest_by_rings()'s."""
     n = new_nodes.select("tree_id", "node_id", "x", "y", "z")
     open_ = assigned.where(F.col("node_id") != DEAD)
-    near = (nearest_by_rings(open_.select("tree_id", "ep_id", "x", "y", "z", "dist"), n, influence, ["tree_id", "ep_id"], "node_id", also=("tree_id",), limit="dist")
+    near = (nearest_by_rings(open_.select("tree_id", "ep_id", "x", "y", "z", "dist"), n, influence, ["tree_id", "ep_id"], "node_id", first, also=("tree_id",), limit="dist")
             .select("tree_id", "ep_id", F.struct(F.sqrt("d2").alias("d"), F.col("node_id").alias("n")).alias("m")))
     better = F.col("m.d").isNotNull() & (F.col("dist").isNull() | (F.col("m.d") < F.col("dist"))) & (F.col("node_id") != DEAD)
     d = F.when(better, F.col("m.d")).otherwise(F.col("dist"))
