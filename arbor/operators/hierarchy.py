@@ -18,6 +18,12 @@ from pyspark.sql import functions as F
 from ..plans.stage import cut, dealt, drop
 
 
+def _dealt_out(df: DataFrame) -> DataFrame:
+    """df for a join with a row of every node: both sides are shuffled.  Broadcast, a table
+    of nodes would go through the driver in every round."""
+    return df.hint("merge")
+
+
 def gather(tree: DataFrame, up: dict[str, tuple] | None = None, down: dict[str, tuple] | None = None, node: str = "node", parent: str = "parent",
            keys: Sequence[str] = ()) -> DataFrame:
     """keys, node and one column per name.  up: name -> (start, join), folded over the
@@ -28,7 +34,7 @@ def gather(tree: DataFrame, up: dict[str, tuple] | None = None, down: dict[str,
     starts = {n: v[0] for n, v in (up | down).items()}
     rows = tree.select(*keys, F.col(node).alias("_n"), F.col(parent).alias("_p"), *[v.alias(n) for n, v in starts.items()])
     here = tree.select(*keys, F.col(node).alias("_p"), F.col(node).alias("_j"))
-    state = cut(rows.join(here, [*keys, "_p"], "left").select(*keys, "_n", "_j", *starts))
+    state = cut(rows.join(_dealt_out(here), [*keys, "_p"], "left").select(*keys, "_n", "_j", *starts))
     rounds = max(1, state.count()).bit_length() + 1
     for _ in range(rounds):
         live = state.where("_j is not null")
@@ -38,11 +44,11 @@ def gather(tree: DataFrame, up: dict[str, tuple] | None = None, down: dict[str,
         on = F.col("_j") == F.col("_a")
         for i, k in enumerate(keys):
             on = on & (F.col(k) == F.col(f"_k{i}"))
-        moved = live.join(above, on).select(*keys, "_n", F.col("_aj").alias("_j"), *[v[1](F.col(n), F.col(f"_u_{n}")).alias(n) for n, v in up.items()], *down)
+        moved = live.join(_dealt_out(above), on).select(*keys, "_n", F.col("_aj").alias("_j"), *[v[1](F.col(n), F.col(f"_u_{n}")).alias(n) for n, v in up.items()], *down)
         both = state.where("_j is null").unionByName(moved)
         if down:
             got = live.groupBy(*keys, F.col("_j").alias("_n")).agg(*[v[1](F.col(n)).alias(f"_d_{n}") for n, v in down.items()])
-            both = both.join(got, [*keys, "_n"], "left").select(
+            both = both.join(_dealt_out(got), [*keys, "_n"], "left").select(
                 *keys, "_n", "_j", *up, *[F.when(F.col(f"_d_{n}").isNull(), F.col(n)).otherwise(v[2](F.col(n), F.col(f"_d_{n}"))).alias(n) for n, v in down.items()])
         before, state = state, cut(both)
         drop(before)
@@ -87,7 +93,7 @@ def children(tree: DataFrame, node: str = "node", parent: str = "parent", keys:
 def roles(tree: DataFrame, node: str = "node", parent: str = "parent", keys: Sequence[str] = ()) -> DataFrame:
     """node, parent, is_shoot (the last of several children)."""
     kids = tree.where(F.col(parent).isNotNull()).groupBy(*keys, parent).agg(F.max(node).alias("_last"), F.count("*").alias("_kids"))
-    return (tree.select(*keys, node, parent).join(kids, [*keys, parent], "left")
+    return (tree.select(*keys, node, parent).join(_dealt_out(kids), [*keys, parent], "left")
             .select(*keys, node, parent, _flag((F.col("_kids") > 1) & (F.col(node) == F.col("_last"))).alias("is_shoot")))
 
 
@@ -99,14 +105,14 @@ def trunk_path(tree: DataFrame, node: str = "node", parent: str = "parent", keys
     top = seen.where("not bent").groupBy(*keys).agg(F.min_by(node, F.struct("size", node)).alias("_top"))
     marked = tree.select(*keys, node, parent).join(top, list(keys)) if keys else tree.select(node, parent).join(F.broadcast(top))
     path = gather(marked, down={"under": (F.col(node) == F.col("_top"), F.bool_or, _or)}, node=node, parent=parent, keys=keys)
-    return path.where("under").join(seen, [*keys, node]).select(*keys, node, (F.col("height") - 1).alias("height"))
+    return path.where("under").join(_dealt_out(seen), [*keys, node]).select(*keys, node, (F.col("height") - 1).alias("height"))
 
 
 def branch_order(cyl: DataFrame, node: str = "node", parent: str = "parent", branch: str = "branch", keys: Sequence[str] = ()) -> DataFrame:
     """node, order (branch changes on the way from the root), index_in_branch (place in
     the run of this branch that ends at the node)."""
     p = cyl.select(*keys, F.col(node).alias(parent), F.col(branch).alias("_b"))
-    turns = (cyl.select(*keys, node, parent, branch).join(p, [*keys, parent], "left")
+    turns = (cyl.select(*keys, node, parent, branch).join(_dealt_out(p), [*keys, parent], "left")
              .select(*keys, node, parent, F.coalesce(F.col("_b") != F.col(branch), F.lit(False)).alias("_turn")))
     run = F.struct(F.lit(1).cast("long").alias("n"), F.col("_turn").alias("turn"))
     longer = lambda a, b: F.when(a["turn"], a).otherwise(F.struct((a["n"] + b["n"]).alias("n"), b["turn"].alias("turn")))
@@ -130,11 +136,11 @@ def crown(cyl: DataFrame, node: str = "node", parent: str = "parent", order: str
     with_ = (lambda d, one: d.join(one, list(keys), "left")) if keys else (lambda d, one: d.join(F.broadcast(one)))
     base = with_(base, level).withColumn("_seed", _flag(F.col("_ord") >= F.col("_level")))
     up = gather(base, down={"_over": (F.col("_seed"), F.bool_or, _or)}, node=node, parent=parent, keys=keys)
-    first = base.join(up, [*keys, node]).withColumn("_first", _flag(F.col("_seed") | F.col("_over") & (F.col("_ord") > 0)))
+    first = base.join(_dealt_out(up), [*keys, node]).withColumn("_first", _flag(F.col("_seed") | F.col("_over") & (F.col("_ord") > 0)))
     first = cut(first.select(*keys, node, parent, "_ord", "_z", "_first"))
     down = gather(first, up={"_in": (F.col("_first"), _or)}, node=node, parent=parent, keys=keys)
     low = first.where("_first and _ord = 1").groupBy(*keys).agg(F.min("_z").alias("_low"))
-    all_ = with_(first.join(down, [*keys, node]), low)
+    all_ = with_(first.join(_dealt_out(down), [*keys, node]), low)
     return all_.where(_flag(F.col("_in") | (F.col("_ord") > 0) & (F.col("_z") >= F.col("_low")))).select(*keys, F.col(node).alias("node"))
 
 
