@@ -69,6 +69,16 @@ def test_small_head_many_segments_and_blocks_that_travel(spark, monkeypatch):
     assert np.allclose([g[4:] for g in here], [g[4:] for g in far], rtol=1e-9)
 
 
+def test_rare_words_keep_their_own_counts(spark):
+    """Beyond the head too, a word's probability follows its count: no shared value."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    want = sorted(plain([(r.doc_id, r.text) for r in docs.collect()]))
+    model = lm.fit(docs.where(lm.fold(lm.F.col("doc_id"), 7) != 2), head=50, segment_tokens=1500)
+    for most in (lm.BROADCAST_BYTES, 0):
+        got = rows_of(lm.score(docs, model, most_bytes=most))
+        assert sum(abs(g[5] - w[5]) for g, w in zip(got, want)) / sum(w[1] for w in want) < 0.02
+
+
 def test_long_texts_are_cut_at_separators(monkeypatch):
     texts = [b"one two  three\tfour " * 30, b"", b"x" * 500, b" a b "]
     whole = [np.concatenate(x) for x in zip(*[p[3:6] for p in lm.tokens(texts)])]
