@@ -294,17 +294,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _texts(batches):
-    """name, text -> name, two fingerprints over the set of shingles, and the set of their
-    hashes as bytes."""
+    """name, text -> name, two fingerprints over the set of shingles."""
     for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            cols = [[], [], []]
-            for t in part.column(1):
-                h = np.unique(shingle_hashes(t.as_py(), WORDS))  # links are of sets: repeats must not move the fingerprints
-                for c, v in zip(cols, (_signed(majority(h)), _signed(majority(_mixed(h))), h.tobytes())):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary())))], names=["name", "fp", "fp2", "set"])
+        cols = [[], []]
+        for t in b.column(1):
+            h = np.unique(shingle_hashes(t.as_py(), WORDS))  # links are of sets: repeats must not move the fingerprints
+            for c, v in zip(cols, (_signed(majority(h)), _signed(majority(_mixed(h))))):
+                c.append(v)
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["name", "fp", "fp2"])
 
 
 def _sampled_cells(tables: int, counts: int):
@@ -350,19 +347,23 @@ def forest(group: np.ndarray, compare) -> tuple[np.ndarray, np.ndarray]:
 
 def _grouped(rows: DataFrame, key: str, most: int) -> DataFrame:
     """rows with grp for key: keys of more rows than most are cut into chunks by name, and
-    every pair of chunks is a group of its own.  Dealt by grp and sorted by grp and name,
-    so that many groups of the same rows name the same first one.  The crowded keys are
-    written first: where they are few, Spark sees that by their size and broadcasts them,
-    and the rows are dealt once."""
+    every pair of chunks is a group of its own.  The crowded keys are written first: where
+    they are few, Spark sees that by their size and broadcasts them, and the rows are
+    dealt once."""
     crowded = staged(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most)
                      .select(key, F.ceil(F.col("n") / most).cast("int").alias("chunks")), "crowded")
     chunk = F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")
     tasks = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(chunk, j) * F.col("chunks") + F.greatest(chunk, j)))
     rest = [c for c in rows.columns if c != key]
+    return rows.join(crowded, key, "left").select(key, *rest, F.explode(tasks).alias("task")).select(F.xxhash64(key, "task").alias("grp"), *rest)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Dealt by grp and sorted by grp and name, so that many groups of the same rows name
+    the same first one."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.join(crowded, key, "left").select(key, *rest, F.explode(tasks).alias("task")).select(F.xxhash64(key, "task").alias("grp"), *rest)
-            .repartition(parts, "grp").sortWithinPartitions("grp", "name"))
+    return rows.repartition(parts, "grp").sortWithinPartitions("grp", "name")
 
 
 def _links(solve):
@@ -406,10 +407,24 @@ def _near(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _similar(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Rows grp, name, set: names whose sets have a Jaccard similarity of SIMILAR or more;
-    two empty sets are equal."""
+    """Rows grp, name, text: names whose sets of shingles have a Jaccard similarity of
+    SIMILAR or more; two empty sets are equal.  Whole groups of about GROUP_ROWS rows at
+    a time have their sets in memory."""
+    grp, at, found = table.column(0).to_numpy(), 0, []
+    while at < len(grp):
+        end = int(np.searchsorted(grp, grp[min(at + GROUP_ROWS, len(grp)) - 1], "right"))
+        found.append(_verified(table.slice(at, end - at)))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _verified(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     grp, name = (table.column(i).to_numpy() for i in range(2))
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column(2)]
+    known = {}
+    for x, text in zip(name.tolist(), table.column(2)):
+        if x not in known:
+            known[x] = np.unique(shingle_hashes(text.as_py(), WORDS))
+    sets = [known[x] for x in name.tolist()]
     size = np.array([len(x) for x in sets])
 
     def compare(i, j):
@@ -425,23 +440,27 @@ def _similar(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar_groups(texts: DataFrame, cell_rows: int = CELL_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """name, component of texts (name, text; each name once) that are linked to another:
-    links are similarities of SIMILAR or more over sets of WORDS-word shingles.
+    """name, component of texts (name, text; rows of one name have one text) that are
+    linked to another: links are similarities of SIMILAR or more over sets of WORDS-word
+    shingles.
 
     Candidates are pairs whose two fingerprints differ in REACH bits at most together;
     they meet in cells of sampled counts of the first (a pair that differs in 12 bits
     shares one with probability FOUND).  What candidates connect is verified exactly, all against all
     that are not joined yet; a similar pair is lost only if no chain of candidates
-    connects it."""
-    t = staged(texts.select("name", "text").mapInArrow(_texts, "name long, fp long, fp2 long, set binary"), "shingles")
+    connects it.  Sets of shingles are larger than their texts, so none are written or
+    dealt: candidates' texts travel, and their sets are made where they are compared."""
+    t = staged(texts.select("name", "text").mapInArrow(_texts, "name long, fp long, fp2 long").dropDuplicates(["name"]), "fingerprints")
     tables, counts = tables_for(t.count())
     cells = t.select("name", "fp", "fp2").mapInArrow(_sampled_cells(tables, counts), "cell long, name long, fp long, fp2 long")
-    near = components(stars(_grouped(cells, "cell", cell_rows).mapInArrow(_links(_near), "u long, v long")))
+    near = components(stars(_dealt(_grouped(cells, "cell", cell_rows)).mapInArrow(_links(_near), "u long, v long")))
     near_names = staged(near.select(F.col("component").alias("group"), F.col("node").alias("name")), "near")
     near = near_names.unionByName(near_names.select("group", F.col("group").alias("name")).distinct())  # the least names
-    groups = staged(near.join(t.select("name", "set"), "name").select("group", "name", "set"), "similar")
-    out = components(stars(_grouped(groups, "group", group_rows).mapInArrow(_links(_similar), "u long, v long")))
-    drop(t, near_names, groups)  # components() has written what it needs
+    # one text a name before the join, so that many copies of a text make no task long
+    one = texts.groupBy("name").agg(F.first("text").alias("text"))
+    groups = _grouped(near, "group", group_rows).join(one, "name").select("grp", "name", "text")
+    out = components(stars(_dealt(groups).mapInArrow(_links(_similar), "u long, v long")))
+    drop(t, near_names)  # components() has written what it needs
     return out.withColumnRenamed("node", "name")
 
 
@@ -451,8 +470,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeated rows leave one."""
     plain = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
     named = docs.select("*", F.xxhash64(text_of()).alias("_name"), F.xxhash64("doc_id", text_of()).alias("_k1"), F.xxhash64(F.lit(7), *plain).alias("_k2"))
-    texts = named.groupBy(F.col("_name").alias("name")).agg(F.first(text_of()).alias("text"))
-    groups = staged(similar_groups(texts), "groups")
+    groups = staged(similar_groups(named.select(F.col("_name").alias("name"), text_of().alias("text"))), "groups")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
     rows = named.groupBy("_name", "doc_id", "_k1", "_k2").count()
     first = rows.groupBy("_name").agg(F.min(F.struct(place.alias("p"), "count")).alias("f"))
