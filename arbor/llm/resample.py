@@ -38,9 +38,12 @@ PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LEAST_WORDS = 20
 PERCENT = 5
 SEED = "42"
-#: Characters of text in one DuckDB statement, and memory it may use for it.
-BATCH = 4 << 20
+#: Characters of text in one DuckDB statement, and memory it may use for it.  A statement
+#: takes some 70 times its text, outside of DuckDB's limit for a part.
+BATCH = 1 << 20
 MEMORY_MB = 300
+#: Bytes of an Arrow batch, as the JVM and Python hold a whole one each.
+ARROW_BYTES = 4 << 20
 
 _SQL = f"""
 with words as materialized (
@@ -208,10 +211,10 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     """doc_id, n_features, weight, score, rank (null where not drawn) of every document.
     target's first column named text gives the target texts."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spill = staged(spilled(docs), "buckets")
+    spill = staged(spilled(docs), "buckets", ARROW_BYTES)
     goal = merged(spilled(target.select(F.lit(None).cast("long").alias("doc_id"), "text")))
     gain = [r.gain for r in gains(merged(spill), goal).orderBy("bucket").collect()]
-    scored = staged(weighed(spill, gain).withColumn("score", F.col("weight") + chance(F.col("doc_id"))).withColumn("row", F.monotonically_increasing_id()), "scores")
+    scored = staged(weighed(spill, gain).withColumn("score", F.col("weight") + chance(F.col("doc_id"))).withColumn("row", F.monotonically_increasing_id()), "scores", ARROW_BYTES)
     drop(spill)
     enough = F.col("n_words") >= least_words
     draw = percent * scored.where(enough).count() // 100
