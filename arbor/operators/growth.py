@@ -6,8 +6,10 @@ dist).  A generation proposes all new nodes from one snapshot, drops those that
 too near an edge of another tree, and settles conflicts between proposals in the order of
 a keyed priority, like a sequential pass in that order.  Assignments are kept up to date:
 only new nodes are held against the endpoints, and only endpoints of nodes that just got
-their second child are searched again.  New nodes are appended to the shared folder; what
-a generation has used up is deleted there."""
+their second child are searched again.  Both are done in one pass over the endpoints, who
+look up the nodes around their cell: no endpoint is dealt to several cells, and a
+generation takes a fixed number of passes.  New nodes are appended to the shared folder;
+what a generation has used up is deleted there."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,9 +19,12 @@ from ..functions import rng
 from ..functions.scalars import apical_control, suppressed
 from ..functions.vec import cols, with_segment_distance2
 from ..plans.stage import Appended, cut, drop
-from .spatial import clear_edges, edge_conflicts, inside_mesh, nearest_by_rings, radius_pairs, segment_hits
+from .spatial import around_cells, clear_edges, edge_conflicts, inside_mesh, nearest_around, nearest_by_rings, radius_pairs, segment_hits
 
 DEAD, FAR = -1, -2
+#: Nodes whose cells are broadcast to the endpoints (each is in 27 of them, and in two
+#: sizes); with more, Spark chooses.
+FEW = 4000
 
 
 def with_room(nodes: DataFrame) -> DataFrame:
@@ -40,12 +45,10 @@ def assign(endpoints: DataFrame, nodes: DataFrame, influence: float, params: Dat
     """endpoints with node_id (nearest node of the same tree with at most one child,
     FAR if none is nearer than influence) and dist.  params: a tree's own influence, no
     greater than influence."""
-    e = endpoints.select("tree_id", "ep_id", "x", "y", "z")
-    near = nearest_by_rings(e, with_room(nodes), influence, ["tree_id", "ep_id"], "node_id", also=("tree_id",))
-    if params is not None:
-        near, own = _own(near, params, influence=influence)
-        near = near.where(F.sqrt("d2") < own["influence"])
-    return e.join(near, ["tree_id", "ep_id"], "left").select("tree_id", "ep_id", "x", "y", "z", F.coalesce("node_id", F.lit(FAR)).alias("node_id"), F.sqrt("d2").alias("dist"))
+    e = _looked_up(endpoints.select("tree_id", "ep_id", "x", "y", "z"), with_room(nodes), influence, "_m")
+    d, (e, own) = F.sqrt("_m.d2"), _own(e, params, influence=influence)
+    near = F.coalesce(d < own["influence"], F.lit(False))
+    return e.select("tree_id", "ep_id", "x", "y", "z", F.when(near, F.col("_m.n")).otherwise(FAR).alias("node_id"), F.when(near, d).alias("dist"))
 
 
 def _alive(assigned: DataFrame, kill: float, params: DataFrame | None) -> DataFrame:
@@ -53,19 +56,28 @@ def _alive(assigned: DataFrame, kill: float, params: DataFrame | None) -> DataFr
     return d.where(F.col("dist").isNull() | (F.col("dist") > own["kill"])).select(assigned.columns)
 
 
-def reassigned(assigned: DataFrame, nodes: DataFrame, grown: DataFrame, influence: float, kill: float, params: DataFrame | None = None) -> DataFrame:
+def _looked_up(endpoints: DataFrame, nodes: DataFrame, influence: float, name: str, limit: str | None = None, where: str | None = None, few: bool = False) -> DataFrame:
+    """endpoints with name: d2 and n of the nearest of nodes in the same tree and nearer
+    than influence, found within a quarter of it or else in all of it."""
+    places = nodes.groupBy("tree_id", "x", "y", "z").agg(F.min("node_id").alias("node_id"))
+    return nearest_around(endpoints, around_cells(places, "node_id", (influence / 4, influence), ("tree_id",), few), name, ("tree_id",), limit, where)
+
+
+def reassigned(assigned: DataFrame, nodes: DataFrame, grown: DataFrame, influence: float, kill: float, params: DataFrame | None = None, few: bool = False) -> DataFrame:
     """assigned after the new nodes of grown, which nodes holds too: updated() by them,
-    then endpoints of nodes that have two children now are searched again."""
+    then endpoints of nodes that have two children now are searched again.  Those that
+    died are DEAD, and left out by the next call.  few: nodes are at most FEW."""
     full = (nodes.join(grown.select("tree_id", "parent_id").distinct(), ["tree_id", "parent_id"], "left_semi")
-            .groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n")).where("n >= 2").select("tree_id", "node_id"))
-    now = updated(assigned, grown, influence, kill, params).where(F.col("node_id") != DEAD)
-    now = cut(now.join(full.withColumn("_full", F.lit(True)), ["tree_id", "node_id"], "left").select(*now.columns, "_full"), "assigned")
-    again, kept = now.where("_full").drop("_full"), now.where("_full is null").drop("_full")
-    if again.isEmpty():
-        return now.drop("_full")
-    out = cut(kept.unionByName(_alive(assign(again, nodes, influence, params), kill, params)), "assigned")
-    drop(now)
-    return out
+            .groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n")).where("n >= 2").select("tree_id", "node_id", F.lit(True).alias("_full")))
+    rows = _looked_up(assigned.where(F.col("node_id") != DEAD), grown.select("tree_id", "node_id", "x", "y", "z"), influence, "_near", "dist", few=few)
+    now = _overtaken(rows.withColumn("m", F.struct(F.sqrt("_near.d2").alias("d"), F.col("_near.n").alias("n"))), influence, kill, params)
+    now = now.join(F.broadcast(full) if few else full, ["tree_id", "node_id"], "left")
+    again, own = _own(_looked_up(now, with_room(nodes), influence, "_near", where="_full", few=few), params, influence=influence, kill=kill)
+    d = F.sqrt("_near.d2")
+    far = F.col("_near.d2").isNull() | (d >= own["influence"])
+    node = F.when(F.col("_full").isNull(), F.col("node_id")).when(far, FAR).when(d <= own["kill"], DEAD).otherwise(F.col("_near.n"))
+    dist = F.when(F.col("_full").isNull(), F.col("dist")).when(~far, d)
+    return cut(again.select("tree_id", "ep_id", "x", "y", "z", node.alias("node_id"), dist.alias("dist")), "assigned")
 
 
 def updated(assigned: DataFrame, new_nodes: DataFrame, influence: float, kill: float, params: DataFrame | None = None, first: float | None = None) -> DataFrame:
@@ -78,13 +90,17 @@ def updated(assigned: DataFrame, new_nodes: DataFrame, influence: float, kill: f
     open_ = assigned.where(F.col("node_id") != DEAD)
     near = (nearest_by_rings(open_.select("tree_id", "ep_id", "x", "y", "z", "dist"), n, influence, ["tree_id", "ep_id"], "node_id", first, also=("tree_id",), limit="dist")
             .select("tree_id", "ep_id", F.struct(F.sqrt("d2").alias("d"), F.col("node_id").alias("n")).alias("m")))
+    return _overtaken(assigned.join(near, ["tree_id", "ep_id"], "left"), influence, kill, params)
+
+
+def _overtaken(assigned: DataFrame, influence: float, kill: float, params: DataFrame | None) -> DataFrame:
+    """assigned with m, the distance d and id n of the nearest new node, if any: as updated()."""
     better = F.col("m.d").isNotNull() & (F.col("dist").isNull() | (F.col("m.d") < F.col("dist"))) & (F.col("node_id") != DEAD)
     d = F.when(better, F.col("m.d")).otherwise(F.col("dist"))
     rows, own = _own(assigned, params, influence=influence, kill=kill)
     node = (F.when(F.col("node_id") == DEAD, DEAD).when(d.isNull() | (d >= own["influence"]), FAR).when(d <= own["kill"], DEAD)
             .when(better, F.col("m.n")).otherwise(F.col("node_id")))
-    return (rows.join(near, ["tree_id", "ep_id"], "left")
-            .select("tree_id", "ep_id", "x", "y", "z", node.alias("node_id"), F.when(d < own["influence"], d).alias("dist")))
+    return rows.select("tree_id", "ep_id", "x", "y", "z", node.alias("node_id"), F.when(d < own["influence"], d).alias("dist"))
 
 
 def proposals(endpoints: DataFrame, nodes: DataFrame, step: float, tropism: float = 0.0, params: DataFrame | None = None) -> DataFrame:
@@ -182,7 +198,7 @@ def grow(roots: DataFrame, endpoints: DataFrame, generations: int, step: float |
     none = [F.lit(None).cast("double").alias(f"p{c}") for c in "xyz"]
     grown = cut(roots.select("tree_id", F.lit(0).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), "x", "y", "z", F.lit(0).alias("gen"), *none))
     store = Appended(grown, "nodes")
-    nodes, longest = store.read(), step + abs(tropism)
+    nodes, longest, n_nodes = store.read(), step + abs(tropism), grown.count()
     alive = cut(_alive(assign(endpoints, nodes, influence, params), kill, params), "assigned")
     for g in range(1, generations + 1):
         new = proposals(alive, nodes, step, tropism, params)
@@ -196,10 +212,12 @@ def grow(roots: DataFrame, endpoints: DataFrame, generations: int, step: float |
         ok = settle(clear_edges(unhindered(e, terrain, excluded, max(step, 1e-6) * 2), edges(nodes), least, longest), least, longest, seed, g)
         before, grown = grown, cut(ok.select("tree_id", "node_id", "parent_id", *[F.col(f"p1{c}").alias(c) for c in "xyz"], F.lit(g).alias("gen"), *[F.col(f"p0{c}").alias(f"p{c}") for c in "xyz"]).select(*columns), "grown")
         drop(before, numbered)
-        if grown.isEmpty():
+        n = grown.count()
+        if not n:
             break
+        n_nodes += n
         nodes = store.add(grown)
-        before, alive = alive, reassigned(alive, nodes, grown, influence, kill, params)
+        before, alive = alive, reassigned(alive, nodes, grown, influence, kill, params, n_nodes <= FEW)
         drop(before)
     return nodes.drop("px", "py", "pz")
 
