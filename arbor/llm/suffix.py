@@ -7,9 +7,9 @@ Windows that follow each other with one anchor form a snippet; snippets of an an
 that occurs once cannot repeat and are left out.  Equal snippets become one entry with a
 multiplicity, and all entries of an anchor are held against each other in shards of about
 SHARD positions.  Each shard sorts its suffixes (Larsson-Sadakane: ranks of h symbols are
-refined to 2h, only where still tied), gets common prefixes by Kasai's algorithm (run
-over many stretches at once), and marks the starts whose neighbour shares LENGTH bytes; a
-suffix of an entry with copies has its copy's as a neighbour, with all of it in common.
+refined to 2h, only where still tied) and marks the starts whose neighbour shares LENGTH
+bytes, as the ranks of the round of 128 symbols tell; a suffix of an entry with copies
+has its copy's as a neighbour, with all of it in common.
 
 An anchor with more entries than a shard holds (a passage in a third of all documents,
 between different neighbours) is dealt over several shards; they are merged by binary
@@ -152,6 +152,13 @@ def _cut(batches):
 def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(order, buffer, remaining, owner) of all suffixes of the texts, each text closed
     by an end of its own that sorts before every byte."""
+    return _refined(texts, 4)[:4]
+
+
+def _refined(texts: list[bytes], length: int):
+    """What suffix_array() gives, then ranks by the first reach symbols, and reach: the
+    largest of 4, 8, 16, ... that is at most length (4 or more)."""
+    reach = 4 << (length // 4).bit_length() - 1
     sizes = np.array([len(t) for t in texts])
     buf = np.frombuffer(b"".join(texts), np.uint8)
     n, s = len(buf), len(texts)
@@ -188,7 +195,10 @@ def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     rank[sa] = head
     slots = np.flatnonzero(~(new & np.append(new[1:], True)))
     h = 4
+    kept = rank
     while len(slots):
+        if h == reach:
+            kept = rank.copy()
         who = sa[slots]
         ended = rem[who] <= h
         second = np.where(ended, owner[who], s + rank[np.minimum(who + h, n - 1)])
@@ -197,11 +207,13 @@ def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         rank[got] = np.maximum.accumulate(np.where(new, slots, 0))
         slots = slots[~(new & np.append(new[1:], True))]
         h *= 2
-    return sa, buf, rem, owner
+    # where the rounds end before reach, all ranks differ already
+    return sa, buf, rem, owner, kept, reach
 
 
 def kasai(sa: np.ndarray, buf: np.ndarray, rem: np.ndarray, lane: int = 512) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in order, by position.
+    """Common prefix of each suffix with the one before it in order, by position: what
+    the tests hold repeated_starts() against.
 
     Kasai's loop over positions (the next prefix is at most one shorter), run over
     stretches of lane positions side by side; eight bytes are compared at a time."""
@@ -234,19 +246,23 @@ def kasai(sa: np.ndarray, buf: np.ndarray, rem: np.ndarray, lane: int = 512) ->
 
 
 def repeated_starts(texts: list[bytes], length: int = LENGTH, copies: list[bool] | None = None) -> list[np.ndarray]:
-    """For each text, whether the length bytes from each start also start elsewhere; a
-    text with copies stands for itself and them."""
-    sa, buf, rem, owner = suffix_array(texts)
-    lcp = kasai(sa, buf, rem)
+    """For each text, whether the length bytes (4 or more) from each start also start
+    elsewhere; a text with copies stands for itself and them."""
+    sa, buf, rem, owner, rank, reach = _refined(texts, length)
     hit = np.zeros(len(buf), bool)
     if copies is not None:
         # in the array of all texts each suffix of such a text lies beside its copy's
         hit = np.array(copies, bool)[owner] & (rem >= length)
-    long = lcp >= length
-    hit[long] = True
-    before = np.full(len(buf), -1)
-    before[sa[1:]] = sa[:-1]
-    hit[before[long]] = True
+    # neighbours in order share length bytes if they share the first and the last reach of
+    # them, which the ranks of that round tell: no common prefix is measured
+    whole = rem[sa] >= length
+    near = np.flatnonzero(whole[:-1] & whole[1:])
+    one, two = sa[near], sa[near + 1]
+    for at in (0, length - reach):
+        same = rank[one + at] == rank[two + at]
+        one, two = one[same], two[same]
+    hit[one] = True
+    hit[two] = True
     ends = np.cumsum([len(t) for t in texts])
     return [hit[e - len(t):e - length + 1] for t, e in zip(texts, ends)]
 
